@@ -127,7 +127,8 @@ def accounting_stats(acc: DataFrame, as_of: dt.date) -> DataFrame:
     gm = dbl(F.col("gross_margin"))
     agg6 = six.groupBy("merchant_id").agg(
         F.count(F.lit(1)).alias("acc_n180"),
-        F.avg(gm).alias("acc_gm_avg"),
+        # exact sum of the stored margins, then one division: partition-order independent
+        (dbl(F.sum("gross_margin")) / F.count("gross_margin")).alias("acc_gm_avg"),
         F.regr_slope(gm, F.col("idx")).alias("acc_gm_slope"),
         F.count(gm).alias("acc_gm_n"),
         F.sum("gross_revenue").alias("acc_rev"),

@@ -239,7 +239,7 @@ FROM mp_a a LEFT JOIN mp_h hh ON hh.merchant_id = a.merchant_id"""
     c["ac"] = f"SELECT * FROM v_accounting WHERE month <= {A}"
     c["ac6"] = (f"SELECT *, CAST(row_number() OVER (PARTITION BY merchant_id ORDER BY month) - 1 AS DOUBLE) AS idx "
                 f"FROM ac WHERE month >= {D180}")
-    c["ac_a"] = """SELECT merchant_id, count(*) AS n, avg(CAST(gross_margin AS DOUBLE)) AS gm,
+    c["ac_a"] = """SELECT merchant_id, count(*) AS n, CAST(sum(gross_margin) AS DOUBLE) / count(gross_margin) AS gm,
   regr_slope(CAST(gross_margin AS DOUBLE), idx) AS gs, count(gross_margin) AS gn,
   CAST(sum(gross_revenue) AS DOUBLE) AS rev, CAST(sum(ebitda) AS DOUBLE) AS ebitda, CAST(sum(owner_draws) AS DOUBLE) AS draws,
   count(*) FILTER (WHERE btw_due > 0) AS due_n, avg(CAST(btw_paid_on_time AS DOUBLE)) FILTER (WHERE btw_due > 0) AS vat,

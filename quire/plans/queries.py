@@ -113,3 +113,64 @@ def _family_query(family: str):
 
 for _f in FAMILY_FEATURES:
     _family_query(_f)
+
+
+# --------------------------------------------------------------------------- policy (K, P)
+from quire.operators import policy as P  # noqa: E402
+from quire.plans.oracle_policy import policy_ctes  # noqa: E402
+
+
+def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.apply_policy(features(spark, sf_dir))
+
+
+def _policy_oracle(select: str, extra: dict[str, str] | None = None) -> str:
+    ctes = policy_ctes("feat")
+    if extra:
+        ctes.update(extra)
+    return _oracle(select, ctes)
+
+
+DECISION_SELECT = [("application_id", "s"), ("merchant_id", "s"), ("decision", "s"), ("max_amount", "d"),
+                   ("pricing_band", "s"), ("apr", "d"), ("tenor_max_months", "i"), ("reason_codes", "s"),
+                   ("explanations", "s"), ("manual_review_flags", "s"), ("red_flags", "i"), ("amber_flags", "i"),
+                   ("signal_pass_rate", "d")]
+
+
+@register("decisions", _policy_oracle(f"SELECT {sql_round(DECISION_SELECT)} FROM pol_out"))
+def q_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1-K8 + P1-P13: knockouts, gates, decision ladder, sizing, pricing per application."""
+    d = decided(spark, sf_dir)
+    apr = F.create_map(*[x for k, v in P.PRICING_BANDS.items() for x in (F.lit(k), F.lit(v))])
+    return round_doubles(d.select(
+        "application_id", "merchant_id", "decision", "max_amount", "pricing_band",
+        apr[F.col("pricing_band")].alias("apr"), "tenor_max_months",
+        F.concat_ws("|", "reason_codes").alias("reason_codes"),
+        F.concat_ws("|", "explanations").alias("explanations"),
+        F.concat_ws("|", "manual_review_flags").alias("manual_review_flags"),
+        "red_flags", "amber_flags", "signal_pass_rate"))
+
+
+def _gate_union_sql() -> str:
+    parts = []
+    for i, (feat, green, red, kind, code) in enumerate(P.GATES):
+        v = f"coalesce(CAST({feat} AS DOUBLE), {float(red)!r})"
+        r, a = (f"{v} > {red}", f"{v} > {green}") if kind == "standard" else (f"{v} < {red}", f"{v} < {green}")
+        parts.append(f"SELECT application_id, merchant_id, {i + 1} AS gate_position, '{feat}' AS gate, "
+                     f"round({v}, 6) AS value, CASE WHEN {r} THEN 'red' WHEN {a} THEN 'amber' ELSE 'green' END AS status, "
+                     f"CASE WHEN {r} THEN '{code}' END AS reason_code FROM feat")
+    return " UNION ALL ".join(parts)
+
+
+@register("gate_evaluation", _oracle("SELECT * FROM gates_long", {"gates_long": _gate_union_sql()}))
+def q_gate_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scored gate per application (value, red/amber/green, reason code)."""
+    f = features(spark, sf_dir)
+    rows = []
+    for i, (feat, green, red, kind, code) in enumerate(P.GATES):
+        st = P.gate_status(f, feat, green, red, kind)
+        rows.append(F.struct(F.lit(i + 1).alias("gate_position"), F.lit(feat).alias("gate"),
+                             F.round(F.coalesce(F.col(feat).cast("double"), F.lit(float(red))), 6).alias("value"),
+                             st.alias("status"), F.when(st == "red", F.lit(code)).alias("reason_code")))
+    return f.select("application_id", "merchant_id", F.explode(F.array(*rows)).alias("g")) \
+            .select("application_id", "merchant_id", "g.*")
