@@ -174,3 +174,71 @@ def q_gate_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
                              st.alias("status"), F.when(st == "red", F.lit(code)).alias("reason_code")))
     return f.select("application_id", "merchant_id", F.explode(F.array(*rows)).alias("g")) \
             .select("application_id", "merchant_id", "g.*")
+
+
+# --------------------------------------------------------------------------- validation + reconciliation (V, R)
+from quire.functions.expr import in_window  # noqa: E402
+from quire.operators import quality as Q  # noqa: E402
+from quire.operators import reconcile as R  # noqa: E402
+from quire.plans import oracle_misc as OM  # noqa: E402
+
+QUALITY_SOURCES = ("bank", "psp", "webshop", "marketplace", "accounting", "kyc")
+
+
+def _quality_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    f = fx(spark, sf_dir)
+    return {s: getattr(f, s).drop("k") if "k" in getattr(f, s).columns else getattr(f, s) for s in QUALITY_SOURCES}
+
+
+@register("quality_report", with_views(OM.quality_sql({k: v[1] for k, v in SCAN_COLUMNS.items()})))
+def q_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2-V7: null rates, enum domains, ranges, history span, months, non-empty per source."""
+    return round_doubles(Q.data_quality_report(_quality_sources(spark, sf_dir)))
+
+
+@register("required_columns")
+def q_required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1: required column names per source (schema metadata; rows-only check)."""
+    return Q.required_columns_report(spark, _quality_sources(spark, sf_dir))
+
+
+ALERT_SELECT = [("feature", "s"), ("missing_pct", "d"), ("status", "s")]
+
+
+@register("feature_missing_alerts", _oracle(
+    "SELECT feature, missing_pct, status FROM (" + " UNION ALL ".join(
+        f"SELECT '{n}' AS feature, round(avg(CASE WHEN {n} IS NULL THEN 1.0 ELSE 0.0 END), 3) AS missing_pct, "
+        f"'DATA_QUALITY_ALERT' AS status, avg(CASE WHEN {n} IS NULL THEN 1.0 ELSE 0.0 END) AS p FROM feat_raw"
+        for n in FEATURE_COLUMNS if n not in BOOL_FEATURES) + ") WHERE p > 0.2"))
+def q_feature_missing_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8: numeric features (before defaults) missing in more than 20% of applications."""
+    raw = compute_features(fx(spark, sf_dir).sources(), AS_OF, apply_defaults=False)
+    return Q.feature_missing_alerts(raw.select(*FEATURE_COLUMNS)).select("feature", "missing_pct", "status")
+
+
+@register("reconciliation", with_views(OM.recon_sql(AS_OF)))
+def q_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bank settlement credits vs PSP paid net per merchant, delta and pass flag."""
+    f = fx(spark, sf_dir)
+    return R.reconcile_bank_psp(f.merchants, f.bank, f.psp, AS_OF)
+
+
+@register("accounting_derived", with_views(OM.accounting_derived_sql(AS_OF)))
+def q_accounting_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month grid join of bank credits, month-end cash, quarterly VAT, P&L derivations."""
+    f = fx(spark, sf_dir)
+    return R.accounting_derived(f.accounting, f.bank, AS_OF)
+
+
+@register("daily_closing_balance", with_views(OM.daily_balance_sql(AS_OF)))
+def q_daily_closing_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closing balance, posting count and net per merchant and day."""
+    return R.daily_closing_balance(fx(spark, sf_dir).bank, AS_OF)
+
+
+@register("weekly_gpv_series", with_views(OM.weekly_gpv_sql(AS_OF)))
+def q_weekly_gpv_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zero-filled Mon-Sun weekly paid GPV over the last 90 days per merchant."""
+    p = fx(spark, sf_dir).psp.filter(F.col("order_date") <= F.lit(AS_OF))
+    cond = (F.col("status") == "paid") & in_window(F.col("order_date"), AS_OF, 90)
+    return R.weekly_series(p, "order_date", F.col("gross_amount"), cond, "gross")
