@@ -1,14 +1,12 @@
 """Bank features (cash flow, volatility, balances, suppliers, seasonality, ad spend).
 
-Plan: one scan of the postings, one partial/final aggregation to a fine
-(merchant, day, direction, category, counterparty) table, and everything else
-from that much smaller table:
+Plan (one linear pipeline, one scan of the postings):
 
-* daily totals (R10 closing balance, daily credits) -> merchant aggregates with
-  conditional windows (J7) in one pass,
-* monthly totals -> seasonality, trailing-6-observed-month GMV (J16), supplier
-  months present,
-* (merchant, counterparty) credit totals -> inflow HHI (H1).
+* multi-grain partial/final aggregation on (merchant, grain, key):
+  day totals (R10 closing balance, daily credits), month totals (seasonality,
+  trailing-6-observed-month GMV J16, supplier months), counterparty credit
+  totals (inflow HHI H1);
+* one conditional fold per merchant (J7 windows applied to the day keys).
 
 No operator holds a merchant's raw postings in one task.
 """
@@ -22,102 +20,93 @@ from pyspark.sql import functions as F
 
 from quire.functions.expr import (cutoff, cv, dbl, hhi, in_window, month_ends_between, months_spanned,
                                   sample_std_from_moments)
+from quire.functions.grains import GRAIN_KEYS, at, explode_grains, grain, grain_cols
 
 # Minimum distinct credit days for the 30/90/180-day volatility.
 VOLATILITY_WINDOWS = {"30d": (30, 10), "90d": (90, 30), "180d": (180, 60)}
 PREFIX = "bk_"
 
 
-def _fine(bank: DataFrame, as_of: dt.date) -> DataFrame:
-    amt = F.col("amount")
-    return (bank.filter(F.col("date") <= F.lit(as_of))
-            .groupBy("merchant_id", "date", "direction", "category", "counterparty_name")
-            .agg(F.count(F.lit(1)).alias("n"),
-                 F.sum(amt).alias("amt"),
-                 F.sum(F.abs(amt)).alias("abs_amt"),
-                 F.sum(amt * amt).alias("sq_amt"),
-                 F.max("balance_after").alias("bal")))
-
+def bank_stats(bank: DataFrame, as_of: dt.date) -> DataFrame:
+    """Per-merchant sufficient statistics for every bank feature, from ONE scan.
 
-def _daily(fine: DataFrame) -> DataFrame:
+    Grains: day (R10 closing balance, daily credits, window sums), month
+    (credits in 365 d, supplier presence in 180 d) and counterparty (credits in
+    90 d, for the inflow HHI). The month list kept per merchant is bounded by
+    the 13 calendar months a 365-day window can touch."""
+    b = bank.filter(F.col("date") <= F.lit(as_of))
+    d = F.col("date")
+    amt = F.col("amount")
     credit = F.col("direction") == "CREDIT"
     debit = F.col("direction") == "DEBIT"
     cat = F.col("category")
-    return fine.groupBy("merchant_id", "date").agg(
-        F.sum("n").alias("n"),
-        F.sum("amt").alias("net"),
-        F.sum(F.when(credit, F.col("amt"))).alias("credit"),
-        F.sum(F.when(credit, F.col("n"))).alias("n_credit"),
-        F.sum(F.when(debit, F.col("abs_amt"))).alias("debit_abs"),
-        F.sum(F.when(cat == "advertising", F.col("abs_amt"))).alias("ad_abs"),
-        F.sum(F.when(cat == "supplier_payment", F.col("n"))).alias("sup_n"),
-        F.sum(F.when(cat == "supplier_payment", F.col("abs_amt"))).alias("sup_s1"),
-        F.sum(F.when(cat == "supplier_payment", F.col("sq_amt"))).alias("sup_s2"),
-        F.sum(F.when(cat == "psp_settlement", F.col("amt"))).alias("psp_settle"),
-        # With a tie-free daily balance every posting of the day carries the closing value
-        F.max("bal").alias("close_bal"),
-    )
-
-
-def bank_stats(bank: DataFrame, as_of: dt.date) -> DataFrame:
-    """Per-merchant sufficient statistics for every bank feature."""
-    fine = _fine(bank, as_of)
-    daily = _daily(fine)
-    d = F.col("date")
+    sup = cat == "supplier_payment"
     w = {days: in_window(d, as_of, days) for days in (30, 90, 180, 365)}
+    x = b.select("merchant_id", "date", "amount", "direction", "category", "balance_after",
+                 explode_grains(grain("d", k_date=d),
+                                grain("m", k_date=F.trunc(d, "MM")),
+                                grain("c", k_str=F.col("counterparty_name"),
+                                      when=credit & w[90] & F.col("counterparty_name").isNotNull())))
+    g = x.select("merchant_id", *grain_cols(), "amount", "direction", "category", "balance_after", "date") \
+        .groupBy("merchant_id", *GRAIN_KEYS).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(amt).alias("net"),
+            F.sum(F.when(credit, amt)).alias("credit"),
+            F.count(F.when(credit, F.lit(1))).alias("n_credit"),
+            F.sum(F.when(debit, F.abs(amt))).alias("debit_abs"),
+            F.sum(F.when(cat == "advertising", F.abs(amt))).alias("ad_abs"),
+            F.count(F.when(sup, F.lit(1))).alias("sup_n"),
+            F.sum(F.when(sup, F.abs(amt))).alias("sup_s1"),
+            F.sum(F.when(sup, amt * amt)).alias("sup_s2"),
+            F.sum(F.when(cat == "psp_settlement", amt)).alias("psp_settle"),
+            # With a tie-free daily balance every posting of the day carries the closing value
+            F.max("balance_after").alias("close_bal"),
+            F.sum(F.when(credit & w[365], amt)).alias("credit_365"),
+            F.count(F.when(credit & w[365], F.lit(1))).alias("n_credit_365"),
+            F.count(F.when(sup & w[180], F.lit(1))).alias("sup_180"),
+        )
+    kd = F.col("k_date")
+    wk = {days: in_window(kd, as_of, days) for days in (30, 90, 180)}
     has_credit = F.col("n_credit") > 0
     aggs: list[Column] = [
-        F.sum("n").alias("rows_all"),
-        F.sum("psp_settle").alias("psp_settle_all"),
+        F.sum(at("d", F.col("n"))).alias("rows_all"),
+        F.sum(at("d", F.col("psp_settle"))).alias("psp_settle_all"),
     ]
     for days in (90, 180):
-        aggs += [F.sum(F.when(w[days], F.col("net"))).alias(f"net_{days}"),
-                 F.min(F.when(w[days], d)).alias(f"dmin_{days}"),
-                 F.max(F.when(w[days], d)).alias(f"dmax_{days}"),
-                 F.sum(F.when(w[days], F.col("n"))).alias(f"rows_{days}"),
-                 F.avg(F.when(w[days], F.when(F.col("close_bal") < 0, 1.0).otherwise(0.0))).alias(f"negpct_{days}")]
+        aggs += [F.sum(at("d", F.col("net"), wk[days])).alias(f"net_{days}"),
+                 F.min(at("d", kd, wk[days])).alias(f"dmin_{days}"),
+                 F.max(at("d", kd, wk[days])).alias(f"dmax_{days}"),
+                 F.sum(at("d", F.col("n"), wk[days])).alias(f"rows_{days}"),
+                 F.avg(at("d", F.when(F.col("close_bal") < 0, 1.0).otherwise(0.0), wk[days])).alias(f"negpct_{days}")]
     for label, (days, _) in VOLATILITY_WINDOWS.items():
-        cond = w[days] & has_credit
-        aggs += [F.count(F.when(cond, F.lit(1))).alias(f"cdays_{label}"),
-                 F.avg(F.when(cond, dbl(F.col("credit")))).alias(f"cmean_{label}"),
-                 F.stddev_samp(F.when(cond, dbl(F.col("credit")))).alias(f"cstd_{label}")]
+        cond = wk[days] & has_credit
+        aggs += [F.count(at("d", F.lit(1), cond)).alias(f"cdays_{label}"),
+                 F.avg(at("d", dbl(F.col("credit")), cond)).alias(f"cmean_{label}"),
+                 F.stddev_samp(at("d", dbl(F.col("credit")), cond)).alias(f"cstd_{label}")]
+    observed = F.col("n_credit_365") > 0
     aggs += [
-        F.avg(F.when(w[90], dbl(F.col("close_bal")))).alias("avgbal_90"),
-        F.sum(F.when(w[90], F.col("debit_abs"))).alias("debit_abs_90"),
-        F.sum(F.when(w[90], F.col("ad_abs"))).alias("ad_90"),
-        F.sum(F.when(w[90], F.col("credit"))).alias("credit_90"),
-        F.sum(F.when(w[180], F.col("sup_n"))).alias("sup_n_180"),
-        F.sum(F.when(w[180], F.col("sup_s1"))).alias("sup_s1_180"),
-        F.sum(F.when(w[180], F.col("sup_s2"))).alias("sup_s2_180"),
+        F.avg(at("d", dbl(F.col("close_bal")), wk[90])).alias("avgbal_90"),
+        F.sum(at("d", F.col("debit_abs"), wk[90])).alias("debit_abs_90"),
+        F.sum(at("d", F.col("ad_abs"), wk[90])).alias("ad_90"),
+        F.sum(at("d", F.col("credit"), wk[90])).alias("credit_90"),
+        F.sum(at("d", F.col("sup_n"), wk[180])).alias("sup_n_180"),
+        F.sum(at("d", F.col("sup_s1"), wk[180])).alias("sup_s1_180"),
+        F.sum(at("d", F.col("sup_s2"), wk[180])).alias("sup_s2_180"),
+        F.count(at("m", F.lit(1), observed)).alias("rev_months"),
+        F.max(at("m", dbl(F.col("credit_365")), observed)).alias("rev_month_max"),
+        F.avg(at("m", dbl(F.col("credit_365")), observed)).alias("rev_month_mean"),
+        F.collect_list(at("m", F.struct(kd.alias("m"), dbl(F.col("credit_365")).alias("v")), observed))
+         .alias("rev_months_list"),
+        F.count(at("m", F.lit(1), F.col("sup_180") > 0)).alias("sup_months_180"),
+        F.sum(at("c", dbl(F.col("net")) * dbl(F.col("net")))).alias("cp_sq"),
+        F.sum(at("c", dbl(F.col("net")))).alias("cp_total"),
     ]
-    per_day = daily.groupBy("merchant_id").agg(*aggs)
-
-    # Monthly table from the daily one: months with >= 1 credit in 365 d, and
-    # months with >= 1 supplier payment in 180 d.
-    month = F.trunc(d, "MM")
-    monthly = daily.groupBy("merchant_id", month.alias("month")).agg(
-        F.sum(F.when(w[365] & has_credit, F.col("credit"))).alias("m_credit"),
-        F.sum(F.when(w[365] & has_credit, F.col("n_credit"))).alias("m_ncredit"),
-        F.sum(F.when(w[180], F.col("sup_n"))).alias("m_sup"),
-    )
-    rn = F.row_number().over(Window.partitionBy("merchant_id").orderBy(F.col("month").desc()))
-    observed = monthly.filter(F.col("m_ncredit") > 0).withColumn("rn", rn)
-    month_stats = observed.groupBy("merchant_id").agg(
-        F.count(F.lit(1)).alias("rev_months"),
-        F.max(dbl(F.col("m_credit"))).alias("rev_month_max"),
-        F.avg(dbl(F.col("m_credit"))).alias("rev_month_mean"),
-        F.avg(F.when(F.col("rn") <= 6, dbl(F.col("m_credit")))).alias("rev_last6_mean"),
-    )
-    sup_months = monthly.filter(F.col("m_sup") > 0).groupBy("merchant_id") \
-        .agg(F.count(F.lit(1)).alias("sup_months_180"))
-
-    cp = (fine.filter((F.col("direction") == "CREDIT") & w[90] & F.col("counterparty_name").isNotNull())
-          .groupBy("merchant_id", "counterparty_name").agg(dbl(F.sum("amt")).alias("v"))
-          .groupBy("merchant_id").agg(F.sum(F.col("v") * F.col("v")).alias("cp_sq"), F.sum("v").alias("cp_total"),
-                                      F.count(F.lit(1)).alias("cp_groups")))
-    out = (per_day.join(month_stats, "merchant_id", "left")
-           .join(sup_months, "merchant_id", "left")
-           .join(cp, "merchant_id", "left"))
+    out = g.groupBy("merchant_id").agg(*aggs)
+    # Mean of the last 6 observed months (list holds at most 13 months)
+    last6 = F.slice(F.sort_array(F.col("rev_months_list"), asc=False), 1, 6)
+    out = out.withColumn("rev_last6_mean", F.when(
+        F.size(last6) > 0, F.aggregate(last6, F.lit(0.0), lambda acc, e: acc + e["v"]) / F.size(last6))) \
+        .drop("rev_months_list")
     return out.select("merchant_id", *[F.col(n).alias(PREFIX + n) for n in out.columns if n != "merchant_id"])
 
 

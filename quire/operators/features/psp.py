@@ -1,13 +1,16 @@
 """PSP features: settlement delays, refund / chargeback rates, concentration, GPV trend.
 
-Plan: one scan of the payments with conditional partial aggregates per
-merchant (J7 windows in one pass), plus three small keyed pre-aggregates:
+Plan (one linear pipeline, one scan of the payments): a multi-grain
+aggregate on (merchant, grain, key) with
 
+* the merchant grain: conditional window sums (J7) in one pass,
 * (merchant, delay-days) counts -> exact linear-interpolated p95 and median
   from a cumulative histogram (bounded by distinct delay values, so a hot
   merchant never ships its raw delays to one task the way ``percentile``
   would),
-* (merchant, psp_name) and (merchant, buyer) paid gross -> HHI (H1).
+* (merchant, psp_name) and (merchant, buyer) paid gross -> HHI (H1),
+
+then one conditional fold per merchant.
 """
 
 from __future__ import annotations
@@ -19,37 +22,20 @@ from pyspark.sql import functions as F
 
 from quire.functions.expr import (cutoff, cv, dbl, hhi, in_window, sample_std_from_moments, weekly_slope,
                                   weekly_slope_stats)
+from quire.functions.grains import GRAIN_KEYS, at, explode_grains, grain, grain_cols
 
 RATE_WINDOWS = {"30d": 30, "90d": 90, "ltm": 365}
 PREFIX = "ps_"
 
 
-def _percentiles_from_histogram(hist: DataFrame, probs: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolation quantiles per merchant from (merchant_id, v, c) counts."""
-    w = Window.partitionBy("merchant_id").orderBy("v")
-    h = (hist.withColumn("cum", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-             .withColumn("n", F.sum("c").over(Window.partitionBy("merchant_id"))))
-    aggs = []
-    for name, p in probs.items():
-        pos = (dbl(F.col("n")) - 1) * p
-        lo = F.floor(pos)
-        hi = F.ceil(pos)
-        start = F.col("cum") - F.col("c")
-        covers = lambda r: (start <= r) & (r < F.col("cum"))
-        h = (h.withColumn(f"{name}_lo", F.when(covers(lo), F.col("v")))
-              .withColumn(f"{name}_hi", F.when(covers(hi), F.col("v")))
-              .withColumn(f"{name}_frac", pos - lo))
-        aggs += [F.max(f"{name}_lo").alias(f"{name}_lo"), F.max(f"{name}_hi").alias(f"{name}_hi"),
-                 F.max(f"{name}_frac").alias(f"{name}_frac")]
-    g = h.groupBy("merchant_id").agg(*aggs)
-    out = [F.col("merchant_id")]
-    for name in probs:
-        lo_v, hi_v = dbl(F.col(f"{name}_lo")), dbl(F.col(f"{name}_hi"))
-        out.append((lo_v + F.col(f"{name}_frac") * (hi_v - lo_v)).alias(name))
-    return g.select(*out)
-
-
 def psp_stats(psp: DataFrame, as_of: dt.date) -> DataFrame:
+    """Per-merchant sufficient statistics for every PSP feature, from ONE scan.
+
+    Grains: merchant (conditional window sums), delay-days histogram of paid
+    payments (exact p95 / median by cumulative counts instead of buffering raw
+    values the way ``percentile`` does), and paid gross per PSP and per buyer
+    (HHI). A window adds cumulative counts; every non-histogram row is its own
+    window partition, so no merchant's buyers land in one window task."""
     p = psp.filter(F.col("order_date") <= F.lit(as_of))
     od = F.col("order_date")
     status = F.col("status")
@@ -59,42 +45,63 @@ def psp_stats(psp: DataFrame, as_of: dt.date) -> DataFrame:
     w = {days: in_window(od, as_of, days) for days in (30, 90, 180, 365)}
     prior90 = (od >= F.lit(cutoff(as_of, 180))) & (od < F.lit(cutoff(as_of, 90)))
     refund = F.when(status == "refunded", F.col("refund_amount"))
+    x = p.select("*", explode_grains(
+        grain("m"),
+        grain("h", k_int=delay, when=paid & delay.isNotNull()),
+        grain("p", k_str=F.col("psp_name"), when=paid & F.col("psp_name").isNotNull()),
+        grain("b", k_str=F.col("buyer_id"), when=paid & F.col("buyer_id").isNotNull())))
+    x = x.select(*[F.col(c) for c in p.columns], *grain_cols())
+    m = lambda v: F.when(F.col("g") == "m", v)  # noqa: E731  (row-level stats only at the merchant grain)
     aggs: list[Column] = [
-        F.count(F.lit(1)).alias("rows_all"),
-        F.count(F.when(paid, F.lit(1))).alias("paid_all"),
-        F.sum(F.when(paid, delay)).alias("delay_s1"),
-        F.sum(F.when(paid, delay * delay)).alias("delay_s2"),
-        F.sum(F.when(paid, F.col("net_amount"))).alias("paid_net_all"),
-        F.count(F.when(status == "chargeback", F.lit(1))).alias("cb_all"),
-        F.count(F.when((status == "chargeback") & F.col("dispute_outcome").isin("won", "lost"), F.lit(1)))
+        F.count(F.lit(1)).alias("n"),
+        F.sum(gross).alias("gross"),
+        F.count(m(F.lit(1))).alias("rows_all"),
+        F.count(m(F.when(paid, F.lit(1)))).alias("paid_all"),
+        F.sum(m(F.when(paid, delay))).alias("delay_s1"),
+        F.sum(m(F.when(paid, delay * delay))).alias("delay_s2"),
+        F.sum(m(F.when(paid, F.col("net_amount")))).alias("paid_net_all"),
+        F.count(m(F.when((status == "chargeback") & F.col("dispute_outcome").isin("won", "lost"), F.lit(1))))
          .alias("disputes_resolved"),
-        F.count(F.when((status == "chargeback") & (F.col("dispute_outcome") == "won"), F.lit(1))).alias("disputes_won"),
-        F.count(F.when(w[90] & paid, F.lit(1))).alias("paid_90"),
-        F.count(F.when(w[90], F.lit(1))).alias("rows_90"),
-        F.avg(F.when(w[90], F.when(F.col("payment_method") == "creditcard", 1.0).otherwise(0.0))).alias("card_pct_90"),
+        F.count(m(F.when((status == "chargeback") & (F.col("dispute_outcome") == "won"), F.lit(1))))
+         .alias("disputes_won"),
+        F.count(m(F.when(w[90] & paid, F.lit(1)))).alias("paid_90"),
+        F.count(m(F.when(w[90], F.lit(1)))).alias("rows_90"),
+        F.avg(m(F.when(w[90], F.when(F.col("payment_method") == "creditcard", 1.0).otherwise(0.0))))
+         .alias("card_pct_90"),
     ]
     for label, days in RATE_WINDOWS.items():
-        aggs += [F.sum(F.when(w[days], gross)).alias(f"gross_{label}"),
-                 F.sum(F.when(w[days], refund)).alias(f"refund_{label}"),
-                 F.count(F.when(w[days], F.lit(1))).alias(f"n_{label}"),
-                 F.count(F.when(w[days] & (status == "chargeback"), F.lit(1))).alias(f"cb_{label}")]
-    aggs += [F.sum(F.when(prior90, gross)).alias("gross_prior90"),
-             F.sum(F.when(prior90, refund)).alias("refund_prior90")]
-    for k, v in weekly_slope_stats(od, gross, w[90] & paid).items():
+        aggs += [F.sum(m(F.when(w[days], gross))).alias(f"gross_{label}"),
+                 F.sum(m(F.when(w[days], refund))).alias(f"refund_{label}"),
+                 F.count(m(F.when(w[days], F.lit(1)))).alias(f"n_{label}"),
+                 F.count(m(F.when(w[days] & (status == "chargeback"), F.lit(1)))).alias(f"cb_{label}")]
+    aggs += [F.sum(m(F.when(prior90, gross))).alias("gross_prior90"),
+             F.sum(m(F.when(prior90, refund))).alias("refund_prior90")]
+    for k, v in weekly_slope_stats(od, gross, (F.col("g") == "m") & w[90] & paid).items():
         aggs.append(v.alias(f"gpv_{k}"))
-    base = p.groupBy("merchant_id").agg(*aggs)
-
-    hist = p.filter(paid).groupBy("merchant_id", delay.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    pct = _percentiles_from_histogram(hist, {"delay_p95": 0.95, "delay_p50": 0.5})
-
-    def conc(key: str, alias: str) -> DataFrame:
-        return (p.filter(paid & F.col(key).isNotNull()).groupBy("merchant_id", key).agg(dbl(F.sum(gross)).alias("v"))
-                .groupBy("merchant_id").agg(F.sum(F.col("v") * F.col("v")).alias(f"{alias}_sq"),
-                                            F.sum("v").alias(f"{alias}_total")))
-
-    out = (base.join(pct, "merchant_id", "left")
-           .join(conc("psp_name", "plat"), "merchant_id", "left")
-           .join(conc("buyer_id", "buyer"), "merchant_id", "left"))
+    g = x.groupBy("merchant_id", *GRAIN_KEYS).agg(*aggs)
+
+    # cumulative counts over the delay histogram
+    part = Window.partitionBy("merchant_id", "g", F.when(F.col("g") != "h", F.col("k_str")))
+    g = (g.withColumn("cum", F.sum("n").over(part.orderBy("k_int").rowsBetween(Window.unboundedPreceding, 0)))
+          .withColumn("tot", F.sum("n").over(part)))
+    base_cols = [a for a in g.columns if a not in ("merchant_id", "g", "k_date", "k_str", "k_int", "n", "gross",
+                                                   "cum", "tot")]
+    fold: list[Column] = [F.max(at("m", F.col(c))).alias(c) for c in base_cols]
+    for name, prob in (("delay_p95", 0.95), ("delay_p50", 0.5)):
+        pos = (dbl(F.col("tot")) - 1) * prob
+        start = F.col("cum") - F.col("n")
+        covers = lambda r: (start <= r) & (r < F.col("cum"))
+        fold += [F.max(at("h", F.col("k_int"), covers(F.floor(pos)))).alias(f"{name}_lo"),
+                 F.max(at("h", F.col("k_int"), covers(F.ceil(pos)))).alias(f"{name}_hi"),
+                 F.max(at("h", pos - F.floor(pos))).alias(f"{name}_frac")]
+    for tag, alias in (("p", "plat"), ("b", "buyer")):
+        v = dbl(F.col("gross"))
+        fold += [F.sum(at(tag, v * v)).alias(f"{alias}_sq"), F.sum(at(tag, v)).alias(f"{alias}_total")]
+    out = g.groupBy("merchant_id").agg(*fold)
+    for name in ("delay_p95", "delay_p50"):
+        lo, hi = dbl(F.col(f"{name}_lo")), dbl(F.col(f"{name}_hi"))
+        out = out.withColumn(name, lo + F.col(f"{name}_frac") * (hi - lo)) \
+                 .drop(f"{name}_lo", f"{name}_hi", f"{name}_frac")
     return out.select("merchant_id", *[F.col(n).alias(PREFIX + n) for n in out.columns if n != "merchant_id"])
 
 

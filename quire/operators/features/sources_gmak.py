@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.expr import (cv, dbl, hhi, in_window, sample_std_from_moments, slope_normalized_observed,
                                   weekly_slope, weekly_slope_stats)
+from quire.functions.grains import GRAIN_KEYS, at, explode_grains, grain, grain_cols
 
 WEBSHOP_MIN_ORDERS_90D = 10
 # KYC verification level scores (others score as basic).
@@ -22,30 +23,40 @@ KYC_LEVEL_SCORES = {"basic": 0.33, "enhanced": 0.67, "full": 1.0}
 
 # ---------------------------------------------------------------- webshop (G)
 def webshop_stats(ws: DataFrame, as_of: dt.date) -> DataFrame:
+    """One scan: merchant grain (conditional counts / moments) + SKU grain
+    (completed gross in 90 d, for the HHI), folded per merchant."""
     w = ws.filter(F.col("order_date") <= F.lit(as_of))
     in90 = in_window(F.col("order_date"), as_of, 90)
     status = F.col("status")
     comp = in90 & (status == "completed")
     gross = F.col("gross_amount")
+    x = w.select("*", explode_grains(grain("m"), grain("s", k_str=F.col("sku_id"),
+                                                        when=comp & F.col("sku_id").isNotNull())))
+    x = x.select(*[F.col(c) for c in w.columns], *grain_cols())
+    m = lambda v: F.when(F.col("g") == "m", v)
     aggs = [
-        F.count(F.lit(1)).alias("ws_rows_all"),
-        F.count(F.when(in90, F.lit(1))).alias("ws_n90"),
-        F.count(F.when(in90 & (status == "cancelled"), F.lit(1))).alias("ws_cancelled"),
-        F.count(F.when(in90 & (status == "returned"), F.lit(1))).alias("ws_returned"),
-        F.avg(F.when(in90, F.col("is_repeat_customer").cast("double"))).alias("ws_repeat"),
-        F.count(F.when(comp, F.lit(1))).alias("ws_comp_n"),
-        F.count(F.when(comp & (F.col("fulfillment_days") <= 3), F.lit(1))).alias("ws_comp_fast"),
-        F.sum(F.when(comp, gross)).alias("ws_comp_s1"),
-        F.sum(F.when(comp, gross * gross)).alias("ws_comp_s2"),
-        F.sum(F.when(comp, F.col("discount_amount"))).alias("ws_comp_discount"),
+        F.sum(gross).alias("grain_gross"),
+        F.count(m(F.lit(1))).alias("ws_rows_all"),
+        F.count(m(F.when(in90, F.lit(1)))).alias("ws_n90"),
+        F.count(m(F.when(in90 & (status == "cancelled"), F.lit(1)))).alias("ws_cancelled"),
+        F.count(m(F.when(in90 & (status == "returned"), F.lit(1)))).alias("ws_returned"),
+        F.sum(m(F.when(in90, F.col("is_repeat_customer").cast("double")))).alias("ws_repeat_sum"),
+        F.count(m(F.when(in90, F.col("is_repeat_customer")))).alias("ws_repeat_n"),
+        F.count(m(F.when(comp, F.lit(1)))).alias("ws_comp_n"),
+        F.count(m(F.when(comp & (F.col("fulfillment_days") <= 3), F.lit(1)))).alias("ws_comp_fast"),
+        F.sum(m(F.when(comp, gross))).alias("ws_comp_s1"),
+        F.sum(m(F.when(comp, gross * gross))).alias("ws_comp_s2"),
+        F.sum(m(F.when(comp, F.col("discount_amount")))).alias("ws_comp_discount"),
     ]
-    for k, v in weekly_slope_stats(F.col("order_date"), F.lit(1), in90).items():
+    for k, v in weekly_slope_stats(F.col("order_date"), F.lit(1), (F.col("g") == "m") & in90).items():
         aggs.append(v.alias(f"wsw_{k}"))
-    base = w.groupBy("merchant_id").agg(*aggs)
-    sku = (w.filter(comp & F.col("sku_id").isNotNull()).groupBy("merchant_id", "sku_id")
-           .agg(dbl(F.sum(gross)).alias("v"))
-           .groupBy("merchant_id").agg(F.sum(F.col("v") * F.col("v")).alias("sku_sq"), F.sum("v").alias("sku_total")))
-    return base.join(sku, "merchant_id", "left")
+    g = x.groupBy("merchant_id", *GRAIN_KEYS).agg(*aggs)
+    base = [c for c in g.columns if c.startswith("ws")]
+    v = dbl(F.col("grain_gross"))
+    out = g.groupBy("merchant_id").agg(*[F.max(at("m", F.col(c))).alias(c) for c in base],
+                                       F.sum(at("s", v * v)).alias("sku_sq"), F.sum(at("s", v)).alias("sku_total"))
+    return out.withColumn("ws_repeat", F.col("ws_repeat_sum") / F.col("ws_repeat_n")) \
+              .drop("ws_repeat_sum", "ws_repeat_n")
 
 
 def webshop_feature_columns() -> dict[str, Column]:
@@ -71,31 +82,31 @@ def webshop_feature_columns() -> dict[str, Column]:
 
 # ------------------------------------------------------------ marketplace (H)
 def marketplace_stats(mp: DataFrame, as_of: dt.date) -> DataFrame:
+    """One scan of the monthly snapshots: month index among the 180-day rows
+    (window bounded by months x marketplaces), then one conditional fold."""
     m = mp.filter(F.col("month") <= F.lit(as_of))
     in180 = in_window(F.col("month"), as_of, 180)
     in90 = in_window(F.col("month"), as_of, 90)
-    six = m.filter(in180)
-    idx = F.row_number().over(Window.partitionBy("merchant_id").orderBy("month", "marketplace")) - 1
-    six = six.withColumn("idx", idx.cast("double"))
+    idx = F.row_number().over(Window.partitionBy("merchant_id", in180).orderBy("month", "marketplace")) - 1
+    m = m.withColumn("_in180", in180).withColumn("_idx", idx.cast("double"))
+    six = F.col("_in180")
+    s6 = lambda v: F.when(six, v)
     health = F.col("account_health_score")
-    agg6 = six.groupBy("merchant_id").agg(
-        F.count(F.lit(1)).alias("mp_n180"),
-        F.avg(health).alias("mp_health_avg"),
-        F.regr_slope(health, F.col("idx")).alias("mp_health_slope"),
-        F.count(health).alias("mp_health_n"),
-        F.sum("order_count").alias("mp_orders"),
-        F.sum("late_shipment_count").alias("mp_late"),
-        F.sum("negative_feedback_count").alias("mp_neg"),
-        F.sum("policy_violation_count").alias("mp_viol"),
-        F.avg("marketplace_gmv_share").alias("mp_share"),
-        F.avg("payout_lag_days").alias("mp_lag"),
-    )
-    allm = m.groupBy("merchant_id").agg(
+    return m.groupBy("merchant_id").agg(
         F.count(F.lit(1)).alias("mp_rows_all"),
         F.count(F.when(in90, F.lit(1))).alias("mp_n90"),
         F.max(F.when(in90, F.col("payout_hold_active").cast("int"))).alias("mp_hold90"),
+        F.count(s6(F.lit(1))).alias("mp_n180"),
+        F.avg(s6(health)).alias("mp_health_avg"),
+        F.regr_slope(s6(health), s6(F.col("_idx"))).alias("mp_health_slope"),
+        F.count(s6(health)).alias("mp_health_n"),
+        F.sum(s6(F.col("order_count"))).alias("mp_orders"),
+        F.sum(s6(F.col("late_shipment_count"))).alias("mp_late"),
+        F.sum(s6(F.col("negative_feedback_count"))).alias("mp_neg"),
+        F.sum(s6(F.col("policy_violation_count"))).alias("mp_viol"),
+        F.avg(s6(F.col("marketplace_gmv_share"))).alias("mp_share"),
+        F.avg(s6(F.col("payout_lag_days"))).alias("mp_lag"),
     )
-    return allm.join(agg6, "merchant_id", "left")
 
 
 def marketplace_feature_columns() -> dict[str, Column]:
@@ -119,29 +130,30 @@ def marketplace_feature_columns() -> dict[str, Column]:
 
 # ------------------------------------------------------------- accounting (I)
 def accounting_stats(acc: DataFrame, as_of: dt.date) -> DataFrame:
+    """One scan of the monthly records: month index among the 180-day rows, then one fold."""
     a = acc.filter(F.col("month") <= F.lit(as_of))
     in180 = in_window(F.col("month"), as_of, 180)
-    six = a.filter(in180)
-    idx = F.row_number().over(Window.partitionBy("merchant_id").orderBy("month")) - 1
-    six = six.withColumn("idx", idx.cast("double"))
+    idx = F.row_number().over(Window.partitionBy("merchant_id", in180).orderBy("month")) - 1
+    a = a.withColumn("_in180", in180).withColumn("_idx", idx.cast("double"))
+    s6 = lambda v: F.when(F.col("_in180"), v)
     gm = dbl(F.col("gross_margin"))
-    agg6 = six.groupBy("merchant_id").agg(
-        F.count(F.lit(1)).alias("acc_n180"),
+    due = F.col("btw_due") > 0
+    return a.groupBy("merchant_id").agg(
+        F.count(F.lit(1)).alias("acc_rows_all"),
+        F.count(s6(F.lit(1))).alias("acc_n180"),
         # exact sum of the stored margins, then one division: partition-order independent
-        (dbl(F.sum("gross_margin")) / F.count("gross_margin")).alias("acc_gm_avg"),
-        F.regr_slope(gm, F.col("idx")).alias("acc_gm_slope"),
-        F.count(gm).alias("acc_gm_n"),
-        F.sum("gross_revenue").alias("acc_rev"),
-        F.sum("ebitda").alias("acc_ebitda"),
-        F.sum("owner_draws").alias("acc_draws"),
-        F.count(F.when(F.col("btw_due") > 0, F.lit(1))).alias("acc_due_n"),
-        F.avg(F.when(F.col("btw_due") > 0, F.col("btw_paid_on_time").cast("double"))).alias("acc_vat"),
-        F.avg("ap_days").alias("acc_ap"),
-        F.avg("ar_days").alias("acc_ar"),
-        F.avg("revenue_bank_delta").alias("acc_rbd"),
+        (dbl(F.sum(s6(F.col("gross_margin")))) / F.count(s6(F.col("gross_margin")))).alias("acc_gm_avg"),
+        F.regr_slope(s6(gm), s6(F.col("_idx"))).alias("acc_gm_slope"),
+        F.count(s6(gm)).alias("acc_gm_n"),
+        F.sum(s6(F.col("gross_revenue"))).alias("acc_rev"),
+        F.sum(s6(F.col("ebitda"))).alias("acc_ebitda"),
+        F.sum(s6(F.col("owner_draws"))).alias("acc_draws"),
+        F.count(s6(F.when(due, F.lit(1)))).alias("acc_due_n"),
+        F.avg(s6(F.when(due, F.col("btw_paid_on_time").cast("double")))).alias("acc_vat"),
+        F.avg(s6(F.col("ap_days"))).alias("acc_ap"),
+        F.avg(s6(F.col("ar_days"))).alias("acc_ar"),
+        F.avg(s6(F.col("revenue_bank_delta"))).alias("acc_rbd"),
     )
-    allm = a.groupBy("merchant_id").agg(F.count(F.lit(1)).alias("acc_rows_all"))
-    return allm.join(agg6, "merchant_id", "left")
 
 
 def accounting_feature_columns() -> dict[str, Column]:

@@ -14,11 +14,12 @@ The derived money columns are decimal(18,2), matching the DuckDB oracle views
 from __future__ import annotations
 
 import datetime as dt
-from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.session import write_table
+
 # The fixture's as-of dates.
 FIXTURE_AS_OF = dt.date(2001, 8, 1)
 CONSENT_AS_OF = dt.date(2024, 2, 1)
@@ -49,17 +50,33 @@ def merchant_id_of(k: Column) -> Column:
 class FixtureSources:
     """Lazy canonical views over one scale-factor directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, as_of: dt.date = FIXTURE_AS_OF):
+    def __init__(self, spark: SparkSession, sf_dir: str, as_of: dt.date = FIXTURE_AS_OF,
+                 materialized: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.as_of = as_of
+        self.materialized = materialized
+        self._tables: dict[str, DataFrame] = {}
+
+    def _store(self, name: str, build) -> DataFrame:
+        """Each canonical view is derived once and written as a reliable
+        checkpoint (the shared checkpoint folder), like a stored source table:
+        every operator and every later query reads it instead of re-deriving
+        joins, windows and aggregates from the raw star schema."""
+        if name not in self._tables:
+            df = build()
+            self._tables[name] = write_table(df, name) if self.materialized else df
+        return self._tables[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     # ------------------------------------------------------------------ masters
-    @cached_property
+    @property
     def merchants(self) -> DataFrame:
+        return self._store("merchants", self._build_merchants)
+
+    def _build_merchants(self) -> DataFrame:
         ks = self.table("supplier").select(merchant_key(F.col("s_suppkey")).alias("k")).distinct()
         ghost = ks.agg((F.max("k") + 1).alias("k")).withColumn("ghost", F.lit(True))
         a = ks.withColumn("ghost", F.lit(False)).unionByName(ghost)
@@ -82,8 +99,11 @@ class FixtureSources:
             F.when(k % 20 < 10, "bol.com").when(k % 20 < 16, "amazon").alias("primary_marketplace"),
         )
 
-    @cached_property
+    @property
     def applications(self) -> DataFrame:
+        return self._store("applications", self._build_applications)
+
+    def _build_applications(self) -> DataFrame:
         k = F.col("k")
         amount = F.when(k % 7 == 0, 10000).when(k % 7 == 1, 15000).when(k % 7 == 2, 20000) \
             .when(k % 7 == 3, 25000).when(k % 7 == 4, 40000).when(k % 7 == 5, 50000).otherwise(75000)
@@ -103,8 +123,11 @@ class FixtureSources:
         upper = F.lit((self.as_of + dt.timedelta(days=1)).isoformat()).cast("timestamp_ntz")
         return li.filter(F.col("l_shipdate") < upper)
 
-    @cached_property
+    @property
     def psp(self) -> DataFrame:
+        return self._store("psp", self._build_psp)
+
+    def _build_psp(self) -> DataFrame:
         li = self._shipped()
         o = self.table("orders").select("o_orderkey", "o_custkey")
         j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
@@ -134,8 +157,11 @@ class FixtureSources:
                                F.when(F.col("status") == "paid", F.lit(0).cast("decimal(18,2)"))
                                 .otherwise(F.col("gross_amount")))
 
-    @cached_property
+    @property
     def bank(self) -> DataFrame:
+        return self._store("bank", self._build_bank)
+
+    def _build_bank(self) -> DataFrame:
         k = F.col("k")
         credits = (
             self.psp.filter((F.col("status") == "paid") & (F.col("settlement_date") <= F.lit(self.as_of)))
@@ -177,8 +203,11 @@ class FixtureSources:
             .select("merchant_id", "k", "date", "amount", "direction", "counterparty_name", "category",
                     "balance_after")
 
-    @cached_property
+    @property
     def webshop(self) -> DataFrame:
+        return self._store("webshop", self._build_webshop)
+
+    def _build_webshop(self) -> DataFrame:
         li = self._shipped()
         o = self.table("orders").select("o_orderkey", "o_custkey")
         k = merchant_key(F.col("l_suppkey"))
@@ -201,8 +230,11 @@ class FixtureSources:
             F.concat(F.lit("cust_"), F.col("o_custkey").cast("string")).alias("customer_id"),
         )
 
-    @cached_property
+    @property
     def marketplace(self) -> DataFrame:
+        return self._store("marketplace", self._build_marketplace)
+
+    def _build_marketplace(self) -> DataFrame:
         m = self.merchants.filter(F.col("primary_marketplace").isNotNull()) \
             .select("merchant_id", "primary_marketplace")
         p = self.psp.select("merchant_id", "k", "order_date", "gross_amount", "status", "psp_name")
@@ -230,8 +262,11 @@ class FixtureSources:
             ((F.lit(20) + k % 50).cast("double") / 100).alias("marketplace_gmv_share"),
         )
 
-    @cached_property
+    @property
     def accounting(self) -> DataFrame:
+        return self._store("accounting", self._build_accounting)
+
+    def _build_accounting(self) -> DataFrame:
         k = F.col("k")
         t = (self.bank.filter((F.col("direction") == "CREDIT") & (k % 9 != 8))
              .groupBy("merchant_id", "k", F.trunc("date", "month").alias("month"))
@@ -258,8 +293,11 @@ class FixtureSources:
              .otherwise(F.lit(0.0)).alias("revenue_bank_delta"),
         )
 
-    @cached_property
+    @property
     def kyc(self) -> DataFrame:
+        return self._store("kyc", self._build_kyc)
+
+    def _build_kyc(self) -> DataFrame:
         k = F.col("k")
         return self.merchants.filter(~F.col("ghost")).select(
             "merchant_id", "kvk_number",
@@ -273,8 +311,11 @@ class FixtureSources:
             F.when(k % 3 == 0, "basic").when(k % 3 == 1, "enhanced").otherwise("full").alias("verification_level"),
         )
 
-    @cached_property
+    @property
     def consents(self) -> DataFrame:
+        return self._store("consents", self._build_consents)
+
+    def _build_consents(self) -> DataFrame:
         ev = self.table("events").filter(F.col("event_type").isin("signup", "error"))
         is_err = F.col("event_type") == "error"
         return ev.select(
@@ -293,11 +334,12 @@ class FixtureSources:
                 "accounting": self.accounting, "kyc": self.kyc}
 
 
-_CACHE: dict[tuple[int, str, dt.date], FixtureSources] = {}
+_CACHE: dict[tuple, FixtureSources] = {}
 
 
-def fixture(spark: SparkSession, sf_dir: str, as_of: dt.date = FIXTURE_AS_OF) -> FixtureSources:
-    key = (id(spark), sf_dir.rstrip("/"), as_of)
+def fixture(spark: SparkSession, sf_dir: str, as_of: dt.date = FIXTURE_AS_OF,
+            materialized: bool = True) -> FixtureSources:
+    key = (id(spark), sf_dir.rstrip("/"), as_of, materialized)
     if key not in _CACHE:
-        _CACHE[key] = FixtureSources(spark, sf_dir, as_of)
+        _CACHE[key] = FixtureSources(spark, sf_dir, as_of, materialized)
     return _CACHE[key]
