@@ -93,12 +93,27 @@ def week_start_day(date_col: Column) -> Column:
     return F.datediff(F.date_trunc("week", date_col).cast("date"), F.lit(dt.date(1970, 1, 1)))
 
 
-def weekly_slope_stats(date_col: Column, y: Column, cond: Column) -> dict[str, Column]:
-    """Aggregates that feed ``weekly_slope`` for a zero-filled weekly series (R9 + H3)."""
+def cents(c: Column) -> Column:
+    """Money as exact long cents: integer sums stay on the primitive fast path
+    (a decimal(18,2) sum widens to decimal(28,2), which Spark backs with BigDecimal)."""
+    return F.round(c.cast("double") * 100).cast("long")
+
+
+def eur(c: Column) -> Column:
+    return c.cast("double") / 100.0
+
+
+def weekly_slope_stats(date_col: Column, y: Column, cond: Column, anchor: dt.date | None = None) -> dict[str, Column]:
+    """Aggregates that feed ``weekly_slope`` for a zero-filled weekly series (R9 + H3).
+
+    Week starts are counted in days from ``anchor`` (the Monday of the window
+    start) so sum(x * y) stays small and exact."""
     wk = week_start_day(date_col)
+    if anchor is not None:
+        wk = wk - F.lit((anchor - dt.timedelta(days=anchor.weekday()) - dt.date(1970, 1, 1)).days)
     return {
         "sy": F.sum(F.when(cond, y)),
-        "swy": F.sum(F.when(cond, y * wk)),
+        "swy": F.sum(F.when(cond, y.cast("double") * wk)),
         "wmin": F.min(F.when(cond, wk)),
         "wmax": F.max(F.when(cond, wk)),
     }

@@ -11,7 +11,7 @@ conditional aggregates. The whole family is then a single linear pipeline.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAIN_KEYS = ("g", "k_date", "k_str", "k_int")
@@ -26,13 +26,13 @@ def grain(tag: str, k_date: Column | None = None, k_str: Column | None = None, k
     return F.when(when, s) if when is not None else s
 
 
-def explode_grains(*grains: Column) -> Column:
-    """Column to select: one output row per non-null grain struct."""
-    return F.explode(F.filter(F.array(*grains), lambda s: s.isNotNull())).alias("_grain")
+def tag_grains(df: DataFrame, *grains: Column) -> DataFrame:
+    """One output row per non-null grain struct, with columns g/k_date/k_str/k_int.
 
-
-def grain_cols() -> list[Column]:
-    return [F.col(f"_grain.{k}").alias(k) for k in GRAIN_KEYS]
+    Plain explode + Filter (both code-generated) rather than a lambda
+    ``filter`` inside the generator, which is evaluated row by row."""
+    x = df.select("*", F.explode(F.array(*grains)).alias("_grain")).filter(F.col("_grain").isNotNull())
+    return x.select(*[F.col(c) for c in df.columns], *[F.col(f"_grain.{k}").alias(k) for k in GRAIN_KEYS])
 
 
 def at(tag: str, value: Column, cond: Column | None = None) -> Column:

@@ -20,13 +20,52 @@ from pyspark.sql import functions as F
 
 from quire.functions.expr import (cutoff, cv, dbl, hhi, in_window, month_ends_between, months_spanned,
                                   sample_std_from_moments)
-from quire.functions.grains import GRAIN_KEYS, at, explode_grains, grain, grain_cols
+from quire.functions.grains import GRAIN_KEYS, at, grain, tag_grains
 
 # Minimum distinct credit days for the 30/90/180-day volatility.
 VOLATILITY_WINDOWS = {"30d": (30, 10), "90d": (90, 30), "180d": (180, 60)}
 PREFIX = "bk_"
 
 
+_N_MONTHS = 13  # calendar months a 365-day window can touch
+_LAST_MONTH_COLS = [f"_mv{i}" for i in range(_N_MONTHS)] + [f"_mo{i}" for i in range(_N_MONTHS)]
+
+
+def _months_back(as_of: dt.date, i: int) -> dt.date:
+    y, m = as_of.year, as_of.month - i
+    while m <= 0:
+        y, m = y - 1, m + 12
+    return dt.date(y, m, 1)
+
+
+def _last_months_columns(as_of: dt.date, observed: Column) -> list[Column]:
+    """Per calendar month (0 = as-of month, going back): credits and whether the
+    month is observed. Fixed columns instead of a collected list, so the fold
+    stays a plain hash aggregate."""
+    kd = F.col("k_date")
+    cols = []
+    for i in range(_N_MONTHS):
+        is_i = kd == F.lit(_months_back(as_of, i))
+        cols.append(F.sum(at("m", dbl(F.col("credit_365")), is_i & observed)).alias(f"_mv{i}"))
+    for i in range(_N_MONTHS):
+        is_i = kd == F.lit(_months_back(as_of, i))
+        cols.append(F.count(at("m", F.lit(1), is_i & observed)).alias(f"_mo{i}"))
+    return cols
+
+
+def _last_observed_mean(k: int) -> Column:
+    """Mean of the ``k`` most recent observed months (static over 13 columns)."""
+    total, taken = F.lit(0.0), F.lit(0)
+    seen = F.lit(0)
+    for i in range(_N_MONTHS):
+        o = F.col(f"_mo{i}") > 0
+        take = o & (seen < k)
+        total = total + F.when(take, F.col(f"_mv{i}")).otherwise(F.lit(0.0))
+        taken = taken + F.when(take, 1).otherwise(0)
+        seen = seen + F.when(o, 1).otherwise(0)
+    return F.when(taken > 0, total / taken)
+
+
 def bank_stats(bank: DataFrame, as_of: dt.date) -> DataFrame:
     """Per-merchant sufficient statistics for every bank feature, from ONE scan.
 
@@ -42,13 +81,13 @@ def bank_stats(bank: DataFrame, as_of: dt.date) -> DataFrame:
     cat = F.col("category")
     sup = cat == "supplier_payment"
     w = {days: in_window(d, as_of, days) for days in (30, 90, 180, 365)}
-    x = b.select("merchant_id", "date", "amount", "direction", "category", "balance_after",
-                 explode_grains(grain("d", k_date=d),
-                                grain("m", k_date=F.trunc(d, "MM")),
-                                grain("c", k_str=F.col("counterparty_name"),
-                                      when=credit & w[90] & F.col("counterparty_name").isNotNull())))
-    g = x.select("merchant_id", *grain_cols(), "amount", "direction", "category", "balance_after", "date") \
-        .groupBy("merchant_id", *GRAIN_KEYS).agg(
+    x = tag_grains(b.select("merchant_id", "date", "amount", "direction", "category", "balance_after",
+                            "counterparty_name"),
+                   grain("d", k_date=d),
+                   grain("m", k_date=F.trunc(d, "MM")),
+                   grain("c", k_str=F.col("counterparty_name"),
+                         when=credit & w[90] & F.col("counterparty_name").isNotNull()))
+    g = x.groupBy("merchant_id", *GRAIN_KEYS).agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(amt).alias("net"),
             F.sum(F.when(credit, amt)).alias("credit"),
@@ -95,18 +134,13 @@ def bank_stats(bank: DataFrame, as_of: dt.date) -> DataFrame:
         F.count(at("m", F.lit(1), observed)).alias("rev_months"),
         F.max(at("m", dbl(F.col("credit_365")), observed)).alias("rev_month_max"),
         F.avg(at("m", dbl(F.col("credit_365")), observed)).alias("rev_month_mean"),
-        F.collect_list(at("m", F.struct(kd.alias("m"), dbl(F.col("credit_365")).alias("v")), observed))
-         .alias("rev_months_list"),
+        *_last_months_columns(as_of, observed),
         F.count(at("m", F.lit(1), F.col("sup_180") > 0)).alias("sup_months_180"),
         F.sum(at("c", dbl(F.col("net")) * dbl(F.col("net")))).alias("cp_sq"),
         F.sum(at("c", dbl(F.col("net")))).alias("cp_total"),
     ]
     out = g.groupBy("merchant_id").agg(*aggs)
-    # Mean of the last 6 observed months (list holds at most 13 months)
-    last6 = F.slice(F.sort_array(F.col("rev_months_list"), asc=False), 1, 6)
-    out = out.withColumn("rev_last6_mean", F.when(
-        F.size(last6) > 0, F.aggregate(last6, F.lit(0.0), lambda acc, e: acc + e["v"]) / F.size(last6))) \
-        .drop("rev_months_list")
+    out = out.withColumn("rev_last6_mean", _last_observed_mean(6)).drop(*_LAST_MONTH_COLS)
     return out.select("merchant_id", *[F.col(n).alias(PREFIX + n) for n in out.columns if n != "merchant_id"])
 
 

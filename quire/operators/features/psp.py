@@ -20,9 +20,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.expr import (cutoff, cv, dbl, hhi, in_window, sample_std_from_moments, weekly_slope,
-                                  weekly_slope_stats)
-from quire.functions.grains import GRAIN_KEYS, at, explode_grains, grain, grain_cols
+from quire.functions.expr import (cents, cutoff, cv, dbl, eur, hhi, in_window, sample_std_from_moments,
+                                  weekly_slope, weekly_slope_stats)
+from quire.functions.grains import GRAIN_KEYS, at, grain, tag_grains
 
 RATE_WINDOWS = {"30d": 30, "90d": 90, "ltm": 365}
 PREFIX = "ps_"
@@ -31,77 +31,86 @@ PREFIX = "ps_"
 def psp_stats(psp: DataFrame, as_of: dt.date) -> DataFrame:
     """Per-merchant sufficient statistics for every PSP feature, from ONE scan.
 
-    Grains: merchant (conditional window sums), delay-days histogram of paid
-    payments (exact p95 / median by cumulative counts instead of buffering raw
-    values the way ``percentile`` does), and paid gross per PSP and per buyer
-    (HHI). A window adds cumulative counts; every non-histogram row is its own
-    window partition, so no merchant's buyers land in one window task."""
+    Grains (narrow: six count/sum slots each):
+      d  (order day, status, card flag, dispute outcome) -> every windowed rate,
+      h  delay-days histogram of paid payments -> exact p95 / median by
+         cumulative counts instead of buffering raw values like ``percentile``,
+      p / b  paid gross per PSP / per buyer -> HHI.
+    One window adds cumulative counts (non-histogram rows are singleton window
+    partitions), then one conditional fold per merchant."""
     p = psp.filter(F.col("order_date") <= F.lit(as_of))
     od = F.col("order_date")
     status = F.col("status")
     paid = status == "paid"
-    gross = F.col("gross_amount")
     delay = F.datediff(F.col("settlement_date"), od)
-    w = {days: in_window(od, as_of, days) for days in (30, 90, 180, 365)}
-    prior90 = (od >= F.lit(cutoff(as_of, 180))) & (od < F.lit(cutoff(as_of, 90)))
-    refund = F.when(status == "refunded", F.col("refund_amount"))
-    x = p.select("*", explode_grains(
-        grain("m"),
+    flags = (F.when(F.col("payment_method") == "creditcard", 10).otherwise(0)
+             + F.when(F.col("dispute_outcome") == "won", 1).when(F.col("dispute_outcome") == "lost", 2).otherwise(0))
+    x = tag_grains(
+        p.select("merchant_id", "order_date", "settlement_date", "status", "psp_name", "buyer_id", "payment_method",
+                 "dispute_outcome", "gross_amount", "net_amount", "refund_amount"),
+        grain("d", k_date=od, k_str=status, k_int=flags),
         grain("h", k_int=delay, when=paid & delay.isNotNull()),
         grain("p", k_str=F.col("psp_name"), when=paid & F.col("psp_name").isNotNull()),
-        grain("b", k_str=F.col("buyer_id"), when=paid & F.col("buyer_id").isNotNull())))
-    x = x.select(*[F.col(c) for c in p.columns], *grain_cols())
-    m = lambda v: F.when(F.col("g") == "m", v)  # noqa: E731  (row-level stats only at the merchant grain)
-    aggs: list[Column] = [
+        grain("b", k_str=F.col("buyer_id"), when=paid & F.col("buyer_id").isNotNull()))
+    g = x.groupBy("merchant_id", *GRAIN_KEYS).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(gross).alias("gross"),
-        F.count(m(F.lit(1))).alias("rows_all"),
-        F.count(m(F.when(paid, F.lit(1)))).alias("paid_all"),
-        F.sum(m(F.when(paid, delay))).alias("delay_s1"),
-        F.sum(m(F.when(paid, delay * delay))).alias("delay_s2"),
-        F.sum(m(F.when(paid, F.col("net_amount")))).alias("paid_net_all"),
-        F.count(m(F.when((status == "chargeback") & F.col("dispute_outcome").isin("won", "lost"), F.lit(1))))
-         .alias("disputes_resolved"),
-        F.count(m(F.when((status == "chargeback") & (F.col("dispute_outcome") == "won"), F.lit(1))))
-         .alias("disputes_won"),
-        F.count(m(F.when(w[90] & paid, F.lit(1)))).alias("paid_90"),
-        F.count(m(F.when(w[90], F.lit(1)))).alias("rows_90"),
-        F.avg(m(F.when(w[90], F.when(F.col("payment_method") == "creditcard", 1.0).otherwise(0.0))))
-         .alias("card_pct_90"),
+        F.sum(cents(F.col("gross_amount"))).alias("gross_c"),
+        F.sum(cents(F.col("net_amount"))).alias("net_c"),
+        F.sum(cents(F.col("refund_amount"))).alias("refund_c"),
+        F.sum(delay).alias("d1"),
+        F.sum(delay * delay).alias("d2"),
+    )
+    # one window spec for both columns, so one exchange and one sort
+    g = g.withColumn("_wpart", F.when(F.col("g") != "h", F.col("k_str")))
+    ordered = Window.partitionBy("merchant_id", "g", "_wpart").orderBy("k_int")
+    g = (g.withColumn("cum", F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+          .withColumn("tot", F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding,
+                                                                 Window.unboundedFollowing))))
+    kd, st, fl = F.col("k_date"), F.col("k_str"), F.col("k_int")
+    is_paid = st == "paid"
+    wk = {days: in_window(kd, as_of, days) for days in (30, 90, 180, 365)}
+    prior90 = (kd >= F.lit(cutoff(as_of, 180))) & (kd < F.lit(cutoff(as_of, 90)))
+    n, gross, refund = F.col("n"), F.col("gross_c"), F.col("refund_c")
+    D = lambda v, cond=None: at("d", v, cond)
+    fold: list[Column] = [
+        F.sum(D(n)).alias("rows_all"),
+        F.sum(D(n, is_paid)).alias("paid_all"),
+        F.sum(D(F.col("d1"), is_paid)).alias("delay_s1"),
+        F.sum(D(F.col("d2"), is_paid)).alias("delay_s2"),
+        F.sum(D(F.col("net_c"), is_paid)).alias("paid_net_c"),
+        F.sum(D(n, (st == "chargeback") & (fl % 10 > 0))).alias("disputes_resolved"),
+        F.sum(D(n, (st == "chargeback") & (fl % 10 == 1))).alias("disputes_won"),
+        F.sum(D(n, is_paid & wk[90])).alias("paid_90"),
+        F.sum(D(n, wk[90])).alias("rows_90"),
+        F.sum(D(n, wk[90] & (fl >= 10))).alias("card_90"),
+        F.sum(D(gross, prior90)).alias("gross_prior90"),
+        F.sum(D(refund, prior90 & (st == "refunded"))).alias("refund_prior90"),
     ]
     for label, days in RATE_WINDOWS.items():
-        aggs += [F.sum(m(F.when(w[days], gross))).alias(f"gross_{label}"),
-                 F.sum(m(F.when(w[days], refund))).alias(f"refund_{label}"),
-                 F.count(m(F.when(w[days], F.lit(1)))).alias(f"n_{label}"),
-                 F.count(m(F.when(w[days] & (status == "chargeback"), F.lit(1)))).alias(f"cb_{label}")]
-    aggs += [F.sum(m(F.when(prior90, gross))).alias("gross_prior90"),
-             F.sum(m(F.when(prior90, refund))).alias("refund_prior90")]
-    for k, v in weekly_slope_stats(od, gross, (F.col("g") == "m") & w[90] & paid).items():
-        aggs.append(v.alias(f"gpv_{k}"))
-    g = x.groupBy("merchant_id", *GRAIN_KEYS).agg(*aggs)
-
-    # cumulative counts over the delay histogram
-    part = Window.partitionBy("merchant_id", "g", F.when(F.col("g") != "h", F.col("k_str")))
-    g = (g.withColumn("cum", F.sum("n").over(part.orderBy("k_int").rowsBetween(Window.unboundedPreceding, 0)))
-          .withColumn("tot", F.sum("n").over(part)))
-    base_cols = [a for a in g.columns if a not in ("merchant_id", "g", "k_date", "k_str", "k_int", "n", "gross",
-                                                   "cum", "tot")]
-    fold: list[Column] = [F.max(at("m", F.col(c))).alias(c) for c in base_cols]
+        fold += [F.sum(D(gross, wk[days])).alias(f"gross_{label}"),
+                 F.sum(D(refund, wk[days] & (st == "refunded"))).alias(f"refund_{label}"),
+                 F.sum(D(n, wk[days])).alias(f"n_{label}"),
+                 F.sum(D(n, wk[days] & (st == "chargeback"))).alias(f"cb_{label}")]
+    for k, v in weekly_slope_stats(kd, gross, (F.col("g") == "d") & is_paid & wk[90],
+                                   anchor=cutoff(as_of, 90)).items():
+        fold.append(v.alias(f"gpv_{k}"))
     for name, prob in (("delay_p95", 0.95), ("delay_p50", 0.5)):
         pos = (dbl(F.col("tot")) - 1) * prob
-        start = F.col("cum") - F.col("n")
+        start = F.col("cum") - n
         covers = lambda r: (start <= r) & (r < F.col("cum"))
-        fold += [F.max(at("h", F.col("k_int"), covers(F.floor(pos)))).alias(f"{name}_lo"),
-                 F.max(at("h", F.col("k_int"), covers(F.ceil(pos)))).alias(f"{name}_hi"),
+        fold += [F.max(at("h", fl, covers(F.floor(pos)))).alias(f"{name}_lo"),
+                 F.max(at("h", fl, covers(F.ceil(pos)))).alias(f"{name}_hi"),
                  F.max(at("h", pos - F.floor(pos))).alias(f"{name}_frac")]
     for tag, alias in (("p", "plat"), ("b", "buyer")):
-        v = dbl(F.col("gross"))
+        v = dbl(gross)
         fold += [F.sum(at(tag, v * v)).alias(f"{alias}_sq"), F.sum(at(tag, v)).alias(f"{alias}_total")]
     out = g.groupBy("merchant_id").agg(*fold)
     for name in ("delay_p95", "delay_p50"):
         lo, hi = dbl(F.col(f"{name}_lo")), dbl(F.col(f"{name}_hi"))
         out = out.withColumn(name, lo + F.col(f"{name}_frac") * (hi - lo)) \
                  .drop(f"{name}_lo", f"{name}_hi", f"{name}_frac")
+    out = out.withColumn("paid_net_all", eur(F.col("paid_net_c"))) \
+             .withColumn("card_pct_90", F.when(F.col("rows_90") > 0, dbl(F.col("card_90")) / dbl(F.col("rows_90"))))
     return out.select("merchant_id", *[F.col(n).alias(PREFIX + n) for n in out.columns if n != "merchant_id"])
 
 

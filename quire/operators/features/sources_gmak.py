@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.expr import (cv, dbl, hhi, in_window, sample_std_from_moments, slope_normalized_observed,
                                   weekly_slope, weekly_slope_stats)
-from quire.functions.grains import GRAIN_KEYS, at, explode_grains, grain, grain_cols
+from quire.functions.grains import GRAIN_KEYS, at, grain, tag_grains
 
 WEBSHOP_MIN_ORDERS_90D = 10
 # KYC verification level scores (others score as basic).
@@ -30,9 +30,7 @@ def webshop_stats(ws: DataFrame, as_of: dt.date) -> DataFrame:
     status = F.col("status")
     comp = in90 & (status == "completed")
     gross = F.col("gross_amount")
-    x = w.select("*", explode_grains(grain("m"), grain("s", k_str=F.col("sku_id"),
-                                                        when=comp & F.col("sku_id").isNotNull())))
-    x = x.select(*[F.col(c) for c in w.columns], *grain_cols())
+    x = tag_grains(w, grain("m"), grain("s", k_str=F.col("sku_id"), when=comp & F.col("sku_id").isNotNull()))
     m = lambda v: F.when(F.col("g") == "m", v)
     aggs = [
         F.sum(gross).alias("grain_gross"),
