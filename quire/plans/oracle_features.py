@@ -59,6 +59,15 @@ def _hhi(sq: str, tot: str) -> str:
     return f"CASE WHEN coalesce({tot}, 0) = 0 THEN 1.0 ELSE {sq} / ({tot} * {tot}) END"
 
 
+def feature_ctes_prefixed(as_of: dt.date, prefix: str) -> dict[str, str]:
+    """The feature CTEs for another as-of date, every CTE name prefixed."""
+    import re
+    base = feature_ctes(as_of)
+    names = sorted(base, key=len, reverse=True)
+    pat = re.compile(r"\b(" + "|".join(re.escape(n) for n in names) + r")\b")
+    return {prefix + n: pat.sub(lambda m: prefix + m.group(1), body) for n, body in base.items()}
+
+
 def feature_ctes(as_of: dt.date = AS_OF) -> dict[str, str]:
     A, D30, D90, D180, D365 = _d(as_of), _d(as_of, 30), _d(as_of, 90), _d(as_of, 180), _d(as_of, 365)
     n_me = _month_ends(as_of - dt.timedelta(days=180), as_of)

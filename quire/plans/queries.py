@@ -14,6 +14,7 @@ from quire.operators.features.registry import BOOL_FEATURES, FEATURE_COLUMNS, IN
 from quire.plans.catalog import register, round_doubles, sql_round
 from quire.plans.fixture_sql import with_views
 from quire.plans.oracle_features import feature_ctes
+from quire.session import write_table
 from quire.sources.adapters import FIXTURE_AS_OF, fixture
 
 AS_OF = FIXTURE_AS_OF
@@ -23,8 +24,20 @@ def fx(spark: SparkSession, sf_dir: str):
     return fixture(spark, sf_dir, AS_OF)
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Tables consumed by many downstream jobs (features, decisions) are
+    written once per session under the checkpoint folder and read back."""
+    key = (id(spark), sf_dir.rstrip("/"), name)
+    if key not in _TABLES:
+        _TABLES[key] = write_table(build(), name)
+    return _TABLES[key]
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compute_features(fx(spark, sf_dir).sources(), AS_OF)
+    return _stored(spark, sf_dir, "features", lambda: compute_features(fx(spark, sf_dir).sources(), AS_OF))
 
 
 def _kind(n: str) -> str:
@@ -121,7 +134,7 @@ from quire.plans.oracle_policy import policy_ctes  # noqa: E402
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.apply_policy(features(spark, sf_dir))
+    return _stored(spark, sf_dir, "decisions", lambda: P.apply_policy(features(spark, sf_dir)))
 
 
 def _policy_oracle(select: str, extra: dict[str, str] | None = None) -> str:
@@ -242,3 +255,183 @@ def q_weekly_gpv_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fx(spark, sf_dir).psp.filter(F.col("order_date") <= F.lit(AS_OF))
     cond = (F.col("status") == "paid") & in_window(F.col("order_date"), AS_OF, 90)
     return R.weekly_series(p, "order_date", F.col("gross_amount"), cond, "gross")
+
+
+# --------------------------------------------------------------------------- monitoring (W)
+import datetime as _dt  # noqa: E402
+
+from quire.operators import monitor as M  # noqa: E402
+from quire.operators.features.registry import ML_FEATURES  # noqa: E402
+from quire.plans.oracle_features import feature_ctes_prefixed  # noqa: E402
+
+REFERENCE_AS_OF = _dt.date(2000, 8, 1)
+
+
+def _decisions_oracle(select: str, extra: dict[str, str] | None = None) -> str:
+    return _policy_oracle(select, extra)
+
+
+@register("portfolio_metrics", _decisions_oracle(
+    "SELECT count(*) AS total_applications, "
+    "round(count(*) FILTER (WHERE decision IN ('APPROVE','MANUAL_REVIEW')) / count(*), 3) AS approval_rate, "
+    "round(count(*) FILTER (WHERE decision = 'DECLINE') / count(*), 3) AS decline_rate, "
+    "coalesce(round(avg(max_amount) FILTER (WHERE decision IN ('APPROVE','MANUAL_REVIEW')), 2), 0.0) AS avg_approved_amount, "
+    "CAST(NULL AS VARCHAR) AS error FROM pol"))
+def q_portfolio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, approval and decline rates, average approved amount."""
+    return M.portfolio_metrics(decided(spark, sf_dir))
+
+
+@register("pricing_distribution", _decisions_oracle(
+    "SELECT pricing_band, count(*) AS n FROM pol WHERE decision IN ('APPROVE','MANUAL_REVIEW') "
+    "AND pricing_band IS NOT NULL GROUP BY pricing_band"))
+def q_pricing_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pricing band counts among approved / manual-review decisions."""
+    return M.pricing_distribution(decided(spark, sf_dir))
+
+
+@register("decline_reasons", _decisions_oracle(
+    "SELECT u.reason_code, count(*) AS n FROM pol CROSS JOIN unnest(pol.reason_codes) AS u(reason_code) "
+    "WHERE decision = 'DECLINE' GROUP BY u.reason_code"))
+def q_decline_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reason-code counts over declined applications."""
+    return M.decline_reasons(decided(spark, sf_dir))
+
+
+def _impact_sql(by: str, flag: bool) -> str:
+    cols = (f"{by}, count(decision) AS total, count(*) FILTER (WHERE decision IN ('APPROVE','MANUAL_REVIEW')) AS approved"
+            + (", count(*) FILTER (WHERE decision = 'DECLINE') AS declined" if flag else ""))
+    inner = (f"SELECT {cols} FROM pol p LEFT JOIN (SELECT DISTINCT merchant_id, {by} FROM v_merchants) m "
+             f"ON m.merchant_id = p.merchant_id WHERE {by} IS NOT NULL GROUP BY {by}")
+    sel = f"SELECT *, round(CAST(approved AS DOUBLE) / total, 3) AS approval_rate"
+    if flag:
+        sel += (", CASE WHEN round(CAST(approved AS DOUBLE) / total, 3) < "
+                "(sum(approved) OVER () * 1.0 / sum(total) OVER ()) * 0.8 THEN 'REVIEW' ELSE 'OK' END AS flag")
+    return f"{sel} FROM ({inner})"
+
+
+@register("adverse_impact_sector", _decisions_oracle(_impact_sql("sector", True)))
+def q_adverse_impact_sector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approval rate by sector with the 80%-of-overall review flag."""
+    return M.adverse_impact(decided(spark, sf_dir), fx(spark, sf_dir).merchants, "sector", score_col=None)
+
+
+@register("adverse_impact_platforms", _decisions_oracle(_impact_sql("n_psps", False)))
+def q_adverse_impact_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approval rate by number of PSPs."""
+    return M.adverse_impact(decided(spark, sf_dir), fx(spark, sf_dir).merchants, "n_psps", flag=False)
+
+
+@register("run_summary", _decisions_oracle(
+    "SELECT count(*) FILTER (WHERE decision = 'APPROVE') AS n_approve, "
+    "count(*) FILTER (WHERE decision = 'MANUAL_REVIEW') AS n_manual_review, "
+    "count(*) FILTER (WHERE decision = 'DECLINE') AS n_decline, "
+    "round(avg(max_amount) FILTER (WHERE decision = 'APPROVE'), 6) AS approve_avg_amount, "
+    "count(*) FILTER (WHERE decision = 'APPROVE' AND pricing_band = 'A') AS approve_band_A, "
+    "count(*) FILTER (WHERE decision = 'APPROVE' AND pricing_band = 'B') AS approve_band_B, "
+    "count(*) FILTER (WHERE decision = 'APPROVE' AND pricing_band = 'C') AS approve_band_C FROM pol"))
+def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision counts, APPROVE-only average amount and band counts."""
+    return round_doubles(M.run_summary(decided(spark, sf_dir), score_col=None))
+
+
+def _psi_lineitem_sql() -> str:
+    return """SELECT 'l_extendedprice' AS feature, round(sum((a - e) * ln(a / e)), 4) AS psi,
+  CASE WHEN round(sum((a - e) * ln(a / e)), 4) < 0.1 THEN 'stable'
+       WHEN round(sum((a - e) * ln(a / e)), 4) < 0.2 THEN 'moderate_shift' ELSE 'significant_drift' END AS status
+FROM (SELECT b.bin, greatest(coalesce(c.ce, 0) * 1.0 / r.n_e, 0.0001) AS e, greatest(coalesce(c.ca, 0) * 1.0 / r.n_a, 0.0001) AS a
+      FROM (SELECT unnest(range(1, 11)) AS bin) b CROSS JOIN psi_rng r
+      LEFT JOIN (SELECT bin, count(*) FILTER (WHERE side = 'e') AS ce, count(*) FILTER (WHERE side = 'a') AS ca
+                 FROM (SELECT side, least(10, """ + " + ".join(
+        f"(CASE WHEN v >= lo + {k} * ((hi - lo) / 10) THEN 1 ELSE 0 END)" for k in range(11)) + """) AS bin
+                       FROM psi_vals CROSS JOIN psi_rng) GROUP BY bin) c ON c.bin = b.bin)"""
+
+
+_PSI_CTES = {
+    "psi_mid": "SELECT CAST(min(l_shipdate) AS DATE) + CAST(datediff('day', CAST(min(l_shipdate) AS DATE), "
+               "CAST(max(l_shipdate) AS DATE)) / 2 AS INTEGER) AS mid FROM lineitem",
+    "psi_vals": "SELECT CASE WHEN CAST(l_shipdate AS DATE) < mid THEN 'e' ELSE 'a' END AS side, l_extendedprice AS v "
+                "FROM lineitem, psi_mid WHERE l_extendedprice IS NOT NULL",
+    "psi_rng": "SELECT min(v) AS lo, max(v) AS hi, count(*) FILTER (WHERE side = 'e') AS n_e, "
+               "count(*) FILTER (WHERE side = 'a') AS n_a FROM psi_vals",
+}
+
+
+@register("psi_lineitem_price", with_views(_psi_lineitem_sql(), _PSI_CTES))
+def q_psi_lineitem_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PSI of l_extendedprice, first half of the ship-date range vs second half."""
+    li = fx(spark, sf_dir).table("lineitem").select(F.col("l_shipdate").cast("date").alias("d"), "l_extendedprice")
+    bounds = li.agg(F.min("d").alias("d0"), F.max("d").alias("d1")).first()  # two scalars
+    mid = bounds["d0"] + _dt.timedelta(days=int((bounds["d1"] - bounds["d0"]).days / 2))
+    v = li.filter(F.col("l_extendedprice").isNotNull()).select(
+        F.lit("l_extendedprice").alias("feature"), F.col("l_extendedprice").alias("value"), "d")
+    return M.psi_from_long(v.filter(F.col("d") < F.lit(mid)).drop("d"), v.filter(F.col("d") >= F.lit(mid)).drop("d"))
+
+
+def _drift_sql() -> str:
+    feats = [f for f in ML_FEATURES]
+    def long(t: str) -> str:
+        return " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS v FROM {t}" for f in feats)
+    return f"""SELECT feature, round(sum((a - e) * ln(a / e)), 4) AS psi,
+  CASE WHEN round(sum((a - e) * ln(a / e)), 4) < 0.1 THEN 'stable'
+       WHEN round(sum((a - e) * ln(a / e)), 4) < 0.2 THEN 'moderate_shift' ELSE 'significant_drift' END AS status
+FROM (SELECT r.feature, b.bin, greatest(coalesce(c.ce, 0) * 1.0 / r.n_e, 0.0001) AS e,
+             greatest(coalesce(c.ca, 0) * 1.0 / r.n_a, 0.0001) AS a
+      FROM dr_rng r CROSS JOIN (SELECT unnest(range(1, 11)) AS bin) b
+      LEFT JOIN (SELECT feature, bin, count(*) FILTER (WHERE side = 'e') AS ce, count(*) FILTER (WHERE side = 'a') AS ca
+                 FROM (SELECT x.feature, side, least(10, {' + '.join(f"(CASE WHEN v >= lo + {k} * ((hi - lo) / 10) THEN 1 ELSE 0 END)" for k in range(11))}) AS bin
+                       FROM dr_all x JOIN dr_rng r2 ON r2.feature = x.feature) GROUP BY 1, 2) c
+        ON c.feature = r.feature AND c.bin = b.bin)
+GROUP BY feature""", {
+        "dr_all": f"SELECT feature, v, 'e' AS side FROM ({long('ref_feat')}) WHERE v IS NOT NULL AND NOT isnan(v) "
+                  f"UNION ALL SELECT feature, v, 'a' AS side FROM ({long('feat')}) WHERE v IS NOT NULL AND NOT isnan(v)",
+        "dr_rng": "SELECT feature, min(v) AS lo, max(v) AS hi, count(*) FILTER (WHERE side = 'e') AS n_e, "
+                  "count(*) FILTER (WHERE side = 'a') AS n_a FROM dr_all GROUP BY feature",
+    }
+
+
+def _drift_oracle() -> str:
+    sql, extra = _drift_sql()
+    ctes = feature_ctes(AS_OF)
+    ctes.update(feature_ctes_prefixed(REFERENCE_AS_OF, "ref_"))
+    ctes.update(extra)
+    return with_views(sql, ctes)
+
+
+@register("drift_report", _drift_oracle())
+def q_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PSI per model feature, portfolio a year earlier vs now."""
+    src = fx(spark, sf_dir).sources()
+    ref = compute_features(src, REFERENCE_AS_OF)
+    cur = compute_features(src, AS_OF)
+    return M.drift_report(ref, cur, ML_FEATURES)
+
+
+_FROZEN = ("SELECT round((c_acctbal + 1000) / 11000, 4) AS s, CASE WHEN c_nationkey % 5 = 0 THEN 1 ELSE 0 END AS y "
+           "FROM customer WHERE c_acctbal IS NOT NULL")
+
+
+@register("auc_brier_frozen", with_views(
+    "SELECT round((sum(y * (rk + (cnt - 1) / 2.0)) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 6) AS auc, "
+    "sum(y) AS P, sum(1 - y) AS N, round(avg((s - y) * (s - y)), 6) AS brier, round(avg(y), 6) AS default_rate "
+    "FROM (SELECT s, y, rank() OVER (ORDER BY s) AS rk, count(*) OVER (PARTITION BY s) AS cnt FROM fr)",
+    {"fr": _FROZEN}))
+def q_auc_brier_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact rank AUC, Brier and default rate on the frozen customer score table."""
+    c = fx(spark, sf_dir).table("customer").filter(F.col("c_acctbal").isNotNull())
+    scored = c.select(((F.col("c_acctbal") + 1000) / 11000).alias("score"),
+                      (F.col("c_nationkey") % 5 == 0).cast("int").alias("label"))
+    return M.auc_brier(scored, "score", "label")
+
+
+@register("score_quartiles_frozen", with_views(
+    "SELECT tier, count(*) AS n, round(avg(s), 4) AS mean_score, round(quantile_cont(s, 0.25), 4) AS q25, "
+    "round(quantile_cont(s, 0.5), 4) AS q50, round(quantile_cont(s, 0.75), 4) AS q75 FROM "
+    "(SELECT s, CASE WHEN s < 0.2 THEN 'low' WHEN s < 0.4 THEN 'medium' ELSE 'high' END AS tier FROM fr) GROUP BY tier",
+    {"fr": _FROZEN}))
+def q_score_quartiles_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W11 + L10: mean and exact quartiles of the logged score per risk tier (frozen scores)."""
+    c = fx(spark, sf_dir).table("customer").filter(F.col("c_acctbal").isNotNull())
+    s = F.round((F.col("c_acctbal") + 1000) / 11000, 4)
+    scored = c.select(s.alias("shadow_ml_score"), M.risk_tier(s).alias("tier"))
+    return M.score_quartiles(scored, by="tier")
