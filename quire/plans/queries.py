@@ -435,3 +435,73 @@ def q_score_quartiles_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.round((F.col("c_acctbal") + 1000) / 11000, 4)
     scored = c.select(s.alias("shadow_ml_score"), M.risk_tier(s).alias("tier"))
     return M.score_quartiles(scored, by="tier")
+
+
+# --------------------------------------------------------------------------- scorecard + cases (D, J17)
+from quire.operators import scorecard as SC  # noqa: E402
+
+
+def _card_sql() -> str:
+    parts = []
+    for (pos, name, label, source, kind, fmt, scored, green, red, text) in SC.resolve_signals():
+        lab = label.replace("'", "''")
+        if fmt == "bool":
+            status = f"CASE WHEN {name} IS NULL THEN 'none' WHEN {name} THEN 'green' ELSE 'red' END"
+            disp = f"CASE WHEN {name} IS NULL THEN '—' WHEN {name} THEN '✓ Match' ELSE '✗ Mismatch' END"
+            val = "CAST(NULL AS DOUBLE)"
+            flag = f"CAST({name} AS BOOLEAN)"
+        else:
+            v = f"CAST({name} AS DOUBLE)"
+            if kind == "standard":
+                status = f"CASE WHEN {v} IS NULL THEN 'none' WHEN {v} <= {green} THEN 'green' WHEN {v} <= {red} THEN 'amber' ELSE 'red' END"
+            else:
+                status = f"CASE WHEN {v} IS NULL THEN 'none' WHEN {v} >= {green} THEN 'green' WHEN {v} >= {red} THEN 'amber' ELSE 'red' END"
+            body = {"pct": f"printf('%.1f', {v} * 100) || '%'", "ratio": f"printf('%.2f', {v}) || '×'",
+                    "days": f"printf('%.1f', {v}) || ' days'", "hhi": f"printf('%.3f', {v})",
+                    "score": f"printf('%.1f', {v}) || ' / 10'"}[fmt]
+            disp = f"CASE WHEN {v} IS NULL THEN '—' ELSE {body} END"
+            val = f"round({v}, 6)"
+            flag = "CAST(NULL AS BOOLEAN)"
+        t = text.replace("'", "''")
+        parts.append(f"SELECT application_id, merchant_id, {pos} AS position, '{name}' AS name, '{lab}' AS label, "
+                     f"'{source}' AS source, {str(scored).lower()} AS scored, {val} AS value, {flag} AS flag, "
+                     f"{status} AS status, {disp} AS display_value, '{t}' AS thresholds FROM feat")
+    return " UNION ALL ".join(parts)
+
+
+def card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SC.scorecard(features(spark, sf_dir))
+
+
+@register("scorecard", _oracle("SELECT * FROM card", {"card": _card_sql()}))
+def q_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1r-D5r: 18 dashboard signals per application: value, status, display text, thresholds."""
+    return round_doubles(card(spark, sf_dir))
+
+
+@register("scorecard_status_counts", _oracle(
+    "SELECT application_id, merchant_id, count(*) FILTER (WHERE status = 'green') AS n_green, "
+    "count(*) FILTER (WHERE status = 'amber') AS n_amber, count(*) FILTER (WHERE status = 'red') AS n_red, "
+    "count(*) FILTER (WHERE status = 'none') AS n_none FROM card GROUP BY 1, 2", {"card": _card_sql()}))
+def q_scorecard_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D6r: green / amber / red / no-data counts per application."""
+    return SC.status_counts(card(spark, sf_dir))
+
+
+@register("case_selection", _decisions_oracle(
+    "SELECT bucket, arg_min(application_id, k * 1000000 + rn) AS application_id, "
+    "CASE bucket WHEN 'approve' THEN 'Healthy merchant' WHEN 'manual' THEN 'Flagged for review' "
+    "WHEN 'credit' THEN 'Credit decline' ELSE 'KYC decline' END AS scenario FROM ("
+    "SELECT application_id, bucket, CASE WHEN bucket IN ('approve', 'manual') THEN len(reason_codes) ELSE 0 END AS k, "
+    "row_number() OVER (ORDER BY application_id) AS rn FROM (SELECT *, CASE WHEN decision = 'APPROVE' THEN 'approve' "
+    "WHEN decision = 'MANUAL_REVIEW' THEN 'manual' WHEN decision = 'DECLINE' AND list_contains(reason_codes, 'UBO_MISMATCH') "
+    "THEN 'kyc' WHEN decision = 'DECLINE' THEN 'credit' END AS bucket FROM pol) WHERE bucket IS NOT NULL) GROUP BY bucket"))
+def q_case_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J17/D7r: one representative application per decision bucket."""
+    return SC.select_cases(decided(spark, sf_dir))
+
+
+@register("case_records")
+def q_case_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D8r: selected cases with merchant facts, decision and the ordered scorecard (rows-only)."""
+    return SC.case_records(decided(spark, sf_dir), card(spark, sf_dir), fx(spark, sf_dir).merchants)
