@@ -505,3 +505,54 @@ def q_case_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_case_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D8r: selected cases with merchant facts, decision and the ordered scorecard (rows-only)."""
     return SC.case_records(decided(spark, sf_dir), card(spark, sf_dir), fx(spark, sf_dir).merchants)
+
+
+# --------------------------------------------------------------------------- audit + consents
+from quire.operators import audit as AU  # noqa: E402
+from quire.session import ensure_checkpoint_dir  # noqa: E402
+from quire.sources.adapters import CONSENT_AS_OF  # noqa: E402
+
+DECIDED_AT = _dt.datetime(2001, 8, 1, 9, 0, 0)
+
+
+def consents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AU.consent_records(fx(spark, sf_dir).consents)
+
+
+_CONSENT_SQL = ("SELECT merchant_id, consent_type, CASE consent_type WHEN 'psd2_aisp' THEN '[\"transactions\",\"balances\"]' "
+                "ELSE '[\"transactions\"]' END AS scope, action, event_ts AS timestamp, event_id, "
+                "CASE WHEN action = 'GRANTED' THEN coalesce(CAST(expires_at AS DATE), CAST(event_ts AS DATE) + 90) END "
+                "AS expires_at, true AS revocable FROM v_consents")
+
+
+@register("consent_log", with_views(_CONSENT_SQL))
+def q_consent_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consent events as log records (scope JSON, expiry, revocable)."""
+    return consents(spark, sf_dir)
+
+
+@register("granted_consents", with_views(f"SELECT * FROM ({_CONSENT_SQL}) WHERE action = 'GRANTED'"))
+def q_granted_consents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S13 (as specified): GRANTED records, newest first per merchant."""
+    return AU.granted_consents(consents(spark, sf_dir))
+
+
+@register("active_consents", with_views(
+    "SELECT merchant_id, consent_type, last.timestamp AS granted_at, last.expires_at AS expires_at, last.scope AS scope "
+    "FROM (SELECT merchant_id, consent_type, arg_max({'action': action, 'expires_at': expires_at, 'timestamp': timestamp, "
+    "'scope': scope}, {'t': timestamp, 'e': event_id}) AS last FROM (" + _CONSENT_SQL + ") GROUP BY 1, 2) "
+    f"WHERE last.action = 'GRANTED' AND last.expires_at > DATE '{CONSENT_AS_OF.isoformat()}'"))
+def q_active_consents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S13 truly-active: latest event per merchant and type is an unexpired grant."""
+    return AU.active_consents(consents(spark, sf_dir), CONSENT_AS_OF)
+
+
+@register("decision_log")
+def q_decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions appended to the audit table and read back (rows-only)."""
+    env = P.decision_envelope(decided(spark, sf_dir), DECIDED_AT)
+    rows = AU.decision_log_rows(env, features(spark, sf_dir))
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quire-audit/decision_log-{uuid.uuid4().hex}"
+    AU.append_decision_log(rows, path)
+    return AU.load_decision_log(spark, path).drop("reason_codes_list")
