@@ -556,3 +556,81 @@ def q_decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quire-audit/decision_log-{uuid.uuid4().hex}"
     AU.append_decision_log(rows, path)
     return AU.load_decision_log(spark, path).drop("reason_codes_list")
+
+
+# --------------------------------------------------------------------------- shadow model (L)
+from quire.operators import shadow as SH  # noqa: E402
+
+_MODELS: dict[tuple, SH.ShadowModel] = {}
+
+
+def shadow_model(spark: SparkSession, sf_dir: str) -> SH.ShadowModel:
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _MODELS:
+        frame = SH.training_frame(features(spark, sf_dir), fx(spark, sf_dir).merchants)
+        _MODELS[key] = SH.train_shadow(frame)
+    return _MODELS[key]
+
+
+_TRAIN_SQL = ("SELECT f.merchant_id, " + ", ".join(f"coalesce(CAST(f.{c} AS DOUBLE), 0.0) AS {c}" for c in ML_FEATURES)
+              + ", CAST(m.is_bad_synthetic AS INTEGER) AS label FROM feat f JOIN "
+              "(SELECT DISTINCT merchant_id, is_bad_synthetic FROM v_merchants) m ON m.merchant_id = f.merchant_id")
+
+
+@register("training_frame", _oracle("SELECT merchant_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in ML_FEATURES)
+                                    + ", label FROM tf", {"tf": _TRAIN_SQL}))
+def q_training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1: the 54 model inputs with the default label (inner join on merchants)."""
+    return round_doubles(SH.training_frame(features(spark, sf_dir), fx(spark, sf_dir).merchants))
+
+
+def scored_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = shadow_model(spark, sf_dir)
+    d = decided(spark, sf_dir)
+    scored = model.score(d.select("application_id", *ML_FEATURES))
+    return d.join(scored.select("application_id", "shadow_ml_score"), "application_id", "left")
+
+
+@register("shadow_decisions")
+def q_shadow_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L8 + L10 + P14: decision envelopes with the calibrated shadow score and risk tier (rows-only)."""
+    s = scored_decisions(spark, sf_dir)
+    env = P.decision_envelope(s, DECIDED_AT, score_col="shadow_ml_score")
+    return env.withColumn("risk_tier", M.risk_tier(F.col("shadow_ml_score"))) \
+              .withColumn("reason_codes", F.to_json("reason_codes")) \
+              .withColumn("explanations", F.to_json("explanations")) \
+              .withColumn("manual_review_flags", F.to_json("manual_review_flags"))
+
+
+@register("shadow_metrics")
+def q_shadow_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validated AUC mean/std and Brier of the calibrated model (rows-only)."""
+    m = shadow_model(spark, sf_dir).metrics
+    frame = SH.training_frame(features(spark, sf_dir), fx(spark, sf_dir).merchants)
+    counts = frame.agg(F.count(F.lit(1)).alias("n_samples"), F.sum("label").alias("n_positives"))
+    return counts.select("n_samples", "n_positives",
+                         F.lit(m["auc_cv_mean"]).cast("double").alias("auc_cv_mean"),
+                         F.lit(m["auc_cv_std"]).cast("double").alias("auc_cv_std"),
+                         F.lit(m["brier_cv_mean"]).cast("double").alias("brier_cv_mean"),
+                         F.lit(m["folds"]).alias("folds"), F.lit(m["n_trees"]).alias("n_trees"))
+
+
+@register("shadow_score_by_decision")
+def q_shadow_score_by_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W7 + W11: mean and quartiles of the logged shadow score per decision (rows-only)."""
+    s = scored_decisions(spark, sf_dir)
+    return M.score_quartiles(s, by="decision").join(M.score_by_decision(s), "decision")
+
+
+@register("feature_importances")
+def q_feature_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-8 mean importances of the fold models with display labels (rows-only)."""
+    labels = {s[0]: s[1] for s in SC.DASHBOARD_SIGNALS}
+    return SH.importances_frame(spark, shadow_model(spark, sf_dir), labels)
+
+
+@register("holdout_split")
+def q_holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deterministic 70/30 hash split of the training frame with per-class counts (rows-only)."""
+    frame = SH.training_frame(features(spark, sf_dir), fx(spark, sf_dir).merchants)
+    return SH.holdout_split(frame).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
