@@ -403,8 +403,7 @@ def q_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PSI per model feature, portfolio a year earlier vs now."""
     src = fx(spark, sf_dir).sources()
     ref = compute_features(src, REFERENCE_AS_OF)
-    cur = compute_features(src, AS_OF)
-    return M.drift_report(ref, cur, ML_FEATURES)
+    return M.drift_report(ref, features(spark, sf_dir), ML_FEATURES)
 
 
 _FROZEN = ("SELECT round((c_acctbal + 1000) / 11000, 4) AS s, CASE WHEN c_nationkey % 5 = 0 THEN 1 ELSE 0 END AS y "
