@@ -113,3 +113,19 @@ def active_consents(records: DataFrame, as_of: dt.date) -> DataFrame:
     return (latest.filter((F.col("last.action") == "GRANTED") & (F.col("last.expires_at") > F.lit(as_of)))
             .select("merchant_id", "consent_type", F.col("last.timestamp").alias("granted_at"),
                     F.col("last.expires_at").alias("expires_at"), F.col("last.scope").alias("scope")))
+
+
+def write_monthly_table(df: DataFrame, path: str, month_col: str = "month") -> None:
+    """Derived tables as parquet partitioned by month."""
+    df.write.mode("overwrite").partitionBy(month_col).parquet(path)
+
+
+def export_cases_json(cases: DataFrame, path: str) -> None:
+    """Selected cases as JSON lines; NaN / infinite doubles become null."""
+    cols = []
+    for name, dtype in cases.dtypes:
+        c = F.col(name)
+        if dtype in ("double", "float"):
+            c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None).cast("double")).otherwise(c)
+        cols.append(c.alias(name))
+    cases.select(*cols).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)

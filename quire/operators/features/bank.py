@@ -18,8 +18,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.expr import (cutoff, cv, dbl, hhi, in_window, month_ends_between, months_spanned,
-                                  sample_std_from_moments)
+from quire.functions.expr import (cents, cutoff, cv, dbl, eur, hhi, in_window, month_ends_between,
+                                  months_spanned, sample_std_from_moments)
 from quire.functions.grains import GRAIN_KEYS, at, grain, tag_grains
 
 # Minimum distinct credit days for the 30/90/180-day volatility.
@@ -46,7 +46,7 @@ def _last_months_columns(as_of: dt.date, observed: Column) -> list[Column]:
     cols = []
     for i in range(_N_MONTHS):
         is_i = kd == F.lit(_months_back(as_of, i))
-        cols.append(F.sum(at("m", dbl(F.col("credit_365")), is_i & observed)).alias(f"_mv{i}"))
+        cols.append(eur(F.sum(at("m", F.col("credit_365"), is_i & observed))).alias(f"_mv{i}"))
     for i in range(_N_MONTHS):
         is_i = kd == F.lit(_months_back(as_of, i))
         cols.append(F.count(at("m", F.lit(1), is_i & observed)).alias(f"_mo{i}"))
@@ -87,20 +87,21 @@ def bank_stats(bank: DataFrame, as_of: dt.date) -> DataFrame:
                    grain("m", k_date=F.trunc(d, "MM")),
                    grain("c", k_str=F.col("counterparty_name"),
                          when=credit & w[90] & F.col("counterparty_name").isNotNull()))
+    c = cents(amt)  # exact long cents keep the sums on the primitive fast path
     g = x.groupBy("merchant_id", *GRAIN_KEYS).agg(
             F.count(F.lit(1)).alias("n"),
-            F.sum(amt).alias("net"),
-            F.sum(F.when(credit, amt)).alias("credit"),
+            F.sum(c).alias("net"),
+            F.sum(F.when(credit, c)).alias("credit"),
             F.count(F.when(credit, F.lit(1))).alias("n_credit"),
-            F.sum(F.when(debit, F.abs(amt))).alias("debit_abs"),
-            F.sum(F.when(cat == "advertising", F.abs(amt))).alias("ad_abs"),
+            F.sum(F.when(debit, F.abs(c))).alias("debit_abs"),
+            F.sum(F.when(cat == "advertising", F.abs(c))).alias("ad_abs"),
             F.count(F.when(sup, F.lit(1))).alias("sup_n"),
-            F.sum(F.when(sup, F.abs(amt))).alias("sup_s1"),
-            F.sum(F.when(sup, amt * amt)).alias("sup_s2"),
-            F.sum(F.when(cat == "psp_settlement", amt)).alias("psp_settle"),
+            F.sum(F.when(sup, F.abs(c))).alias("sup_s1"),
+            F.sum(F.when(sup, c.cast("double") * c.cast("double"))).alias("sup_s2"),
+            F.sum(F.when(cat == "psp_settlement", c)).alias("psp_settle"),
             # With a tie-free daily balance every posting of the day carries the closing value
             F.max("balance_after").alias("close_bal"),
-            F.sum(F.when(credit & w[365], amt)).alias("credit_365"),
+            F.sum(F.when(credit & w[365], c)).alias("credit_365"),
             F.count(F.when(credit & w[365], F.lit(1))).alias("n_credit_365"),
             F.count(F.when(sup & w[180], F.lit(1))).alias("sup_180"),
         )
@@ -109,10 +110,10 @@ def bank_stats(bank: DataFrame, as_of: dt.date) -> DataFrame:
     has_credit = F.col("n_credit") > 0
     aggs: list[Column] = [
         F.sum(at("d", F.col("n"))).alias("rows_all"),
-        F.sum(at("d", F.col("psp_settle"))).alias("psp_settle_all"),
+        eur(F.sum(at("d", F.col("psp_settle")))).alias("psp_settle_all"),
     ]
     for days in (90, 180):
-        aggs += [F.sum(at("d", F.col("net"), wk[days])).alias(f"net_{days}"),
+        aggs += [eur(F.sum(at("d", F.col("net"), wk[days]))).alias(f"net_{days}"),
                  F.min(at("d", kd, wk[days])).alias(f"dmin_{days}"),
                  F.max(at("d", kd, wk[days])).alias(f"dmax_{days}"),
                  F.sum(at("d", F.col("n"), wk[days])).alias(f"rows_{days}"),
@@ -125,7 +126,7 @@ def bank_stats(bank: DataFrame, as_of: dt.date) -> DataFrame:
     observed = F.col("n_credit_365") > 0
     aggs += [
         F.avg(at("d", dbl(F.col("close_bal")), wk[90])).alias("avgbal_90"),
-        F.sum(at("d", F.col("debit_abs"), wk[90])).alias("debit_abs_90"),
+        eur(F.sum(at("d", F.col("debit_abs"), wk[90]))).alias("debit_abs_90"),
         F.sum(at("d", F.col("ad_abs"), wk[90])).alias("ad_90"),
         F.sum(at("d", F.col("credit"), wk[90])).alias("credit_90"),
         F.sum(at("d", F.col("sup_n"), wk[180])).alias("sup_n_180"),

@@ -123,7 +123,8 @@ def score_quartiles(scored: DataFrame, by: str = "decision", score_col: str = "s
     w = Window.partitionBy(by).orderBy("s")
     h = (hist.withColumn("cum", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
              .withColumn("n", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    aggs = [F.sum(F.col("s") * F.col("c")).alias("_sum"), F.max("n").alias("n")]
+    units = F.round(F.col("s") * 10 ** SCORE_DIGITS).cast("long")  # integer score units: exact sums
+    aggs = [F.sum(units * F.col("c")).alias("_sum"), F.max("n").alias("n")]
     for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
         pos = (F.col("n") - 1).cast("double") * p
         start = F.col("cum") - F.col("c")
@@ -132,10 +133,13 @@ def score_quartiles(scored: DataFrame, by: str = "decision", score_col: str = "s
                  F.max(F.when(covers(F.ceil(pos)), F.col("s"))).alias(f"{name}_hi"),
                  F.max(pos - F.floor(pos)).alias(f"{name}_f")]
     g = h.groupBy(by).agg(*aggs)
-    out = [F.col(by), F.col("n").alias("n"), F.round(F.col("_sum") / F.col("n"), SCORE_DIGITS).alias("mean_score")]
+    # midpoints of 4-dp scores sit exactly on 4-dp ties: quartiles at 6 dp; the
+    # mean is exact units / n / 10^4 (no re-rounding onto a possible tie)
+    out = [F.col(by), F.col("n").alias("n"),
+           (F.col("_sum") / F.col("n") / float(10 ** SCORE_DIGITS)).alias("mean_score")]
     for name in ("q25", "q50", "q75"):
         lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        out.append(F.round(lo + F.col(f"{name}_f") * (hi - lo), SCORE_DIGITS).alias(name))
+        out.append(F.round(lo + F.col(f"{name}_f") * (hi - lo), 6).alias(name))
     return g.select(*out)
 
 

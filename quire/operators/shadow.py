@@ -15,7 +15,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
+                                       LogisticRegressionModel)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,7 +48,7 @@ def training_frame(features: DataFrame, merchants: DataFrame) -> DataFrame:
 
 @dataclass
 class ShadowModel:
-    trees: list[GBTClassificationModel]
+    trees: list  # GBT or logistic fold models (both expose a raw margin)
     calibration: list[tuple[float, float]]  # (slope, intercept) per fold
     importances: list[float]
     metrics: dict = field(default_factory=dict)
@@ -72,29 +73,55 @@ class ShadowModel:
         """Tree models plus a small JSON document of calibration and importances."""
         for k, t in enumerate(self.trees):
             t.write().overwrite().save(f"{path}/trees/{k}")
+        kind = "logistic" if isinstance(self.trees[0], LogisticRegressionModel) else "gbm"
         doc = json.dumps({"calibration": self.calibration, "importances": self.importances,
-                          "features": ML_FEATURES, "metrics": self.metrics})
+                          "features": ML_FEATURES, "metrics": self.metrics, "model_type": kind})
         spark.createDataFrame([(doc,)], "doc string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "ShadowModel":
         doc = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        trees = [GBTClassificationModel.load(f"{path}/trees/{k}") for k in range(len(doc["calibration"]))]
+        cls = LogisticRegressionModel if doc.get("model_type") == "logistic" else GBTClassificationModel
+        trees = [cls.load(f"{path}/trees/{k}") for k in range(len(doc["calibration"]))]
         return ShadowModel(trees, [tuple(c) for c in doc["calibration"]], doc["importances"], doc.get("metrics", {}))
 
 
+def _balanced_weights(frame: DataFrame) -> Column:
+    """w = n / (2 n_class): two class counts, collected as scalars."""
+    counts = {r["label"]: r["n"] for r in frame.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(counts.values())
+    w = F.lit(1.0)
+    for cls, c in counts.items():
+        w = F.when(F.col("label") == cls, F.lit(n / (2.0 * c))).otherwise(w)
+    return w
+
+
+def _base_estimator(model_type: str, n_trees: int, depth: int, lr: float, seed: int, n_rows: int):
+    if model_type == "gbm":
+        return GBTClassifier(featuresCol="_x", labelCol="label", maxIter=n_trees, maxDepth=depth, stepSize=lr,
+                             seed=seed)
+    if model_type == "logistic":
+        # L2 with C = 1 and balanced class weights: lambda = 1 / sum(w) = 1 / n, no standardization
+        return LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_w", maxIter=1000,
+                                  regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False)
+    raise ValueError(f"Unknown model_type: {model_type}")
+
+
 def train_shadow(frame: DataFrame, n_trees: int = N_ESTIMATORS, depth: int = MAX_DEPTH,
-                 lr: float = LEARNING_RATE, seed: int = SEED, folds: int = CALIBRATION_FOLDS) -> ShadowModel:
-    """5 calibrated fold models, out-of-fold AUC / Brier, mean importances."""
+                 lr: float = LEARNING_RATE, seed: int = SEED, folds: int = CALIBRATION_FOLDS,
+                 model_type: str = "gbm") -> ShadowModel:
+    """5 calibrated fold models, out-of-fold AUC / Brier, mean importances
+    (tree importances, or |coefficients| for the logistic base model)."""
     data = VectorAssembler(inputCols=ML_FEATURES, outputCol="_x").transform(frame) \
         .withColumn("_fold", fold_of(F.col("merchant_id"), folds, seed)) \
-        .select("merchant_id", "label", "_x", "_fold").persist()
+        .withColumn("_w", _balanced_weights(frame)) \
+        .select("merchant_id", "label", "_x", "_fold", "_w").persist()
+    n_rows = data.count()
     trees, calib, oof = [], [], []
     for k in range(folds):
         train = data.filter(F.col("_fold") != k)
         test = data.filter(F.col("_fold") == k)
-        gbt = GBTClassifier(featuresCol="_x", labelCol="label", maxIter=n_trees, maxDepth=depth, stepSize=lr,
-                            seed=seed).fit(train)
+        gbt = _base_estimator(model_type, n_trees, depth, lr, seed, n_rows).fit(train)
         margin = gbt.transform(test).select("merchant_id", "label", "_fold",
                                             vector_to_array("rawPrediction")[1].alias("m"))
         m_vec = VectorAssembler(inputCols=["m"], outputCol="_m").transform(margin)
@@ -116,13 +143,14 @@ def train_shadow(frame: DataFrame, n_trees: int = N_ESTIMATORS, depth: int = MAX
     std = (lambda v: (sum((x - mean(v)) ** 2 for x in v) / len(v)) ** 0.5 if v else None)
     imps = [0.0] * len(ML_FEATURES)
     for t in trees:
-        for i, v in enumerate(t.featureImportances.toArray()):
+        vec = t.featureImportances.toArray() if model_type == "gbm" else abs(t.coefficients.toArray())
+        for i, v in enumerate(vec):
             imps[i] += float(v) / len(trees)
     data.unpersist()
     metrics = {"auc_cv_mean": round(mean(aucs), 4) if aucs else None,
                "auc_cv_std": round(std(aucs), 4) if aucs else None,
                "brier_cv_mean": round(mean(briers), 4) if briers else None,
-               "n_samples": None, "folds": folds, "n_trees": n_trees,
+               "n_samples": n_rows, "folds": folds, "n_trees": n_trees, "model_type": model_type,
                "note": "SHADOW ONLY - calibrated P(default), logged not used for decisions"}
     return ShadowModel(trees, calib, imps, metrics)
 
@@ -142,3 +170,12 @@ def holdout_split(frame: DataFrame, share: float = HOLDOUT_SHARE, seed: int = SE
     """Deterministic hash split, about ``share`` of every label class held out."""
     u = F.pmod(F.xxhash64(F.col("merchant_id"), F.lit(seed)), F.lit(10000)) / 10000.0
     return frame.withColumn("split", F.when(u < share, "holdout").otherwise("train"))
+
+
+def holdout_evaluation(frame: DataFrame, share: float = HOLDOUT_SHARE, seed: int = SEED, **train_args) -> DataFrame:
+    """Fit the calibrated model on the train split, AUC / Brier on the hold-out."""
+    split = holdout_split(frame, share, seed)
+    model = train_shadow(split.filter(F.col("split") == "train").drop("split"), **train_args)
+    held = split.filter(F.col("split") == "holdout").drop("split")
+    scored = model.score(held.select("merchant_id", "label", *ML_FEATURES), out_col="p")
+    return auc_brier(scored, "p", "label")

@@ -406,8 +406,14 @@ def q_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.drift_report(ref, features(spark, sf_dir), ML_FEATURES)
 
 
-_FROZEN = ("SELECT round((c_acctbal + 1000) / 11000, 4) AS s, CASE WHEN c_nationkey % 5 = 0 THEN 1 ELSE 0 END AS y "
-           "FROM customer WHERE c_acctbal IS NOT NULL")
+# Frozen score (c_acctbal + 1000) / 11000 at logged precision, rounded half-up in exact integer arithmetic
+_FROZEN = ("SELECT ((CAST(round(c_acctbal * 100) AS BIGINT) + 100000) * 20000 + 1100000) // 2200000 / 10000.0 AS s, "
+           "CASE WHEN c_nationkey % 5 = 0 THEN 1 ELSE 0 END AS y FROM customer WHERE c_acctbal IS NOT NULL")
+
+
+def _frozen_score() -> "F.Column":
+    units = F.expr("((CAST(round(c_acctbal * 100) AS BIGINT) + 100000) * 20000 + 1100000) div 2200000")
+    return units / 10000.0
 
 
 @register("auc_brier_frozen", with_views(
@@ -418,20 +424,20 @@ _FROZEN = ("SELECT round((c_acctbal + 1000) / 11000, 4) AS s, CASE WHEN c_nation
 def q_auc_brier_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact rank AUC, Brier and default rate on the frozen customer score table."""
     c = fx(spark, sf_dir).table("customer").filter(F.col("c_acctbal").isNotNull())
-    scored = c.select(((F.col("c_acctbal") + 1000) / 11000).alias("score"),
-                      (F.col("c_nationkey") % 5 == 0).cast("int").alias("label"))
+    scored = c.select(_frozen_score().alias("score"), (F.col("c_nationkey") % 5 == 0).cast("int").alias("label"))
     return M.auc_brier(scored, "score", "label")
 
 
 @register("score_quartiles_frozen", with_views(
-    "SELECT tier, count(*) AS n, round(avg(s), 4) AS mean_score, round(quantile_cont(s, 0.25), 4) AS q25, "
-    "round(quantile_cont(s, 0.5), 4) AS q50, round(quantile_cont(s, 0.75), 4) AS q75 FROM "
+    "SELECT tier, count(*) AS n, sum(CAST(round(s * 10000) AS BIGINT)) / count(*) / 10000.0 AS mean_score, "
+    "round(quantile_cont(s, 0.25), 6) AS q25, "
+    "round(quantile_cont(s, 0.5), 6) AS q50, round(quantile_cont(s, 0.75), 6) AS q75 FROM "
     "(SELECT s, CASE WHEN s < 0.2 THEN 'low' WHEN s < 0.4 THEN 'medium' ELSE 'high' END AS tier FROM fr) GROUP BY tier",
     {"fr": _FROZEN}))
 def q_score_quartiles_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W11 + L10: mean and exact quartiles of the logged score per risk tier (frozen scores)."""
     c = fx(spark, sf_dir).table("customer").filter(F.col("c_acctbal").isNotNull())
-    s = F.round((F.col("c_acctbal") + 1000) / 11000, 4)
+    s = _frozen_score()
     scored = c.select(s.alias("shadow_ml_score"), M.risk_tier(s).alias("tier"))
     return M.score_quartiles(scored, by="tier")
 
@@ -633,3 +639,19 @@ def q_holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic 70/30 hash split of the training frame with per-class counts (rows-only)."""
     frame = SH.training_frame(features(spark, sf_dir), fx(spark, sf_dir).merchants)
     return SH.holdout_split(frame).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("holdout_metrics")
+def q_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated model fit on the 70% split, AUC / Brier on the 30% hold-out (rows-only)."""
+    frame = SH.training_frame(features(spark, sf_dir), fx(spark, sf_dir).merchants)
+    return SH.holdout_evaluation(frame)
+
+
+@register("shadow_logistic_metrics")
+def q_shadow_logistic_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3: balanced logistic base model with the same calibration and CV metrics (rows-only)."""
+    frame = SH.training_frame(features(spark, sf_dir), fx(spark, sf_dir).merchants)
+    m = SH.train_shadow(frame, model_type="logistic").metrics
+    return spark.range(1).select(*[F.lit(m[k]).alias(k) for k in ("auc_cv_mean", "auc_cv_std", "brier_cv_mean",
+                                                                  "n_samples", "folds", "model_type")])

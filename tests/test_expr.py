@@ -5,7 +5,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -20,10 +20,10 @@ def _slope_norm(y):
     return float(np.polyfit(np.arange(len(y)), y, 1)[0] / abs(y.mean()))
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(min_value=0, max_value=12), min_size=1, max_size=8),
        st.lists(st.integers(min_value=1, max_value=5000), min_size=8, max_size=8))
-def test_zero_filled_slope_matches_polyfit(weeks, values):
+def test_zero_filled_slope_matches_polyfit(spark, weeks, values):
     weeks = sorted(set(weeks))
     y = {w: values[i] for i, w in enumerate(weeks)}
     w0, w1 = weeks[0], weeks[-1]
@@ -31,8 +31,6 @@ def test_zero_filled_slope_matches_polyfit(weeks, values):
     n = w1 - w0 + 1
     sy = sum(y.values())
     sxy = sum((w - w0) * v for w, v in y.items())
-    import pyspark.sql
-    spark = pyspark.sql.SparkSession.getActiveSession()
     got = spark.range(1).select(X.slope_normalized_zero_filled(F.lit(n), F.lit(sy), F.lit(sxy)).alias("s")).first().s
     assert abs(got - _slope_norm(series)) < 1e-9
 
