@@ -47,7 +47,7 @@ def sample_std_from_moments(n: Column, s1: Column, s2: Column) -> Column:
     s1 and s2 are exact decimal (or integer) sums, so the only rounding is the
     final double arithmetic; NULL when n < 2."""
     n_d, s1_d, s2_d = dbl(n), dbl(s1), dbl(s2)
-    var = (s2_d - s1_d * s1_d / n_d) / (n_d - 1)
+    var = F.try_divide(s2_d - F.try_divide(s1_d * s1_d, n_d), n_d - 1)
     return F.when(n >= 2, F.sqrt(F.greatest(var, F.lit(0.0))))
 
 
@@ -55,13 +55,13 @@ def cv(n: Column, mean: Column, std: Column) -> Column:
     """H2: sample std / |mean|; fewer than 2 values or mean 0 gives 1.0."""
     return (F.when(F.coalesce(n, F.lit(0)) < 2, F.lit(1.0))
             .when(mean == 0, F.lit(1.0))
-            .otherwise(std / F.abs(mean)))
+            .otherwise(F.try_divide(std, F.abs(mean))))
 
 
 def hhi(sum_sq: Column, total: Column) -> Column:
     """H1: sum of squared shares = sum(v^2) / (sum v)^2; total 0 or no groups gives 1.0."""
     t = dbl(total)
-    return F.when(F.coalesce(t, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(dbl(sum_sq) / (t * t))
+    return F.when(F.coalesce(t, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.try_divide(dbl(sum_sq), t * t))
 
 
 def slope_normalized_zero_filled(n_points: Column, sum_y: Column, sum_xy: Column) -> Column:
@@ -74,18 +74,18 @@ def slope_normalized_zero_filled(n_points: Column, sum_y: Column, sum_xy: Column
     sxy = dbl(sum_xy)
     sx = n * (n - 1) / 2
     sxx = (n - 1) * n * (2 * n - 1) / 6
-    slope = (n * sxy - sx * sy) / (n * sxx - sx * sx)
-    mean = sy / n
+    slope = F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx)
+    mean = F.try_divide(sy, n)
     return (F.when(F.coalesce(n, F.lit(0.0)) < 3, F.lit(0.0))
             .when(mean == 0, F.lit(0.0))
-            .otherwise(slope / F.abs(mean)))
+            .otherwise(F.try_divide(slope, F.abs(mean))))
 
 
 def slope_normalized_observed(n: Column, slope: Column, mean: Column) -> Column:
     """H3 over observed points in order (no gap fill): ``slope`` is regr_slope(y, idx)."""
     return (F.when(F.coalesce(n, F.lit(0)) < 3, F.lit(0.0))
             .when(mean == 0, F.lit(0.0))
-            .otherwise(F.coalesce(slope / F.abs(mean), F.lit(0.0))))
+            .otherwise(F.coalesce(F.try_divide(slope, F.abs(mean)), F.lit(0.0))))
 
 
 def week_start_day(date_col: Column) -> Column:

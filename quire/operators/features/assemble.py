@@ -34,10 +34,11 @@ def empty_source(spark: SparkSession, name: str) -> DataFrame:
 
 def spine(merchants: DataFrame, applications: DataFrame) -> DataFrame:
     """Applications joined to the first merchant row per merchant_id (inner)."""
-    w = Window.partitionBy("merchant_id").orderBy(F.col("company_name").asc_nulls_last(),
-                                                  F.col("kvk_number").asc_nulls_last())
-    m = (merchants.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-         .select("merchant_id", "incorporation_date", "kvk_active", "sanctions_hit"))
+    # first row by (company_name, kvk_number): a partial aggregate, not a per-merchant window
+    order = F.struct(F.coalesce(F.col("company_name"), F.lit("\uffff")), F.coalesce(F.col("kvk_number"), F.lit("\uffff")))
+    m = (merchants.groupBy("merchant_id")
+         .agg(F.min_by(F.struct("incorporation_date", "kvk_active", "sanctions_hit"), order).alias("_m"))
+         .select("merchant_id", "_m.*"))
     a = applications.select("application_id", "merchant_id", "requested_amount", "requested_tenor_months")
     return a.join(m, "merchant_id", "inner")
 

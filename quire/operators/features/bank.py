@@ -156,7 +156,7 @@ def bank_feature_columns(as_of: dt.date) -> dict[str, Column]:
             z(c(f"rows_{days}")) > 0, dbl(c(f"net_{days}")) / months_spanned(c(f"dmin_{days}"), c(f"dmax_{days}")))
     c3, c6 = f["monthly_net_cashflow_avg_3m"], f["monthly_net_cashflow_avg_6m"]
     f["cashflow_trend_delta"] = F.coalesce(
-        F.when(c6 != 0, (c3 - c6) / F.abs(c6)), F.lit(0.0))
+        F.when(c6 != 0, F.try_divide(c3 - c6, F.abs(c6))), F.lit(0.0))
     for label, (_, min_obs) in VOLATILITY_WINDOWS.items():
         f[f"revenue_volatility_{label}"] = F.when(
             z(c(f"cdays_{label}")) >= min_obs,
@@ -165,14 +165,14 @@ def bank_feature_columns(as_of: dt.date) -> dict[str, Column]:
     f["negative_balance_pct_90d"] = F.when(z(c("rows_90")) > 0, c("negpct_90")).otherwise(F.lit(1.0))
     daily_opex = dbl(z(c("debit_abs_90"))) / 90
     f["days_cash_on_hand"] = F.when((z(c("rows_90")) > 0) & (daily_opex > 0),
-                                    c("avgbal_90") / daily_opex).otherwise(F.lit(0.0))
+                                    F.try_divide(c("avgbal_90"), daily_opex)).otherwise(F.lit(0.0))
     f["overdraft_dependency"] = F.when(z(c("rows_180")) > 0, c("negpct_180")).otherwise(F.lit(1.0))
     f["inflow_concentration_hhi"] = hhi(c("cp_sq"), c("cp_total"))
     n_month_ends = month_ends_between(cutoff(as_of, 180), as_of)
     enough_sup = z(c("sup_n_180")) >= 3
     f["supplier_pay_punctuality"] = F.when(
         enough_sup, dbl(z(c("sup_months_180"))) / F.lit(float(n_month_ends))).otherwise(F.lit(0.50))
-    sup_mean = dbl(c("sup_s1_180")) / dbl(c("sup_n_180"))
+    sup_mean = F.try_divide(dbl(c("sup_s1_180")), dbl(c("sup_n_180")))
     f["supplier_payout_lumpiness"] = F.when(
         enough_sup, cv(c("sup_n_180"), sup_mean,
                        sample_std_from_moments(c("sup_n_180"), c("sup_s1_180"), c("sup_s2_180")))
@@ -180,6 +180,6 @@ def bank_feature_columns(as_of: dt.date) -> dict[str, Column]:
     f["seasonality_index"] = F.when(z(c("rev_months")) >= 6,
                                     F.try_divide(c("rev_month_max"), c("rev_month_mean"))).otherwise(F.lit(2.0))
     f["ad_spend_ratio_3m"] = F.when(dbl(z(c("credit_90"))) > 0,
-                                    dbl(z(c("ad_90"))) / dbl(c("credit_90"))).otherwise(F.lit(0.35))
+                                    F.try_divide(dbl(z(c("ad_90"))), dbl(c("credit_90")))).otherwise(F.lit(0.35))
     f["monthly_gmv_avg_6m"] = F.when(z(c("rev_months")) >= 1, c("rev_last6_mean")).otherwise(F.lit(0.0))
     return f

@@ -131,7 +131,7 @@ def psp_feature_columns(as_of: dt.date) -> dict[str, Column]:
     z = lambda x: F.coalesce(x, F.lit(0))
     f: dict[str, Column] = {}
     has_paid = z(c("paid_all")) > 0
-    mean_delay = dbl(c("delay_s1")) / dbl(c("paid_all"))
+    mean_delay = F.try_divide(dbl(c("delay_s1")), dbl(c("paid_all")))
     std_delay = sample_std_from_moments(c("paid_all"), c("delay_s1"), c("delay_s2"))
     f["settlement_delay_p95"] = F.when(has_paid, c("delay_p95")).otherwise(F.lit(12.0))
     f["settlement_delay_median"] = F.when(has_paid, c("delay_p50")).otherwise(F.lit(5.0))

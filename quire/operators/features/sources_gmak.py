@@ -53,7 +53,7 @@ def webshop_stats(ws: DataFrame, as_of: dt.date) -> DataFrame:
     v = dbl(F.col("grain_gross"))
     out = g.groupBy("merchant_id").agg(*[F.max(at("m", F.col(c))).alias(c) for c in base],
                                        F.sum(at("s", v * v)).alias("sku_sq"), F.sum(at("s", v)).alias("sku_total"))
-    return out.withColumn("ws_repeat", F.col("ws_repeat_sum") / F.col("ws_repeat_n")) \
+    return out.withColumn("ws_repeat", F.try_divide(F.col("ws_repeat_sum"), F.col("ws_repeat_n"))) \
               .drop("ws_repeat_sum", "ws_repeat_n")
 
 
@@ -64,8 +64,8 @@ def webshop_feature_columns() -> dict[str, Column]:
     comp_n = c("ws_comp_n")
     rev = dbl(c("ws_comp_s1"))
     f = {
-        "cancellation_rate_90d": dbl(c("ws_cancelled")) / n,
-        "return_rate_90d": dbl(c("ws_returned")) / n,
+        "cancellation_rate_90d": F.try_divide(dbl(c("ws_cancelled")), n),
+        "return_rate_90d": F.try_divide(dbl(c("ws_returned")), n),
         "order_volume_trend_90d": weekly_slope("wsw"),
         "fulfillment_timeliness_pct": F.when(comp_n > 0, dbl(c("ws_comp_fast")) / dbl(comp_n)).otherwise(F.lit(0.0)),
         "repeat_customer_rate_90d": c("ws_repeat"),
@@ -140,7 +140,7 @@ def accounting_stats(acc: DataFrame, as_of: dt.date) -> DataFrame:
         F.count(F.lit(1)).alias("acc_rows_all"),
         F.count(s6(F.lit(1))).alias("acc_n180"),
         # exact sum of the stored margins, then one division: partition-order independent
-        (dbl(F.sum(s6(F.col("gross_margin")))) / F.count(s6(F.col("gross_margin")))).alias("acc_gm_avg"),
+        F.try_divide(dbl(F.sum(s6(F.col("gross_margin")))), dbl(F.count(s6(F.col("gross_margin"))))).alias("acc_gm_avg"),
         F.regr_slope(s6(gm), s6(F.col("_idx"))).alias("acc_gm_slope"),
         F.count(s6(gm)).alias("acc_gm_n"),
         F.sum(s6(F.col("gross_revenue"))).alias("acc_rev"),
@@ -174,9 +174,12 @@ def accounting_feature_columns() -> dict[str, Column]:
 # -------------------------------------------------------------------- KYC (J)
 def kyc_latest(kyc: DataFrame) -> DataFrame:
     """One KYC row per merchant, the latest ``last_kyc_date`` (ties by kvk number)."""
-    w = Window.partitionBy("merchant_id").orderBy(F.col("last_kyc_date").desc_nulls_last(),
-                                                  F.col("kvk_number").asc_nulls_last())
-    return kyc.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    # latest date first, then the smallest kvk number; nulls last in both
+    days = F.datediff(F.col("last_kyc_date"), F.lit(dt.date(1970, 1, 1)))
+    order = F.struct(F.coalesce(-days, F.lit(2 ** 31 - 1)), F.coalesce(F.col("kvk_number"), F.lit("\uffff")))
+    cols = [c for c in kyc.columns if c != "merchant_id"]
+    return (kyc.groupBy("merchant_id").agg(F.min_by(F.struct(*cols), order).alias("_k"))
+            .select("merchant_id", "_k.*"))
 
 
 def kyc_stats(kyc: DataFrame, as_of: dt.date) -> DataFrame:

@@ -25,6 +25,10 @@ SCORE_DIGITS = 4
 APPROVED = ("APPROVE", "MANUAL_REVIEW")
 
 
+def dbl_(c: Column) -> Column:
+    return c.cast("double")
+
+
 def _approved(c: Column) -> Column:
     return c.isin(*APPROVED)
 
@@ -98,10 +102,10 @@ def adverse_impact(decisions: DataFrame, merchants: DataFrame, by: str,
         aggs.append(F.count(F.when(d == "DECLINE", F.lit(1))).alias("declined"))
         if score_col:
             aggs.append(F.avg(score_col).alias("avg_ml_score"))
-    g = j.groupBy(by).agg(*aggs).withColumn("approval_rate", F.round(F.col("approved") / F.col("total"), 3))
+    g = j.groupBy(by).agg(*aggs).withColumn("approval_rate", F.round(F.try_divide(dbl_(F.col("approved")), dbl_(F.col("total"))), 3))
     if flag:
         everything = Window.partitionBy()  # over the grouped table: one row per sector
-        overall = F.sum("approved").over(everything) / F.sum("total").over(everything)
+        overall = F.try_divide(dbl_(F.sum("approved").over(everything)), dbl_(F.sum("total").over(everything)))
         g = g.withColumn("flag", F.when(F.col("approval_rate") < overall * ADVERSE_IMPACT_RATIO, "REVIEW")
                          .otherwise("OK"))
     return g
@@ -157,7 +161,7 @@ def auc_brier(scored: DataFrame, score_col: str, label_col: str, by: list[str] |
     h = h.withColumn("avg_rank", F.col("below") + (F.col("c") + 1) / 2.0)
     g = h.groupBy(*by).agg(F.sum(F.col("pos") * F.col("avg_rank")).alias("rank_sum_pos"),
                            F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    auc = (F.col("rank_sum_pos") - F.col("P") * (F.col("P") + 1) / 2.0) / (F.col("P") * F.col("N"))
+    auc = F.try_divide(F.col("rank_sum_pos") - F.col("P") * (F.col("P") + 1) / 2.0, dbl_(F.col("P") * F.col("N")))
     y = F.col(label_col).cast("double")
     p = F.round(F.col(score_col).cast("double"), SCORE_DIGITS)
     brier = scored.groupBy(*by).agg(F.avg((p - y) * (p - y)).alias("brier"), F.avg(y).alias("default_rate"))
@@ -195,8 +199,8 @@ def psi_from_long(long_ref: DataFrame, long_cur: DataFrame, bins: int = PSI_BINS
                                                   F.count(F.when(F.col("side") == "a", 1)).alias("ca"))
     spine = rng.select("feature", "n_e", "n_a", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     full = spine.join(counts, ["feature", "bin"], "left")
-    e = F.greatest(F.coalesce(F.col("ce"), F.lit(0)) / F.col("n_e"), F.lit(PSI_CLIP))
-    a = F.greatest(F.coalesce(F.col("ca"), F.lit(0)) / F.col("n_a"), F.lit(PSI_CLIP))
+    e = F.greatest(F.try_divide(dbl_(F.coalesce(F.col("ce"), F.lit(0))), dbl_(F.col("n_e"))), F.lit(PSI_CLIP))
+    a = F.greatest(F.try_divide(dbl_(F.coalesce(F.col("ca"), F.lit(0))), dbl_(F.col("n_a"))), F.lit(PSI_CLIP))
     psi = full.groupBy("feature").agg(F.round(F.sum((a - e) * F.log(a / e)), 4).alias("psi"))
     return psi.withColumn("status", F.when(F.col("psi") < PSI_STABLE, "stable")
                           .when(F.col("psi") < PSI_MODERATE, "moderate_shift").otherwise("significant_drift"))

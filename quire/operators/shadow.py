@@ -32,6 +32,8 @@ LEARNING_RATE = 0.05
 SEED = 42
 CALIBRATION_FOLDS = 5
 HOLDOUT_SHARE = 0.30
+LOGISTIC_MAX_ITER = 1000
+LOGISTIC_TOL = 1e-4
 
 
 def fold_of(id_col: Column, k: int = CALIBRATION_FOLDS, seed: int = SEED) -> Column:
@@ -96,20 +98,24 @@ def _balanced_weights(frame: DataFrame) -> Column:
     return w
 
 
-def _base_estimator(model_type: str, n_trees: int, depth: int, lr: float, seed: int, n_rows: int):
+def _base_estimator(model_type: str, n_trees: int, depth: int, lr: float, seed: int, n_rows: int,
+                    max_iter: int = LOGISTIC_MAX_ITER):
     if model_type == "gbm":
         return GBTClassifier(featuresCol="_x", labelCol="label", maxIter=n_trees, maxDepth=depth, stepSize=lr,
                              seed=seed)
     if model_type == "logistic":
-        # L2 with C = 1 and balanced class weights: lambda = 1 / sum(w) = 1 / n, no standardization
-        return LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_w", maxIter=1000,
-                                  regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False)
+        # L2 with C = 1 and balanced class weights: lambda = 1 / sum(w) = 1 / n. Features span ~1e-3..1e6,
+        # so the solver runs on standardized features (the penalty then applies in that space; unscaled
+        # L-BFGS does not converge within the iteration cap)
+        return LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_w", maxIter=max_iter,
+                                  regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=True,
+                                  tol=LOGISTIC_TOL)
     raise ValueError(f"Unknown model_type: {model_type}")
 
 
 def train_shadow(frame: DataFrame, n_trees: int = N_ESTIMATORS, depth: int = MAX_DEPTH,
                  lr: float = LEARNING_RATE, seed: int = SEED, folds: int = CALIBRATION_FOLDS,
-                 model_type: str = "gbm") -> ShadowModel:
+                 model_type: str = "gbm", max_iter: int = LOGISTIC_MAX_ITER) -> ShadowModel:
     """5 calibrated fold models, out-of-fold AUC / Brier, mean importances
     (tree importances, or |coefficients| for the logistic base model)."""
     data = VectorAssembler(inputCols=ML_FEATURES, outputCol="_x").transform(frame) \
@@ -121,7 +127,7 @@ def train_shadow(frame: DataFrame, n_trees: int = N_ESTIMATORS, depth: int = MAX
     for k in range(folds):
         train = data.filter(F.col("_fold") != k)
         test = data.filter(F.col("_fold") == k)
-        gbt = _base_estimator(model_type, n_trees, depth, lr, seed, n_rows).fit(train)
+        gbt = _base_estimator(model_type, n_trees, depth, lr, seed, n_rows, max_iter).fit(train)
         margin = gbt.transform(test).select("merchant_id", "label", "_fold",
                                             vector_to_array("rawPrediction")[1].alias("m"))
         m_vec = VectorAssembler(inputCols=["m"], outputCol="_m").transform(margin)

@@ -32,5 +32,5 @@ def test_train_score_save_load(spark):
 def test_logistic_variant(spark):
     fx = fixture(spark, SF)
     frame = SH.training_frame(compute_features(fx.sources(), FIXTURE_AS_OF), fx.merchants)
-    m = SH.train_shadow(frame, model_type="logistic")
+    m = SH.train_shadow(frame, model_type="logistic", max_iter=50)
     assert m.metrics["model_type"] == "logistic" and len(m.trees) == 5
