@@ -2,35 +2,39 @@
 
 import tempfile
 
-from pyspark.sql import functions as F
+import pytest
 
 from quire.operators import shadow as SH
 from quire.operators.features.assemble import compute_features
+from quire.session import write_table
 from quire.sources.adapters import FIXTURE_AS_OF, fixture
 
 SF = "/root/testdata/sf0.01"
 
 
-def test_train_score_save_load(spark):
+@pytest.fixture(scope="module")
+def frames(spark):
     fx = fixture(spark, SF)
-    feats = compute_features(fx.sources(), FIXTURE_AS_OF)
-    frame = SH.training_frame(feats, fx.merchants)
+    feats = write_table(compute_features(fx.sources(), FIXTURE_AS_OF), "test-features")
+    return feats, write_table(SH.training_frame(feats, fx.merchants), "test-training")
+
+
+def test_train_score_save_load(spark, frames):
+    feats, frame = frames
     model = SH.train_shadow(frame, n_trees=5)
     s1 = model.score(feats.select("application_id", *SH.ML_FEATURES))
-    vals = [r.shadow_ml_score for r in s1.collect()]
-    assert vals and all(0.0 <= v <= 1.0 for v in vals)
+    a = {r.application_id: r.shadow_ml_score for r in s1.collect()}
+    assert a and all(0.0 <= v <= 1.0 for v in a.values())
     path = tempfile.mkdtemp(prefix="quire-model-", dir="/tmp")
     model.save(spark, path)
     again = SH.ShadowModel.load(spark, path)
-    s2 = again.score(feats.select("application_id", *SH.ML_FEATURES))
-    a = {r.application_id: r.shadow_ml_score for r in s1.collect()}
-    b = {r.application_id: r.shadow_ml_score for r in s2.collect()}
+    b = {r.application_id: r.shadow_ml_score
+         for r in again.score(feats.select("application_id", *SH.ML_FEATURES)).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
     assert len(model.importances) == len(SH.ML_FEATURES)
 
 
-def test_logistic_variant(spark):
-    fx = fixture(spark, SF)
-    frame = SH.training_frame(compute_features(fx.sources(), FIXTURE_AS_OF), fx.merchants)
+def test_logistic_variant(spark, frames):
+    _, frame = frames
     m = SH.train_shadow(frame, model_type="logistic", max_iter=50)
     assert m.metrics["model_type"] == "logistic" and len(m.trees) == 5
