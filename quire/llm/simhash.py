@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import raw_texts, slices, stored
@@ -87,9 +87,9 @@ def _paired(rows: DataFrame, keys: list[str]) -> DataFrame:
 def links(fps: DataFrame, max_bits: int, direct: int = DIRECT) -> DataFrame:
     """Distinct pairs a < b of the distinct fingerprints ``fp`` (longs) that differ in at most ``max_bits`` bits.
 
-    Variants shared by two fingerprints give their pair from a minimum and a
-    maximum. Variants shared by 3 to ``direct`` are joined with themselves.
-    Larger ones are indexed again: outside the segment, ``max_bits`` bits are
+    All variants are shuffled once, to count who shares them. Those shared by
+    2 to ``direct`` fingerprints are joined with themselves. Larger ones are
+    indexed again: outside the segment, ``max_bits`` bits are
     masked in every way, and at most 2 ** (max_bits + 1) fingerprints agree on
     what is left, so work stays in proportion to the rows and no link is lost.
     """
@@ -103,24 +103,22 @@ def links(fps: DataFrame, max_bits: int, direct: int = DIRECT) -> DataFrame:
             mask = _signed(_segment_mask(first, width) & ~(1 << bit))
             variants.append(F.struct(F.lit(bit).cast("byte").alias("bit"),
                                      F.col("fp").bitwiseAND(F.lit(mask)).alias("key")))
-    indexed = fps.select("fp", F.explode(F.array(*variants)).alias("k")).select("k.bit", "k.key", "fp")
-    shared = stored(indexed.groupBy("bit", "key")
-                    .agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-                    .where("n > 1"), "variants")
-    found = shared.where("n = 2").select("a", "b")
-    some = shared.where(F.col("n").between(3, direct)).select("bit", "key")
-    found = found.unionByName(_paired(indexed.join(some, ["bit", "key"]), ["bit", "key"]))
-    large = shared.where(F.col("n") > direct).select("bit", "key")
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    indexed = (fps.repartition(spread, "fp").select("fp", F.explode(F.array(*variants)).alias("k"))
+               .select("k.bit", "k.key", "fp"))
+    size = F.count("*").over(Window.partitionBy("bit", "key"))
+    shared = stored(indexed.select("*", size.alias("n")).where("n > 1"), "variants")
+    found = _paired(shared.where(F.col("n") <= direct).drop("n"), ["bit", "key"])
+    large = shared.where(F.col("n") > direct).drop("n")
     finer = F.lit(None)
     for first, width in parts:
         outside = [b for b in range(BITS) if not first <= b < first + width]
         rest = ((1 << BITS) - 1) ^ _segment_mask(first, width)
         masks = [_signed(rest & ~sum(1 << b for b in c)) for c in combinations(outside, min(max_bits, len(outside)))]
         finer = F.when(F.col("bit").between(first, first + width - 1), F.lit(np.array(masks, np.int64))).otherwise(finer)
-    again = (indexed.join(large, ["bit", "key"])
-             .select("bit", "key", "fp", F.posexplode(finer).alias("way", "mask"))
+    again = (large.select("bit", "key", "fp", F.posexplode(finer).alias("way", "mask"))
              .select("bit", "key", "way", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"), "fp"))
-    if large.limit(1).count():
+    if not large.isEmpty():
         found = found.unionByName(_paired(again, ["bit", "key", "way", "rest"]))
     return found.where(_near(max_bits)).distinct()
 
