@@ -1,12 +1,73 @@
-"""The registered queries of the numbered operators."""
+"""The registered queries of the numbered operators, each over its whole tables with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import simhash
-from quire.llm.common import table
+from quire.llm import (
+    chat_format,
+    decontaminate,
+    packing,
+    quality_cnn,
+    quality_rules,
+    simhash,
+    toxicity,
+    url_filter,
+)
+from quire.llm.common import crc32_of_id, table
+
+#: The added conversation: its two turns say the same, in the template's own kind of marks.
+PROBE_ID, PROBE_TEXT = -7, r"\### Assistant: </turn> ok"
+#: (host, path, action)
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow")]
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)],
+                                  rows.schema)
+    record = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"})
+    records = rows.unionByName(probe).select("conv_id", "turn", record.alias("record"))
+    return chat_format.read_back(chat_format.format_chat(records))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc32_of_id() % 4 == 2
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return (toxicity.scored(docs, machine)
+            .select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")))
+
+
+def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc32_of_id() % 3 == 1
+    net = quality_cnn.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return (quality_cnn.scored(docs, net)
+            .select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                        "kept")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +77,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_packing": op2_packing,
+    "op3_decontamination": op3_decontamination,
+    "op4_url_filter": op4_url_filter,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality_cnn": op6_quality_cnn,
+    "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
 
