@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quire.session import write_table
 
@@ -50,6 +51,37 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t.decode("utf-8", "replace") for t in raw_texts(batch, column)]
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """Columns by place, so that names with dots, or used twice, do no harm."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def with_text_columns(df: DataFrame, text_col: str, added: list[StructField],
+                      compute: Callable[[list[bytes]], list[pa.Array]], limit: int = SLICE_BYTES) -> DataFrame:
+    """``df``, in its order, with columns that ``compute`` derives from the whole texts of each slice."""
+    plain, at = _numbered(df), f"c{df.columns.index(text_col)}"
+    names = plain.columns + [f"new{i}" for i in range(len(added))]
+
+    def run(batches):
+        for batch in slices(batches, at, limit):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *compute(raw_texts(batch, at))], names=names)
+
+    fields = [StructField(n, f.dataType) for n, f in zip(names[len(plain.columns):], added)]
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, *fields])).toDF(
+        *df.columns, *[f.name for f in added])
+
+
+def where_text(df: DataFrame, text_col: str, keep: Callable[[str], bool]) -> DataFrame:
+    """The rows of ``df``, in its order, whose whole text satisfies ``keep``."""
+    plain, at = _numbered(df), f"c{df.columns.index(text_col)}"
+
+    def run(batches):
+        for batch in slices(batches, at):
+            yield batch.filter(pa.array([keep(t) for t in texts(batch, at)], pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def crc32_of_id(column: str = "doc_id"):
     """crc32 of an id's decimal text, the key of the label splits."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quire.llm.common import slices, texts
+from quire.llm.common import slices, texts, where_text
 
 #: Characters of a q-gram, of a window, and between the starts of two windows.
 Q, WINDOW, STRIDE = 9, 120, 60
@@ -259,9 +259,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", q: int
           stride: int = STRIDE, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text repeats no benchmark item; see ``matches``."""
     for block in blocks(benchmark, q, window, stride, rate, block_chars):
-        def run(batches, block=block):
-            for batch in slices(batches, text_col):
-                keep = [not scan(normal(t), block, q) for t in texts(batch, text_col)]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = where_text(docs, text_col, lambda t, block=block: not scan(normal(t), block, q))
     return docs

@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from quire.llm.common import labelled_sample, raw_texts, slices
+from quire.llm.common import labelled_sample, with_text_columns
 
 CHUNK, OVERLAP = 512, 64
 EMBED, WIDTH, STEP, FILTERS, HIDDEN = 4, 8, 2, 24, 16
@@ -154,12 +155,7 @@ def scored(docs: DataFrame, net: ByteCnn, text_col: str = "text", score_col: str
     Rows stay as they are: repeated rows, null ids and extra columns pass
     through. A null text counts as empty and is scored; an empty table stays empty.
     """
-    keep = [c for c in docs.columns if c != score_col]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep])
+    def compute(raw):
+        return [pa.array(net.scores(raw), pa.float64())]
 
-    def run(batches):
-        for batch in slices(batches, text_col, 1 << 20):
-            score = pa.array(net.scores(raw_texts(batch, text_col)), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*keep, score_col])
-
-    return src.mapInArrow(run, src.schema.add(score_col, "double"))
+    return with_text_columns(docs.drop(score_col), text_col, [StructField(score_col, DoubleType())], compute, 1 << 20)

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
-from quire.llm.common import raw_texts, slices, stored
+from quire.llm.common import stored, with_text_columns
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -85,21 +86,12 @@ def measures_of(text: bytes) -> tuple[int, ...]:
             len(text) - len(text.translate(None, UPPER)))
 
 
-def measured(docs: DataFrame, keep: list[str], text_col: str = "text", prefix: str = "") -> DataFrame:
-    """The columns ``keep`` of every row with the measures of its whole text appended, each name after ``prefix``."""
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias(f"{prefix}__whole_text"))
-    names = [prefix + m for m in MEASURES]
+def measured(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with the measures of each whole text appended, their names after ``prefix``."""
+    def compute(raw):
+        return [pa.array(c, pa.int64()) for c in zip(*map(measures_of, raw))]
 
-    def run(batches):
-        for batch in slices(batches, f"{prefix}__whole_text"):
-            rows = [measures_of(t) for t in raw_texts(batch, f"{prefix}__whole_text")]
-            new = [pa.array(c, pa.int64()) for c in zip(*rows)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + new, names=keep + names)
-
-    schema = src.select(*[F.col(f"`{c}`") for c in keep]).schema
-    for name in names:
-        schema = schema.add(name, "long")
-    return src.mapInArrow(run, schema)
+    return with_text_columns(docs, text_col, [StructField(prefix + m, LongType()) for m in MEASURES], compute)
 
 
 def base_failed() -> Column:
@@ -169,6 +161,6 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     are judged each; a null doc_id is judged but has no label. No labels, or an
     empty table, give the base rules alone.
     """
-    found = stored(measured(docs.select("doc_id", "text"), ["doc_id"]), "measures")
+    found = stored(measured(docs.select("doc_id", "text")).drop("text"), "measures")
     cutoffs = calibrate(found.join(good_labels(labels), "doc_id"))
     return found.withColumn("base_failed", base_failed()).withColumn("kept", verdict(cutoffs))

@@ -93,7 +93,8 @@ def links(fps: DataFrame, max_bits: int, direct: int = DIRECT) -> DataFrame:
     masked in every way, and at most 2 ** (max_bits + 1) fingerprints agree on
     what is left, so work stays in proportion to the rows and no link is lost.
     """
-    fps = fps.select("fp").where(F.col("fp").isNotNull()).distinct()
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = fps.select("fp").where(F.col("fp").isNotNull()).repartition(spread, "fp").distinct()
     if max_bits < 1:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where(F.lit(False))
     parts = segments(max_bits)
@@ -103,9 +104,7 @@ def links(fps: DataFrame, max_bits: int, direct: int = DIRECT) -> DataFrame:
             mask = _signed(_segment_mask(first, width) & ~(1 << bit))
             variants.append(F.struct(F.lit(bit).cast("byte").alias("bit"),
                                      F.col("fp").bitwiseAND(F.lit(mask)).alias("key")))
-    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    indexed = (fps.repartition(spread, "fp").select("fp", F.explode(F.array(*variants)).alias("k"))
-               .select("k.bit", "k.key", "fp"))
+    indexed = fps.select("fp", F.explode(F.array(*variants)).alias("k")).select("k.bit", "k.key", "fp")
     size = F.count("*").over(Window.partitionBy("bit", "key"))
     shared = stored(indexed.select("*", size.alias("n")).where("n > 1"), "variants")
     found = _paired(shared.where(F.col("n") <= direct).drop("n"), ["bit", "key"])

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from quire.llm.common import labelled_sample, slices, texts
+from quire.llm.common import labelled_sample, with_text_columns
 
 #: Weight of each skipped character, and the longest stretch that a triple spans.
 DECAY, SPAN = 0.5, 7
@@ -294,12 +295,7 @@ def scored(docs: DataFrame, machine: StringSvm, text_col: str = "text", score_co
     A null text counts as empty and gets the score of an empty text. Repeated
     rows, null ids and extra columns pass through; an empty table stays empty.
     """
-    keep = [c for c in docs.columns if c != score_col]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep])
+    def compute(raw):
+        return [pa.array([machine.score(t.decode("utf-8", "replace")) for t in raw], pa.float64())]
 
-    def run(batches):
-        for batch in slices(batches, text_col):
-            score = pa.array([machine.score(t) for t in texts(batch, text_col)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*keep, score_col])
-
-    return src.mapInArrow(run, src.schema.add(score_col, "double"))
+    return with_text_columns(docs.drop(score_col), text_col, [StructField(score_col, DoubleType())], compute)

@@ -12,6 +12,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quire.llm.common import stored
 from quire.llm.components import connected_components
@@ -46,7 +47,7 @@ def node_of(url: Column) -> Column:
     return F.when(after_scheme(url).isNotNull(), F.concat(scheme, F.lit("://"), host_of(url), rest))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _resolved(base: pd.Series, link: pd.Series) -> pd.Series:
     def one(b, x):
         try:
