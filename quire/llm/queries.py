@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quire.llm import (
     chat_format,
     decontaminate,
+    html_extract,
+    lm_backoff,
     packing,
     quality_cnn,
     quality_rules,
@@ -64,6 +66,15 @@ def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
 
 
+def op7_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_backoff.score(table(spark, sf_dir, "documents"))
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -83,6 +94,8 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
     "op6_quality_cnn": op6_quality_cnn,
+    "op7_lm_backoff": op7_lm_backoff,
+    "op8_html_extract": op8_html_extract,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
