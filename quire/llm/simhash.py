@@ -141,5 +141,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp.join(named, "fp").select("id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                max_bits: int = 2) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each near-duplicate component: that of the least id.
+
+    Of rows that repeat an id and a text, one stays. Rows without an id cannot
+    be named as copies and all stay.
+    """
+    found = stored(near_duplicates(docs, id_col, text_col, shingle, max_bits)
+                   .where("id = component_id or id is null").groupBy("id").agg(F.count("*").alias("n")), "kept")
+    kept = docs.join(found.select("id"), docs[id_col].eqNullSafe(found["id"]), "left_semi")
+    again = found.where("n > 1 and id is not null").select("id")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, kept[id_col] == again["id"], "left_anti")
+    twice = kept.join(again, kept[id_col] == again["id"], "left_semi")
+    return once.unionByName(twice.dropDuplicates([id_col, text_col]))
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
