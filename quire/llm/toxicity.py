@@ -70,8 +70,10 @@ class Triples:
         self.alphabet = _alphabet()
 
     def codes(self, text: str) -> np.ndarray:
+        """Codes of a prepared text; signs are left out, so they neither part nor change a word."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return self.alphabet[np.minimum(points, 0xFFFF)]
+        codes = self.alphabet[np.minimum(points, 0xFFFF)]
+        return codes[codes != 1]
 
     def each(self, c: np.ndarray):
         """(start positions' mask, triple numbers, weight) for each pair of offsets; no triple crosses white space."""
@@ -219,11 +221,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
+def bare_words(text: str) -> set[str]:
+    """The words of a prepared text without signs."""
+    return {w for w in (re.sub(r"[\W_]+", "", x) for x in set(text.split())) if w}
+
+
+def with_insertions(word: str, rng: np.random.Generator) -> list[str]:
+    """Two forms of a longer word, each with one letter put in."""
+    if len(word) < 4:
+        return []
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    places = rng.integers(1, len(word), 2)
+    return [word[:p] + letters[rng.integers(26)] + word[p:] for p in places]
+
+
 def train_machine(toxic: list[str], clean: list[str], seed: int) -> StringSvm | None:
     """The machine over words, from prepared texts of both classes; None if no word stands out."""
     rng = np.random.default_rng(seed)
-    clean_words = [set(t.split()) for t in clean]
-    marked = [w for _, w in standing_out([set(t.split()) for t in toxic], clean_words)]
+    clean_words = [bare_words(t) for t in clean]
+    marked = [w for _, w in standing_out([bare_words(t) for t in toxic], clean_words)]
     common = Counter(w for words in clean_words for w in words)
     vocabulary = sorted(common)
     if not marked or not vocabulary:
@@ -237,10 +253,11 @@ def train_machine(toxic: list[str], clean: list[str], seed: int) -> StringSvm |
     picked = rng.choice(len(vocabulary), min(TRAIN_WORDS, len(vocabulary)), replace=False)
     negative = ({vocabulary[i] for i in picked} | set(usual)) - set(marked)
     everything = " " + " ".join(vocabulary) + " "
+    witness = marked + [v for w in marked[:TOXIC_LANDMARKS] for v in with_insertions(w, rng) if v not in common]
     machine = None
     for _ in range(ROUNDS):
-        words = marked + sorted(negative)
-        y = np.where(np.arange(len(words)) < len(marked), 1.0, -1.0)
+        words = witness + sorted(negative)
+        y = np.where(np.arange(len(words)) < len(witness), 1.0, -1.0)
         weight = np.where(y > 0, WITNESS_WEIGHT, 1.0)
         w = _svm(_features(words, triples, number, table) @ root, y, weight)
         dense = np.zeros(TRIPLES)
