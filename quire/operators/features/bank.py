@@ -82,7 +82,7 @@ def bank_stats(bank: DataFrame, as_of: dt.date) -> DataFrame:
     sup = cat == "supplier_payment"
     w = {days: in_window(d, as_of, days) for days in (30, 90, 180, 365)}
     x = tag_grains(b.select("merchant_id", "date", "amount", "direction", "category", "balance_after",
-                            "counterparty_name"),
+                            "posting_seq", "counterparty_name"),
                    grain("d", k_date=d),
                    grain("m", k_date=F.trunc(d, "MM")),
                    grain("c", k_str=F.col("counterparty_name"),
@@ -99,8 +99,9 @@ def bank_stats(bank: DataFrame, as_of: dt.date) -> DataFrame:
             F.sum(F.when(sup, F.abs(c))).alias("sup_s1"),
             F.sum(F.when(sup, c.cast("double") * c.cast("double"))).alias("sup_s2"),
             F.sum(F.when(cat == "psp_settlement", c)).alias("psp_settle"),
-            # With a tie-free daily balance every posting of the day carries the closing value
-            F.max("balance_after").alias("close_bal"),
+            # The balance of the day's last posting
+            F.max_by("balance_after", F.when(F.col("balance_after").isNotNull(), F.col("posting_seq")))
+             .alias("close_bal"),
             F.sum(F.when(credit & w[365], c)).alias("credit_365"),
             F.count(F.when(credit & w[365], F.lit(1))).alias("n_credit_365"),
             F.count(F.when(sup & w[180], F.lit(1))).alias("sup_180"),

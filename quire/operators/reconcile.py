@@ -46,26 +46,30 @@ def reconcile_bank_psp(merchants: DataFrame, bank: DataFrame, psp: DataFrame, as
 
 
 def daily_closing_balance(bank: DataFrame, as_of: dt.date) -> DataFrame:
-    """One closing balance per (merchant, day) with postings.
-
-    With a tie-free daily balance (every posting of a day carries the day's
-    closing value) ``max`` is exact; feeds A8-A10 and R5."""
+    """One closing balance per (merchant, day) with postings: that of the day's last posting
+    (by posting_seq) with a balance; feeds A8-A10 and R5."""
+    known = F.when(F.col("balance_after").isNotNull(), F.col("posting_seq"))
     return (bank.filter(F.col("date") <= F.lit(as_of))
             .groupBy("merchant_id", "date")
-            .agg(F.max("balance_after").alias("closing_balance"), F.count(F.lit(1)).alias("postings"),
+            .agg(F.max_by("balance_after", known).alias("closing_balance"), F.count(F.lit(1)).alias("postings"),
                  F.sum("amount").alias("net_amount")))
 
 
 def running_balance(postings: DataFrame, opening: int = OPENING_BALANCE) -> DataFrame:
-    """Balance after each posting = opening + cumulative net per merchant by date.
+    """The balance after each posting, and its place in the day (posting_seq).
 
-    The cumulative sum runs over the per-day net (RANGE semantics: all postings
-    of a day share the closing value) and is joined back on (merchant, date)."""
+    Postings are ordered by date and transaction_id. A day's opening balance is
+    a running sum over per-day nets; inside a day, a window adds its postings.
+    So a merchant with very many rows is split by day, and the join and the
+    window share one exchange on (merchant, date)."""
     daily = postings.groupBy("merchant_id", "date").agg(F.sum("amount").alias("_day_net"))
-    w = Window.partitionBy("merchant_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    closing = daily.select("merchant_id", "date",
-                           (F.lit(opening) + F.sum("_day_net").over(w)).cast("decimal(18,2)").alias("balance_after"))
-    return postings.join(closing, ["merchant_id", "date"], "inner")
+    days = Window.partitionBy("merchant_id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    opened = daily.select("merchant_id", "date", F.coalesce(F.sum("_day_net").over(days), F.lit(0)).alias("_before"))
+    day = Window.partitionBy("merchant_id", "date").orderBy("transaction_id")
+    so_far = F.sum("amount").over(day.rowsBetween(Window.unboundedPreceding, 0))
+    return (postings.join(opened, ["merchant_id", "date"], "inner")
+            .withColumn("balance_after", (F.lit(opening) + F.col("_before") + so_far).cast("decimal(18,2)"))
+            .withColumn("posting_seq", F.row_number().over(day).cast("long")).drop("_before"))
 
 
 def monthly_bank_facts(bank: DataFrame, as_of: dt.date) -> DataFrame:

@@ -9,14 +9,20 @@ from __future__ import annotations
 
 import re
 
+def _padded(number: str) -> str:
+    """At least four digits; longer numbers stay whole."""
+    text = f"CAST({number} AS VARCHAR)"
+    return f"lpad({text}, CAST(greatest(4, length({text})) AS INTEGER), '0')"
+
+
 _K = "CAST(floor(l_suppkey/5) AS BIGINT)"
 
 VIEWS: dict[str, str] = {
-    "v_merchants": """
+    "v_merchants": f"""
 WITH k AS (SELECT DISTINCT CAST(floor(s_suppkey/5) AS BIGINT) AS k FROM supplier),
      a AS (SELECT k, false AS ghost FROM k UNION ALL SELECT max(k)+1, true FROM k)
-SELECT k, ghost, concat('m_', lpad(CAST(k AS VARCHAR),4,'0')) AS merchant_id,
-  concat('Shop', lpad(CAST(k AS VARCHAR),4,'0'), ' B.V.') AS company_name,
+SELECT k, ghost, concat('m_', {_padded('k')}) AS merchant_id,
+  concat('Shop', {_padded('k')}, ' B.V.') AS company_name,
   CAST(10000000 + k*7919 AS VARCHAR) AS kvk_number,
   DATE '2001-08-01' - CAST(650 + (k*397)%2200 AS INT) AS incorporation_date,
   CAST(300000 + (k*104729)%4700000 AS DOUBLE) AS annual_gmv, CAST(1 + k%3 AS INT) AS n_psps,
@@ -33,7 +39,7 @@ FROM v_merchants""",
     "v_psp": f"""
 SELECT b.*, CAST(gross_amount - fee_amount AS DECIMAL(18,2)) AS net_amount,
   CASE WHEN status='paid' THEN CAST(0 AS DECIMAL(18,2)) ELSE gross_amount END AS refund_amount
-FROM (SELECT concat('m_', lpad(CAST({_K} AS VARCHAR),4,'0')) AS merchant_id,
+FROM (SELECT concat('m_', {_padded(_K)}) AS merchant_id,
   {_K} AS k,
   CASE WHEN l_linenumber%2=0 THEN 'mollie' ELSE 'adyen' END AS psp_name,
   CAST(l_shipdate AS DATE) AS order_date, CAST(l_shipdate AS DATE) + CAST(1 + l_partkey%9 AS INT) AS settlement_date,
@@ -45,21 +51,24 @@ FROM (SELECT concat('m_', lpad(CAST({_K} AS VARCHAR),4,'0')) AS merchant_id,
   CASE WHEN l_partkey%150=0 THEN CASE WHEN l_orderkey%2=0 THEN 'won' ELSE 'lost' END END AS dispute_outcome
   FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE CAST(l_shipdate AS DATE) <= DATE '2001-08-01') b""",
     "v_bank": f"""
-SELECT p.*, CAST(10000 + sum(amount) OVER (PARTITION BY merchant_id ORDER BY date) AS DECIMAL(18,2)) AS balance_after
+SELECT p.*, CAST(10000 + sum(amount) OVER (PARTITION BY merchant_id ORDER BY date, transaction_id ROWS UNBOUNDED PRECEDING) AS DECIMAL(18,2)) AS balance_after,
+  row_number() OVER (PARTITION BY merchant_id, date ORDER BY transaction_id) AS posting_seq
 FROM (
   SELECT merchant_id, k, settlement_date AS date,
     CAST(round(sum(net_amount)*CASE WHEN k%10=9 THEN 0.70 ELSE 0.98 END,2) AS DECIMAL(18,2)) AS amount, 'CREDIT' AS direction,
-    CASE WHEN psp_name='mollie' THEN 'Mollie B.V.' ELSE 'Adyen N.V.' END AS counterparty_name, 'psp_settlement' AS category
+    CASE WHEN psp_name='mollie' THEN 'Mollie B.V.' ELSE 'Adyen N.V.' END AS counterparty_name, 'psp_settlement' AS category,
+    concat_ws('_', 'C', CAST(settlement_date AS VARCHAR), psp_name) AS transaction_id
   FROM v_psp WHERE status='paid' AND settlement_date <= DATE '2001-08-01' GROUP BY merchant_id, k, settlement_date, psp_name
   UNION ALL
-  SELECT concat('m_', lpad(CAST({_K} AS VARCHAR),4,'0')), {_K}, CAST(l_shipdate AS DATE),
-    CAST(-round(CAST(l_extendedprice AS DECIMAL(18,2))*CASE WHEN l_linenumber<=4 THEN 0.80 WHEN l_linenumber=5 THEN CASE WHEN {_K}%5=0 THEN 3.00 ELSE 0.60 END WHEN l_linenumber=6 THEN 0.50 ELSE 0.01 END
+  SELECT concat('m_', {_padded(_K)}), {_K}, CAST(l_shipdate AS DATE),
+    CAST(-round(CAST(l_extendedprice AS DECIMAL(18,2))*CASE WHEN l_linestatus<>'F' THEN 0.01 WHEN l_linenumber<=4 THEN 0.80 WHEN l_linenumber=5 THEN CASE WHEN {_K}%5=0 THEN 3.00 ELSE 0.60 END WHEN l_linenumber=6 THEN 0.50 ELSE 0.01 END
       * CASE WHEN {_K}%10=5 THEN 4.00 ELSE 1.00 END,2) AS DECIMAL(18,2)),
     'DEBIT', concat('Supplier_', CAST(l_partkey%19 AS VARCHAR)),
-    CASE WHEN l_linenumber<=4 THEN 'supplier_payment' WHEN l_linenumber=5 THEN 'advertising' WHEN l_linenumber=6 THEN 'tax_payment' ELSE 'nsf_fee' END
-  FROM lineitem WHERE l_linestatus='F' AND CAST(l_shipdate AS DATE) <= DATE '2001-08-01') p""",
+    CASE WHEN l_linestatus<>'F' THEN 'bank_fee' WHEN l_linenumber<=4 THEN 'supplier_payment' WHEN l_linenumber=5 THEN 'advertising' WHEN l_linenumber=6 THEN 'tax_payment' ELSE 'nsf_fee' END,
+    concat_ws('_', 'D', l_orderkey, l_linenumber, l_partkey, l_suppkey)
+  FROM lineitem WHERE CAST(l_shipdate AS DATE) <= DATE '2001-08-01') p""",
     "v_webshop": f"""
-SELECT concat('m_', lpad(CAST({_K} AS VARCHAR),4,'0')) AS merchant_id, CAST(l_shipdate AS DATE) AS order_date,
+SELECT concat('m_', {_padded(_K)}) AS merchant_id, CAST(l_shipdate AS DATE) AS order_date,
   CASE l_linenumber%3 WHEN 0 THEN 'website' WHEN 1 THEN 'mobile_app' ELSE 'api' END AS channel,
   CAST(l_extendedprice AS DECIMAL(18,2)) AS gross_amount, CAST(round(CAST(l_extendedprice AS DECIMAL(18,2))*CAST(l_discount AS DECIMAL(4,2)),2) AS DECIMAL(18,2)) AS discount_amount,
   CAST(l_quantity AS INT) AS item_count, concat('sku_', CAST(l_partkey%40 AS VARCHAR)) AS sku_id,
@@ -93,12 +102,12 @@ SELECT merchant_id, kvk_number, kvk_active AS kvk_verified, k%11<>10 AS ubo_dire
   sanctions_hit AS sanctions_match, CAST(k%4 AS INT) AS identity_changes_12m, DATE '2001-08-01' - CAST(30 + (k*53)%700 AS INT) AS last_kyc_date,
   CASE k%3 WHEN 0 THEN 'basic' WHEN 1 THEN 'enhanced' ELSE 'full' END AS verification_level
 FROM v_merchants WHERE NOT ghost""",
-    "v_consents": """
-SELECT concat('m_', lpad(CAST(user_id%20 AS VARCHAR),4,'0')) AS merchant_id,
+    "v_consents": f"""
+SELECT concat('m_', {_padded('CAST(floor(user_id/5) AS BIGINT)')}) AS merchant_id,
   CASE event_id%3 WHEN 0 THEN 'psd2_aisp' WHEN 1 THEN 'psp_mollie' ELSE 'psp_adyen' END AS consent_type,
   CASE WHEN event_type='error' THEN 'REVOKED' ELSE 'GRANTED' END AS action, ts AS event_ts, event_id,
   CASE WHEN event_type='error' THEN NULL ELSE CAST(ts AS DATE) + 90 END AS expires_at
-FROM events WHERE event_type IN ('signup','error')""",
+FROM events""",
 }
 
 _ORDER = list(VIEWS)

@@ -93,7 +93,7 @@ def feature_ctes(as_of: dt.date = AS_OF) -> dict[str, str]:
   avg(abs(CAST(amount AS DOUBLE))) FILTER (WHERE category = 'supplier_payment' AND date >= {D180}) AS sup_mean
 FROM bk GROUP BY merchant_id"""
     c["bk_day"] = """SELECT merchant_id, date, sum(amount) FILTER (WHERE direction = 'CREDIT') AS credit,
-  count(*) FILTER (WHERE direction = 'CREDIT') AS n_credit, max(balance_after) AS bal FROM bk GROUP BY merchant_id, date"""
+  count(*) FILTER (WHERE direction = 'CREDIT') AS n_credit, arg_max(balance_after, posting_seq) AS bal FROM bk GROUP BY merchant_id, date"""
     vol = []
     for lab, dd in (("30", D30), ("90", D90), ("180", D180)):
         vol.append(f"count(*) FILTER (WHERE date >= {dd}) AS n{lab}, "

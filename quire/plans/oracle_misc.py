@@ -90,14 +90,14 @@ FROM (SELECT x.*, coalesce(sum(CASE WHEN month(month) IN (1, 4, 7, 10) THEN 1 EL
                        WHERE direction = 'CREDIT' AND date <= {a} GROUP BY 1, 2) cr
               ON cr.merchant_id = ac.merchant_id AND cr.month = ac.month
             LEFT JOIN (SELECT merchant_id, CAST(date_trunc('month', date) AS DATE) AS month, arg_max(bal, date) AS cash
-                       FROM (SELECT merchant_id, date, max(balance_after) AS bal FROM v_bank WHERE date <= {a} GROUP BY 1, 2)
+                       FROM (SELECT merchant_id, date, arg_max(balance_after, posting_seq) AS bal FROM v_bank WHERE date <= {a} GROUP BY 1, 2)
                        GROUP BY 1, 2) me
               ON me.merchant_id = ac.merchant_id AND me.month = ac.month) x)"""
 
 
 def daily_balance_sql(as_of: dt.date) -> str:
     a = f"DATE '{as_of.isoformat()}'"
-    return (f"SELECT merchant_id, date, max(balance_after) AS closing_balance, count(*) AS postings, "
+    return (f"SELECT merchant_id, date, arg_max(balance_after, posting_seq) AS closing_balance, count(*) AS postings, "
             f"sum(amount) AS net_amount FROM v_bank WHERE date <= {a} GROUP BY merchant_id, date")
 
 

@@ -62,8 +62,8 @@ SCAN_COLUMNS = {
                                   "has_webshop", "primary_marketplace"]),
     "applications": ("v_applications", ["application_id", "merchant_id", "requested_amount",
                                          "requested_tenor_months", "purpose", "application_date"]),
-    "bank": ("v_bank", ["merchant_id", "date", "amount", "direction", "counterparty_name", "category",
-                        "balance_after"]),
+    "bank": ("v_bank", ["transaction_id", "merchant_id", "date", "amount", "direction", "counterparty_name", "category",
+                        "balance_after", "posting_seq"]),
     "psp": ("v_psp", ["merchant_id", "psp_name", "order_date", "settlement_date", "gross_amount", "fee_amount",
                       "net_amount", "status", "refund_amount", "payment_method", "buyer_id", "dispute_outcome"]),
     "webshop": ("v_webshop", ["merchant_id", "order_date", "channel", "gross_amount", "discount_amount",

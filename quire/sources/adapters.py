@@ -18,6 +18,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.operators.reconcile import running_balance
 from quire.session import write_table
 
 # The fixture's as-of dates.
@@ -43,8 +44,14 @@ def merchant_key(suppkey: Column) -> Column:
     return F.floor(suppkey / 5).cast("long")
 
 
+def padded(k: Column) -> Column:
+    """At least four digits; longer numbers stay whole."""
+    digits = k.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0"))
+
+
 def merchant_id_of(k: Column) -> Column:
-    return F.concat(F.lit("m_"), F.lpad(k.cast("string"), 4, "0"))
+    return F.concat(F.lit("m_"), padded(k))
 
 
 class FixtureSources:
@@ -85,7 +92,7 @@ class FixtureSources:
         return a.select(
             "k", "ghost",
             merchant_id_of(k).alias("merchant_id"),
-            F.concat(F.lit("Shop"), F.lpad(k.cast("string"), 4, "0"), F.lit(" B.V.")).alias("company_name"),
+            F.concat(F.lit("Shop"), padded(k), F.lit(" B.V.")).alias("company_name"),
             (F.lit(10000000) + k * 7919).cast("string").alias("kvk_number"),
             F.date_sub(as_of, (F.lit(650) + (k * 397) % 2200).cast("int")).alias("incorporation_date"),
             (F.lit(300000) + (k * 104729) % 4700000).cast("double").alias("annual_gmv"),
@@ -173,12 +180,14 @@ class FixtureSources:
                 F.lit("CREDIT").alias("direction"),
                 F.when(F.col("psp_name") == "mollie", "Mollie B.V.").otherwise("Adyen N.V.").alias("counterparty_name"),
                 F.lit("psp_settlement").alias("category"),
+                F.concat_ws("_", F.lit("C"), "settlement_date", "psp_name").alias("transaction_id"),
             )
         )
-        li = self._shipped().filter(F.col("l_linestatus") == "F")
+        li = self._shipped()
         lk = merchant_key(F.col("l_suppkey"))
         ln = F.col("l_linenumber")
-        factor = (F.when(ln <= 4, dec("0.80"))
+        final = F.col("l_linestatus") == "F"
+        factor = (F.when(~final, dec("0.01")).when(ln <= 4, dec("0.80"))
                   .when(ln == 5, F.when(lk % 5 == 0, dec("3.00")).otherwise(dec("0.60")))
                   .when(ln == 6, dec("0.50")).otherwise(dec("0.01")))
         scale = F.when(lk % 10 == 5, dec("4.00")).otherwise(dec("1.00"))
@@ -187,21 +196,13 @@ class FixtureSources:
             money(-F.round(money(F.col("l_extendedprice")) * factor * scale, 2)).alias("amount"),
             F.lit("DEBIT").alias("direction"),
             F.concat(F.lit("Supplier_"), (F.col("l_partkey") % 19).cast("string")).alias("counterparty_name"),
-            F.when(ln <= 4, "supplier_payment").when(ln == 5, "advertising").when(ln == 6, "tax_payment")
+            F.when(~final, "bank_fee").when(ln <= 4, "supplier_payment").when(ln == 5, "advertising").when(ln == 6, "tax_payment")
              .otherwise("nsf_fee").alias("category"),
+            F.concat_ws("_", F.lit("D"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("transaction_id"),
         )
-        postings = credits.unionByName(debits)
-        # Running balance (R3) with a RANGE frame means every posting of a day
-        # carries that day's closing balance. Compute it on the per-day net
-        # (bounded by days per merchant, so a hot merchant never lands its whole
-        # history in one window task) and join it back on (merchant, date).
-        daily = postings.groupBy("merchant_id", "date").agg(F.sum("amount").alias("day_net"))
-        w = Window.partitionBy("merchant_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-        closing = daily.select("merchant_id", "date",
-                               money(F.lit(10000) + F.sum("day_net").over(w)).alias("balance_after"))
-        return postings.join(closing, ["merchant_id", "date"], "inner") \
-            .select("merchant_id", "k", "date", "amount", "direction", "counterparty_name", "category",
-                    "balance_after")
+        return running_balance(credits.unionByName(debits)).select(
+            "transaction_id", "merchant_id", "k", "date", "amount", "direction", "counterparty_name", "category",
+            "balance_after", "posting_seq")
 
     @property
     def webshop(self) -> DataFrame:
@@ -316,10 +317,10 @@ class FixtureSources:
         return self._store("consents", self._build_consents)
 
     def _build_consents(self) -> DataFrame:
-        ev = self.table("events").filter(F.col("event_type").isin("signup", "error"))
+        ev = self.table("events")
         is_err = F.col("event_type") == "error"
         return ev.select(
-            F.concat(F.lit("m_"), F.lpad((F.col("user_id") % 20).cast("string"), 4, "0")).alias("merchant_id"),
+            merchant_id_of(merchant_key(F.col("user_id"))).alias("merchant_id"),
             F.when(F.col("event_id") % 3 == 0, "psd2_aisp").when(F.col("event_id") % 3 == 1, "psp_mollie")
              .otherwise("psp_adyen").alias("consent_type"),
             F.when(is_err, "REVOKED").otherwise("GRANTED").alias("action"),

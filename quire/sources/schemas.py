@@ -33,7 +33,7 @@ SCHEMAS: dict[str, T.StructType] = {
         ("requested_tenor_months", I), ("purpose", S), ("application_date", D)),
     "bank": _schema(
         ("transaction_id", S), ("merchant_id", S), ("date", D), ("amount", MONEY), ("direction", S),
-        ("counterparty_name", S), ("category", S), ("balance_after", MONEY)),
+        ("counterparty_name", S), ("category", S), ("balance_after", MONEY), ("posting_seq", L)),
     "psp": _schema(
         ("psp_transaction_id", S), ("merchant_id", S), ("psp_name", S), ("order_date", D),
         ("settlement_date", D), ("gross_amount", MONEY), ("fee_amount", MONEY), ("net_amount", MONEY),
