@@ -1,8 +1,7 @@
 """Monitoring over the decision table.
 
 All metrics are grouped aggregates; nothing iterates rows on the driver.
-Quantiles and rank-based AUC work on scores at logged precision (4 dp), so
-their working tables are bounded by 10,001 distinct score values.
+Quantiles and rank-based AUC work on exact scores, ranked bucket by bucket.
 """
 
 from __future__ import annotations
@@ -20,7 +19,8 @@ PSI_MODERATE = 0.2
 ADVERSE_IMPACT_RATIO = 0.8
 RISK_TIER_LOW = 0.20
 RISK_TIER_MEDIUM = 0.40
-SCORE_DIGITS = 4
+#: Coarse score buckets between which ranks are carried by a running sum.
+SCORE_BUCKETS = 1000
 
 APPROVED = ("APPROVE", "MANUAL_REVIEW")
 
@@ -112,35 +112,44 @@ def adverse_impact(decisions: DataFrame, merchants: DataFrame, by: str,
 
 
 # --------------------------------------------------------------------------- W11, W12, L5, L6, L10
-def _score_histogram(scored: DataFrame, score_col: str, label_col: str | None, by: list[str]) -> DataFrame:
-    s = F.round(F.col(score_col).cast("double"), SCORE_DIGITS)
+def _ranked(scored: DataFrame, score_col: str, label_col: str | None, by: list[str]) -> DataFrame:
+    """Distinct exact scores s per group, with their rows c, the rows of lower scores (below) and of the group (n).
+
+    Rows are counted by exact score, then by coarse score bucket. The running
+    sum over the buckets is a window over at most SCORE_BUCKETS rows per group;
+    inside a bucket, another window ranks its own scores only, so no window
+    holds all scores and no score is rounded."""
+    s = F.col(score_col).cast("double")
+    known = s.isNotNull() & ~F.isnan(s)
     aggs = [F.count(F.lit(1)).alias("c")]
     if label_col:
         y = F.col(label_col).cast("int")
+        known = known & y.isNotNull()
         aggs += [F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")]
-    return scored.filter(F.col(score_col).isNotNull()).groupBy(*by, s.alias("s")).agg(*aggs)
+    bucket = F.least(F.greatest(F.floor(F.col("s") * SCORE_BUCKETS), F.lit(0)), F.lit(SCORE_BUCKETS - 1))
+    hist = (scored.filter(known).groupBy(*by, s.alias("s")).agg(*aggs).withColumn("_bucket", bucket))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = (hist.groupBy(*by, "_bucket").agg(F.sum("c").alias("_c"))
+              .select(*by, "_bucket", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
+                      F.sum("_c").over(group).alias("n")))
+    inside = Window.partitionBy(*by, "_bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    return (hist.join(coarse, [*by, "_bucket"])
+            .withColumn("below", F.col("_before") + F.coalesce(F.sum("c").over(inside), F.lit(0))))
 
 
 def score_quartiles(scored: DataFrame, by: str = "decision", score_col: str = "shadow_ml_score") -> DataFrame:
-    """Mean and exact quartiles (linear interpolation) of the logged score per group."""
-    hist = _score_histogram(scored, score_col, None, [by])
-    w = Window.partitionBy(by).orderBy("s")
-    h = (hist.withColumn("cum", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-             .withColumn("n", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    units = F.round(F.col("s") * 10 ** SCORE_DIGITS).cast("long")  # integer score units: exact sums
-    aggs = [F.sum(units * F.col("c")).alias("_sum"), F.max("n").alias("n")]
+    """Mean and exact quartiles (linear interpolation) of the score per group."""
+    h = _ranked(scored, score_col, None, [by])
+    aggs = [F.sum(F.col("s") * F.col("c")).alias("_sum"), F.max("n").alias("n")]
     for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
         pos = (F.col("n") - 1).cast("double") * p
-        start = F.col("cum") - F.col("c")
-        covers = lambda r: (start <= r) & (r < F.col("cum"))
+        covers = lambda r: (F.col("below") <= r) & (r < F.col("below") + F.col("c"))
         aggs += [F.max(F.when(covers(F.floor(pos)), F.col("s"))).alias(f"{name}_lo"),
                  F.max(F.when(covers(F.ceil(pos)), F.col("s"))).alias(f"{name}_hi"),
                  F.max(pos - F.floor(pos)).alias(f"{name}_f")]
     g = h.groupBy(by).agg(*aggs)
-    # midpoints of 4-dp scores sit exactly on 4-dp ties: quartiles at 6 dp; the
-    # mean is exact units / n / 10^4 (no re-rounding onto a possible tie)
-    out = [F.col(by), F.col("n").alias("n"),
-           (F.col("_sum") / F.col("n") / float(10 ** SCORE_DIGITS)).alias("mean_score")]
+    out = [F.col(by), F.col("n").alias("n"), F.round(F.col("_sum") / F.col("n"), 6).alias("mean_score")]
     for name in ("q25", "q50", "q75"):
         lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         out.append(F.round(lo + F.col(f"{name}_f") * (hi - lo), 6).alias(name))
@@ -148,35 +157,27 @@ def score_quartiles(scored: DataFrame, by: str = "decision", score_col: str = "s
 
 
 def auc_brier(scored: DataFrame, score_col: str, label_col: str, by: list[str] | None = None) -> DataFrame:
-    """Rank-sum AUC with average ranks for ties, and Brier score.
+    """Rank-sum AUC with average ranks for ties, Brier score and positive rate of exact scores.
 
-    AUC = (sum of average ranks of positives - P(P+1)/2) / (P * N), computed
-    on a score histogram: the rank window runs over distinct logged scores
-    (at most 10,001 per group), never over raw rows."""
+    AUC = (sum of average ranks of positives - P(P+1)/2) / (P * N). All figures
+    come from one table of distinct scores; rows without score or label do not count."""
     by = by or []
-    hist = _score_histogram(scored, score_col, label_col, by)
-    w = Window.partitionBy(*by).orderBy("s")
-    h = hist.withColumn("below", F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # average rank of the tied block [below+1, below+c]
-    h = h.withColumn("avg_rank", F.col("below") + (F.col("c") + 1) / 2.0)
-    g = h.groupBy(*by).agg(F.sum(F.col("pos") * F.col("avg_rank")).alias("rank_sum_pos"),
-                           F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    auc = F.try_divide(F.col("rank_sum_pos") - F.col("P") * (F.col("P") + 1) / 2.0, dbl_(F.col("P") * F.col("N")))
-    y = F.col(label_col).cast("double")
-    p = F.round(F.col(score_col).cast("double"), SCORE_DIGITS)
-    brier = scored.groupBy(*by).agg(F.avg((p - y) * (p - y)).alias("brier"), F.avg(y).alias("default_rate"))
-    res = g.select(*by, F.when((F.col("P") > 0) & (F.col("N") > 0), F.round(auc, 6)).alias("auc"),
-                   "P", "N")
-    return res.join(brier.select(*by, F.round("brier", 6).alias("brier"), F.round("default_rate", 6)
-                                 .alias("default_rate")), by, "inner") if by else \
-        res.withColumn("_k", F.lit(1)).join(brier.select(F.round("brier", 6).alias("brier"),
-                                                         F.round("default_rate", 6).alias("default_rate"))
-                                            .withColumn("_k", F.lit(1)), "_k").drop("_k")
+    h = _ranked(scored, score_col, label_col, by)
+    rank = F.col("below") + (F.col("c") + 1) / 2.0  # average rank of the tied block [below + 1, below + c]
+    s = F.col("s")
+    g = h.groupBy(*by).agg(F.sum(F.col("pos") * rank).alias("_ranks"), F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+                           F.sum(F.col("pos") * (1 - s) * (1 - s) + F.col("neg") * s * s).alias("_squares"))
+    auc = F.try_divide(F.col("_ranks") - F.col("P") * (F.col("P") + 1) / 2.0, dbl_(F.col("P") * F.col("N")))
+    both = dbl_(F.col("P") + F.col("N"))
+    return g.select(*by, F.when((F.col("P") > 0) & (F.col("N") > 0), F.round(auc, 6)).alias("auc"), "P", "N",
+                    F.round(F.try_divide(F.col("_squares"), both), 6).alias("brier"),
+                    F.round(F.try_divide(dbl_(F.col("P")), both), 6).alias("default_rate"))
 
 
 def risk_tier(score: Column) -> Column:
-    """Low < 0.20 <= medium < 0.40 <= high."""
-    return F.when(score < RISK_TIER_LOW, "low").when(score < RISK_TIER_MEDIUM, "medium").otherwise("high")
+    """Low < 0.20 <= medium < 0.40 <= high; no score has no tier."""
+    return (F.when(score.isNull() | F.isnan(score.cast("double")), F.lit(None).cast("string"))
+            .when(score < RISK_TIER_LOW, "low").when(score < RISK_TIER_MEDIUM, "medium").otherwise("high"))
 
 
 # --------------------------------------------------------------------------- W1, W2 drift

@@ -406,14 +406,13 @@ def q_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.drift_report(ref, features(spark, sf_dir), ML_FEATURES)
 
 
-# Frozen score (c_acctbal + 1000) / 11000 at logged precision, rounded half-up in exact integer arithmetic
-_FROZEN = ("SELECT ((CAST(round(c_acctbal * 100) AS BIGINT) + 100000) * 20000 + 1100000) // 2200000 / 10000.0 AS s, "
-           "CASE WHEN c_nationkey % 5 = 0 THEN 1 ELSE 0 END AS y FROM customer WHERE c_acctbal IS NOT NULL")
+# Frozen score: a fixed function of a stored double, at full precision
+_FROZEN = ("SELECT (c_acctbal + 1000) / 11000.0 AS s, CASE WHEN c_nationkey % 5 = 0 THEN 1 ELSE 0 END AS y "
+           "FROM customer WHERE c_acctbal IS NOT NULL")
 
 
 def _frozen_score() -> "F.Column":
-    units = F.expr("((CAST(round(c_acctbal * 100) AS BIGINT) + 100000) * 20000 + 1100000) div 2200000")
-    return units / 10000.0
+    return (F.col("c_acctbal") + 1000) / F.lit(11000.0)
 
 
 @register("auc_brier_frozen", with_views(
@@ -429,13 +428,12 @@ def q_auc_brier_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("score_quartiles_frozen", with_views(
-    "SELECT tier, count(*) AS n, sum(CAST(round(s * 10000) AS BIGINT)) / count(*) / 10000.0 AS mean_score, "
-    "round(quantile_cont(s, 0.25), 6) AS q25, "
+    "SELECT tier, count(*) AS n, round(avg(s), 6) AS mean_score, round(quantile_cont(s, 0.25), 6) AS q25, "
     "round(quantile_cont(s, 0.5), 6) AS q50, round(quantile_cont(s, 0.75), 6) AS q75 FROM "
     "(SELECT s, CASE WHEN s < 0.2 THEN 'low' WHEN s < 0.4 THEN 'medium' ELSE 'high' END AS tier FROM fr) GROUP BY tier",
     {"fr": _FROZEN}))
 def q_score_quartiles_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W11 + L10: mean and exact quartiles of the logged score per risk tier (frozen scores)."""
+    """W11 + L10: mean and exact quartiles of the score per risk tier (frozen scores)."""
     c = fx(spark, sf_dir).table("customer").filter(F.col("c_acctbal").isNotNull())
     s = _frozen_score()
     scored = c.select(s.alias("shadow_ml_score"), M.risk_tier(s).alias("tier"))
@@ -444,11 +442,15 @@ def q_score_quartiles_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- scorecard + cases (D, J17)
 from quire.operators import scorecard as SC  # noqa: E402
+from quire.operators.policy import GATES  # noqa: E402
 
 
 def _card_sql() -> str:
     parts = []
-    for (pos, name, label, source, kind, fmt, scored, green, red, text) in SC.resolve_signals():
+    bounds = {f: (g, r, k) for f, (g, r, k) in SC.DISPLAY_ONLY_THRESHOLDS.items()} | {f: (g, r, k) for f, g, r, k, _ in GATES}
+    patterns = {fmt: (pattern, factor) for fmt, pattern, factor in SC.THRESHOLD_FORMATS}
+    for pos, (name, label, source, fmt, scored) in enumerate(SC.DASHBOARD_SIGNALS, 1):
+        green, red, kind = bounds.get(name, (None, None, None))
         lab = label.replace("'", "''")
         if fmt == "bool":
             status = f"CASE WHEN {name} IS NULL THEN 'none' WHEN {name} THEN 'green' ELSE 'red' END"
@@ -467,10 +469,19 @@ def _card_sql() -> str:
             disp = f"CASE WHEN {v} IS NULL THEN '—' ELSE {body} END"
             val = f"round({v}, 6)"
             flag = "CAST(NULL AS BOOLEAN)"
-        t = text.replace("'", "''")
+        if fmt == "bool":
+            text = f"'{SC.FLAG_TEXT}'"
+        else:
+            pattern, factor = patterns[fmt]
+            word = [f"CAST(CAST({x} AS DOUBLE) AS VARCHAR)" if pattern == "%s" else f"printf('{pattern}', {x} * {factor})"
+                    for x in (green, red)]
+            sign = "≤", ">"
+            if kind == "inverted":
+                sign = "≥", "<"
+            text = f"'Green {sign[0]} ' || {word[0]} || '  ·  Red {sign[1]} ' || {word[1]}"
         parts.append(f"SELECT application_id, merchant_id, {pos} AS position, '{name}' AS name, '{lab}' AS label, "
                      f"'{source}' AS source, {str(scored).lower()} AS scored, {val} AS value, {flag} AS flag, "
-                     f"{status} AS status, {disp} AS display_value, '{t}' AS thresholds FROM feat")
+                     f"{status} AS status, {disp} AS display_value, {text} AS thresholds FROM feat")
     return " UNION ALL ".join(parts)
 
 

@@ -39,3 +39,38 @@ def test_partitioning_does_not_change_features(spark):
     b = compute_features(shuffled, FIXTURE_AS_OF)
     rnd = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())  # noqa
     assert rnd(a) == rnd(b)
+
+
+def test_long_keys_stay_apart(spark):
+    from pyspark.sql import functions as F
+
+    from quire.sources.adapters import merchant_id_of
+    keys = spark.createDataFrame([(7,), (1000,), (10000,), (10009,), (123456,)], "k long")
+    got = [r[0] for r in keys.select(merchant_id_of(F.col("k"))).collect()]
+    assert got == ["m_0007", "m_1000", "m_10000", "m_10009", "m_123456"]
+
+
+def test_closing_balance_is_the_last_posting(spark):
+    import datetime as dt
+
+    from quire.operators.reconcile import daily_closing_balance, running_balance
+    day = [dt.date(2001, 7, d) for d in (1, 2, 3)]
+    rows = [("m", d, t, a) for d, entries in zip(day, [[("a", 500), ("b", -11000)], [("a", 800), ("b", -900)], [("a", 100),
+            ("b", -200), ("c", None)]]) for t, a in entries]
+    posted = running_balance(spark.createDataFrame(rows, "merchant_id string, date date, transaction_id string, "
+                                                         "amount decimal(18,2)"))
+    balances = {(r["date"].day, r["transaction_id"]): float(r["balance_after"]) for r in posted.collect()}
+    assert balances[1, "a"] == 10500 and balances[1, "b"] == -500 and balances[2, "a"] == 300 and balances[2, "b"] == -600
+    closing = {r["date"].day: float(r["closing_balance"]) for r in daily_closing_balance(posted, day[2]).collect()}
+    assert closing == {1: -500, 2: -600, 3: -700}
+
+
+def test_auc_and_quartiles_of_close_scores(spark):
+    from quire.operators import monitor as M
+    scored = spark.createDataFrame([(0.12341, 0), (0.12342, 0), (0.12343, 1), (0.12344, 1), (None, 1), (0.5, None)],
+                                   "score double, label int")
+    r = M.auc_brier(scored, "score", "label").first()
+    assert r["auc"] == 1.0 and (r["P"], r["N"]) == (2, 2)
+    q = M.score_quartiles(scored.where("label is not null").selectExpr("'x' as decision", "score as shadow_ml_score")).first()
+    assert q["n"] == 4 and abs(q["q50"] - 0.123425) < 1e-6
+    assert scored.where("score is null").select(M.risk_tier(scored["score"])).first()[0] is None
