@@ -14,7 +14,9 @@ from pyspark.sql.types import StructField, StructType
 from quire.session import write_table
 
 #: Text bytes that one slice of an Arrow batch holds (a single longer text makes a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of the Arrow batches that Spark sends to Python workers; Spark's own bound suits short rows.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return write_table(df, f"llm-{name}")
 
 
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow``, in a session whose batches are bounded for long texts (the setting stays)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds at most ``limit`` bytes in each, one row at least."""
     for batch in batches:
@@ -67,7 +75,7 @@ def with_text_columns(df: DataFrame, text_col: str, added: list[StructField],
             yield pa.RecordBatch.from_arrays([*batch.columns, *compute(raw_texts(batch, at))], names=names)
 
     fields = [StructField(n, f.dataType) for n, f in zip(names[len(plain.columns):], added)]
-    return plain.mapInArrow(run, StructType([*plain.schema.fields, *fields])).toDF(
+    return map_batches(plain, run, StructType([*plain.schema.fields, *fields])).toDF(
         *df.columns, *[f.name for f in added])
 
 
@@ -79,7 +87,7 @@ def where_text(df: DataFrame, text_col: str, keep: Callable[[str], bool]) -> Dat
         for batch in slices(batches, at):
             yield batch.filter(pa.array([keep(t) for t in texts(batch, at)], pa.bool_()))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+    return map_batches(plain, run, plain.schema).toDF(*df.columns)
 
 
 def crc32_of_id(column: str = "doc_id"):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quire.llm.common import slices, texts, where_text
+from quire.llm.common import map_batches, slices, texts, where_text
 
 #: Characters of a q-gram, of a window, and between the starts of two windows.
 Q, WINDOW, STRIDE = 9, 120, 60
@@ -251,7 +251,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 kind = [to_arrow_type(kinds[0]), to_arrow_type(kinds[1])] + [pa.int64()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kind)],
                                                  names=["doc_id", "item_id", "start", "end", "edits"])
-        out = out.unionByName(src.mapInArrow(run, schema))
+        out = out.unionByName(map_batches(src, run, schema))
     return out
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quire.llm.common import raw_texts, slices, stored
+from quire.llm.common import map_batches, raw_texts, slices, stored
 
 ORDER, BACKOFF, SEED = 3, 0.4, 42
 #: Share of the documents that is read to find n-grams too frequent for one partition, and how many rows make one so,
@@ -151,7 +151,7 @@ def rows(docs: DataFrame, order: int, top: int, counts: bool, asks: bool, hot: d
                 [pa.array(columns[0]), doc, pa.array(own), *map(pa.array, columns[1:]), pa.array(known)],
                 names=["gram", "doc", "asks", "n", "pos", "neg", "words", "singles", "known"])
 
-    return docs.mapInArrow(run, ROW.format(kind.simpleString()))
+    return map_batches(docs, run, ROW.format(kind.simpleString()))
 
 
 def hot_counts(reference: DataFrame, order: int, top: int) -> dict[int, int]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer, pre_tokenizers
 
-from quire.llm.common import raw_texts, slices
+from quire.llm.common import map_batches, raw_texts, slices
 
 WINDOW = 2048
 END_ID = 1
@@ -36,8 +36,8 @@ SENTENCE_PENALTY, HARD_PENALTY = 16, 64
 HARD_STEP = 64
 #: Tokens that are packed at once; the last window of a block moves on into the next.
 BLOCK = 1 << 20
-#: Words in the cache; with more, it is emptied before the next batch.
-CACHE_WORDS = 800_000
+#: Words, and words without punctuation, in the caches; with more, a cache is emptied before the next batch.
+CACHE_WORDS, CACHE_STEMS = 600_000, 100_000
 SENTENCE_ENDS = (".", "!", "?")
 
 
@@ -122,6 +122,8 @@ class Encoder:
             return [np.array(e.ids, np.int32) for e in whole]
         if len(self.number) > CACHE_WORDS:
             self._clear()
+        if len(self.stems) > CACHE_STEMS:
+            self.stems.clear()
         known = len(self.number)
         at = [np.array(list(map(self.number.__getitem__, t.split())), np.int64) for t in batch]
         if len(self.number) > known:
@@ -275,5 +277,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 yield from rows(packer.flush(False))
         yield from rows(packer.flush(True))
 
-    return src.mapInArrow(run, f"doc_id {kind.simpleString()}, start long, length long, doc_tokens long, sequence_id long, "
+    return map_batches(src, run, f"doc_id {kind.simpleString()}, start long, length long, doc_tokens long, sequence_id long, "
                                "offset long, ids binary")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import raw_texts, slices, stored
+from quire.llm.common import map_batches, raw_texts, slices, stored
 from quire.llm.components import connected_components
 
 BITS = 64
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = _fingerprints([shingle_hashes(t, shingle) for t in raw_texts(batch, "text")])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp)], names=["id", "fp"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp long")
+    return map_batches(src, run, f"id {src.schema['id'].dataType.simpleString()}, fp long")
 
 
 def _signed(mask: int) -> int:
