@@ -1,10 +0,0 @@
-"""quire: portfolio-wide merchant credit underwriting on Spark.
-
-Every operator takes DataFrames in the canonical schemas of
-``quire.sources.schemas`` and returns a DataFrame; nothing is computed per
-merchant on the driver.
-"""
-
-from quire.session import get_session, materialize  # noqa: F401
-
-__all__ = ["get_session", "materialize"]

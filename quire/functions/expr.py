@@ -15,10 +15,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def lit_date(d: dt.date) -> Column:
-    return F.lit(d)
-
-
 def cutoff(as_of: dt.date, days: int) -> dt.date:
     return as_of - dt.timedelta(days=days)
 
@@ -28,10 +24,6 @@ def in_window(date_col: Column, as_of: dt.date, days: int) -> Column:
     return date_col >= F.lit(cutoff(as_of, days))
 
 
-def when_in(cond: Column, value: Column) -> Column:
-    return F.when(cond, value)
-
-
 def dbl(c: Column) -> Column:
     return c.cast("double")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,7 +68,9 @@ def load_decision_log(spark: SparkSession, path: str) -> DataFrame:
     """The whole log with reason codes parsed; empty frame when absent."""
     try:
         df = spark.read.schema(DECISION_LOG_SCHEMA).parquet(path)
-    except Exception:  # absent table: an empty log, as specified
+    except AnalysisException as e:  # absent table: an empty log, as specified
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         df = spark.createDataFrame([], DECISION_LOG_SCHEMA)
     return df.withColumn("reason_codes_list", F.from_json("reason_codes", "array<string>"))
 

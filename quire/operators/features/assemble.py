@@ -20,18 +20,13 @@ from quire.operators.features.registry import DEFAULTS, FEATURE_COLUMNS, with_de
 from quire.operators.features.sources_gmak import (accounting_feature_columns, accounting_stats,
                                                    kyc_feature_columns, kyc_stats, marketplace_feature_columns,
                                                    marketplace_stats, webshop_feature_columns, webshop_stats)
-from quire.sources.schemas import SCHEMAS
+from quire.sources.registry import empty_source, without_nan
 
 # Fixed value: days per month used for trading history.
 DAYS_PER_MONTH = 30.44
 RECON_MAX_DELTA = 0.20
 
 
-def empty_source(spark: SparkSession, name: str) -> DataFrame:
-    """An absent optional source is an empty frame with the canonical schema."""
-    return spark.createDataFrame([], SCHEMAS[name])
-
-
 def spine(merchants: DataFrame, applications: DataFrame) -> DataFrame:
     """Applications joined to the first merchant row per merchant_id (inner)."""
     # first row by (company_name, kvk_number): a partial aggregate, not a per-merchant window
@@ -45,7 +40,7 @@ def spine(merchants: DataFrame, applications: DataFrame) -> DataFrame:
 
 def family_stats(sources: dict[str, DataFrame], as_of: dt.date) -> dict[str, DataFrame]:
     spark = sources["merchants"].sparkSession
-    get = lambda n: sources.get(n) if sources.get(n) is not None else empty_source(spark, n)
+    get = lambda n: without_nan(sources[n]) if sources.get(n) is not None else empty_source(spark, n)
     return {
         "bank": bank_stats(get("bank"), as_of),
         "psp": psp_stats(get("psp"), as_of),
@@ -119,6 +114,11 @@ def compute_features(sources: dict[str, DataFrame], as_of: dt.date, apply_defaul
     return j.select(*out)
 
 
+def defaulted(raw: DataFrame) -> DataFrame:
+    """A raw feature table with the registry's defaults; one projection."""
+    return raw.select(*[with_default(c, F.col(c)).alias(c) if c in FEATURE_COLUMNS else F.col(c) for c in raw.columns])
+
+
 def family_features(sources: dict[str, DataFrame], as_of: dt.date, family: str) -> DataFrame:
     """One family's raw features (before defaults) for every application."""
     j = joined_stats(sources, as_of)

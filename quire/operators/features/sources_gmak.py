@@ -113,8 +113,10 @@ def marketplace_feature_columns() -> dict[str, Column]:
     orders = c("mp_orders")
     f = {
         "marketplace_account_health_avg": c("mp_health_avg"),
-        "marketplace_account_health_trend": slope_normalized_observed(c("mp_health_n"), c("mp_health_slope"),
-                                                                      c("mp_health_avg")),
+        # a month without a value leaves the trend to its default
+        "marketplace_account_health_trend": F.when(
+            c("mp_health_n") == c("mp_n180"),
+            slope_normalized_observed(c("mp_health_n"), c("mp_health_slope"), c("mp_health_avg"))),
         "marketplace_payout_hold_flag": F.when(c("mp_n90") > 0, F.coalesce(c("mp_hold90") == 1, F.lit(False)))
                                          .otherwise(F.lit(True)),
         "marketplace_late_shipment_rate": F.when(orders > 0, dbl(c("mp_late")) / dbl(orders)).otherwise(F.lit(0.20)),
@@ -160,7 +162,9 @@ def accounting_feature_columns() -> dict[str, Column]:
     rev = dbl(c("acc_rev"))
     f = {
         "gross_margin_avg_6m": c("acc_gm_avg"),
-        "gross_margin_trend": slope_normalized_observed(c("acc_gm_n"), c("acc_gm_slope"), c("acc_gm_avg")),
+        "gross_margin_trend": F.when(
+            c("acc_gm_n") == c("acc_n180"),
+            slope_normalized_observed(c("acc_gm_n"), c("acc_gm_slope"), c("acc_gm_avg"))),
         "ebitda_margin_avg": F.when(rev > 0, dbl(c("acc_ebitda")) / rev).otherwise(F.lit(0.0)),
         "vat_punctuality": F.when(c("acc_due_n") > 0, c("acc_vat")).otherwise(F.lit(1.0)),
         "ap_days_avg": c("acc_ap"),

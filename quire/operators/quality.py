@@ -43,9 +43,11 @@ def _checks(src: str, df: DataFrame) -> list[tuple[str, str, Column, float, str]
     """(check, subject, aggregate value, threshold, comparison) for one source."""
     out: list[tuple[str, str, Column, float, str]] = []
     cols = set(df.columns)
+    floats = {n for n, t in df.dtypes if t in ("double", "float")}
     for c in NULL_CHECK_COLUMNS.get(src, []):
         if c in cols:
-            out.append(("null_rate", c, F.avg(F.col(c).isNull().cast("double")), NULL_RATE_MAX, "le"))
+            missing = F.col(c).isNull() | F.isnan(c) if c in floats else F.col(c).isNull()
+            out.append(("null_rate", c, F.avg(missing.cast("double")), NULL_RATE_MAX, "le"))
     if src in ENUM_DOMAINS and ENUM_DOMAINS[src][0] in cols:
         c, allowed = ENUM_DOMAINS[src]
         bad = F.col(c).isNull() | ~F.col(c).isin(*allowed)
@@ -99,5 +101,6 @@ def feature_missing_alerts(raw_features: DataFrame, threshold: float = FEATURE_M
     return (long.filter(F.col("missing_pct") > threshold)
             .select("feature", F.round("missing_pct", 3).alias("missing_pct"),
                     F.lit("DATA_QUALITY_ALERT").alias("status"),
+                    # Fixed value: the alert's text.
                     F.format_string("Feature '%s' has %.1f%% missing. Investigate data source before using in "
                                     "production.", F.col("feature"), F.col("missing_pct") * 100).alias("action")))

@@ -86,7 +86,8 @@ def monthly_bank_facts(bank: DataFrame, as_of: dt.date) -> DataFrame:
 def accounting_derived(accounting: DataFrame, bank: DataFrame, as_of: dt.date) -> DataFrame:
     """R4-R7 over the accounting month grid: bank revenue (0 when no credits),
     month-end cash (0.0 when no postings), quarterly VAT due, P&L derivations."""
-    acc = accounting.filter(F.col("month") <= F.lit(as_of))
+    acc = (accounting.filter(F.col("month") <= F.lit(as_of))
+           .select("merchant_id", "month", "gross_revenue", "cogs", "ebitda", "ar_days", "ap_days"))
     facts = monthly_bank_facts(bank, as_of)
     j = acc.join(facts, ["merchant_id", "month"], "left")
     rev = F.col("gross_revenue")

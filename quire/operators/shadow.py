@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
                                        LogisticRegressionModel)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.operators.features.registry import ML_FEATURES
@@ -36,8 +37,20 @@ LOGISTIC_MAX_ITER = 1000
 LOGISTIC_TOL = 1e-4
 
 
-def fold_of(id_col: Column, k: int = CALIBRATION_FOLDS, seed: int = SEED) -> Column:
-    return F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(k)).cast("int")
+def stratified_rank(frame: DataFrame, seed: int = SEED) -> DataFrame:
+    """``frame`` with _rank, the row's place among its label by a hash of merchant_id, and _n, that label's rows.
+
+    Rows are counted per label and hash bucket, a running sum over at most 256 buckets carries the counts, and
+    rows are ranked inside their bucket, so no window holds a whole class."""
+    mixed = frame.withColumn("_hash", F.md5(F.concat("merchant_id", F.lit(f":{seed}")))) \
+        .withColumn("_part", F.substring("_hash", 1, 2))
+    before = Window.partitionBy("label").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (mixed.groupBy("label", "_part").agg(F.count(F.lit(1)).alias("_c"))
+              .select("label", "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
+                      F.sum("_c").over(Window.partitionBy("label")).alias("_n")))
+    inside = F.row_number().over(Window.partitionBy("label", "_part").orderBy("_hash", "merchant_id"))
+    return (mixed.join(counts, ["label", "_part"])
+            .withColumn("_rank", F.col("_before") + inside - 1).drop("_hash", "_part", "_before"))
 
 
 def training_frame(features: DataFrame, merchants: DataFrame) -> DataFrame:
@@ -113,13 +126,22 @@ def _base_estimator(model_type: str, n_trees: int, depth: int, lr: float, seed:
     raise ValueError(f"Unknown model_type: {model_type}")
 
 
+def _sigmoid(margins: DataFrame) -> tuple[float, float]:
+    """Slope and intercept of the logistic of label on margin. Rows of one class say nothing about it: the margin
+    then stands as a logit (only where the class has fewer rows than there are folds)."""
+    if margins.select("label").distinct().count() < 2:
+        return 1.0, 0.0
+    platt = LogisticRegression(featuresCol="_m", labelCol="label", regParam=0.0).fit(margins)
+    return float(platt.coefficients[0]), float(platt.intercept)
+
+
 def train_shadow(frame: DataFrame, n_trees: int = N_ESTIMATORS, depth: int = MAX_DEPTH,
                  lr: float = LEARNING_RATE, seed: int = SEED, folds: int = CALIBRATION_FOLDS,
                  model_type: str = "gbm", max_iter: int = LOGISTIC_MAX_ITER) -> ShadowModel:
     """5 calibrated fold models, out-of-fold AUC / Brier, mean importances
     (tree importances, or |coefficients| for the logistic base model)."""
-    data = VectorAssembler(inputCols=ML_FEATURES, outputCol="_x").transform(frame) \
-        .withColumn("_fold", fold_of(F.col("merchant_id"), folds, seed)) \
+    data = VectorAssembler(inputCols=ML_FEATURES, outputCol="_x").transform(stratified_rank(frame, seed)) \
+        .withColumn("_fold", (F.col("_rank") % folds).cast("int")) \
         .withColumn("_w", _balanced_weights(frame)) \
         .select("merchant_id", "label", "_x", "_fold", "_w").persist()
     n_rows = data.count()
@@ -131,17 +153,15 @@ def train_shadow(frame: DataFrame, n_trees: int = N_ESTIMATORS, depth: int = MAX
         margin = gbt.transform(test).select("merchant_id", "label", "_fold",
                                             vector_to_array("rawPrediction")[1].alias("m"))
         m_vec = VectorAssembler(inputCols=["m"], outputCol="_m").transform(margin)
-        if m_vec.select("label").distinct().count() > 1:
-            platt = LogisticRegression(featuresCol="_m", labelCol="label", regParam=0.0).fit(m_vec)
-            a, b = float(platt.coefficients[0]), float(platt.intercept)
-        else:  # a fold with one class cannot be calibrated: keep the tree margin as a logit
-            a, b = 1.0, 0.0
         trees.append(gbt)
-        calib.append((a, b))
-        oof.append(margin.withColumn("p", 1.0 / (1.0 + F.exp(-(F.lit(a) * F.col("m") + F.lit(b))))))
-    scored = oof[0]
-    for o in oof[1:]:
-        scored = scored.unionByName(o)
+        calib.append(_sigmoid(m_vec))
+        oof.append(m_vec.persist())
+    margins = reduce(DataFrame.unionByName, oof)
+    scored = []
+    for k in range(folds):  # judged with a sigmoid that has not seen the fold
+        a, b = _sigmoid(margins.filter(F.col("_fold") != k))
+        scored.append(oof[k].withColumn("p", 1.0 / (1.0 + F.exp(-(F.lit(a) * F.col("m") + F.lit(b))))))
+    scored = reduce(DataFrame.unionByName, scored)
     per_fold = auc_brier(scored, "p", "label", by=["_fold"]).collect()  # one row per fold
     aucs = [r["auc"] for r in per_fold if r["auc"] is not None]
     briers = [r["brier"] for r in per_fold]
@@ -152,11 +172,13 @@ def train_shadow(frame: DataFrame, n_trees: int = N_ESTIMATORS, depth: int = MAX
         vec = t.featureImportances.toArray() if model_type == "gbm" else abs(t.coefficients.toArray())
         for i, v in enumerate(vec):
             imps[i] += float(v) / len(trees)
-    data.unpersist()
+    for o in (data, *oof):
+        o.unpersist()
     metrics = {"auc_cv_mean": round(mean(aucs), 4) if aucs else None,
                "auc_cv_std": round(std(aucs), 4) if aucs else None,
                "brier_cv_mean": round(mean(briers), 4) if briers else None,
                "n_samples": n_rows, "folds": folds, "n_trees": n_trees, "model_type": model_type,
+               # Fixed value: the note.
                "note": "SHADOW ONLY - calibrated P(default), logged not used for decisions"}
     return ShadowModel(trees, calib, imps, metrics)
 
@@ -173,9 +195,10 @@ def importances_frame(spark: SparkSession, model: ShadowModel, labels: dict[str,
 
 
 def holdout_split(frame: DataFrame, share: float = HOLDOUT_SHARE, seed: int = SEED) -> DataFrame:
-    """Deterministic hash split, about ``share`` of every label class held out."""
-    u = F.pmod(F.xxhash64(F.col("merchant_id"), F.lit(seed)), F.lit(10000)) / 10000.0
-    return frame.withColumn("split", F.when(u < share, "holdout").otherwise("train"))
+    """``share`` of every label class, rounded, is held out: the first by a hash of merchant_id."""
+    held = F.col("_rank") < F.round(F.col("_n") * share)
+    return (stratified_rank(frame, seed).withColumn("split", F.when(held, "holdout").otherwise("train"))
+            .drop("_rank", "_n"))
 
 
 def holdout_evaluation(frame: DataFrame, share: float = HOLDOUT_SHARE, seed: int = SEED, **train_args) -> DataFrame:

@@ -39,7 +39,7 @@ FROM v_merchants""",
     "v_psp": f"""
 SELECT b.*, CAST(gross_amount - fee_amount AS DECIMAL(18,2)) AS net_amount,
   CASE WHEN status='paid' THEN CAST(0 AS DECIMAL(18,2)) ELSE gross_amount END AS refund_amount
-FROM (SELECT concat('m_', {_padded(_K)}) AS merchant_id,
+FROM (SELECT concat_ws('_', 'P', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS psp_transaction_id, concat('m_', {_padded(_K)}) AS merchant_id,
   {_K} AS k,
   CASE WHEN l_linenumber%2=0 THEN 'mollie' ELSE 'adyen' END AS psp_name,
   CAST(l_shipdate AS DATE) AS order_date, CAST(l_shipdate AS DATE) + CAST(1 + l_partkey%9 AS INT) AS settlement_date,
@@ -68,7 +68,7 @@ FROM (
     concat_ws('_', 'D', l_orderkey, l_linenumber, l_partkey, l_suppkey)
   FROM lineitem WHERE CAST(l_shipdate AS DATE) <= DATE '2001-08-01') p""",
     "v_webshop": f"""
-SELECT concat('m_', {_padded(_K)}) AS merchant_id, CAST(l_shipdate AS DATE) AS order_date,
+SELECT concat_ws('_', 'O', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS order_id, concat('m_', {_padded(_K)}) AS merchant_id, CAST(l_shipdate AS DATE) AS order_date,
   CASE l_linenumber%3 WHEN 0 THEN 'website' WHEN 1 THEN 'mobile_app' ELSE 'api' END AS channel,
   CAST(l_extendedprice AS DECIMAL(18,2)) AS gross_amount, CAST(round(CAST(l_extendedprice AS DECIMAL(18,2))*CAST(l_discount AS DECIMAL(4,2)),2) AS DECIMAL(18,2)) AS discount_amount,
   CAST(l_quantity AS INT) AS item_count, concat('sku_', CAST(l_partkey%40 AS VARCHAR)) AS sku_id,
@@ -87,18 +87,24 @@ SELECT m.merchant_id, m.primary_marketplace AS marketplace, CAST(date_trunc('mon
 FROM v_psp p JOIN v_merchants m ON p.merchant_id=m.merchant_id WHERE m.primary_marketplace IS NOT NULL
 GROUP BY m.merchant_id, m.primary_marketplace, p.k, CAST(date_trunc('month', order_date) AS DATE)""",
     "v_accounting": """
-SELECT merchant_id, month, gross_revenue, gross_margin, CAST(round(gross_revenue*(1-gross_margin),2) AS DECIMAL(18,2)) AS cogs,
-  CAST(round(gross_revenue*(gross_margin-0.12),2) AS DECIMAL(18,2)) AS ebitda,
+SELECT *, CAST(gross_revenue - cogs AS DECIMAL(18,2)) AS gross_profit, CAST(gross_revenue - cogs - ebitda AS DECIMAL(18,2)) AS total_opex,
+  CAST((CAST(round(gross_revenue*100) AS BIGINT)*CAST(ar_days AS BIGINT)*2 + 30)//60/100.0 AS DECIMAL(18,2)) AS accounts_receivable,
+  CAST((CAST(round(cogs*100) AS BIGINT)*CAST(ap_days AS BIGINT)*2 + 30)//60/100.0 AS DECIMAL(18,2)) AS accounts_payable,
+  CAST(round(gross_revenue*0.21,2) AS DECIMAL(18,2)) AS btw_accrued,
+  CASE WHEN btw_paid_on_time THEN btw_due ELSE CAST(0 AS DECIMAL(18,2)) END AS btw_paid
+FROM (SELECT merchant_id, month, gross_revenue, gross_margin, CAST(round(gross_revenue*(1-gross_margin),2) AS DECIMAL(18,2)) AS cogs,
+  CAST(round(gross_revenue*(gross_margin-0.12),2) AS DECIMAL(18,2)) AS ebitda, cash_balance,
   CASE WHEN month(month) IN (1,4,7,10) THEN CAST(round(gross_revenue*0.21,2) AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END AS btw_due,
   NOT (k%6=0 AND month(month)=7) AS btw_paid_on_time, CAST(round(gross_revenue*0.03,2) AS DECIMAL(18,2)) AS owner_draws,
   CAST(15 + k%40 AS DOUBLE) AS ap_days, CAST(5 + k%20 AS DOUBLE) AS ar_days,
   CASE WHEN bank_revenue > 0 THEN round(CAST(gross_revenue-bank_revenue AS DOUBLE)/CAST(bank_revenue AS DOUBLE),4) ELSE 0.0 END AS revenue_bank_delta
 FROM (SELECT merchant_id, k, CAST(date_trunc('month', date) AS DATE) AS month, sum(amount) AS bank_revenue,
+    arg_max(balance_after, (date - DATE '1970-01-01') * 4294967296 + posting_seq) AS cash_balance,
     CAST(round(sum(amount)*CASE WHEN k%10=0 THEN 1.20 ELSE 1.01 END,2) AS DECIMAL(18,2)) AS gross_revenue,
     CAST(0.10 + 0.05*(k%10) AS DECIMAL(6,2)) AS gross_margin
-  FROM v_bank WHERE direction='CREDIT' AND k%9<>8 GROUP BY merchant_id, k, CAST(date_trunc('month', date) AS DATE)) t""",
+  FROM v_bank WHERE direction='CREDIT' AND k%9<>8 GROUP BY merchant_id, k, CAST(date_trunc('month', date) AS DATE)) t) u""",
     "v_kyc": """
-SELECT merchant_id, kvk_number, kvk_active AS kvk_verified, k%11<>10 AS ubo_director_match, k%4<>3 AS ubo_verified, false AS pep_match,
+SELECT merchant_id, kvk_number, concat('Owner of ', company_name) AS ubo_name, kvk_active AS kvk_verified, k%11<>10 AS ubo_director_match, k%4<>3 AS ubo_verified, false AS pep_match,
   sanctions_hit AS sanctions_match, CAST(k%4 AS INT) AS identity_changes_12m, DATE '2001-08-01' - CAST(30 + (k*53)%700 AS INT) AS last_kyc_date,
   CASE k%3 WHEN 0 THEN 'basic' WHEN 1 THEN 'enhanced' ELSE 'full' END AS verification_level
 FROM v_merchants WHERE NOT ghost""",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators.features.assemble import FAMILY_FEATURES, compute_features, family_features
+from quire.operators.features.assemble import FAMILY_FEATURES, compute_features, defaulted, family_features
 from quire.operators.features.registry import BOOL_FEATURES, FEATURE_COLUMNS, INT_FEATURES, PASS_THROUGH
 from quire.plans.catalog import register, round_doubles, sql_round
 from quire.plans.fixture_sql import with_views
@@ -37,7 +37,13 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir, "features", lambda: compute_features(fx(spark, sf_dir).sources(), AS_OF))
+    return defaulted(raw_features(spark, sf_dir))
+
+
+def raw_features(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
+    """Feature snapshots before defaults, stored once for each as-of date."""
+    return _stored(spark, sf_dir, f"features-{as_of.isoformat()}",
+                   lambda: compute_features(fx(spark, sf_dir).sources(), as_of, apply_defaults=False))
 
 
 def _kind(n: str) -> str:
@@ -64,19 +70,21 @@ SCAN_COLUMNS = {
                                          "requested_tenor_months", "purpose", "application_date"]),
     "bank": ("v_bank", ["transaction_id", "merchant_id", "date", "amount", "direction", "counterparty_name", "category",
                         "balance_after", "posting_seq"]),
-    "psp": ("v_psp", ["merchant_id", "psp_name", "order_date", "settlement_date", "gross_amount", "fee_amount",
+    "psp": ("v_psp", ["psp_transaction_id", "merchant_id", "psp_name", "order_date", "settlement_date", "gross_amount", "fee_amount",
                       "net_amount", "status", "refund_amount", "payment_method", "buyer_id", "dispute_outcome"]),
-    "webshop": ("v_webshop", ["merchant_id", "order_date", "channel", "gross_amount", "discount_amount",
+    "webshop": ("v_webshop", ["order_id", "merchant_id", "order_date", "channel", "gross_amount", "discount_amount",
                               "item_count", "sku_id", "status", "fulfillment_days", "is_repeat_customer",
                               "customer_id"]),
     "marketplace": ("v_marketplace", ["merchant_id", "marketplace", "month", "gmv", "order_count",
                                       "cancelled_count", "late_shipment_count", "return_count",
                                       "negative_feedback_count", "account_health_score", "payout_hold_active",
                                       "payout_lag_days", "policy_violation_count", "marketplace_gmv_share"]),
-    "accounting": ("v_accounting", ["merchant_id", "month", "gross_revenue", "gross_margin", "cogs", "ebitda",
+    "accounting": ("v_accounting", ["merchant_id", "month", "gross_revenue", "gross_margin", "cogs", "gross_profit",
+                                    "total_opex", "ebitda", "accounts_receivable", "accounts_payable",
+                                    "cash_balance", "btw_accrued", "btw_paid",
                                     "btw_due", "btw_paid_on_time", "owner_draws", "ap_days", "ar_days",
                                     "revenue_bank_delta"]),
-    "kyc": ("v_kyc", ["merchant_id", "kvk_number", "kvk_verified", "ubo_director_match", "ubo_verified",
+    "kyc": ("v_kyc", ["merchant_id", "kvk_number", "ubo_name", "kvk_verified", "ubo_director_match", "ubo_verified",
                       "pep_match", "sanctions_match", "identity_changes_12m", "last_kyc_date",
                       "verification_level"]),
     "consents": ("v_consents", ["merchant_id", "consent_type", "action", "event_ts", "event_id", "expires_at"]),
@@ -225,7 +233,7 @@ ALERT_SELECT = [("feature", "s"), ("missing_pct", "d"), ("status", "s")]
         for n in FEATURE_COLUMNS if n not in BOOL_FEATURES) + ") WHERE p > 0.2"))
 def q_feature_missing_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8: numeric features (before defaults) missing in more than 20% of applications."""
-    raw = compute_features(fx(spark, sf_dir).sources(), AS_OF, apply_defaults=False)
+    raw = raw_features(spark, sf_dir)
     return Q.feature_missing_alerts(raw.select(*FEATURE_COLUMNS)).select("feature", "missing_pct", "status")
 
 
@@ -401,8 +409,7 @@ def _drift_oracle() -> str:
 @register("drift_report", _drift_oracle())
 def q_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PSI per model feature, portfolio a year earlier vs now."""
-    src = fx(spark, sf_dir).sources()
-    ref = compute_features(src, REFERENCE_AS_OF)
+    ref = defaulted(raw_features(spark, sf_dir, REFERENCE_AS_OF))
     return M.drift_report(ref, features(spark, sf_dir), ML_FEATURES)
 
 
@@ -645,9 +652,12 @@ def q_feature_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SH.importances_frame(spark, shadow_model(spark, sf_dir), labels)
 
 
-@register("holdout_split")
+@register("holdout_split", _oracle(
+    "SELECT split, label, count(*) AS n FROM (SELECT label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY "
+    f"md5(concat(merchant_id, ':{SH.SEED}')), merchant_id) <= round(count(*) OVER (PARTITION BY label) * {SH.HOLDOUT_SHARE}) "
+    "THEN 'holdout' ELSE 'train' END AS split FROM tf) GROUP BY split, label", {"tf": _TRAIN_SQL}))
 def q_holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deterministic 70/30 hash split of the training frame with per-class counts (rows-only)."""
+    """Deterministic stratified 70/30 split of the training frame with per-class counts."""
     frame = SH.training_frame(features(spark, sf_dir), fx(spark, sf_dir).merchants)
     return SH.holdout_split(frame).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
 

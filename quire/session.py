@@ -42,8 +42,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when it is unset (local runs, tests) fall
-    back to a fresh scratch folder."""
+    ``spark.checkpoint.dir``. Where it is unset, a run on one machine gets a
+    fresh scratch folder; on a cluster, executors would each write to their own
+    disk, so that is an error."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -52,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
+    if sc.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="quire-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     return local
@@ -65,13 +68,3 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{base}/quire-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint dir.
-
-    Used for tables consumed by several downstream jobs (the feature table
-    feeds policy, model, drift and scorecard); a lost executor then re-reads
-    the checkpoint instead of recomputing the whole scan + aggregation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)

@@ -54,6 +54,11 @@ def merchant_id_of(k: Column) -> Column:
     return F.concat(F.lit("m_"), padded(k))
 
 
+def line_id(kind: str) -> Column:
+    """A line's identity; its four keys are unique together."""
+    return F.concat_ws("_", F.lit(kind), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
 class FixtureSources:
     """Lazy canonical views over one scale-factor directory."""
 
@@ -144,6 +149,7 @@ class FixtureSources:
         ln = F.col("l_linenumber")
         is_cb = pk % 150 == 0
         base = j.select(
+            line_id("P").alias("psp_transaction_id"),
             merchant_id_of(k).alias("merchant_id"),
             k.alias("k"),
             F.when(ln % 2 == 0, "mollie").otherwise("adyen").alias("psp_name"),
@@ -198,7 +204,7 @@ class FixtureSources:
             F.concat(F.lit("Supplier_"), (F.col("l_partkey") % 19).cast("string")).alias("counterparty_name"),
             F.when(~final, "bank_fee").when(ln <= 4, "supplier_payment").when(ln == 5, "advertising").when(ln == 6, "tax_payment")
              .otherwise("nsf_fee").alias("category"),
-            F.concat_ws("_", F.lit("D"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("transaction_id"),
+            line_id("D").alias("transaction_id"),
         )
         return running_balance(credits.unionByName(debits)).select(
             "transaction_id", "merchant_id", "k", "date", "amount", "direction", "counterparty_name", "category",
@@ -217,6 +223,7 @@ class FixtureSources:
         pk50 = F.col("l_partkey") % 50
         gross = money(F.col("l_extendedprice"))
         return j.select(
+            line_id("O").alias("order_id"),
             merchant_id_of(k).alias("merchant_id"),
             F.col("l_shipdate").cast("date").alias("order_date"),
             F.when(ln % 3 == 0, "website").when(ln % 3 == 1, "mobile_app").otherwise("api").alias("channel"),
@@ -271,21 +278,31 @@ class FixtureSources:
         k = F.col("k")
         t = (self.bank.filter((F.col("direction") == "CREDIT") & (k % 9 != 8))
              .groupBy("merchant_id", "k", F.trunc("date", "month").alias("month"))
-             .agg(F.sum("amount").alias("bank_revenue"))
-             .select("merchant_id", "k", "month", "bank_revenue",
+             .agg(F.sum("amount").alias("bank_revenue"),
+                  F.max_by("balance_after", F.unix_date("date").cast("long") * 4294967296 + F.col("posting_seq"))
+                   .alias("cash_balance"))
+             .select("merchant_id", "k", "month", "bank_revenue", "cash_balance",
                      money(F.round(F.col("bank_revenue") * F.when(k % 10 == 0, dec("1.20")).otherwise(dec("1.01")), 2))
                      .alias("gross_revenue"),
                      (dec("0.10") + dec("0.05") * (k % 10)).cast("decimal(6,2)").alias("gross_margin")))
         rev = F.col("gross_revenue")
         gm = F.col("gross_margin")
         mon = F.month("month")
+        cogs = money(F.round(rev * (F.lit(1) - gm), 2))
+        ebitda = money(F.round(rev * (gm - dec("0.12")), 2))
+        nothing = F.lit(0).cast("decimal(18,2)")
+        due = F.when(mon.isin(1, 4, 7, 10), money(F.round(rev * dec("0.21"), 2))).otherwise(nothing)
+        on_time = ~((k % 6 == 0) & (mon == 7))
+        days = lambda a, b: (F.lit(a) + k % b).cast("decimal(10,0)")
         return t.select(
             "merchant_id", "month", "gross_revenue", "gross_margin",
-            money(F.round(rev * (F.lit(1) - gm), 2)).alias("cogs"),
-            money(F.round(rev * (gm - dec("0.12")), 2)).alias("ebitda"),
-            F.when(mon.isin(1, 4, 7, 10), money(F.round(rev * dec("0.21"), 2)))
-             .otherwise(F.lit(0).cast("decimal(18,2)")).alias("btw_due"),
-            (~((k % 6 == 0) & (mon == 7))).alias("btw_paid_on_time"),
+            cogs.alias("cogs"), money(rev - cogs).alias("gross_profit"), money(rev - cogs - ebitda).alias("total_opex"),
+            ebitda.alias("ebitda"),
+            money(F.round(rev * days(5, 20) / 30, 2)).alias("accounts_receivable"),
+            money(F.round(cogs * days(15, 40) / 30, 2)).alias("accounts_payable"),
+            "cash_balance", money(F.round(rev * dec("0.21"), 2)).alias("btw_accrued"),
+            due.alias("btw_due"), F.when(on_time, due).otherwise(nothing).alias("btw_paid"),
+            on_time.alias("btw_paid_on_time"),
             money(F.round(rev * dec("0.03"), 2)).alias("owner_draws"),
             (F.lit(15) + k % 40).cast("double").alias("ap_days"),
             (F.lit(5) + k % 20).cast("double").alias("ar_days"),
@@ -301,7 +318,7 @@ class FixtureSources:
     def _build_kyc(self) -> DataFrame:
         k = F.col("k")
         return self.merchants.filter(~F.col("ghost")).select(
-            "merchant_id", "kvk_number",
+            "merchant_id", "kvk_number", F.concat(F.lit("Owner of "), "company_name").alias("ubo_name"),
             F.col("kvk_active").alias("kvk_verified"),
             (k % 11 != 10).alias("ubo_director_match"),
             (k % 4 != 3).alias("ubo_verified"),

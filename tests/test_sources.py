@@ -57,8 +57,8 @@ def test_closing_balance_is_the_last_posting(spark):
     day = [dt.date(2001, 7, d) for d in (1, 2, 3)]
     rows = [("m", d, t, a) for d, entries in zip(day, [[("a", 500), ("b", -11000)], [("a", 800), ("b", -900)], [("a", 100),
             ("b", -200), ("c", None)]]) for t, a in entries]
-    posted = running_balance(spark.createDataFrame(rows, "merchant_id string, date date, transaction_id string, "
-                                                         "amount decimal(18,2)"))
+    plain = spark.createDataFrame(rows, "merchant_id string, date date, transaction_id string, amount int")
+    posted = running_balance(plain.withColumn("amount", plain["amount"].cast("decimal(18,2)")))
     balances = {(r["date"].day, r["transaction_id"]): float(r["balance_after"]) for r in posted.collect()}
     assert balances[1, "a"] == 10500 and balances[1, "b"] == -500 and balances[2, "a"] == 300 and balances[2, "b"] == -600
     closing = {r["date"].day: float(r["closing_balance"]) for r in daily_closing_balance(posted, day[2]).collect()}
@@ -74,3 +74,80 @@ def test_auc_and_quartiles_of_close_scores(spark):
     q = M.score_quartiles(scored.where("label is not null").selectExpr("'x' as decision", "score as shadow_ml_score")).first()
     assert q["n"] == 4 and abs(q["q50"] - 0.123425) < 1e-6
     assert scored.where("score is null").select(M.risk_tier(scored["score"])).first()[0] is None
+
+
+def test_canonical_folder_round_trip(spark, tmp_path):
+    import datetime as dt
+
+    from quire.operators.features.assemble import family_features
+    from quire.sources.adapters import FIXTURE_AS_OF, fixture
+    from quire.sources.registry import load_and_validate, load_source
+    fx = fixture(spark, "/root/testdata/sf0.001")
+    paths = {}
+    for name, df in fx.sources().items():
+        paths[name] = str(tmp_path / name)
+        (df.withColumn("unknown", df["merchant_id"])).write.parquet(paths[name])
+    sources, report = load_and_validate(spark, paths)
+    failed = [(r["source"], r["subject"]) for r in report.where("check = 'required_column' and not passed").collect()]
+    assert failed == [] and "unknown" not in sources["bank"].columns
+    assert report.where("check <> 'required_column'").count() > 20
+    same = [family_features(s, FIXTURE_AS_OF, "accounting").orderBy("application_id").collect()
+            for s in (sources, fx.sources())]
+    assert same[0] == same[1]
+    assert load_source(spark, "webshop", str(tmp_path / "absent")).count() == 0
+    try:
+        load_source(spark, "bank", str(tmp_path / "absent"))
+        raise AssertionError("a mandatory source must exist")
+    except Exception as e:
+        assert "PATH_NOT_FOUND" in str(e)
+    assert dt.date(2001, 8, 1) == FIXTURE_AS_OF
+
+
+def test_nan_is_missing(spark):
+    import datetime as dt
+
+    from quire.operators.features.assemble import family_stats
+    from quire.operators.quality import data_quality_report
+    from quire.sources.schemas import SCHEMAS
+    as_of = dt.date(2001, 8, 1)
+    months = [dt.date(2001, 5, 1), dt.date(2001, 6, 1), dt.date(2001, 7, 1)]
+    nan = float("nan")
+
+    def monthly(name, **values):
+        rows = [tuple("m" if f.name == "merchant_id" else d if f.name == "month" else values.get(f.name, [None] * 3)[i]
+                      for f in SCHEMAS[name].fields) for i, d in enumerate(months)]
+        return spark.createDataFrame(rows, SCHEMAS[name])
+
+    sources = {"merchants": spark.createDataFrame([], SCHEMAS["merchants"]),
+               "marketplace": monthly("marketplace", account_health_score=[8.0, nan, 9.0],
+                                      marketplace_gmv_share=[0.2, nan, 0.4], payout_lag_days=[nan, 3.0, 5.0]),
+               "accounting": monthly("accounting", ap_days=[nan, 10.0, 20.0], ar_days=[1.0, 3.0, nan],
+                                     revenue_bank_delta=[nan, 0.1, 0.3], gross_margin=[0.1, nan, 0.3])}
+    stats = family_stats(sources, as_of)
+    m, a = stats["marketplace"].first(), stats["accounting"].first()
+    assert (m["mp_health_avg"], m["mp_lag"]) == (8.5, 4.0) and abs(m["mp_share"] - 0.3) < 1e-12
+    assert m["mp_health_n"] < m["mp_n180"] and a["acc_gm_n"] < a["acc_n180"]  # trends fall to their default
+    assert (a["acc_ap"], a["acc_ar"], a["acc_rbd"]) == (15.0, 2.0, 0.2)
+    report = data_quality_report({"marketplace": sources["marketplace"]})
+    assert abs(report.where("check = 'null_rate' and subject = 'account_health_score'").first()["value"] - 1 / 3) < 1e-9
+
+
+def test_sinks(spark, tmp_path):
+    import datetime as dt
+    import json
+
+    from quire.operators import audit
+    consents = spark.createDataFrame([("m", "psd2_aisp", "GRANTED", dt.datetime(2024, 1, 1), 1, dt.date(2024, 3, 1))],
+                                     "merchant_id string, consent_type string, action string, event_ts timestamp, "
+                                     "event_id long, expires_at date")
+    for _ in range(2):
+        audit.append_consent_log(audit.consent_records(consents), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    monthly = spark.createDataFrame([(dt.date(2001, 7, 1), 1.0), (dt.date(2001, 8, 1), float("nan"))],
+                                    "month date, v double")
+    audit.write_monthly_table(monthly, str(tmp_path / "monthly"))
+    assert spark.read.parquet(str(tmp_path / "monthly")).where("month = '2001-07-01'").count() == 1
+    audit.export_cases_json(monthly.where("isnan(v)"), str(tmp_path / "cases"))
+    line, = [x for f in (tmp_path / "cases").glob("part*") for x in f.read_text().splitlines()]
+    assert json.loads(line)["v"] is None
+    assert audit.load_decision_log(spark, str(tmp_path / "absent")).count() == 0
