@@ -5,9 +5,8 @@ aggregate on (merchant, grain, key) with
 
 * the merchant grain: conditional window sums (J7) in one pass,
 * (merchant, delay-days) counts -> exact linear-interpolated p95 and median
-  from a cumulative histogram (bounded by distinct delay values, so a hot
-  merchant never ships its raw delays to one task the way ``percentile``
-  would),
+  from that histogram, whose counts weigh ``percentile`` (bounded by distinct
+  delay values, so a hot merchant never ships its raw delays to one task),
 * (merchant, psp_name) and (merchant, buyer) paid gross -> HHI (H1),
 
 then one conditional fold per merchant.
@@ -17,7 +16,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.expr import (cents, cutoff, cv, dbl, eur, hhi, in_window, sample_std_from_moments,
@@ -34,10 +33,9 @@ def psp_stats(psp: DataFrame, as_of: dt.date) -> DataFrame:
     Grains (narrow: six count/sum slots each):
       d  (order day, status, card flag, dispute outcome) -> every windowed rate,
       h  delay-days histogram of paid payments -> exact p95 / median by
-         cumulative counts instead of buffering raw values like ``percentile``,
+         ``percentile`` with the counts as frequencies,
       p / b  paid gross per PSP / per buyer -> HHI.
-    One window adds cumulative counts (non-histogram rows are singleton window
-    partitions), then one conditional fold per merchant."""
+    Then one conditional fold per merchant; no window."""
     p = psp.filter(F.col("order_date") <= F.lit(as_of))
     od = F.col("order_date")
     status = F.col("status")
@@ -60,12 +58,6 @@ def psp_stats(psp: DataFrame, as_of: dt.date) -> DataFrame:
         F.sum(delay).alias("d1"),
         F.sum(delay * delay).alias("d2"),
     )
-    # one window spec for both columns, so one exchange and one sort
-    g = g.withColumn("_wpart", F.when(F.col("g") != "h", F.col("k_str")))
-    ordered = Window.partitionBy("merchant_id", "g", "_wpart").orderBy("k_int")
-    g = (g.withColumn("cum", F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-          .withColumn("tot", F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding,
-                                                                 Window.unboundedFollowing))))
     kd, st, fl = F.col("k_date"), F.col("k_str"), F.col("k_int")
     is_paid = st == "paid"
     wk = {days: in_window(kd, as_of, days) for days in (30, 90, 180, 365)}
@@ -94,21 +86,13 @@ def psp_stats(psp: DataFrame, as_of: dt.date) -> DataFrame:
     for k, v in weekly_slope_stats(kd, gross, (F.col("g") == "d") & is_paid & wk[90],
                                    anchor=cutoff(as_of, 90)).items():
         fold.append(v.alias(f"gpv_{k}"))
-    for name, prob in (("delay_p95", 0.95), ("delay_p50", 0.5)):
-        pos = (dbl(F.col("tot")) - 1) * prob
-        start = F.col("cum") - n
-        covers = lambda r: (start <= r) & (r < F.col("cum"))
-        fold += [F.max(at("h", fl, covers(F.floor(pos)))).alias(f"{name}_lo"),
-                 F.max(at("h", fl, covers(F.ceil(pos)))).alias(f"{name}_hi"),
-                 F.max(at("h", pos - F.floor(pos))).alias(f"{name}_frac")]
+    # the delay histogram weighs its own values: exact percentiles without a window over the other grains
+    fold += [F.percentile(at("h", fl), prob, at("h", n)).alias(name)
+             for name, prob in (("delay_p95", 0.95), ("delay_p50", 0.5))]
     for tag, alias in (("p", "plat"), ("b", "buyer")):
         v = dbl(gross)
         fold += [F.sum(at(tag, v * v)).alias(f"{alias}_sq"), F.sum(at(tag, v)).alias(f"{alias}_total")]
     out = g.groupBy("merchant_id").agg(*fold)
-    for name in ("delay_p95", "delay_p50"):
-        lo, hi = dbl(F.col(f"{name}_lo")), dbl(F.col(f"{name}_hi"))
-        out = out.withColumn(name, lo + F.col(f"{name}_frac") * (hi - lo)) \
-                 .drop(f"{name}_lo", f"{name}_hi", f"{name}_frac")
     out = out.withColumn("paid_net_all", eur(F.col("paid_net_c"))) \
              .withColumn("card_pct_90", F.when(F.col("rows_90") > 0, dbl(F.col("card_90")) / dbl(F.col("rows_90"))))
     return out.select("merchant_id", *[F.col(n).alias(PREFIX + n) for n in out.columns if n != "merchant_id"])

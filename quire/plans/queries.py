@@ -369,11 +369,11 @@ _PSI_CTES = {
 def q_psi_lineitem_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PSI of l_extendedprice, first half of the ship-date range vs second half."""
     li = fx(spark, sf_dir).table("lineitem").select(F.col("l_shipdate").cast("date").alias("d"), "l_extendedprice")
-    bounds = li.agg(F.min("d").alias("d0"), F.max("d").alias("d1")).first()  # two scalars
-    mid = bounds["d0"] + _dt.timedelta(days=int((bounds["d1"] - bounds["d0"]).days / 2))
+    days = li.agg(F.min("d").alias("d0"), F.max("d").alias("d1"))
+    mid = days.select(F.date_add("d0", F.floor(F.datediff("d1", "d0") / 2).cast("int"))).scalar()  # one value, in the plan
     v = li.filter(F.col("l_extendedprice").isNotNull()).select(
         F.lit("l_extendedprice").alias("feature"), F.col("l_extendedprice").alias("value"), "d")
-    return M.psi_from_long(v.filter(F.col("d") < F.lit(mid)).drop("d"), v.filter(F.col("d") >= F.lit(mid)).drop("d"))
+    return M.psi_from_long(v.filter(F.col("d") < mid).drop("d"), v.filter(F.col("d") >= mid).drop("d"))
 
 
 def _drift_sql() -> str:
