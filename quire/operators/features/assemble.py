@@ -9,6 +9,7 @@ joins line up on that partitioning instead of re-shuffling the facts.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,25 +39,24 @@ def spine(merchants: DataFrame, applications: DataFrame) -> DataFrame:
     return a.join(m, "merchant_id", "inner")
 
 
-def family_stats(sources: dict[str, DataFrame], as_of: dt.date) -> dict[str, DataFrame]:
+FAMILY_STATS = {"bank": bank_stats, "psp": psp_stats, "webshop": webshop_stats, "marketplace": marketplace_stats,
+                "accounting": accounting_stats, "kyc": kyc_stats}
+
+
+def family_stats(sources: Mapping[str, DataFrame], as_of: dt.date,
+                 families: Sequence[str] = tuple(FAMILY_STATS)) -> dict[str, DataFrame]:
+    """Per-merchant statistics of the given families; only their sources are touched."""
     spark = sources["merchants"].sparkSession
     get = lambda n: without_nan(sources[n]) if sources.get(n) is not None else empty_source(spark, n)
-    return {
-        "bank": bank_stats(get("bank"), as_of),
-        "psp": psp_stats(get("psp"), as_of),
-        "webshop": webshop_stats(get("webshop"), as_of),
-        "marketplace": marketplace_stats(get("marketplace"), as_of),
-        "accounting": accounting_stats(get("accounting"), as_of),
-        "kyc": kyc_stats(get("kyc"), as_of),
-    }
-
-
-def joined_stats(sources: dict[str, DataFrame], as_of: dt.date) -> DataFrame:
-    """Application spine left-joined to every family's per-merchant statistics."""
-    stats = family_stats(sources, as_of)
+    return {family: FAMILY_STATS[family](get(family), as_of) for family in families}
+
+
+def joined_stats(sources: Mapping[str, DataFrame], as_of: dt.date,
+                 families: Sequence[str] = tuple(FAMILY_STATS)) -> DataFrame:
+    """Application spine left-joined to the families' per-merchant statistics."""
     j = spine(sources["merchants"], sources["applications"])
-    for fam in ("bank", "psp", "webshop", "marketplace", "accounting", "kyc"):
-        j = j.join(stats[fam], "merchant_id", "left")
+    for stats in family_stats(sources, as_of, families).values():
+        j = j.join(stats, "merchant_id", "left")
     return j
 
 
@@ -120,8 +120,8 @@ def defaulted(raw: DataFrame) -> DataFrame:
 
 
 def family_features(sources: dict[str, DataFrame], as_of: dt.date, family: str) -> DataFrame:
-    """One family's raw features (before defaults) for every application."""
-    j = joined_stats(sources, as_of)
+    """One family's raw features (before defaults) for every application, from the sources it needs."""
+    j = joined_stats(sources, as_of, tuple(FAMILY_STATS) if family == "cross" else (family,))
     cols = feature_columns(as_of)
     names = FAMILY_FEATURES[family]
     return j.select("application_id", "merchant_id", *[cols[n].alias(n) for n in names])

@@ -30,7 +30,7 @@ _TABLES: dict[tuple, DataFrame] = {}
 def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Tables consumed by many downstream jobs (features, decisions) are
     written once per session under the checkpoint folder and read back."""
-    key = (id(spark), sf_dir.rstrip("/"), name)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     if key not in _TABLES:
         _TABLES[key] = write_table(build(), name)
     return _TABLES[key]
@@ -95,7 +95,7 @@ def _scan_query(source: str):
     view, cols = SCAN_COLUMNS[source]
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = getattr(fx(spark, sf_dir), source)
+        df = getattr(fixture(spark, sf_dir, AS_OF, materialized=False), source)  # read in place, nothing is written
         return df.select(*cols)
 
     build.__doc__ = f"S-scan: canonical {source} view over the driver tables"
@@ -588,7 +588,7 @@ _MODELS: dict[tuple, SH.ShadowModel] = {}
 
 
 def shadow_model(spark: SparkSession, sf_dir: str) -> SH.ShadowModel:
-    key = (id(spark), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _MODELS:
         frame = SH.training_frame(features(spark, sf_dir), fx(spark, sf_dir).merchants)
         _MODELS[key] = SH.train_shadow(frame)

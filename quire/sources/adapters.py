@@ -14,6 +14,7 @@ The derived money columns are decimal(18,2), matching the DuckDB oracle views
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -346,10 +347,28 @@ class FixtureSources:
              .alias("expires_at"),
         )
 
-    def sources(self) -> dict[str, DataFrame]:
-        return {"merchants": self.merchants, "applications": self.applications, "bank": self.bank,
-                "psp": self.psp, "webshop": self.webshop, "marketplace": self.marketplace,
-                "accounting": self.accounting, "kyc": self.kyc}
+    def sources(self) -> Mapping[str, DataFrame]:
+        return _ByNeed(self)
+
+
+class _ByNeed(Mapping):
+    """Sources by name; each is derived when it is first asked for."""
+
+    NAMES = ("merchants", "applications", "bank", "psp", "webshop", "marketplace", "accounting", "kyc")
+
+    def __init__(self, of: FixtureSources):
+        self._of = of
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.NAMES:
+            raise KeyError(name)
+        return getattr(self._of, name)
+
+    def __iter__(self):
+        return iter(self.NAMES)
+
+    def __len__(self) -> int:
+        return len(self.NAMES)
 
 
 _CACHE: dict[tuple, FixtureSources] = {}
@@ -357,7 +376,7 @@ _CACHE: dict[tuple, FixtureSources] = {}
 
 def fixture(spark: SparkSession, sf_dir: str, as_of: dt.date = FIXTURE_AS_OF,
             materialized: bool = True) -> FixtureSources:
-    key = (id(spark), sf_dir.rstrip("/"), as_of, materialized)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), as_of, materialized)
     if key not in _CACHE:
         _CACHE[key] = FixtureSources(spark, sf_dir, as_of, materialized)
     return _CACHE[key]
