@@ -26,13 +26,14 @@ ORDER, BACKOFF, SEED = 3, 0.4, 42
 PROBE, HOT = 0.01, 0.5
 #: One of the 64-bit multipliers that mix word hashes (an odd constant).
 MIX = np.uint64(0x9E3779B97F4A7C15)
-ROW = "gram long, doc {}, asks boolean, n long, pos long, neg long, words long, singles long, known double"
+ROW = "gram long, doc {}, n int, pos int, neg int, own struct<words:long,singles:long,known:double>"
+OWN = pa.struct([("words", pa.int64()), ("singles", pa.int64()), ("known", pa.float64())])
 
 
 def word_hashes(text: bytes) -> np.ndarray:
     """XXH64 of each word; words are parted by ASCII white space, with A-Z lower-cased."""
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w, SEED) for w in text.lower().split()], np.uint64)
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(w, SEED) for w in text.lower().split()]), ">u8").astype(np.uint64)
 
 
 def grams(words: np.ndarray, order: int) -> np.ndarray:
@@ -48,53 +49,58 @@ def grams(words: np.ndarray, order: int) -> np.ndarray:
     return g.view(np.int64)
 
 
-def requests(words: np.ndarray, order: int, top: int, missing: set | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-gram at each start of this order, how often its count multiplies the score there, how often it divides).
+def requests(words: np.ndarray, order: int, top: int, missing: set | None) -> tuple[np.ndarray, ...]:
+    """Per distinct n-gram of this order: its hash, its count, how often that count multiplies the score, and divides.
 
     Position i is scored by the longest n-gram that ends there: of the top
     order, or of all words before. If that one is in ``missing`` (hashes of
     the n-grams of higher orders that the reference lacks), by the next shorter.
     """
     own = grams(words, order)
-    pos, neg = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    if not missing:
+        keys, n = np.unique(own, return_counts=True)
+        pos, neg = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        if order == top:
+            pos = n
+        elif len(own):
+            first = np.searchsorted(keys, own[0])
+            pos[first] = 1
+            if order == top - 1:  # each but the last is the context of a longer one
+                neg = n.copy()
+                neg[np.searchsorted(keys, own[-1])] -= 1
+            elif len(own) > 1:
+                neg[first] = 1
+        return keys, n, pos, neg
+    lost = np.fromiter(missing, np.int64, len(missing))
 
     def reached(k: int) -> np.ndarray:
         """Whether the n-gram of order k at each start is asked for."""
         g = grams(words, k)
-        first = np.arange(len(g)) == 0
         if k == top:
             return np.ones(len(g), bool)
-        longer = reached(k + 1)
-        gone = longer & np.isin(grams(words, k + 1), list(missing)) if missing else np.zeros(len(longer), bool)
-        first[1:] |= gone
+        first = np.arange(len(g)) == 0
+        first[1:] |= reached(k + 1) & np.isin(grams(words, k + 1), lost)
         return first
 
-    if len(own):
-        pos[reached(order)] = 1
-        if order < top:
-            longer = reached(order + 1)
-            if missing:
-                longer = longer & ~np.isin(grams(words, order + 1), list(missing))
-            neg[:len(longer)] += longer
-    return own, pos, neg
-
-
-def _summed(gram: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    keys, at = np.unique(gram, return_inverse=True)
-    return [keys, *(np.bincount(at, v, len(keys)).astype(np.int64) for v in values)]
+    pos, neg = reached(order).astype(np.int64), np.zeros(len(own), np.int64)
+    if order < top and len(own):
+        longer = reached(order + 1) & ~np.isin(grams(words, order + 1), lost)
+        neg[:len(longer)] += longer
+    keys, at = np.unique(own, return_inverse=True)
+    total = lambda v: np.bincount(at, v, len(keys)).astype(np.int64)
+    return keys, total(None), total(pos), total(neg)
 
 
 def rows(docs: DataFrame, order: int, top: int, counts: bool, asks: bool, hot: dict[int, int],
          only: set[int] | None = None) -> DataFrame:
-    """Rows (gram, doc, asks, n, pos, neg, words, singles, known) of one order.
+    """Rows (gram, doc, n, pos, neg, own) of one order.
 
     With ``counts`` the n-grams are counted (n), with ``asks`` the documents
     request them (pos, neg). Counts that no request of the same document goes
-    with are summed over many documents. One more row per document holds its
-    number of words, of words scored on their own, and the part of its score
-    that ``hot`` totals give.
-    ``only`` keeps just these n-grams, to count them. A column ``missing``
-    lists what a document's higher orders did not find.
+    with are summed over many documents. One more row per document has ``own``:
+    its number of words, of words scored on their own, and the part of its
+    score that ``hot`` totals give. ``only`` keeps just these n-grams, to count
+    them. A column ``missing`` lists what a document's higher orders lack.
     """
     kind = docs.schema["doc"].dataType
     with_missing = "missing" in docs.columns
@@ -102,64 +108,55 @@ def rows(docs: DataFrame, order: int, top: int, counts: bool, asks: bool, hot: d
     def run(batches):
         often = np.array(sorted(only if only is not None else hot), np.int64)
         logs = np.log(np.array([hot.get(int(g), 1) for g in often], float))
-        for batch in slices(batches, "text", 1 << 20):
+        none = np.zeros(0, np.int64)
+        for batch in slices(batches, "text"):
             ids = batch.column("doc").to_pylist()
             gone = batch.column("missing").to_pylist() if with_missing else [None] * len(ids)
-            owner, parts, plain = [], [[], [], [], []], []
-            extra = [[], [], [], []]
+            asked, loose, own, size = [[none] * 4], [[none] * 2], [], [0] * len(ids)
             for i, text in enumerate(raw_texts(batch, "text")):
                 words = word_hashes(text)
-                gram, pos, neg = requests(words, order, top, set(gone[i] or ()))
-                if not asks:
-                    pos[:] = neg[:] = 0
+                gram, n, pos, neg = requests(words, order, top, set(gone[i]) if gone[i] else None)
                 known, singles = 0.0, int(pos.sum()) if order == 1 else 0
                 if len(often) and len(gram):
                     place = np.minimum(np.searchsorted(often, gram), len(often) - 1)
                     is_hot = often[place] == gram
-                    if only is not None:
-                        gram, pos, neg = gram[is_hot], pos[is_hot], neg[is_hot]
-                    else:
+                    if only is None:
                         known = float(((pos - neg)[is_hot] * logs[place[is_hot]]).sum())
-                        gram, pos, neg = gram[~is_hot], pos[~is_hot], neg[~is_hot]
-                asked = np.isin(gram, gram[(pos + neg) > 0]) if asks else np.zeros(len(gram), bool)
-                if counts:
-                    plain.append(gram[~asked])
-                if asked.any():
-                    got = _summed(gram[asked], np.full(asked.sum(), int(counts)), pos[asked], neg[asked])
-                    for part, column in zip(parts, got):
-                        part.append(column)
-                    owner += [i] * len(got[0])
+                    keep = is_hot if only is not None else ~is_hot
+                    gram, n, pos, neg = gram[keep], n[keep], pos[keep], neg[keep]
+                wanted = pos + neg > 0 if asks else np.zeros(len(gram), bool)
                 if asks:
-                    extra[0].append(i)
-                    extra[1].append(len(words) if order == 1 else 0)
-                    extra[2].append(known)
-                    extra[3].append(singles)
-            loose = np.concatenate([np.zeros(0, np.int64), *plain])
-            loose, times = np.unique(loose, return_counts=True)
-            some = [np.concatenate([np.zeros(0, np.int64), *p]) for p in parts]
-            doc_gram = np.array([xxhash.xxh64_intdigest(f"{order} {ids[i]}") >> 1 for i in extra[0]], np.int64)
-            zero, nought = np.zeros(len(loose), np.int64), np.zeros(len(extra[0]), np.int64)
-            took = pa.array(owner + extra[0], pa.int64())
-            doc = pa.concat_arrays([batch.column("doc").take(took), pa.nulls(len(loose), to_arrow_type(kind))])
-            columns = [np.concatenate(c) for c in (
-                (some[0], doc_gram, loose), (some[1], nought, times), (some[2], nought, zero), (some[3], nought, zero),
-                (np.zeros(len(owner), np.int64), np.array(extra[1], np.int64), zero),
-                (np.zeros(len(owner), np.int64), np.array(extra[3], np.int64), zero))]
-            known = np.concatenate([np.zeros(len(owner)), np.array(extra[2], float), np.zeros(len(loose))])
-            own = np.arange(len(took) + len(loose)) < len(took)
+                    own.append({"words": len(words) if order == 1 else 0, "singles": singles, "known": known})
+                    size[i] = int(wanted.sum())
+                    asked.append([gram[wanted], n[wanted] if counts else np.zeros(size[i], np.int64), pos[wanted],
+                                  neg[wanted]])
+                if counts:
+                    loose.append([gram[~wanted], n[~wanted]])
+            asked = [np.concatenate(c) for c in zip(*asked)]
+            loose = [np.concatenate(c) for c in zip(*loose)]
+            keys, at = np.unique(loose[0], return_inverse=True)
+            times = np.bincount(at, loose[1], len(keys)).astype(np.int64)
+            mark = np.array([xxhash.xxh64_intdigest(f"{order} {ids[i]}") >> 1 for i in range(len(own))], np.int64)
+            zero, nought = np.zeros(len(own), np.int64), np.zeros(len(keys), np.int64)
+            owner = np.concatenate([np.repeat(np.arange(len(ids)), size), np.arange(len(own))])
+            doc = pa.concat_arrays([batch.column("doc").take(pa.array(owner)),
+                                    pa.nulls(len(keys), to_arrow_type(kind))])
+            extra = pa.concat_arrays([pa.nulls(len(asked[0]), OWN), pa.array(own, OWN), pa.nulls(len(keys), OWN)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0]), doc, pa.array(own), *map(pa.array, columns[1:]), pa.array(known)],
-                names=["gram", "doc", "asks", "n", "pos", "neg", "words", "singles", "known"])
+                [pa.array(np.concatenate([asked[0], mark, keys])), doc,
+                 *(pa.array(np.concatenate(c).astype(np.int32)) for c in (
+                     (asked[1], zero, times), (asked[2], zero, nought), (asked[3], zero, nought))), extra],
+                names=["gram", "doc", "n", "pos", "neg", "own"])
 
     return map_batches(docs, run, ROW.format(kind.simpleString()))
 
 
-def hot_counts(reference: DataFrame, order: int, top: int) -> dict[int, int]:
+def hot_counts(reference: DataFrame, probe: DataFrame, order: int, top: int) -> dict[int, int]:
     """Exact totals of the n-grams that a probe of the documents shows to hold a large share of a partition's rows."""
     spark = reference.sparkSession
     share = HOT / int(spark.conf.get("spark.sql.shuffle.partitions"))
-    probe = rows(reference.sample(PROBE, SEED), order, top, True, True, {}).where("n > 0")
-    by_gram = probe.groupBy("gram").agg(F.count("*").alias("n"))
+    by_gram = stored(rows(probe, order, top, True, True, {}).where("n > 0").groupBy("gram")
+                     .agg(F.count("*").alias("n")), "probe")
     total = by_gram.agg(F.sum("n").alias("n")).first()["n"] or 0
     found = by_gram.where((F.col("n") > share * total) & (F.col("n") > 20)).collect()
     often = {r["gram"] for r in found}
@@ -187,18 +184,20 @@ def score(docs: DataFrame, reference: DataFrame | None = None, id_col: str = "do
     base = src if reference is None else reference.select(F.col(id_col).alias("doc"),
                                                           F.col(text_col).cast("string").alias("text"))
     parts, asking = None, src
+    probe = stored(base.sample(PROBE, SEED), "probe-docs")
     for k in range(order, 0, -1):
-        hot = hot_counts(base, k, order)
+        hot = hot_counts(base, probe, k, order)
         found = rows(asking, k, order, reference is None, True, hot)
         if reference is not None:
             counted = rows(base, k, order, True, False, hot)
             found = found.unionByName(counted.withColumn("doc", F.lit(None).cast(src.schema["doc"].dataType)))
         total = F.sum("n").over(Window.partitionBy("gram"))
-        asked = found.withColumn("total", total).where("asks")
+        asked = found.withColumn("total", total).where("pos + neg > 0 or own is not null")
         worth = F.when(F.col("total") > 0, (F.col("pos") - F.col("neg")) * F.log(F.col("total").cast("double")))
         lost = F.when(F.col("total") > 0, 0).otherwise(F.col("pos"))
-        per_doc = [F.sum(F.coalesce(worth, F.lit(0.0)) + F.col("known")).alias("part"), F.sum("words").alias("n_words"),
-                   F.sum(lost).alias("lost"), F.sum("singles").alias("singles")]
+        per_doc = [F.sum(F.coalesce(worth, F.lit(0.0)) + F.coalesce("own.known", F.lit(0.0))).alias("part"),
+                   F.sum("own.words").alias("n_words"),
+                   F.sum(lost).alias("lost"), F.sum("own.singles").alias("singles")]
         if reference is not None and k > 1:
             absent = F.when((F.col("pos") > 0) & (F.col("total") == 0), F.col("gram"))
             per_doc.append(F.collect_list(absent).alias("missing"))
