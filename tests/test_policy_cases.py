@@ -105,3 +105,14 @@ def test_knockout_order(spark):
     assert r.reason_codes == ["SANCTIONS_HIT", "KVK_INVALID", "UBO_MISMATCH", "RECON_FAIL", "INSUFFICIENT_HISTORY",
                               "REVENUE_TOO_LOW", "PERSISTENT_NEGATIVE_BALANCE"]
     assert r.red_flags is None and r.signal_pass_rate == 0.0
+
+
+def test_case_records_carry_tenor_and_top_features(spark):
+    from quire.operators.scorecard import case_records
+    from quire.plans import queries as Q
+    sf = "/root/testdata/sf0.001"
+    top = spark.createDataFrame([("a", "A", 1.5), ("b", "B", 7.0)], "name string, label string, importance double")
+    rows = case_records(Q.decided(spark, sf), Q.card(spark, sf), Q.fx(spark, sf).merchants, top).collect()
+    assert rows and all(r["requested_tenor_months"] is not None for r in rows)
+    assert all([x["name"] for x in r["ml_top_features"]] == ["b", "a"] for r in rows)
+    assert all(len(r["scorecard"]) == 18 for r in rows)
