@@ -36,8 +36,8 @@ def nan_to_null(c: Column) -> Column:
 def sample_std_from_moments(n: Column, s1: Column, s2: Column) -> Column:
     """Sample standard deviation from count, sum and sum of squares.
 
-    s1 and s2 are exact decimal (or integer) sums, so the only rounding is the
-    final double arithmetic; NULL when n < 2."""
+    Exact for decimal or integer sums but for the final double arithmetic; a
+    double sum of squares rounds before. NULL when n < 2."""
     n_d, s1_d, s2_d = dbl(n), dbl(s1), dbl(s2)
     var = F.try_divide(s2_d - F.try_divide(s1_d * s1_d, n_d), n_d - 1)
     return F.when(n >= 2, F.sqrt(F.greatest(var, F.lit(0.0))))

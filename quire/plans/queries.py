@@ -306,9 +306,18 @@ def q_decline_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.decline_reasons(decided(spark, sf_dir))
 
 
+# A frozen score for the mean-score columns: the granted amount over 100,000
+_AMOUNT_SCORE = "CAST(max_amount AS DOUBLE) / 100000"
+
+
+def _with_amount_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(spark, sf_dir).withColumn("shadow_ml_score", F.col("max_amount").cast("double") / 100000)
+
+
 def _impact_sql(by: str, flag: bool) -> str:
     cols = (f"{by}, count(decision) AS total, count(*) FILTER (WHERE decision IN ('APPROVE','MANUAL_REVIEW')) AS approved"
-            + (", count(*) FILTER (WHERE decision = 'DECLINE') AS declined" if flag else ""))
+            + (f", count(*) FILTER (WHERE decision = 'DECLINE') AS declined, round(avg({_AMOUNT_SCORE}), 6) AS avg_ml_score"
+               if flag else ""))
     inner = (f"SELECT {cols} FROM pol p LEFT JOIN (SELECT DISTINCT merchant_id, {by} FROM v_merchants) m "
              f"ON m.merchant_id = p.merchant_id WHERE {by} IS NOT NULL GROUP BY {by}")
     sel = f"SELECT *, round(CAST(approved AS DOUBLE) / total, 3) AS approval_rate"
@@ -321,7 +330,7 @@ def _impact_sql(by: str, flag: bool) -> str:
 @register("adverse_impact_sector", _decisions_oracle(_impact_sql("sector", True)))
 def q_adverse_impact_sector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approval rate by sector with the 80%-of-overall review flag."""
-    return M.adverse_impact(decided(spark, sf_dir), fx(spark, sf_dir).merchants, "sector", score_col=None)
+    return round_doubles(M.adverse_impact(_with_amount_score(spark, sf_dir), fx(spark, sf_dir).merchants, "sector"))
 
 
 @register("adverse_impact_platforms", _decisions_oracle(_impact_sql("n_psps", False)))
@@ -337,10 +346,18 @@ def q_adverse_impact_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     "round(avg(max_amount) FILTER (WHERE decision = 'APPROVE'), 6) AS approve_avg_amount, "
     "count(*) FILTER (WHERE decision = 'APPROVE' AND pricing_band = 'A') AS approve_band_A, "
     "count(*) FILTER (WHERE decision = 'APPROVE' AND pricing_band = 'B') AS approve_band_B, "
-    "count(*) FILTER (WHERE decision = 'APPROVE' AND pricing_band = 'C') AS approve_band_C FROM pol"))
+    "count(*) FILTER (WHERE decision = 'APPROVE' AND pricing_band = 'C') AS approve_band_C, "
+    f"round(avg({_AMOUNT_SCORE}) FILTER (WHERE decision = 'APPROVE'), 6) AS approve_avg_score FROM pol"))
 def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decision counts, APPROVE-only average amount and band counts."""
-    return round_doubles(M.run_summary(decided(spark, sf_dir), score_col=None))
+    """Decision counts, APPROVE-only average amount, band counts and mean (frozen) score."""
+    return round_doubles(M.run_summary(_with_amount_score(spark, sf_dir)))
+
+
+@register("score_by_decision_frozen", _decisions_oracle(
+    f"SELECT decision, round(avg({_AMOUNT_SCORE}), 4) AS avg_shadow_score FROM pol GROUP BY decision"))
+def q_score_by_decision_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean (frozen) score per decision."""
+    return M.score_by_decision(_with_amount_score(spark, sf_dir))
 
 
 def _psi_lineitem_sql() -> str:
