@@ -32,7 +32,7 @@ SELECT k, ghost, concat('m_', {_padded('k')}) AS merchant_id,
 FROM a""",
     "v_applications": """
 SELECT concat('app_', merchant_id) AS application_id, merchant_id,
-  CAST(CASE k%7 WHEN 0 THEN 10000 WHEN 1 THEN 15000 WHEN 2 THEN 20000 WHEN 3 THEN 25000 WHEN 4 THEN 40000 WHEN 5 THEN 50000 ELSE 75000 END AS INT) AS requested_amount,
+  CAST(CASE WHEN k%50=13 THEN 2000 ELSE CASE k%7 WHEN 0 THEN 10000 WHEN 1 THEN 15000 WHEN 2 THEN 20000 WHEN 3 THEN 25000 WHEN 4 THEN 40000 WHEN 5 THEN 50000 ELSE 75000 END END AS INT) AS requested_amount,
   CAST(CASE k%5 WHEN 0 THEN 3 WHEN 1 THEN 6 WHEN 2 THEN 9 WHEN 3 THEN 12 ELSE 18 END AS INT) AS requested_tenor_months,
   'inventory' AS purpose, DATE '2001-08-01' AS application_date
 FROM v_merchants""",
@@ -41,11 +41,11 @@ SELECT b.*, CAST(gross_amount - fee_amount AS DECIMAL(18,2)) AS net_amount,
   CASE WHEN status='paid' THEN CAST(0 AS DECIMAL(18,2)) ELSE gross_amount END AS refund_amount
 FROM (SELECT concat_ws('_', 'P', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS psp_transaction_id, concat('m_', {_padded(_K)}) AS merchant_id,
   {_K} AS k,
-  CASE WHEN l_linenumber%2=0 THEN 'mollie' ELSE 'adyen' END AS psp_name,
-  CAST(l_shipdate AS DATE) AS order_date, CAST(l_shipdate AS DATE) + CAST(1 + l_partkey%9 AS INT) AS settlement_date,
+  CASE WHEN {_K}%10 IN (1,2,3) THEN CASE l_linenumber%3 WHEN 0 THEN 'mollie' WHEN 1 THEN 'adyen' ELSE 'stripe' END WHEN l_linenumber%2=0 THEN 'mollie' ELSE 'adyen' END AS psp_name,
+  CAST(l_shipdate AS DATE) AS order_date, CAST(l_shipdate AS DATE) + CAST(1 + l_partkey%(CASE WHEN {_K}%10 IN (1,2,3) THEN 4 ELSE 9 END) AS INT) AS settlement_date,
   CAST(l_extendedprice AS DECIMAL(18,2)) AS gross_amount,
   CAST(round(CAST(l_extendedprice AS DECIMAL(18,2))*0.015,2) AS DECIMAL(18,2)) AS fee_amount,
-  CASE WHEN l_partkey%150=0 THEN 'chargeback' WHEN l_partkey%100 BETWEEN 1 AND 2 + 2*({_K}%5) THEN 'refunded' ELSE 'paid' END AS status,
+  CASE WHEN l_partkey%150=0 THEN 'chargeback' WHEN l_partkey%100 BETWEEN 1 AND (CASE WHEN {_K}%10 IN (1,2,3) THEN 1 ELSE 2 + 2*({_K}%5) END) THEN 'refunded' ELSE 'paid' END AS status,
   CASE l_linenumber%4 WHEN 0 THEN 'ideal' WHEN 1 THEN 'creditcard' WHEN 2 THEN 'bancontact' ELSE 'klarna' END AS payment_method,
   concat('buyer_', CAST(o_custkey AS VARCHAR)) AS buyer_id,
   CASE WHEN l_partkey%150=0 THEN CASE WHEN l_orderkey%2=0 THEN 'won' ELSE 'lost' END END AS dispute_outcome
@@ -55,10 +55,13 @@ SELECT p.*, CAST(10000 + sum(amount) OVER (PARTITION BY merchant_id ORDER BY dat
   row_number() OVER (PARTITION BY merchant_id, date ORDER BY transaction_id) AS posting_seq
 FROM (
   SELECT merchant_id, k, settlement_date AS date,
-    CAST(round(sum(net_amount)*CASE WHEN k%10=9 THEN 0.70 ELSE 0.98 END,2) AS DECIMAL(18,2)) AS amount, 'CREDIT' AS direction,
-    CASE WHEN psp_name='mollie' THEN 'Mollie B.V.' ELSE 'Adyen N.V.' END AS counterparty_name, 'psp_settlement' AS category,
+    CASE WHEN k%10 IN (1,2,3) THEN CAST((CAST(sum(sum(net_amount)) OVER same_month * 100 AS BIGINT) * 98)
+        // (100 * count(*) OVER same_month) / 100.0 AS DECIMAL(18,2))
+      ELSE CAST(round(sum(net_amount)*CASE WHEN k%10=9 THEN 0.70 ELSE 0.98 END,2) AS DECIMAL(18,2)) END AS amount, 'CREDIT' AS direction,
+    CASE psp_name WHEN 'mollie' THEN 'Mollie B.V.' WHEN 'adyen' THEN 'Adyen N.V.' ELSE 'Stripe Ltd.' END AS counterparty_name, 'psp_settlement' AS category,
     concat_ws('_', 'C', CAST(settlement_date AS VARCHAR), psp_name) AS transaction_id
   FROM v_psp WHERE status='paid' AND settlement_date <= DATE '2001-08-01' GROUP BY merchant_id, k, settlement_date, psp_name
+  WINDOW same_month AS (PARTITION BY merchant_id, date_trunc('month', settlement_date))
   UNION ALL
   SELECT concat('m_', {_padded(_K)}), {_K}, CAST(l_shipdate AS DATE),
     CAST(-round(CAST(l_extendedprice AS DECIMAL(18,2))*CASE WHEN l_linestatus<>'F' THEN 0.01 WHEN l_linenumber<=4 THEN 0.80 WHEN l_linenumber=5 THEN CASE WHEN {_K}%5=0 THEN 3.00 ELSE 0.60 END WHEN l_linenumber=6 THEN 0.50 ELSE 0.01 END
@@ -101,7 +104,7 @@ FROM (SELECT merchant_id, month, gross_revenue, gross_margin, CAST(round(gross_r
 FROM (SELECT merchant_id, k, CAST(date_trunc('month', date) AS DATE) AS month, sum(amount) AS bank_revenue,
     arg_max(balance_after, (date - DATE '1970-01-01') * 4294967296 + posting_seq) AS cash_balance,
     CAST(round(sum(amount)*CASE WHEN k%10=0 THEN 1.20 ELSE 1.01 END,2) AS DECIMAL(18,2)) AS gross_revenue,
-    CAST(0.10 + 0.05*(k%10) AS DECIMAL(6,2)) AS gross_margin
+    CAST(0.10 + 0.05*(k%10) + CASE WHEN k%10 IN (1,2,3) THEN 0.25 ELSE 0.00 END AS DECIMAL(6,2)) AS gross_margin
   FROM v_bank WHERE direction='CREDIT' AND k%9<>8 GROUP BY merchant_id, k, CAST(date_trunc('month', date) AS DATE)) t) u""",
     "v_kyc": """
 SELECT merchant_id, kvk_number, concat('Owner of ', company_name) AS ubo_name, kvk_active AS kvk_verified, k%11<>10 AS ubo_director_match, k%4<>3 AS ubo_verified, false AS pep_match,

@@ -60,6 +60,11 @@ def line_id(kind: str) -> Column:
     return F.concat_ws("_", F.lit(kind), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
+def steady(k: Column) -> Column:
+    """Merchants with even settlements, so that approvals occur in the fixture."""
+    return (k % 10).isin(1, 2, 3)
+
+
 class FixtureSources:
     """Lazy canonical views over one scale-factor directory."""
 
@@ -118,7 +123,7 @@ class FixtureSources:
 
     def _build_applications(self) -> DataFrame:
         k = F.col("k")
-        amount = F.when(k % 7 == 0, 10000).when(k % 7 == 1, 15000).when(k % 7 == 2, 20000) \
+        amount = F.when(k % 50 == 13, 2000).when(k % 7 == 0, 10000).when(k % 7 == 1, 15000).when(k % 7 == 2, 20000) \
             .when(k % 7 == 3, 25000).when(k % 7 == 4, 40000).when(k % 7 == 5, 50000).otherwise(75000)
         tenor = F.when(k % 5 == 0, 3).when(k % 5 == 1, 6).when(k % 5 == 2, 9).when(k % 5 == 3, 12).otherwise(18)
         return self.merchants.select(
@@ -153,13 +158,15 @@ class FixtureSources:
             line_id("P").alias("psp_transaction_id"),
             merchant_id_of(k).alias("merchant_id"),
             k.alias("k"),
-            F.when(ln % 2 == 0, "mollie").otherwise("adyen").alias("psp_name"),
+            F.when(steady(k), F.when(ln % 3 == 0, "mollie").when(ln % 3 == 1, "adyen").otherwise("stripe"))
+             .when(ln % 2 == 0, "mollie").otherwise("adyen").alias("psp_name"),
             F.col("l_shipdate").cast("date").alias("order_date"),
-            F.date_add(F.col("l_shipdate").cast("date"), (F.lit(1) + pk % 9).cast("int")).alias("settlement_date"),
+            F.date_add(F.col("l_shipdate").cast("date"), (F.lit(1) + pk % F.when(steady(k), 4).otherwise(9)).cast("int"))
+             .alias("settlement_date"),
             gross.alias("gross_amount"),
             money(F.round(gross * dec("0.015"), 2)).alias("fee_amount"),
             F.when(is_cb, "chargeback")
-             .when((pk % 100 >= 1) & (pk % 100 <= F.lit(2) + 2 * (k % 5)), "refunded")
+             .when((pk % 100 >= 1) & (pk % 100 <= F.when(steady(k), 1).otherwise(2 + 2 * (k % 5))), "refunded")
              .otherwise("paid").alias("status"),
             F.when(ln % 4 == 0, "ideal").when(ln % 4 == 1, "creditcard").when(ln % 4 == 2, "bancontact")
              .otherwise("klarna").alias("payment_method"),
@@ -177,15 +184,21 @@ class FixtureSources:
 
     def _build_bank(self) -> DataFrame:
         k = F.col("k")
+        same_month = Window.partitionBy("merchant_id", F.trunc("settlement_date", "month"))
+        even = F.expr("CAST(_month * 100 AS BIGINT) * 98 div (100 * _n)").cast("decimal(18,0)") / dec("100.0")
         credits = (
             self.psp.filter((F.col("status") == "paid") & (F.col("settlement_date") <= F.lit(self.as_of)))
             .groupBy("merchant_id", "k", "settlement_date", "psp_name")
             .agg(F.sum("net_amount").alias("net"))
+            .withColumn("_month", F.sum("net").over(same_month)).withColumn("_n", F.count(F.lit(1)).over(same_month))
             .select(
                 "merchant_id", "k", F.col("settlement_date").alias("date"),
-                money(F.round(F.col("net") * F.when(k % 10 == 9, dec("0.70")).otherwise(dec("0.98")), 2)).alias("amount"),
+                F.when(steady(k), money(even))
+                 .otherwise(money(F.round(F.col("net") * F.when(k % 10 == 9, dec("0.70")).otherwise(dec("0.98")), 2)))
+                 .alias("amount"),
                 F.lit("CREDIT").alias("direction"),
-                F.when(F.col("psp_name") == "mollie", "Mollie B.V.").otherwise("Adyen N.V.").alias("counterparty_name"),
+                F.when(F.col("psp_name") == "mollie", "Mollie B.V.").when(F.col("psp_name") == "adyen", "Adyen N.V.")
+                 .otherwise("Stripe Ltd.").alias("counterparty_name"),
                 F.lit("psp_settlement").alias("category"),
                 F.concat_ws("_", F.lit("C"), "settlement_date", "psp_name").alias("transaction_id"),
             )
@@ -285,7 +298,8 @@ class FixtureSources:
              .select("merchant_id", "k", "month", "bank_revenue", "cash_balance",
                      money(F.round(F.col("bank_revenue") * F.when(k % 10 == 0, dec("1.20")).otherwise(dec("1.01")), 2))
                      .alias("gross_revenue"),
-                     (dec("0.10") + dec("0.05") * (k % 10)).cast("decimal(6,2)").alias("gross_margin")))
+                     (dec("0.10") + dec("0.05") * (k % 10) + F.when(steady(k), dec("0.25")).otherwise(dec("0.00")))
+                     .cast("decimal(6,2)").alias("gross_margin")))
         rev = F.col("gross_revenue")
         gm = F.col("gross_margin")
         mon = F.month("month")
