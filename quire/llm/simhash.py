@@ -150,7 +150,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = stored(near_duplicates(docs, id_col, text_col, shingle, max_bits)
                    .where("id = component_id or id is null").groupBy("id").agg(F.count("*").alias("n")), "kept")
-    kept = docs.join(found.select("id"), docs[id_col].eqNullSafe(found["id"]), "left_semi")
+    # by a sort-merge join at every size, so that the plan does not change with the number of ids
+    kept = docs.join(found.select("id").hint("merge"), docs[id_col].eqNullSafe(found["id"]), "left_semi")
     again = found.where("n > 1 and id is not null").select("id")
     if again.isEmpty():
         return kept
