@@ -3,7 +3,8 @@
 Every rule compares one measure of a text with a cutoff. Cutoffs are chosen on
 labelled good texts, per stratum of text length, so that an exact binomial
 bound on the share of good texts a rule rejects stays under ``risk``; the
-bound is corrected for every (stratum, rule, cutoff) that was tried.
+bound is corrected for every (stratum, rule, cutoff) that was tried. Copies
+of a text are one trial.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 def calibrate(good: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = RISK,
               delta: float = DELTA) -> dict[tuple[int, str], float]:
-    """Cutoffs by (stratum, rule), from the measures of labelled good texts.
+    """Cutoffs by (stratum, rule), from the measures of labelled good texts, one row for each different text.
 
     The most aggressive cutoff is taken whose upper confidence bound, at
     ``delta`` over the number of all tests, is at most ``risk``. A rule without
@@ -154,6 +155,17 @@ def good_labels(labels: DataFrame) -> DataFrame:
             .agg(F.min("quality").alias("least")).where("least = 1").select("doc_id"))
 
 
+def measure_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(doc_id, measures, text_hash) of every row, stored."""
+    return stored(measured(docs.select("doc_id", text_col), text_col)
+                  .select("doc_id", *MEASURES, F.xxhash64(text_col).alias("text_hash")), "measures")
+
+
+def good_texts(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """The measures of labelled good texts, once for each different text however many copies are labelled."""
+    return found.join(good_labels(labels), "doc_id").select("text_hash", *MEASURES).distinct()
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, measures, base_failed, kept) for every row of ``docs``.
 
@@ -161,9 +173,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     are judged each; a null doc_id is judged but has no label. No labels, or an
     empty table, give the base rules alone.
     """
-    found = stored(measured(docs.select("doc_id", "text")).drop("text"), "measures")
-    cutoffs = calibrate(found.join(good_labels(labels), "doc_id"))
-    return found.withColumn("base_failed", base_failed()).withColumn("kept", verdict(cutoffs))
+    found = measure_table(docs)
+    cutoffs = calibrate(good_texts(found, labels))
+    return found.drop("text_hash").withColumn("base_failed", base_failed()).withColumn("kept", verdict(cutoffs))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
@@ -171,7 +183,6 @@ def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Data
     calibrate, from a narrow table of measures, and once more beside the rows, so that no text is shuffled."""
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    found = stored(measured(docs.select("doc_id", text_col), text_col).drop(text_col), "measures")
-    cutoffs = calibrate(found.join(good_labels(labels), "doc_id"))
+    cutoffs = calibrate(good_texts(measure_table(docs, text_col), labels))
     kept = measured(plain, f"c{names.index(text_col)}").where(verdict(cutoffs))
     return kept.drop(*MEASURES).toDF(*names)

@@ -67,3 +67,20 @@ def test_awkward_rows(spark, awkward, no_docs):
     fine = awkward.withColumn("text", F.lit(" ".join(f"w{i}" for i in range(60))))
     assert R.accepted(fine, labels).count() == awkward.count()
     assert R.judge(no_docs, labels).count() == 0 and R.accepted(no_docs, labels.where("false")).count() == 0
+
+
+def test_copies_of_a_good_text_are_one_trial(spark):
+    from pyspark.sql import functions as F
+
+    # of 300 good texts, 15 hold a symbol in every fifth word
+    def text(i):
+        return " ".join(f"w{i}x{j}" + "#" * (i < 15 and j % 5 == 0) for j in range(100))
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(300)], "doc_id long, text string")
+    copies = spark.range(5000).select((F.col("id") + 1000).alias("doc_id"), F.lit(text(299)).alias("text"))
+    rows = docs.unionByName(copies)
+    labels = rows.select("doc_id", F.lit(1).alias("quality"))
+    plain = R.calibrate(R.good_texts(R.measure_table(docs), labels))
+    assert R.calibrate(R.good_texts(R.measure_table(rows), labels)) == plain
+    assert R.judge(rows, labels).where("kept").count() == rows.count()
+    assert R.accepted(rows, labels).count() == rows.count()
