@@ -1,11 +1,15 @@
 """Benchmark decontamination by the q-gram lemma on diagonal bands.
 
-A benchmark item is cut into overlapping windows. If a stretch of a document
+A benchmark item is cut into overlapping windows, long ones that allow more
+edits and short ones that find parts of an item. If a stretch of a document
 is within ``e`` edits of a window of m characters, the two share at least
 m - q + 1 - e * q q-grams, and all of these lie on diagonals (document position
 minus window position) at most e apart. Shared q-grams are counted in
 diagonal bands that overlap by e; bands that meet the bound are verified by
-banded alignment. The bound never loses a stretch within the budget.
+banded alignment. The bound never loses a window within the budget. So every
+verbatim part of an item of PART_WINDOW + PART_STRIDE - 1 = 99 characters or
+more is found, and an item shorter than PART_WINDOW if it is there whole, within
+the edits; shorter parts are found only where they hold a window.
 """
 
 from __future__ import annotations
@@ -22,10 +26,12 @@ from quire.llm.common import map_batches, slices, texts, where_text
 
 #: Characters of a q-gram, of a window, and between the starts of two windows.
 Q, WINDOW, STRIDE = 9, 120, 60
+#: Characters of a short window, and between the starts of two.
+PART_WINDOW, PART_STRIDE = 80, 20
 #: Edits allowed for each character of a window.
 EDIT_RATE = 0.08
 #: Characters of benchmark text that one pass over the documents carries; a larger benchmark takes several passes.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_500_000
 #: Hash bits of the filter that q-grams pass before they are searched.
 FILTER_BITS = 22
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -87,8 +93,9 @@ class Block:
         return self.length - q + 1 - self.budget * q
 
 
-def build_block(rows: list[tuple], q: int, window: int, stride: int, rate: float) -> Block:
-    """Index (item_id, text) rows. An item too short for a bound is kept for comparison with whole documents."""
+def build_block(rows: list[tuple], q: int, window: int, stride: int, rate: float,
+                part: tuple[int, int] | None = None) -> Block:
+    """Index (item_id, text) rows by windows, and by the short windows of ``part`` (their length and stride) too. An item too short for a bound is kept for comparison with whole documents."""
     items, windows, owner, whole = [], [], [], {}
     for item_id, text in rows:
         t = normal(text or "")
@@ -96,9 +103,12 @@ def build_block(rows: list[tuple], q: int, window: int, stride: int, rate: float
         if 0 < len(t) < 2 * q:
             whole.setdefault(t, []).append(len(items))
         elif t:
-            last = max(len(t) - window, 0)
-            for s in sorted({*range(0, last + 1, stride), last}):
-                windows.append(codes[s:s + window])
+            spans = set()
+            for size, step in ((window, stride), part or (window, stride)):
+                last = max(len(t) - size, 0)
+                spans |= {(s, min(s + size, len(t))) for s in (*range(0, last + 1, step), last)}
+            for start, end in sorted(spans):
+                windows.append(codes[start:end])
                 owner.append(len(items))
         items.append(item_id)
     hashes = [gram_hashes(w, q) for w in windows]
@@ -214,24 +224,26 @@ def scan(text: str, block: Block, q: int) -> list[tuple[int, int, int, int]]:
     return found
 
 
-def blocks(benchmark: DataFrame, q: int, window: int, stride: int, rate: float, block_chars: int) -> list[Block]:
+def blocks(benchmark: DataFrame, q: int, window: int, stride: int, rate: float, block_chars: int,
+           part: tuple[int, int] | None) -> list[Block]:
     """The benchmark (item_id, text) as blocks of about ``block_chars`` characters, each small enough to send along."""
     rows = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct()
     total = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     n = -(-total // block_chars)
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(n, 1)))
-    return [build_block([(r["item_id"], r["text"]) for r in rows.where(part == i).collect()], q, window, stride, rate)
-            for i in range(n)]
+    place = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(n, 1)))
+    return [build_block([(r["item_id"], r["text"]) for r in rows.where(place == i).collect()], q, window, stride, rate,
+                        part) for i in range(n)]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = Q,
             window: int = WINDOW, stride: int = STRIDE, rate: float = EDIT_RATE,
-            block_chars: int = BLOCK_CHARS) -> DataFrame:
+            block_chars: int = BLOCK_CHARS, part: tuple[int, int] | None = (PART_WINDOW, PART_STRIDE)) -> DataFrame:
     """(doc_id, item_id, start, end, edits) for each stretch of a document that repeats a benchmark item.
 
     Texts are compared in lower case with white space as single spaces, and
     positions count characters of that form. Items are searched by windows, so
-    a long part of an item is found too. Items shorter than two q-grams only
+    a part of an item is found too, surely one of 99 characters or more that is
+    copied verbatim. Items shorter than two q-grams only
     match a document that equals them. Empty and null texts match nothing;
     repeated documents are reported each, repeated items once; an empty
     benchmark or empty documents give no rows. ``end`` is exclusive and
@@ -241,7 +253,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     kinds = src.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
     schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, start long, end long, edits long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in blocks(benchmark, q, window, stride, rate, block_chars):
+    for block in blocks(benchmark, q, window, stride, rate, block_chars, part):
         def run(batches, block=block):
             for batch in slices(batches, "text"):
                 rows = []
@@ -256,8 +268,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", q: int = Q, window: int = WINDOW,
-          stride: int = STRIDE, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+          stride: int = STRIDE, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS,
+          part: tuple[int, int] | None = (PART_WINDOW, PART_STRIDE)) -> DataFrame:
     """The rows of ``docs``, all columns, whose text repeats no benchmark item; see ``matches``."""
-    for block in blocks(benchmark, q, window, stride, rate, block_chars):
+    for block in blocks(benchmark, q, window, stride, rate, block_chars, part):
         docs = where_text(docs, text_col, lambda t, block=block: not scan(normal(t), block, q))
     return docs

@@ -76,3 +76,16 @@ def test_awkward_rows_and_blocks(spark, awkward, no_docs):
     assert D.matches(no_docs, benchmark).count() == 0
     assert D.matches(docs, benchmark.where("false")).count() == 0
     assert D.clean(docs, benchmark.where("false")).count() == docs.count()
+
+
+def test_every_part_of_99_characters_is_found(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    item = D.normal(" ".join(word() for _ in range(90)))[:397].strip()
+    docs = [(s, "X" + item[s:s + 99] + "Y") for s in range(len(item) - 98)]
+    # many edits in the middle of a long window, more than a short one allows
+    centre = item[:56] + "".join("#" if i % 2 else c for i, c in enumerate(item[56:74])) + item[74:120]
+    docs.append((-1, centre))
+    got = {r["doc_id"] for r in D.matches(spark.createDataFrame(docs, "doc_id long, text string"),
+                                          spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {i for i, _ in docs}
