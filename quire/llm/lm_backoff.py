@@ -176,6 +176,11 @@ def score(docs: DataFrame, reference: DataFrame | None = None, id_col: str = "do
     n-gram; a word that it lacks counts as half a time. The reference is
     ``docs`` itself if none is given. All documents are counted, whole.
 
+    Without a reference scores are in-sample: a document's own n-grams are
+    among the counts, so none is missing and nothing backs off. A text of words
+    found nowhere else then has S = 1 from its second word on, the best there
+    is; per_word tells such texts from good ones only with another reference.
+
     A null or empty text has no words and scores 0. Rows of one doc_id, null
     included, are one document: their sums are added. Empty tables give no
     rows; an empty reference backs off everywhere.
