@@ -47,16 +47,23 @@ def _fingerprints(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp) for every row; fp is the 64-bit fingerprint as a long, zero for a text without words or a null text."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, text_hash, fp) for every row; fp is the 64-bit fingerprint as a long, zero for a text without words or a
+    null text, and text_hash tells texts apart."""
+    src = docs.select(F.col(id_col).alias("id"), _text_hash(F.col(text_col)).alias("text_hash"),
+                      F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in slices(batches, "text"):
             fp = _fingerprints([shingle_hashes(t, shingle) for t in raw_texts(batch, "text")])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(fp)],
+                                             names=["id", "text_hash", "fp"])
 
-    return map_batches(src, run, f"id {src.schema['id'].dataType.simpleString()}, fp long")
+    return map_batches(src, run, f"id {src.schema['id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -122,6 +129,16 @@ def links(fps: DataFrame, max_bits: int, direct: int = DIRECT) -> DataFrame:
     return found.where(_near(max_bits)).distinct()
 
 
+def _named(fp: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, component, component_id) of each fingerprint, stored. Components that share an id can share component_id."""
+    nodes = stored(fp.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
+    parts = connected_components(links(nodes, max_bits))
+    label = (nodes.join(parts, nodes["fp"] == parts["node"], "left")
+             .select("fp", "first", F.coalesce("component", "fp").alias("component")))
+    least = label.groupBy("component").agg(F.min("first").alias("component_id"))
+    return stored(label.join(least, "component").select("fp", "component", "component_id"), "components")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     max_bits: int = 2) -> DataFrame:
     """(id, fp, component_id) for every row: component_id is the least id reachable over links of at most max_bits.
@@ -131,33 +148,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its component but never names it while another id does. Repeated rows come
     back as often as they came; an empty table gives an empty result.
     """
-    fp = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = stored(fp.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    parts = connected_components(links(nodes, max_bits))
-    label = (nodes.join(parts, nodes["fp"] == parts["node"], "left")
-             .select("fp", "first", F.coalesce("component", "fp").alias("component")))
-    least = label.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = stored(label.join(least, "component").select("fp", "component_id"), "components")
-    return fp.join(named, "fp").select("id", "fp", "component_id")
+    fp = stored(fingerprints(docs, id_col, text_col, shingle).select("id", "fp"), "fingerprints")
+    return fp.join(_named(fp, max_bits), "fp").select("id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                 max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs``, all columns, with one document of each near-duplicate component: that of the least id.
+    """The rows of ``docs``, all columns, with one document of each near-duplicate component: that of the least id,
+    and of that id's texts the one of least hash.
 
-    Of rows that repeat an id and a text, one stays. Rows without an id cannot
-    be named as copies and all stay.
+    Of rows that repeat an id and a text, one stays. Rows without an id are
+    copies of each other only: one of each component stays, beside that with an id.
     """
-    found = stored(near_duplicates(docs, id_col, text_col, shingle, max_bits)
-                   .where("id = component_id or id is null").groupBy("id").agg(F.count("*").alias("n")), "kept")
+    fp = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    named = _named(fp, max_bits).select("fp", "component")
+    rows = fp.groupBy("id", "text_hash").agg(F.min("fp").alias("fp"), F.count("*").alias("n"))
+    no_id, least = F.col("id").isNull().alias("no_id"), F.min(F.struct("id", "text_hash", "n")).alias("least")
+    by_fp = rows.groupBy("fp", no_id).agg(least).select("fp", "no_id", "least.*")
+    found = stored(by_fp.join(named, "fp").groupBy("component", "no_id").agg(least)
+                   .select("least.id", "least.text_hash", "least.n").distinct(), "kept")
+
+    def among(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        same_text = _text_hash(docs[text_col]) == keys["text_hash"]
+        return df.join(keys, docs[id_col].eqNullSafe(keys["id"]) & same_text, how)
+
     # by a sort-merge join at every size, so that the plan does not change with the number of ids
-    kept = docs.join(found.select("id").hint("merge"), docs[id_col].eqNullSafe(found["id"]), "left_semi")
-    again = found.where("n > 1 and id is not null").select("id")
+    kept = among(docs, found.select("id", "text_hash").hint("merge"), "left_semi")
+    again = found.where("n > 1").select("id", "text_hash")
     if again.isEmpty():
         return kept
-    once = kept.join(again, kept[id_col] == again["id"], "left_anti")
-    twice = kept.join(again, kept[id_col] == again["id"], "left_semi")
-    return once.unionByName(twice.dropDuplicates([id_col, text_col]))
+    return among(kept, again, "left_anti").unionByName(
+        among(kept, again, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def hex_fingerprint(fp: Column) -> Column:

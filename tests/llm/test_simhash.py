@@ -78,3 +78,14 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 100}
     assert connected_components(edges.where("false")).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"w{rng.getrandbits(30)}" for _ in range(200)) for _ in range(3))
+    rows = [(None, a), (None, a), (None, a.upper()), (1, b), (1, c), (1, b), (2, c), (2, c.upper()), (3, b.title())]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"].lower()) for r in kept) == sorted([(0, a), (1, b), (1, c)])
+    repeated = [(4, a), (4, a.upper()), (5, a)]  # an id with two near copies of one text
+    [row] = simhash.one_of_each(spark.createDataFrame(repeated, "doc_id long, text string")).collect()
+    assert row["doc_id"] == 4
