@@ -14,6 +14,7 @@ from quire.llm import (
     quality_cnn,
     quality_rules,
     simhash,
+    substring_dedup,
     toxicity,
     url_filter,
 )
@@ -87,6 +88,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_words", gone.alias("n_removed"),
+                        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_packing": op2_packing,
@@ -98,6 +106,7 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op11_substring_dedup": op11_substring_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
