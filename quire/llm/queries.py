@@ -15,6 +15,7 @@ from quire.llm import (
     quality_rules,
     simhash,
     substring_dedup,
+    token_alignment,
     toxicity,
     url_filter,
 )
@@ -95,6 +96,13 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                        digest.alias("groups_sha256"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_packing": op2_packing,
@@ -107,6 +115,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
