@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import (
     chat_format,
+    collocations,
     decontaminate,
     html_extract,
     lm_backoff,
@@ -103,6 +104,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                         digest.alias("groups_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), spread_by=("doc_id",))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_packing": op2_packing,
@@ -116,6 +121,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_substring_dedup": op11_substring_dedup,
     "op12_token_alignment": op12_token_alignment,
+    "op13_collocations": op13_collocations,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
