@@ -86,9 +86,12 @@ def week_start_day(date_col: Column) -> Column:
 
 
 def cents(c: Column) -> Column:
-    """Money as exact long cents: integer sums stay on the primitive fast path
-    (a decimal(18,2) sum widens to decimal(28,2), which Spark backs with BigDecimal)."""
-    return F.round(c.cast("double") * 100).cast("long")
+    """Money, a decimal of two places, as exact long cents: integer sums stay on the primitive fast path
+    (a decimal(18,2) sum widens to decimal(28,2), which Spark backs with BigDecimal).
+
+    Up to 10^13 a double holds the cents with room to round; beyond, decimal arithmetic does."""
+    exact = (c.cast("decimal(18,2)") * F.lit(100).cast("decimal(3,0)")).cast("long")
+    return F.when(F.abs(c) < 10 ** 13, F.round(c.cast("double") * 100).cast("long")).otherwise(exact)
 
 
 def eur(c: Column) -> Column:

@@ -21,7 +21,7 @@ from quire.operators.features.registry import DEFAULTS, FEATURE_COLUMNS, with_de
 from quire.operators.features.sources_gmak import (accounting_feature_columns, accounting_stats,
                                                    kyc_feature_columns, kyc_stats, marketplace_feature_columns,
                                                    marketplace_stats, webshop_feature_columns, webshop_stats)
-from quire.sources.registry import empty_source, without_nan
+from quire.sources.registry import empty_source, ready
 
 # Fixed value: days per month used for trading history.
 DAYS_PER_MONTH = 30.44
@@ -47,7 +47,7 @@ def family_stats(sources: Mapping[str, DataFrame], as_of: dt.date,
                  families: Sequence[str] = tuple(FAMILY_STATS)) -> dict[str, DataFrame]:
     """Per-merchant statistics of the given families; only their sources are touched."""
     spark = sources["merchants"].sparkSession
-    get = lambda n: without_nan(sources[n]) if sources.get(n) is not None else empty_source(spark, n)
+    get = lambda n: ready(sources[n], n) if sources.get(n) is not None else empty_source(spark, n)
     return {family: FAMILY_STATS[family](get(family), as_of) for family in families}
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from quire.functions.expr import (cents, cutoff, cv, dbl, eur, hhi, in_window, sample_std_from_moments,
                                   weekly_slope, weekly_slope_stats)
 from quire.functions.grains import GRAIN_KEYS, at, grain, tag_grains
+from quire.sources.schemas import is_absent
 
 RATE_WINDOWS = {"30d": 30, "90d": 90, "ltm": 365}
 PREFIX = "ps_"
@@ -36,6 +37,7 @@ def psp_stats(psp: DataFrame, as_of: dt.date) -> DataFrame:
          ``percentile`` with the counts as frequencies,
       p / b  paid gross per PSP / per buyer -> HHI.
     Then one conditional fold per merchant; no window."""
+    no_method = is_absent(psp, "payment_method")  # then the card share is not produced, rather than zero
     p = psp.filter(F.col("order_date") <= F.lit(as_of))
     od = F.col("order_date")
     status = F.col("status")
@@ -94,7 +96,8 @@ def psp_stats(psp: DataFrame, as_of: dt.date) -> DataFrame:
         fold += [F.sum(at(tag, v * v)).alias(f"{alias}_sq"), F.sum(at(tag, v)).alias(f"{alias}_total")]
     out = g.groupBy("merchant_id").agg(*fold)
     out = out.withColumn("paid_net_all", eur(F.col("paid_net_c"))) \
-             .withColumn("card_pct_90", F.when(F.col("rows_90") > 0, dbl(F.col("card_90")) / dbl(F.col("rows_90"))))
+             .withColumn("card_pct_90", F.when((F.col("rows_90") > 0) & F.lit(not no_method),
+                                               dbl(F.coalesce(F.col("card_90"), F.lit(0))) / dbl(F.col("rows_90"))))
     return out.select("merchant_id", *[F.col(n).alias(PREFIX + n) for n in out.columns if n != "merchant_id"])
 
 
@@ -128,7 +131,7 @@ def psp_feature_columns(as_of: dt.date) -> dict[str, Column]:
     f["refund_trend_3m"] = f["refund_rate_90d"] - _refund_rate(c("gross_prior90"), c("refund_prior90"))
     f["platform_concentration"] = F.when(has_paid, hhi(c("plat_sq"), c("plat_total"))).otherwise(F.lit(1.0))
     f["gpv_trend_90d"] = F.when(z(c("paid_90")) >= 10, weekly_slope(PREFIX + "gpv")).otherwise(F.lit(0.0))
-    f["payment_method_card_pct"] = F.when(z(c("rows_90")) > 0, c("card_pct_90")).otherwise(F.lit(0.25))
+    f["payment_method_card_pct"] = F.coalesce(c("card_pct_90"), F.lit(0.25))
     f["dispute_win_rate"] = F.when(z(c("disputes_resolved")) > 0,
                                    dbl(c("disputes_won")) / dbl(c("disputes_resolved"))).otherwise(F.lit(0.50))
     f["buyer_concentration_hhi"] = F.when(has_paid, hhi(c("buyer_sq"), c("buyer_total"))).otherwise(F.lit(1.0))

@@ -12,13 +12,16 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.expr import (cv, dbl, hhi, in_window, sample_std_from_moments, slope_normalized_observed,
+from quire.functions.expr import (cents, cv, dbl, hhi, in_window, sample_std_from_moments, slope_normalized_observed,
                                   weekly_slope, weekly_slope_stats)
 from quire.functions.grains import GRAIN_KEYS, at, grain, tag_grains
+from quire.sources.schemas import is_absent
 
 WEBSHOP_MIN_ORDERS_90D = 10
 # KYC verification level scores (others score as basic).
 KYC_LEVEL_SCORES = {"basic": 0.33, "enhanced": 0.67, "full": 1.0}
+# What a KYC source gives that lacks the column.
+KYC_ABSENT = {"ubo_director_match": False, "ubo_verified": False, "identity_changes_12m": 3, "last_kyc_date": 730.0}
 
 
 # ---------------------------------------------------------------- webshop (G)
@@ -29,11 +32,11 @@ def webshop_stats(ws: DataFrame, as_of: dt.date) -> DataFrame:
     in90 = in_window(F.col("order_date"), as_of, 90)
     status = F.col("status")
     comp = in90 & (status == "completed")
-    gross = F.col("gross_amount")
+    gross_c = cents(F.col("gross_amount"))  # ratios of cents: the unit falls out
     x = tag_grains(w, grain("m"), grain("s", k_str=F.col("sku_id"), when=comp & F.col("sku_id").isNotNull()))
     m = lambda v: F.when(F.col("g") == "m", v)
     aggs = [
-        F.sum(gross).alias("grain_gross"),
+        F.sum(gross_c).alias("grain_gross"),
         F.count(m(F.lit(1))).alias("ws_rows_all"),
         F.count(m(F.when(in90, F.lit(1)))).alias("ws_n90"),
         F.count(m(F.when(in90 & (status == "cancelled"), F.lit(1)))).alias("ws_cancelled"),
@@ -42,9 +45,9 @@ def webshop_stats(ws: DataFrame, as_of: dt.date) -> DataFrame:
         F.count(m(F.when(in90, F.col("is_repeat_customer")))).alias("ws_repeat_n"),
         F.count(m(F.when(comp, F.lit(1)))).alias("ws_comp_n"),
         F.count(m(F.when(comp & (F.col("fulfillment_days") <= 3), F.lit(1)))).alias("ws_comp_fast"),
-        F.sum(m(F.when(comp, gross))).alias("ws_comp_s1"),
-        F.sum(m(F.when(comp, gross * gross))).alias("ws_comp_s2"),
-        F.sum(m(F.when(comp, F.col("discount_amount")))).alias("ws_comp_discount"),
+        F.sum(m(F.when(comp, gross_c))).alias("ws_comp_s1"),
+        F.sum(m(F.when(comp, gross_c.cast("double") * gross_c.cast("double")))).alias("ws_comp_s2"),
+        F.sum(m(F.when(comp, cents(F.col("discount_amount"))))).alias("ws_comp_discount"),
     ]
     for k, v in weekly_slope_stats(F.col("order_date"), F.lit(1), (F.col("g") == "m") & in90).items():
         aggs.append(v.alias(f"wsw_{k}"))
@@ -187,6 +190,9 @@ def kyc_latest(kyc: DataFrame) -> DataFrame:
 
 
 def kyc_stats(kyc: DataFrame, as_of: dt.date) -> DataFrame:
+    instead = {c: v for c, v in KYC_ABSENT.items() if is_absent(kyc, c)}
+    value = lambda c: F.lit(instead[c]) if c in instead else F.col(c)
+    days = value("last_kyc_date") if "last_kyc_date" in instead else dbl(F.datediff(F.lit(as_of), F.col("last_kyc_date")))
     k = kyc_latest(kyc)
     level = F.col("verification_level")
     score = F.lit(KYC_LEVEL_SCORES["basic"])
@@ -195,10 +201,10 @@ def kyc_stats(kyc: DataFrame, as_of: dt.date) -> DataFrame:
     return k.select(
         "merchant_id",
         F.lit(1).alias("kyc_rows"),
-        F.col("ubo_director_match").alias("kyc_ubo_match"),
-        F.col("ubo_verified").alias("kyc_ubo_verified"),
-        F.col("identity_changes_12m").alias("kyc_id_changes"),
-        dbl(F.datediff(F.lit(as_of), F.col("last_kyc_date"))).alias("kyc_days"),
+        value("ubo_director_match").alias("kyc_ubo_match"),
+        value("ubo_verified").alias("kyc_ubo_verified"),
+        value("identity_changes_12m").alias("kyc_id_changes"),
+        days.alias("kyc_days"),
         score.alias("kyc_level_score"),
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.sources.schemas import (ACCOUNTING_MIN_MONTHS, ENUM_DOMAINS, MARGIN_OUT_OF_RANGE_MAX, MIN_HISTORY_DAYS,
-                                   NULL_CHECK_COLUMNS, NULL_RATE_MAX, REQUIRED_COLUMNS)
+                                   NULL_CHECK_COLUMNS, NULL_RATE_MAX, REQUIRED_COLUMNS, is_absent)
 
 REPORT_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("check", T.StringType()),
@@ -26,15 +26,15 @@ FEATURE_MISSING_ALERT = 0.20
 
 
 def required_columns_report(spark: SparkSession, sources: dict[str, DataFrame]) -> DataFrame:
-    """V1: required column names present in each source (schema metadata only)."""
+    """V1: required column names present in each source (schema metadata only); NULLs that stand in for a column that
+    the source lacks do not count."""
     rows = []
     for src, req in REQUIRED_COLUMNS.items():
         df = sources.get(src)
         if df is None:
             continue
-        have = set(df.columns)
         for col in req:
-            ok = col in have
+            ok = not is_absent(df, col)
             rows.append((src, "required_column", col, 1.0 if ok else 0.0, 1.0, ok))
     return spark.createDataFrame(rows, REPORT_SCHEMA)
 
@@ -42,7 +42,7 @@ def required_columns_report(spark: SparkSession, sources: dict[str, DataFrame])
 def _checks(src: str, df: DataFrame) -> list[tuple[str, str, Column, float, str]]:
     """(check, subject, aggregate value, threshold, comparison) for one source."""
     out: list[tuple[str, str, Column, float, str]] = []
-    cols = set(df.columns)
+    cols = {c for c in df.columns if not is_absent(df, c)}  # a column that is absent is V1's matter
     floats = {n for n, t in df.dtypes if t in ("double", "float")}
     for c in NULL_CHECK_COLUMNS.get(src, []):
         if c in cols:

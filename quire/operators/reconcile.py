@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.expr import dbl, week_start_day
+from quire.sources.schemas import POSTING_ORDER
 
 RECON_MAX_DELTA = 0.20
 OPENING_BALANCE = 10_000
@@ -58,18 +59,21 @@ def daily_closing_balance(bank: DataFrame, as_of: dt.date) -> DataFrame:
 def running_balance(postings: DataFrame, opening: int = OPENING_BALANCE) -> DataFrame:
     """The balance after each posting, and its place in the day (posting_seq).
 
-    Postings are ordered by date and transaction_id. A day's opening balance is
+    Postings are ordered by date and, inside a day, by the place they came with
+    (posting_seq), or else by transaction_id. A day's opening balance is
     a running sum over per-day nets; inside a day, a window adds its postings.
     So a merchant with very many rows is split by day, and the join and the
     window share one exchange on (merchant, date)."""
     daily = postings.groupBy("merchant_id", "date").agg(F.sum("amount").alias("_day_net"))
     days = Window.partitionBy("merchant_id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     opened = daily.select("merchant_id", "date", F.coalesce(F.sum("_day_net").over(days), F.lit(0)).alias("_before"))
-    day = Window.partitionBy("merchant_id", "date").orderBy("transaction_id")
+    order = POSTING_ORDER if POSTING_ORDER in postings.columns else "transaction_id"
+    day = Window.partitionBy("merchant_id", "date").orderBy(order)
     so_far = F.sum("amount").over(day.rowsBetween(Window.unboundedPreceding, 0))
     return (postings.join(opened, ["merchant_id", "date"], "inner")
             .withColumn("balance_after", (F.lit(opening) + F.col("_before") + so_far).cast("decimal(18,2)"))
-            .withColumn("posting_seq", F.row_number().over(day).cast("long")).drop("_before"))
+            .withColumn(POSTING_ORDER, F.col(order) if order == POSTING_ORDER else F.row_number().over(day).cast("long"))
+            .drop("_before"))
 
 
 def monthly_bank_facts(bank: DataFrame, as_of: dt.date) -> DataFrame:

@@ -136,6 +136,39 @@ for _f in FAMILY_FEATURES:
     _family_query(_f)
 
 
+# --------------------------------------------------------------------------- features from plain files
+from quire.session import shared_folder  # noqa: E402
+from quire.sources.registry import load_and_validate  # noqa: E402
+from quire.sources.schemas import REQUIRED_COLUMNS, SCHEMAS  # noqa: E402
+
+# What a source without the optional columns gives (and one of KYC without its date).
+_WITHOUT_OPTIONAL = {"payment_method_card_pct": "0.25", "dispute_win_rate": "0.5", "buyer_concentration_hhi": "1.0",
+                     "kyc_days_since_last": "730.0"}
+
+
+def plain_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The sources as Parquet folders with no more than the required columns, KYC without its date; bank postings have
+    their order from the files alone."""
+    base = shared_folder(spark, "plain-files")
+    sources = fx(spark, sf_dir).sources()
+    for name in sources:
+        df = sources[name]
+        if name == "bank":  # as exported: by merchant and day, in the order of posting
+            df = df.repartitionByRange("merchant_id", "date").sortWithinPartitions("merchant_id", "date", "posting_seq")
+        columns = REQUIRED_COLUMNS.get(name, SCHEMAS[name].names)
+        df.select(*[c for c in columns if c != "last_kyc_date"]).write.parquet(f"{base}/{name}")
+    return {name: f"{base}/{name}" for name in sources}
+
+
+@register("features_from_files", _oracle("SELECT " + ", ".join(
+    f"CAST({_WITHOUT_OPTIONAL[n]} AS DOUBLE) AS {n}" if n in _WITHOUT_OPTIONAL else sql_round([(n, k)])
+    for n, k in FEATURE_SELECT) + " FROM feat"))
+def q_features_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table from Parquet folders that have only the required columns, in file order."""
+    sources, _ = load_and_validate(spark, plain_files(spark, sf_dir))
+    return round_doubles(compute_features(sources, AS_OF))
+
+
 # --------------------------------------------------------------------------- policy (K, P)
 from quire.operators import policy as P  # noqa: E402
 from quire.plans.oracle_policy import policy_ctes  # noqa: E402

@@ -60,11 +60,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/quire-tables/{name}-{uuid.uuid4().hex}"
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a parquet table under the shared checkpoint folder and
     read it back: lineage is cut, and readers keep column pruning, filter
     pushdown and file statistics (unlike an RDD checkpoint)."""
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/quire-tables/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -7,9 +7,13 @@ independent of partitioning; ratios are computed in double.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 2)
+#: The column that orders the postings of a day.
+POSTING_ORDER = "posting_seq"
 
 S = T.StringType()
 D = T.DateType()
@@ -117,3 +121,18 @@ AS_OF_COLUMN: dict[str, str] = {
 }
 
 OPTIONAL_SOURCES = ("webshop", "marketplace", "accounting", "kyc")
+
+#: Field metadata that marks a column which the source does not have.
+ABSENT = "absent"
+
+
+def is_absent(df: DataFrame, column: str) -> bool:
+    """Whether the source lacks the column: it is not there, or stands in as NULLs only."""
+    return column not in df.columns or bool(df.schema[column].metadata.get(ABSENT))
+
+
+def completed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a typed NULL column, marked as absent, for each canonical column that it lacks. The place of a
+    bank posting is not made up: ``quire.sources.registry.in_file_order`` takes it from the files."""
+    lacking = [f for f in SCHEMAS[name].fields if f.name not in df.columns and f.name != POSTING_ORDER]
+    return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name, metadata={ABSENT: True}) for f in lacking])
