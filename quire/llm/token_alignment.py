@@ -18,7 +18,7 @@ import sys
 import types
 import uuid
 import zlib
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -70,6 +70,19 @@ def bytes_of_b(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
             else model.id_to_piece(i).replace(META_SPACE, " ").encode() for i in range(model.get_piece_size())]
 
 
+def _sorted_once(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+class _Numbers(dict):
+    """Numbers chunks as they are first asked for."""
+
+    def __missing__(self, chunk: bytes) -> int:
+        self[chunk] = n = len(self)
+        return n
+
+
 class Aligner:
     """Aligns texts by two tokenizers and remembers the chunks it has seen."""
 
@@ -91,7 +104,7 @@ class Aligner:
         self.clear()
 
     def clear(self):
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbers()
         self.held = 0
         self.groups: list[str] = []
         self.flat = np.zeros(0, np.int64)
@@ -100,32 +113,34 @@ class Aligner:
         #: per chunk: links of the best count, sum of the counts
         self.worth = np.zeros((0, 2), np.int64)
 
-    def chunks(self, batch: list[bytes]) -> list[np.ndarray]:
-        """The numbers of the chunks of each text; new ones are aligned first. An empty text has none."""
+    def chunks(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, chunk): the numbers of the chunks of all texts, in order; new ones are aligned first. An empty text
+        has none."""
         if len(self.number) > CACHE_CHUNKS or self.held > CACHE_BYTES:
             self.clear()
-        number, known, out = self.number, len(self.number), []
-        for text in batch:
-            parts = (LONE_SPACE.split(text) if self.by_chunk else [text]) if text else []
-            out.append(np.fromiter((number.setdefault(p, len(number)) for p in parts), np.int64, len(parts)))
-        if len(number) > known:
-            self._learn(list(number)[known:])
-        return out
+        known = len(self.number)
+        parts = [(LONE_SPACE.split(t) if self.by_chunk else [t]) if t else [] for t in batch]
+        chunk = np.array(list(map(self.number.__getitem__, chain.from_iterable(parts))), np.int64)
+        if len(self.number) > known:
+            self._learn(list(islice(self.number, known, None)))
+        return np.repeat(np.arange(len(parts)), list(map(len, parts))), chunk
+
+    def sound(self, text: np.ndarray, chunk: np.ndarray, n: int) -> np.ndarray:
+        """Which of ``n`` texts have chunks, all of them spelled by both tokenizers."""
+        return (np.bincount(text, minlength=n) > 0) & (np.bincount(text, self.facts[chunk, 0] == 0, n) == 0)
 
     def _learn(self, new: list[bytes]):
         self.held += sum(map(len, new))
         texts = [p.decode("utf-8", "replace") for p in new]
         ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         ids_b = self.b.encode(texts, num_threads=1)
-        for i, part in enumerate(new):
-            spelled = b" " + part
-            if (b"".join([self.bytes_a[t] for t in ids_a[i]]) != spelled
-                    or b"".join([self.bytes_b[t] for t in ids_b[i]]) != spelled):
-                ids_a[i] = ids_b[i] = []
+        for ids, spelling in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
+            if b"".join([spelling[t] for t in chain.from_iterable(ids)]) != b" " + b" ".join(new):
+                self._only_spelled(new, ids_a, ids_b)
         n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
         a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        every, both = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b)
+        every, both = _sorted_once(np.concatenate([end_a, end_b])), np.intersect1d(end_a, end_b, assume_unique=True)
         stop = np.cumsum(np.where(n_a > 0, [1 + len(p) for p in new], 0))
         first = np.concatenate([[0], stop[:-1]])
         n_links, n_groups = (np.searchsorted(e, stop, "right") - np.searchsorted(e, first, "right") for e in (every, both))
@@ -134,10 +149,17 @@ class Aligner:
         self.facts = np.concatenate([self.facts, np.stack(
             [n_a > 0, n_a, n_b, n_groups, n_links, base + np.cumsum(n_links) - n_links], axis=1)])
         self.flat = np.concatenate([self.flat, links])
-        self._spell(a, b, end_a, end_b, both, n_a + n_b)
-        if self.counted is not None:
+        if self.counted is not None:  # the second pass
+            self._spell(a, b, end_a, end_b, both, n_a + n_b)
             self._count(links, n_links)
 
+    def _only_spelled(self, new: list[bytes], ids_a: list, ids_b: list):
+        """Takes the tokens from chunks that either tokenizer does not spell."""
+        for i, part in enumerate(new):
+            for ids, spelling in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
+                if b"".join([spelling[t] for t in ids[i]]) != b" " + part:
+                    ids_a[i] = ids_b[i] = []
+
     def _spell(self, a, b, end_a, end_b, both, size):
         """The groups of each new chunk, as text."""
         side = np.concatenate([2 * np.searchsorted(both, end_a), 2 * np.searchsorted(both, end_b) + 1])
@@ -176,19 +198,21 @@ def worker_aligner(spec: str, model: bytes) -> Aligner:
 
 def _pairs_of(aligner: Aligner, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(pair, documents that hold it) of some documents."""
-    parts = aligner.chunks(batch)
-    sound = [i for i, p in enumerate(parts) if len(p) and aligner.facts[p, 0].all()]
-    if not sound:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text, chunk = aligner.chunks(batch)
+    keep = aligner.sound(text, chunk, len(batch))[text]
     # each chunk of a document once, then each pair of a document once
-    held = [np.unique(parts[i]) for i in sound]
-    of, part = np.repeat(np.arange(len(sound)), [len(h) for h in held]), np.concatenate(held)
-    n, first = aligner.facts[part, 4], aligner.facts[part, 5]
+    held = _sorted_once(text[keep] << 32 | chunk[keep])
+    if not len(held):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text, chunk = held >> 32, held & 0xFFFFFFFF
+    n, first = aligner.facts[chunk, 4], aligner.facts[chunk, 5]
     ends = np.cumsum(n)
     links = aligner.flat[np.repeat(first - ends + n, n) + np.arange(ends[-1])]
-    pairs, at = np.unique(links, return_inverse=True)
-    once = np.unique(np.repeat(of, n) * len(pairs) + at)
-    return pairs, np.bincount(once % len(pairs), minlength=len(pairs))
+    of = np.repeat(text, n)
+    # ordered by pair, then text: a pair stays below 2 ** 32, a slice has fewer than 2 ** 31 texts
+    once = _sorted_once(links << 31 | of) >> 31
+    start = np.flatnonzero(np.concatenate([[True], once[1:] != once[:-1]]))
+    return once[start], np.diff(np.append(start, len(once)))
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -346,16 +370,21 @@ def _second_pass(rows: DataFrame, spec: str, model: bytes, sent, last: bool) ->
             if aligner.key != key:
                 held, counts, best = sent.value
                 aligner.use(key, (PerfectHash(SEGMENTS, held), counts, best))
-            parts = aligner.chunks(raw_texts(batch, "text"))
-            facts, groups = np.zeros((len(parts), 4), np.int64), []
-            worth = np.stack([batch.column(c).to_numpy() for c in ("n_best", "count_sum")], axis=1)
-            for i, p in enumerate(parts):
-                if len(p) and aligner.facts[p, 0].all():
-                    facts[i] = aligner.facts[p, 1:5].sum(axis=0)
-                    worth[i] += aligner.worth[p].sum(axis=0)
-                    groups.append(";".join([aligner.groups[k] for k in p.tolist()]) if last else "")
-                else:
-                    groups.append("")
+            size = batch.num_rows
+            text, chunk = aligner.chunks(raw_texts(batch, "text"))
+            sound = aligner.sound(text, chunk, size)
+            found = np.concatenate([aligner.facts[chunk, 1:5], aligner.worth[chunk]], axis=1)
+            sums = np.concatenate([np.zeros((1, 6), np.int64), np.cumsum(found, axis=0)])
+            stop = np.searchsorted(text, np.arange(size), "right")
+            start = np.concatenate([[0], stop[:-1]])
+            each = np.where(sound[:, None], sums[stop] - sums[start], 0)
+            facts, worth = each[:, :4], each[:, 4:] + np.stack(
+                [batch.column(c).to_numpy() for c in ("n_best", "count_sum")], axis=1)
+            groups = []
+            if last:
+                spelled = list(map(aligner.groups.__getitem__, chunk.tolist()))
+                groups = [";".join(spelled[s:e]) if ok else "" for s, e, ok in zip(
+                    start.tolist(), stop.tolist(), sound.tolist())]
             more = pa.array(groups, pa.string()) if last else batch.column("text")
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), *(pa.array(c) for c in facts.T.copy()), *(pa.array(c) for c in worth.T.copy()), more],
