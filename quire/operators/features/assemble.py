@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.expr import dbl
-from quire.operators.features.bank import bank_feature_columns, bank_stats
-from quire.operators.features.psp import psp_feature_columns, psp_stats
+from quire.operators.features.bank import bank_feature_columns, bank_history, bank_stats
+from quire.operators.features.psp import psp_feature_columns, psp_history, psp_stats
 from quire.operators.features.registry import DEFAULTS, FEATURE_COLUMNS, with_default
 from quire.operators.features.sources_gmak import (accounting_feature_columns, accounting_stats,
                                                    kyc_feature_columns, kyc_stats, marketplace_feature_columns,
-                                                   marketplace_stats, webshop_feature_columns, webshop_stats)
+                                                   marketplace_stats, webshop_feature_columns, webshop_history,
+                                                   webshop_stats)
 from quire.sources.registry import empty_source, ready
 
 # Fixed value: days per month used for trading history.
@@ -43,19 +44,26 @@ FAMILY_STATS = {"bank": bank_stats, "psp": psp_stats, "webshop": webshop_stats,
                 "accounting": accounting_stats, "kyc": kyc_stats}
 
 
-def family_stats(sources: Mapping[str, DataFrame], as_of: dt.date,
-                 families: Sequence[str] = tuple(FAMILY_STATS)) -> dict[str, DataFrame]:
-    """Per-merchant statistics of the given families; only their sources are touched."""
+#: Families whose statistics can take a stored history in place of old rows.
+FAMILY_HISTORY = {"bank": bank_history, "psp": psp_history, "webshop": webshop_history}
+
+
+def family_stats(sources: Mapping[str, DataFrame], as_of: dt.date, families: Sequence[str] = tuple(FAMILY_STATS),
+                 history: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Per-merchant statistics of the given families; only their sources are touched. With ``history`` (monthly
+    partial aggregates by family, see ``quire.sources.store``) old rows are not read."""
     spark = sources["merchants"].sparkSession
     get = lambda n: ready(sources[n], n) if sources.get(n) is not None else empty_source(spark, n)
-    return {family: FAMILY_STATS[family](get(family), as_of) for family in families}
+    known = history or {}
+    return {family: FAMILY_STATS[family](get(family), as_of, *([known[family]] if family in known else []))
+            for family in families}
 
 
-def joined_stats(sources: Mapping[str, DataFrame], as_of: dt.date,
-                 families: Sequence[str] = tuple(FAMILY_STATS)) -> DataFrame:
+def joined_stats(sources: Mapping[str, DataFrame], as_of: dt.date, families: Sequence[str] = tuple(FAMILY_STATS),
+                 history: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Application spine left-joined to the families' per-merchant statistics."""
     j = spine(sources["merchants"], sources["applications"])
-    for stats in family_stats(sources, as_of, families).values():
+    for stats in family_stats(sources, as_of, families, history).values():
         j = j.join(stats, "merchant_id", "left")
     return j
 
@@ -95,13 +103,19 @@ def feature_columns(as_of: dt.date) -> dict[str, Column]:
     return cols
 
 
-def compute_features(sources: dict[str, DataFrame], as_of: dt.date, apply_defaults: bool = True) -> DataFrame:
+def compute_features(sources: Mapping[str, DataFrame], as_of: dt.date, apply_defaults: bool = True,
+                     history: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """The 70-field feature table (plus application_id), one row per application.
 
     ``sources`` maps canonical names (merchants, applications, bank, psp,
     webshop, marketplace, accounting, kyc) to DataFrames; optional sources may
-    be missing or None."""
-    j = joined_stats(sources, as_of)
+    be missing or None. With ``history`` the bank, PSP and webshop rows of the
+    last 365 days are read, and older ones come as monthly partial aggregates."""
+    return featured(joined_stats(sources, as_of, history=history), as_of, apply_defaults)
+
+
+def featured(j: DataFrame, as_of: dt.date, apply_defaults: bool = True) -> DataFrame:
+    """The feature table from the spine with all families' statistics; one projection."""
     cols = feature_columns(as_of)
     c = F.col
     out = [c("application_id"), c("merchant_id")]

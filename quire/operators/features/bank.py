@@ -66,14 +66,27 @@ def _last_observed_mean(k: int) -> Column:
     return F.when(taken > 0, total / taken)
 
 
-def bank_stats(bank: DataFrame, as_of: dt.date) -> DataFrame:
+def bank_history(bank: DataFrame) -> DataFrame:
+    """Partial aggregates of each merchant and month: what ``bank_stats`` needs of all history."""
+    settled = F.when(F.col("category") == "psp_settlement", cents(F.col("amount")))
+    return (bank.groupBy("merchant_id", F.trunc("date", "MM").alias("month"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(settled).alias("psp_settle")))
+
+
+def bank_stats(bank: DataFrame, as_of: dt.date, history: DataFrame | None = None) -> DataFrame:
     """Per-merchant sufficient statistics for every bank feature, from ONE scan.
 
     Grains: day (R10 closing balance, daily credits, window sums), month
     (credits in 365 d, supplier presence in 180 d) and counterparty (credits in
     90 d, for the inflow HHI). The month list kept per merchant is bounded by
-    the 13 calendar months a 365-day window can touch."""
+    the 13 calendar months a 365-day window can touch.
+
+    With ``history`` (as ``bank_history`` gives it) the postings are read for the last 365 days only; row counts and
+    settlement sums of months before that of ``as_of`` come from the history."""
     b = bank.filter(F.col("date") <= F.lit(as_of))
+    month_start = as_of.replace(day=1)
+    if history is not None:
+        b = b.filter(F.col("date") >= F.lit(cutoff(as_of, 365)))
     d = F.col("date")
     amt = F.col("amount")
     credit = F.col("direction") == "CREDIT"
@@ -107,11 +120,17 @@ def bank_stats(bank: DataFrame, as_of: dt.date) -> DataFrame:
             F.count(F.when(sup & w[180], F.lit(1))).alias("sup_180"),
         )
     kd = F.col("k_date")
+    ever = F.col("g") == "d"
+    if history is not None:
+        old = history.filter(F.col("month") < F.lit(month_start)).select(
+            "merchant_id", F.lit("t").alias("g"), "n", "psp_settle")
+        g = g.unionByName(old, allowMissingColumns=True)
+        ever = (F.col("g") == "t") | (ever & (kd >= F.lit(month_start)))
     wk = {days: in_window(kd, as_of, days) for days in (30, 90, 180)}
     has_credit = F.col("n_credit") > 0
     aggs: list[Column] = [
-        F.sum(at("d", F.col("n"))).alias("rows_all"),
-        eur(F.sum(at("d", F.col("psp_settle")))).alias("psp_settle_all"),
+        F.sum(F.when(ever, F.col("n"))).alias("rows_all"),
+        eur(F.sum(F.when(ever, F.col("psp_settle")))).alias("psp_settle_all"),
     ]
     for days in (90, 180):
         aggs += [eur(F.sum(at("d", F.col("net"), wk[days]))).alias(f"net_{days}"),

@@ -28,7 +28,45 @@ RATE_WINDOWS = {"30d": 30, "90d": 90, "ltm": 365}
 PREFIX = "ps_"
 
 
-def psp_stats(psp: DataFrame, as_of: dt.date) -> DataFrame:
+PSP_COLUMNS = ("merchant_id", "order_date", "settlement_date", "status", "psp_name", "buyer_id", "payment_method",
+               "dispute_outcome", "gross_amount", "net_amount", "refund_amount")
+
+
+def _outcome() -> Column:
+    return F.when(F.col("dispute_outcome") == "won", 1).when(F.col("dispute_outcome") == "lost", 2).otherwise(0)
+
+
+def _delay() -> Column:
+    return F.datediff(F.col("settlement_date"), F.col("order_date"))
+
+
+def _history_grains(when: Column | None = None) -> list[Column]:
+    """The grains that features over all history fold: h (delay of paid payments), p and b (paid gross by PSP, buyer)."""
+    paid = F.col("status") == "paid"
+    paid = paid if when is None else paid & when
+    return [grain("h", k_int=_delay(), when=paid & _delay().isNotNull()),
+            grain("p", k_str=F.col("psp_name"), when=paid & F.col("psp_name").isNotNull()),
+            grain("b", k_str=F.col("buyer_id"), when=paid & F.col("buyer_id").isNotNull())]
+
+
+def _sums() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"),
+            F.sum(cents(F.col("gross_amount"))).alias("gross_c"),
+            F.sum(cents(F.col("net_amount"))).alias("net_c"),
+            F.sum(cents(F.col("refund_amount"))).alias("refund_c"),
+            F.sum(_delay()).alias("d1"),
+            F.sum(_delay() * _delay()).alias("d2")]
+
+
+def psp_history(psp: DataFrame) -> DataFrame:
+    """Partial aggregates of each merchant and month, from which ``psp_stats`` folds what covers all history: t (rows by
+    status and dispute outcome), and the grains h, p and b. Months are independent, so they can be kept and merged."""
+    x = tag_grains(psp.select(*PSP_COLUMNS, F.trunc("order_date", "MM").alias("month")),
+                   grain("t", k_str=F.col("status"), k_int=_outcome()), *_history_grains())
+    return x.groupBy("merchant_id", "month", "g", "k_str", "k_int").agg(*_sums())
+
+
+def psp_stats(psp: DataFrame, as_of: dt.date, history: DataFrame | None = None) -> DataFrame:
     """Per-merchant sufficient statistics for every PSP feature, from ONE scan.
 
     Grains (narrow: six count/sum slots each):
@@ -36,44 +74,40 @@ def psp_stats(psp: DataFrame, as_of: dt.date) -> DataFrame:
       h  delay-days histogram of paid payments -> exact p95 / median by
          ``percentile`` with the counts as frequencies,
       p / b  paid gross per PSP / per buyer -> HHI.
-    Then one conditional fold per merchant; no window."""
+    Then one conditional fold per merchant; no window.
+
+    With ``history`` (as ``psp_history`` gives it) the payments are read for the last 365 days only: months before that
+    of ``as_of`` come from the history wherever a feature covers all of it."""
     no_method = is_absent(psp, "payment_method")  # then the card share is not produced, rather than zero
     p = psp.filter(F.col("order_date") <= F.lit(as_of))
     od = F.col("order_date")
-    status = F.col("status")
-    paid = status == "paid"
-    delay = F.datediff(F.col("settlement_date"), od)
-    flags = (F.when(F.col("payment_method") == "creditcard", 10).otherwise(0)
-             + F.when(F.col("dispute_outcome") == "won", 1).when(F.col("dispute_outcome") == "lost", 2).otherwise(0))
-    x = tag_grains(
-        p.select("merchant_id", "order_date", "settlement_date", "status", "psp_name", "buyer_id", "payment_method",
-                 "dispute_outcome", "gross_amount", "net_amount", "refund_amount"),
-        grain("d", k_date=od, k_str=status, k_int=flags),
-        grain("h", k_int=delay, when=paid & delay.isNotNull()),
-        grain("p", k_str=F.col("psp_name"), when=paid & F.col("psp_name").isNotNull()),
-        grain("b", k_str=F.col("buyer_id"), when=paid & F.col("buyer_id").isNotNull()))
-    g = x.groupBy("merchant_id", *GRAIN_KEYS).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(cents(F.col("gross_amount"))).alias("gross_c"),
-        F.sum(cents(F.col("net_amount"))).alias("net_c"),
-        F.sum(cents(F.col("refund_amount"))).alias("refund_c"),
-        F.sum(delay).alias("d1"),
-        F.sum(delay * delay).alias("d2"),
-    )
+    since = None if history is None else od >= F.lit(as_of.replace(day=1))
+    if history is not None:
+        p = p.filter(od >= F.lit(cutoff(as_of, max(RATE_WINDOWS.values()))))
+    flags = F.when(F.col("payment_method") == "creditcard", 10).otherwise(0) + _outcome()
+    x = tag_grains(p.select(*PSP_COLUMNS), grain("d", k_date=od, k_str=F.col("status"), k_int=flags),
+                   *_history_grains(since))
+    g = x.groupBy("merchant_id", *GRAIN_KEYS).agg(*_sums())
+    if history is not None:
+        before = history.filter(F.col("month") < F.lit(as_of.replace(day=1)))
+        g = g.unionByName(before.withColumn("k_date", F.lit(None).cast("date")).drop("month"))
     kd, st, fl = F.col("k_date"), F.col("k_str"), F.col("k_int")
     is_paid = st == "paid"
     wk = {days: in_window(kd, as_of, days) for days in (30, 90, 180, 365)}
     prior90 = (kd >= F.lit(cutoff(as_of, 180))) & (kd < F.lit(cutoff(as_of, 90)))
     n, gross, refund = F.col("n"), F.col("gross_c"), F.col("refund_c")
     D = lambda v, cond=None: at("d", v, cond)
+    # days that the history holds count in windows only
+    ever = (F.col("g") == "t") | ((F.col("g") == "d") & (F.lit(True) if history is None else kd >= F.lit(as_of.replace(day=1))))
+    T = lambda v, cond=F.lit(True): F.sum(F.when(ever & cond, v))
     fold: list[Column] = [
-        F.sum(D(n)).alias("rows_all"),
-        F.sum(D(n, is_paid)).alias("paid_all"),
-        F.sum(D(F.col("d1"), is_paid)).alias("delay_s1"),
-        F.sum(D(F.col("d2"), is_paid)).alias("delay_s2"),
-        F.sum(D(F.col("net_c"), is_paid)).alias("paid_net_c"),
-        F.sum(D(n, (st == "chargeback") & (fl % 10 > 0))).alias("disputes_resolved"),
-        F.sum(D(n, (st == "chargeback") & (fl % 10 == 1))).alias("disputes_won"),
+        T(n).alias("rows_all"),
+        T(n, is_paid).alias("paid_all"),
+        T(F.col("d1"), is_paid).alias("delay_s1"),
+        T(F.col("d2"), is_paid).alias("delay_s2"),
+        T(F.col("net_c"), is_paid).alias("paid_net_c"),
+        T(n, (st == "chargeback") & (fl % 10 > 0)).alias("disputes_resolved"),
+        T(n, (st == "chargeback") & (fl % 10 == 1)).alias("disputes_won"),
         F.sum(D(n, is_paid & wk[90])).alias("paid_90"),
         F.sum(D(n, wk[90])).alias("rows_90"),
         F.sum(D(n, wk[90] & (fl >= 10))).alias("card_90"),
@@ -94,6 +128,9 @@ def psp_stats(psp: DataFrame, as_of: dt.date) -> DataFrame:
     for tag, alias in (("p", "plat"), ("b", "buyer")):
         v = dbl(gross)
         fold += [F.sum(at(tag, v * v)).alias(f"{alias}_sq"), F.sum(at(tag, v)).alias(f"{alias}_total")]
+    if history is not None:  # a PSP or buyer has a row per month: their shares are of all months together
+        keys = ["merchant_id", *GRAIN_KEYS]
+        g = g.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in g.columns if c not in keys])
     out = g.groupBy("merchant_id").agg(*fold)
     out = out.withColumn("paid_net_all", eur(F.col("paid_net_c"))) \
              .withColumn("card_pct_90", F.when((F.col("rows_90") > 0) & F.lit(not no_method),

@@ -25,10 +25,23 @@ KYC_ABSENT = {"ubo_director_match": False, "ubo_verified": False, "identity_chan
 
 
 # ---------------------------------------------------------------- webshop (G)
-def webshop_stats(ws: DataFrame, as_of: dt.date) -> DataFrame:
+def webshop_history(ws: DataFrame) -> DataFrame:
+    """Orders of each merchant and month: what ``webshop_stats`` needs of all history."""
+    return ws.groupBy("merchant_id", F.trunc("order_date", "MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def webshop_stats(ws: DataFrame, as_of: dt.date, history: DataFrame | None = None) -> DataFrame:
     """One scan: merchant grain (conditional counts / moments) + SKU grain
-    (completed gross in 90 d, for the HHI), folded per merchant."""
+    (completed gross in 90 d, for the HHI), folded per merchant.
+
+    With ``history`` (as ``webshop_history`` gives it) orders are read for the last 90 days only; the orders of months
+    before that of ``as_of`` are counted by the history."""
     w = ws.filter(F.col("order_date") <= F.lit(as_of))
+    month_start = as_of.replace(day=1)
+    fresh = F.lit(True)
+    if history is not None:
+        w = w.filter(in_window(F.col("order_date"), as_of, 90) | (F.col("order_date") >= F.lit(month_start)))
+        fresh = F.col("order_date") >= F.lit(month_start)
     in90 = in_window(F.col("order_date"), as_of, 90)
     status = F.col("status")
     comp = in90 & (status == "completed")
@@ -37,7 +50,7 @@ def webshop_stats(ws: DataFrame, as_of: dt.date) -> DataFrame:
     m = lambda v: F.when(F.col("g") == "m", v)
     aggs = [
         F.sum(gross_c).alias("grain_gross"),
-        F.count(m(F.lit(1))).alias("ws_rows_all"),
+        F.count(m(F.when(fresh, F.lit(1)))).alias("ws_rows_all"),
         F.count(m(F.when(in90, F.lit(1)))).alias("ws_n90"),
         F.count(m(F.when(in90 & (status == "cancelled"), F.lit(1)))).alias("ws_cancelled"),
         F.count(m(F.when(in90 & (status == "returned"), F.lit(1)))).alias("ws_returned"),
@@ -52,10 +65,17 @@ def webshop_stats(ws: DataFrame, as_of: dt.date) -> DataFrame:
     for k, v in weekly_slope_stats(F.col("order_date"), F.lit(1), (F.col("g") == "m") & in90).items():
         aggs.append(v.alias(f"wsw_{k}"))
     g = x.groupBy("merchant_id", *GRAIN_KEYS).agg(*aggs)
-    base = [c for c in g.columns if c.startswith("ws")]
+    base = [c for c in g.columns if c.startswith("ws") and c != "ws_rows_all"]
+    if history is not None:
+        old = history.filter(F.col("month") < F.lit(month_start)).select(
+            "merchant_id", F.lit("t").alias("g"), F.col("n").alias("ws_rows_all"))
+        g = g.unionByName(old, allowMissingColumns=True)
     v = dbl(F.col("grain_gross"))
     out = g.groupBy("merchant_id").agg(*[F.max(at("m", F.col(c))).alias(c) for c in base],
+                                       F.sum(F.when(F.col("g").isin("m", "t"), F.col("ws_rows_all"))).alias("ws_rows_all"),
+                                       F.coalesce(F.max(at("m", F.col("ws_n90"))), F.lit(0)).alias("_n90"),
                                        F.sum(at("s", v * v)).alias("sku_sq"), F.sum(at("s", v)).alias("sku_total"))
+    out = out.withColumn("ws_n90", F.col("_n90")).drop("_n90")
     return out.withColumn("ws_repeat", F.try_divide(F.col("ws_repeat_sum"), F.col("ws_repeat_n"))) \
               .drop("ws_repeat_sum", "ws_repeat_n")
 

@@ -169,6 +169,38 @@ def q_features_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(compute_features(sources, AS_OF))
 
 
+# --------------------------------------------------------------------------- features from the monthly store
+from quire.sources import store as ST  # noqa: E402
+from quire.sources.schemas import AS_OF_COLUMN  # noqa: E402
+
+
+def stored_by_month(spark: SparkSession, sf_dir: str) -> str:
+    """The fact sources and their history, written in two batches of months, as a portfolio grows; the second batch
+    writes a month of the first again."""
+    path = shared_folder(spark, "store")
+    sources = fx(spark, sf_dir).sources()
+    bank = sources["bank"].select(F.explode(F.sequence(F.trunc(F.min("date"), "MM"), F.trunc(F.max("date"), "MM"),
+                                                       F.expr("interval 1 month"))))
+    months = [r[0] for r in bank.collect()]  # calendar months
+    for batch in (months[:-1], months[-2:]):
+        ST.merge_history(sources, path + "/history", batch)
+    for name in AS_OF_COLUMN:
+        ST.write_facts(sources[name], name, path + "/facts")
+    return path
+
+
+@register("features_from_store", _oracle(f"SELECT {sql_round(FEATURE_SELECT)} FROM feat"))
+def q_features_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1-B4, C8, C9, D1, F1, F2 from merged monthly state, all else from the months that the windows touch."""
+    path = stored_by_month(spark, sf_dir)
+    f = fx(spark, sf_dir)
+    sources = {"merchants": f.merchants, "applications": f.applications, "kyc": f.kyc}
+    for name in AS_OF_COLUMN:  # of the monthly tables all months count
+        days = ST.RAW_DAYS if name in ("bank", "psp", "webshop") else None
+        sources[name] = ST.read_facts(spark, name, path + "/facts", AS_OF, days)
+    return round_doubles(compute_features(sources, AS_OF, history=ST.read_history(spark, path + "/history")))
+
+
 # --------------------------------------------------------------------------- policy (K, P)
 from quire.operators import policy as P  # noqa: E402
 from quire.plans.oracle_policy import policy_ctes  # noqa: E402
