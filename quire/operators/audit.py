@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,8 @@ DECISION_LOG_SCHEMA = T.StructType([
     T.StructField("model_version", T.StringType()), T.StructField("decision_date", T.DateType()),
 ])
 
+#: The partition column that names a batch.
+BATCH = "batch_id"
 # Fixed value: default consent validity.
 CONSENT_VALID_DAYS = 90
 # Consent scope per consent type used when the event carries none.
@@ -59,44 +61,67 @@ def decision_log_rows(envelopes: DataFrame, features: DataFrame) -> DataFrame:
     )
 
 
-def append_decision_log(rows: DataFrame, path: str) -> None:
-    """Bulk append, partitioned by decision date (creates the table if missing)."""
-    rows.write.mode("append").partitionBy("decision_date").parquet(path)
+def _append_once(rows: DataFrame, path: str, date_col: str, batch_id: str) -> None:
+    """Write a batch into partitions of its own, by date and batch. A batch that is written again replaces itself, date
+    by date; a job that fails leaves the table as it was, as partitions are moved in when the job commits."""
+    (rows.withColumn(BATCH, F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(date_col, BATCH).parquet(path))
 
 
-def load_decision_log(spark: SparkSession, path: str) -> DataFrame:
-    """The whole log with reason codes parsed; empty frame when absent."""
+def append_decision_log(rows: DataFrame, path: str, batch_id: str) -> None:
+    """Bulk append of one batch, partitioned by decision date and batch (creates the table if missing)."""
+    _append_once(rows, path, "decision_date", batch_id)
+
+
+def load_decision_log(spark: SparkSession, path: str, since: dt.date | None = None,
+                      until: dt.date | None = None) -> DataFrame:
+    """The log with reason codes parsed, of all dates or of those from ``since`` to ``until``; an absent table is an
+    empty log."""
     try:
         df = spark.read.schema(DECISION_LOG_SCHEMA).parquet(path)
     except AnalysisException as e:  # absent table: an empty log, as specified
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         df = spark.createDataFrame([], DECISION_LOG_SCHEMA)
-    return df.withColumn("reason_codes_list", F.from_json("reason_codes", "array<string>"))
+    if since is not None:
+        df = df.filter(F.col("decision_date") >= F.lit(since))
+    if until is not None:
+        df = df.filter(F.col("decision_date") <= F.lit(until))
+    return df.drop(BATCH).withColumn("reason_codes_list", F.from_json("reason_codes", "array<string>"))
 
 
 def consent_records(events: DataFrame) -> DataFrame:
-    """Consent events as log records: scope JSON, GRANTED/REVOKED, expiry
-    90 days after a grant (none for a revocation), revocable."""
+    """Consent events as log records: scope JSON, GRANTED/REVOKED, expiry after a grant (none for a revocation),
+    revocable.
+
+    An event may carry its ``scope`` (array of strings) and its validity,
+    ``expires_days`` or the date ``expires_at``; a missing or NULL one takes the
+    scope of its consent type and 90 days."""
     scopes = F.create_map(*[x for k, v in DEFAULT_SCOPES.items()
                             for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
     scope = F.coalesce(scopes[F.col("consent_type")], F.array(F.lit("transactions")))
-    granted = F.col("action") == "GRANTED"
+    if "scope" in events.columns:
+        scope = F.coalesce(F.col("scope"), scope)
+    days = F.lit(CONSENT_VALID_DAYS)
+    if "expires_days" in events.columns:
+        days = F.coalesce(F.col("expires_days").cast("int"), days)
+    expiry = F.date_add(F.col("event_ts").cast("date"), days)
+    if "expires_at" in events.columns:
+        expiry = F.coalesce(F.col("expires_at").cast("date"), expiry)
     return events.select(
         "merchant_id", "consent_type",
         F.to_json(scope).alias("scope"),
         "action",
         F.col("event_ts").alias("timestamp"),
         "event_id",
-        F.when(granted, F.coalesce(F.col("expires_at").cast("date"),
-                                   F.date_add(F.col("event_ts").cast("date"), CONSENT_VALID_DAYS))).alias("expires_at"),
+        F.when(F.col("action") == "GRANTED", expiry).alias("expires_at"),
         F.lit(True).alias("revocable"),
     )
 
 
-def append_consent_log(records: DataFrame, path: str) -> None:
-    records.withColumn("event_date", F.to_date("timestamp")).write.mode("append") \
-        .partitionBy("event_date").parquet(path)
+def append_consent_log(records: DataFrame, path: str, batch_id: str) -> None:
+    """One batch of records, partitioned by event date and batch."""
+    _append_once(records.withColumn("event_date", F.to_date("timestamp")), path, "event_date", batch_id)
 
 
 def granted_consents(records: DataFrame) -> DataFrame:
@@ -123,12 +148,31 @@ def write_monthly_table(df: DataFrame, path: str, month_col: str = "month") -> N
     df.write.mode("overwrite").partitionBy(month_col).parquet(path)
 
 
+def without_nan(c: Column, kind: T.DataType) -> Column:
+    """The value with NaN and infinite numbers as null, at any depth of arrays, structs and map values."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None).cast(kind)).otherwise(c)
+    if isinstance(kind, T.ArrayType) and _has_floats(kind):
+        return F.transform(c, lambda x: without_nan(x, kind.elementType))
+    if isinstance(kind, T.MapType) and _has_floats(kind.valueType):
+        return F.transform_values(c, lambda _, v: without_nan(v, kind.valueType))
+    if isinstance(kind, T.StructType) and _has_floats(kind):
+        return F.when(c.isNotNull(), F.struct(*[without_nan(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
+def _has_floats(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_floats(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _has_floats(kind.valueType)
+    if isinstance(kind, T.StructType):
+        return any(_has_floats(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.DoubleType, T.FloatType))
+
+
 def export_cases_json(cases: DataFrame, path: str) -> None:
-    """Selected cases as JSON lines; NaN / infinite doubles become null."""
-    cols = []
-    for name, dtype in cases.dtypes:
-        c = F.col(name)
-        if dtype in ("double", "float"):
-            c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None).cast("double")).otherwise(c)
-        cols.append(c.alias(name))
+    """Selected cases, a handful by definition, as one file of JSON lines; NaN and infinite numbers, also those
+    inside arrays and structs, become null."""
+    cols = [without_nan(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in cases.schema.fields]
     cases.select(*cols).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)

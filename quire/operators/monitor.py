@@ -1,7 +1,7 @@
 """Monitoring over the decision table.
 
 All metrics are grouped aggregates; nothing iterates rows on the driver.
-Quantiles and rank-based AUC work on exact scores, ranked bucket by bucket.
+Quantiles and rank-based AUC work on exact scores, ranked range by range.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import write_table
+
 # PSI bins and status cut-offs, fairness ratio, risk tiers.
 PSI_BINS = 10
 PSI_CLIP = 1e-4
@@ -19,8 +21,6 @@ PSI_MODERATE = 0.2
 ADVERSE_IMPACT_RATIO = 0.8
 RISK_TIER_LOW = 0.20
 RISK_TIER_MEDIUM = 0.40
-#: Coarse score buckets between which ranks are carried by a running sum.
-SCORE_BUCKETS = 1000
 
 APPROVED = ("APPROVE", "MANUAL_REVIEW")
 
@@ -49,6 +49,7 @@ def portfolio_metrics(decisions: DataFrame) -> DataFrame:
         F.when(tot > 0, F.round(F.col("n_approved") / tot, 3)).alias("approval_rate"),
         F.when(tot > 0, F.round(F.col("n_declined") / tot, 3)).alias("decline_rate"),
         F.when(tot > 0, F.coalesce(F.round("avg_amt", 2), F.lit(0.0))).alias("avg_approved_amount"),
+        # Fixed value: the text for no decisions.
         F.when(tot == 0, F.lit("No decisions to analyze")).alias("error"))
 
 
@@ -115,10 +116,11 @@ def adverse_impact(decisions: DataFrame, merchants: DataFrame, by: str,
 def _ranked(scored: DataFrame, score_col: str, label_col: str | None, by: list[str]) -> DataFrame:
     """Distinct exact scores s per group, with their rows c, the rows of lower scores (below) and of the group (n).
 
-    Rows are counted by exact score, then by coarse score bucket. The running
-    sum over the buckets is a window over at most SCORE_BUCKETS rows per group;
-    inside a bucket, another window ranks its own scores only, so no window
-    holds all scores and no score is rounded."""
+    Rows are counted by exact score and dealt into ranges of (group, score) that
+    Spark samples, so that the ranges are even wherever the scores lie. The
+    ranges are written, as another sample would cut elsewhere. Inside a range a
+    window ranks its own scores; the counts of the ranges before it, one row per
+    group and range, carry the ranks over."""
     s = F.col(score_col).cast("double")
     known = s.isNotNull() & ~F.isnan(s)
     aggs = [F.count(F.lit(1)).alias("c")]
@@ -126,15 +128,20 @@ def _ranked(scored: DataFrame, score_col: str, label_col: str | None, by: list[s
         y = F.col(label_col).cast("int")
         known = known & y.isNotNull()
         aggs += [F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")]
-    bucket = F.least(F.greatest(F.floor(F.col("s") * SCORE_BUCKETS), F.lit(0)), F.lit(SCORE_BUCKETS - 1))
-    hist = (scored.filter(known).groupBy(*by, s.alias("s")).agg(*aggs).withColumn("_bucket", bucket))
+    ranges = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hist = (scored.filter(known).groupBy(*by, s.alias("s")).agg(*aggs).repartitionByRange(ranges, *by, "s")
+            .withColumn("_range", F.spark_partition_id()))
+    hist = write_table(hist, "score-ranges")
     group = Window.partitionBy(*by)
-    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    coarse = (hist.groupBy(*by, "_bucket").agg(F.sum("c").alias("_c"))
-              .select(*by, "_bucket", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
-                      F.sum("_c").over(group).alias("n")))
-    inside = Window.partitionBy(*by, "_bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    return (hist.join(coarse, [*by, "_bucket"])
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (hist.groupBy(*by, "_range").agg(F.sum("c").alias("_c"))
+             .select(*[F.col(b).alias(f"_by_{b}") for b in by], F.col("_range").alias("_of"),
+                     F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(group).alias("n")))
+    inside = Window.partitionBy("_range", *by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("_range") == F.col("_of")
+    for b in by:  # a group without a name is a group
+        same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    return (hist.join(sizes, same).drop("_of", *[f"_by_{b}" for b in by])
             .withColumn("below", F.col("_before") + F.coalesce(F.sum("c").over(inside), F.lit(0))))
 
 

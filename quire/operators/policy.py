@@ -2,17 +2,19 @@
 
 Hard knockouts, 15 scored gates, the decision ladder, loan sizing, pricing
 and the decision envelope are column expressions: no UDF, no per-row Python,
-no shuffle. Rules are data (``GATES``, ``KNOCKOUTS``) so the scorecard and the
-oracle read the same thresholds.
+no shuffle. Gates are a table by policy version; the scorecard and the oracle
+read the same thresholds.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators.features.registry import FEATURE_COLUMNS
+
 # Loan product and decision thresholds (must equal the reference).
 LOAN_MIN_EUR = 10_000
 HARD_CAP_EUR = 25_000
@@ -53,6 +55,10 @@ GATES: list[tuple[str, float, float, str, str]] = [
     ("return_rate_90d", 0.05, 0.12, "standard", "HIGH_RETURN_RATE"),
 ]
 
+#: The gates by policy version; ``apply_policy`` takes other versions as a table of the same columns.
+POLICY_VERSION = "v1"
+GATE_COLUMNS = "version string, position int, feature string, green double, red double, type string, code string"
+
 # Reason code -> explanation text.
 REASON_EXPLANATIONS: dict[str, str] = {
     "INSUFFICIENT_HISTORY": "Business has less than 24 months of trading history.",
@@ -109,24 +115,53 @@ def knockout_codes(df: DataFrame) -> Column:
     return F.filter(F.array(*[F.when(cond, F.lit(code)) for cond, code in rules]), lambda x: x.isNotNull())
 
 
-def gate_status(df: DataFrame, feature: str, green: float, red: float, kind: str) -> Column:
-    """P1: 'red' / 'amber' / 'green' for one gate; a missing value is the red
-    boundary itself, which scores amber."""
-    v = _get(df, feature, red)
-    if kind == "standard":
-        return F.when(v > red, "red").when(v > green, "amber").otherwise("green")
-    return F.when(v < red, "red").when(v < green, "amber").otherwise("green")
-
-
-def apply_policy(features: DataFrame) -> DataFrame:
-    """Adds the policy result columns to the feature table."""
-    df = features
-    statuses = [gate_status(df, f, g, r, t) for f, g, r, t, _ in GATES]
-    red = sum((F.when(s == "red", 1).otherwise(0) for s in statuses), F.lit(0))
+def gate_table(spark: SparkSession, sets: dict[str, list[tuple]] | None = None) -> DataFrame:
+    """One row per gate and policy version, in evaluation order."""
+    rows = [(version, i, feature, float(green), float(red), kind, code)
+            for version, gates in (sets or {POLICY_VERSION: GATES}).items()
+            for i, (feature, green, red, kind, code) in enumerate(gates, 1)]
+    return spark.createDataFrame(rows, GATE_COLUMNS)
+
+
+def with_gates(features: DataFrame, gates: DataFrame | None = None, version: str = POLICY_VERSION) -> DataFrame:
+    """``features`` with ``gates``: an array of (position, feature, value, status, code) in evaluation order.
+
+    The gates come from a table, a few rows per policy version, and are evaluated
+    as one array per application: adding a gate or a version changes rows, not
+    the plan. A column ``policy_version`` of the features chooses each row's
+    version, else ``version`` holds for all; a version without gates is an
+    error. A missing value is the red boundary itself, which scores amber."""
+    table = gates if gates is not None else gate_table(features.sparkSession)
+    sets = table.groupBy(F.col("version").alias("_version")).agg(F.sort_array(F.collect_list(F.struct(
+        "position", "feature", "green", "red", "type", "code"))).alias("_gates"))
+    chosen = F.col("policy_version") if "policy_version" in features.columns else F.lit(version)
+    named = [c for c in FEATURE_COLUMNS if c in features.columns]
+    values = F.map_from_arrays(F.array(*[F.lit(c) for c in named]), F.array(
+        *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in named]))
+
+    def evaluated(g: Column) -> Column:
+        v = F.coalesce(F.element_at(F.col("_values"), g["feature"]), g["red"])
+        up = g["type"] == "standard"
+        status = (F.when(F.when(up, v > g["red"]).otherwise(v < g["red"]), "red")
+                  .when(F.when(up, v > g["green"]).otherwise(v < g["green"]), "amber").otherwise("green"))
+        return F.struct(g["position"].alias("position"), g["feature"].alias("feature"), v.alias("value"),
+                        status.alias("status"), g["code"].alias("code"))
+
+    known = F.coalesce(F.col("_gates"), F.raise_error(F.concat(F.lit("no gates of policy version "), F.col("_version"))))
+    return (features.withColumn("_version", chosen).join(F.broadcast(sets), "_version", "left")  # a few rows: the versions
+            .withColumn("_values", values).withColumn("gates", F.transform(known, evaluated))
+            .drop("_version", "_gates", "_values"))
+
+
+def apply_policy(features: DataFrame, gates: DataFrame | None = None, version: str = POLICY_VERSION) -> DataFrame:
+    """Adds the policy result columns to the feature table, by the gates of a policy version (see ``with_gates``)."""
+    df = with_gates(features, gates, version)
+    n_gates = F.size("gates")
+    of = lambda status: F.filter("gates", lambda g: g["status"] == status)
+    red = F.size(of("red"))
     hold = F.when(_get(df, "marketplace_payout_hold_flag", False), 1).otherwise(0)
-    amber = sum((F.when(s == "amber", 1).otherwise(0) for s in statuses), F.lit(0)) + hold
-    gate_codes = F.filter(F.array(*[F.when(s == "red", F.lit(code)) for s, (*_, code) in zip(statuses, GATES)]),
-                          lambda x: x.isNotNull())
+    amber = F.size(of("amber")) + hold
+    gate_codes = F.transform(of("red"), lambda g: g["code"])
     ko = knockout_codes(df)
     df = df.withColumn("_ko", ko).withColumn("_red", red).withColumn("_amber", amber) \
            .withColumn("_gate_codes", gate_codes)
@@ -155,7 +190,6 @@ def apply_policy(features: DataFrame) -> DataFrame:
             .when((r >= 1) | (coverage < PRICING_C_MAX_COVERAGE), "C").otherwise("B"))
     tenor_max = F.greatest(F.lit(TENOR_MIN_MONTHS).cast("double"),
                            F.least(tenor, F.lit(float(TENOR_MAX_MONTHS)))).cast("int")
-    n_gates = len(GATES)
     pass_rate = F.round(F.greatest(F.lit(n_gates) - r - a, F.lit(0)).cast("double") / n_gates, 4)
 
     codes = (F.when(ko_hit, F.col("_ko"))
@@ -175,7 +209,7 @@ def apply_policy(features: DataFrame) -> DataFrame:
             .withColumn("red_flags", F.when(ko_hit, F.lit(None).cast("int")).otherwise(r))
             .withColumn("amber_flags", F.when(ko_hit, F.lit(None).cast("int")).otherwise(a))
             .withColumn("signal_pass_rate", F.when(ko_hit, F.lit(0.0)).otherwise(pass_rate)))
-    return df.drop("_ko", "_red", "_amber", "_gate_codes")
+    return df.drop("_ko", "_red", "_amber", "_gate_codes", "gates")
 
 
 POLICY_COLUMNS = ["decision", "max_amount", "pricing_band", "tenor_max_months", "reason_codes", "explanations",
@@ -186,6 +220,7 @@ def decision_envelope(decided: DataFrame, decided_at: dt.datetime, score_col: st
     """The decision envelope; the shadow score is attached, never consulted."""
     apr_map = F.create_map(*[x for k, v in PRICING_BANDS.items() for x in (F.lit(k), F.lit(v))])
     score = F.col(score_col).cast("double") if score_col else F.lit(None).cast("double")
+    # The score's notes.
     note = (F.when(score.isNull(), F.lit("Shadow ML model not yet available."))
             .when(score > SHADOW_NOTE_THRESHOLD,
                   F.format_string("Shadow ML model estimates elevated risk (score: %.2f). This is for monitoring "

@@ -7,9 +7,10 @@ one tiny final merge) and unpivoted to rows of
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,6 +91,51 @@ def data_quality_report(sources: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def domain_table(spark: SparkSession) -> DataFrame:
+    """(source, column, value): the allowed values of the enum columns."""
+    return spark.createDataFrame([(src, c, v) for src, (c, allowed) in ENUM_DOMAINS.items() for v in allowed],
+                                 "source string, column string, value string")
+
+
+def value_counts(sources: Mapping[str, DataFrame]) -> DataFrame:
+    """(source, column, value, n): how often each value of the enum columns occurs, NULL included."""
+    parts = [sources[src].groupBy(F.lit(src).alias("source"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+             .agg(F.count(F.lit(1)).alias("n"))
+             for src, (c, _) in ENUM_DOMAINS.items() if src in sources and not is_absent(sources[src], c)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def invalid_values(sources: Mapping[str, DataFrame], domains: DataFrame | None = None) -> DataFrame:
+    """The values that occur but are not allowed, each with its rows: the difference of the two sets of values.
+    NULL is a value that no domain allows. ``domains`` (source, column, value) defaults to the canonical ones."""
+    counts = value_counts(sources)
+    allowed = domains if domains is not None else domain_table(counts.sparkSession)
+    return counts.join(allowed, ["source", "column", "value"], "left_anti")
+
+
+def observed(df: DataFrame, src: str) -> tuple[DataFrame, Observation, list]:
+    """V2-V7 in the pass that loads a source: ``df`` gathers the checks' figures as it is written or aggregated for the
+    first time; afterwards ``observed_report`` has the report, without another scan."""
+    checks = _checks(src, df)
+    seen = Observation()
+    # an observed metric cannot be a distinct aggregate; the months of a calendar are few
+    exact = [F.size(F.collect_set(subject)).cast("double") if check == "distinct_months" else v
+             for check, subject, v, _, _ in checks]
+    return df.observe(seen, *[v.alias(f"c{i}") for i, v in enumerate(exact)]), seen, checks
+
+
+def observed_report(spark: SparkSession, observations: Mapping[str, tuple[Observation, list]]) -> DataFrame:
+    """The rows of ``data_quality_report`` from what was observed: one small row of figures per source."""
+    rows = []
+    for src, (seen, checks) in observations.items():
+        got = seen.get
+        for i, (check, subject, _, threshold, cmp) in enumerate(checks):
+            v = got[f"c{i}"]
+            passed = v is not None and {"le": v <= threshold, "eq": v == threshold, "ge": v >= threshold}[cmp]
+            rows.append((src, check, subject, v, threshold, passed))
+    return spark.createDataFrame(rows, REPORT_SCHEMA)
+
+
 def feature_missing_alerts(raw_features: DataFrame, threshold: float = FEATURE_MISSING_ALERT) -> DataFrame:
     """V8: numeric features missing in more than 20% of rows (one aggregate + unpivot)."""
     numeric = [f.name for f in raw_features.schema.fields

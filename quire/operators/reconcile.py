@@ -87,13 +87,29 @@ def monthly_bank_facts(bank: DataFrame, as_of: dt.date) -> DataFrame:
     return credits.join(month_end, ["merchant_id", "month"], "full_outer")
 
 
+def every_month(known: DataFrame, as_of: dt.date) -> DataFrame:
+    """The month grid. ``known`` has rows per (merchant, month); months that a merchant lacks, from its first one to
+    that of ``as_of``, come in between with NULLs. Each row makes the months up to the next one, so nothing is joined."""
+    following = F.lead("month").over(Window.partitionBy("merchant_id").orderBy("month"))
+    until = F.coalesce(F.add_months(following, -1), F.lit(as_of.replace(day=1)))
+    months = F.when(until > F.col("month"), F.sequence(F.col("month"), until, F.expr("interval 1 month"))).otherwise(
+        F.array("month"))
+    grid = known.withColumn("_until", months).select("*", F.explode("_until").alias("_month"))
+    return grid.select(*[F.col("_month").alias(c) if c == "month" else F.col(c) if c == "merchant_id"
+                         else F.when(F.col("_month") == F.col("month"), F.col(c)).alias(c) for c in known.columns])
+
+
 def accounting_derived(accounting: DataFrame, bank: DataFrame, as_of: dt.date) -> DataFrame:
-    """R4-R7 over the accounting month grid: bank revenue (0 when no credits),
-    month-end cash (0.0 when no postings), quarterly VAT due, P&L derivations."""
+    """R4-R7 over every month of a merchant from its first record or posting to ``as_of``: bank revenue (0 without
+    credits), month-end cash (0.0 without postings), quarterly VAT due, P&L derivations. A month without an accounting
+    record has no revenue of its own, and accrues no VAT; VAT of earlier months still falls due after it."""
+    money = lambda c: F.coalesce(F.col(c), F.lit(0).cast("decimal(18,2)")).alias(c)
     acc = (accounting.filter(F.col("month") <= F.lit(as_of))
            .select("merchant_id", "month", "gross_revenue", "cogs", "ebitda", "ar_days", "ap_days"))
-    facts = monthly_bank_facts(bank, as_of)
-    j = acc.join(facts, ["merchant_id", "month"], "left")
+    known = acc.join(monthly_bank_facts(bank, as_of), ["merchant_id", "month"], "full_outer")
+    j = every_month(known, as_of).select(
+        "merchant_id", "month", money("gross_revenue"), money("cogs"), money("ebitda"),
+        *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("ar_days", "ap_days")], "bank_revenue", "cash_balance")
     rev = F.col("gross_revenue")
     accrued = F.round(rev * F.expr(f"CAST({VAT_RATE} AS DECIMAL(3,2))"), 2).cast("decimal(18,2)")
     is_pay = F.month("month").isin(*VAT_PAYMENT_MONTHS)

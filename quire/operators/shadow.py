@@ -13,9 +13,11 @@ deterministic, and no window over a whole label class.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
                                        LogisticRegressionModel)
 from pyspark.ml.feature import VectorAssembler
@@ -127,11 +129,16 @@ def _base_estimator(model_type: str, n_trees: int, depth: int, lr: float, seed:
 
 
 def _sigmoid(margins: DataFrame) -> tuple[float, float]:
-    """Slope and intercept of the logistic of label on margin. Rows of one class say nothing about it: the margin
-    then stands as a logit (only where the class has fewer rows than there are folds)."""
-    if margins.select("label").distinct().count() < 2:
-        return 1.0, 0.0
-    platt = LogisticRegression(featuresCol="_m", labelCol="label", regParam=0.0).fit(margins)
+    """Slope and intercept of Platt's sigmoid of label on margin: the logistic of smoothed targets, (P + 1) / (P + 2) for
+    the P positives and 1 / (N + 2) for the N negatives. As MLlib takes no targets between 0 and 1, each row comes in
+    once as a positive and once as a negative, weighted by its target and the rest."""
+    counts = {r["label"]: r["n"] for r in margins.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    high, low = (counts.get(1, 0) + 1.0) / (counts.get(1, 0) + 2.0), 1.0 / (counts.get(0, 0) + 2.0)
+    target = F.when(F.col("label") == 1, high).otherwise(low)
+    both = margins.select("_m", F.explode(F.array(F.struct(F.lit(1).alias("label"), target.alias("_t")),
+                                                  F.struct(F.lit(0).alias("label"), (1 - target).alias("_t")))).alias("r"))
+    platt = LogisticRegression(featuresCol="_m", labelCol="label", weightCol="_t", regParam=0.0, tol=1e-10, maxIter=200).fit(
+        both.select("_m", "r.*"))
     return float(platt.coefficients[0]), float(platt.intercept)
 
 
@@ -145,17 +152,16 @@ def train_shadow(frame: DataFrame, n_trees: int = N_ESTIMATORS, depth: int = MAX
         .withColumn("_w", _balanced_weights(frame)) \
         .select("merchant_id", "label", "_x", "_fold", "_w").persist()
     n_rows = data.count()
-    trees, calib, oof = [], [], []
-    for k in range(folds):
-        train = data.filter(F.col("_fold") != k)
-        test = data.filter(F.col("_fold") == k)
-        gbt = _base_estimator(model_type, n_trees, depth, lr, seed, n_rows, max_iter).fit(train)
-        margin = gbt.transform(test).select("merchant_id", "label", "_fold",
-                                            vector_to_array("rawPrediction")[1].alias("m"))
-        m_vec = VectorAssembler(inputCols=["m"], outputCol="_m").transform(margin)
-        trees.append(gbt)
-        calib.append(_sigmoid(m_vec))
-        oof.append(m_vec.persist())
+    def fold(k: int):
+        base = _base_estimator(model_type, n_trees, depth, lr, seed, n_rows, max_iter).fit(data.filter(F.col("_fold") != k))
+        margin = base.transform(data.filter(F.col("_fold") == k)).select(
+            "merchant_id", "label", "_fold", vector_to_array("rawPrediction")[1].alias("m"))
+        held = VectorAssembler(inputCols=["m"], outputCol="_m").transform(margin).persist()
+        return base, _sigmoid(held), held
+
+    # folds do not wait for each other: while one plans its next small job, another one's tasks run
+    with ThreadPoolExecutor(folds) as pool:
+        trees, calib, oof = map(list, zip(*pool.map(inheritable_thread_target(data.sparkSession)(fold), range(folds))))
     margins = reduce(DataFrame.unionByName, oof)
     scored = []
     for k in range(folds):  # judged with a sigmoid that has not seen the fold

@@ -85,7 +85,14 @@ FROM (SELECT x.*, coalesce(sum(CASE WHEN month(month) IN (1, 4, 7, 10) THEN 1 EL
       FROM (SELECT ac.merchant_id, ac.month, ac.gross_revenue, ac.cogs, ac.ebitda, ac.ar_days, ac.ap_days,
               CAST(round(ac.gross_revenue * 0.21, 2) AS DECIMAL(18,2)) AS btw_accrued,
               coalesce(cr.t, 0) AS bank_revenue, coalesce(me.cash, 0) AS cash_balance
-            FROM (SELECT * FROM v_accounting WHERE month <= {a}) ac
+            FROM (SELECT g.merchant_id, g.month, coalesce(v.gross_revenue, 0) AS gross_revenue, coalesce(v.cogs, 0) AS cogs,
+                    coalesce(v.ebitda, 0) AS ebitda, coalesce(v.ar_days, 0) AS ar_days, coalesce(v.ap_days, 0) AS ap_days
+                  FROM (SELECT merchant_id, CAST(unnest(generate_series(m0, DATE '{as_of.replace(day=1).isoformat()}', INTERVAL 1 MONTH)) AS DATE) AS month
+                        FROM (SELECT merchant_id, min(month) AS m0 FROM (
+                                SELECT merchant_id, month FROM v_accounting WHERE month <= {a}
+                                UNION ALL SELECT merchant_id, CAST(date_trunc('month', date) AS DATE) FROM v_bank WHERE date <= {a})
+                              GROUP BY 1)) g
+                  LEFT JOIN v_accounting v ON v.merchant_id = g.merchant_id AND v.month = g.month) ac
             LEFT JOIN (SELECT merchant_id, CAST(date_trunc('month', date) AS DATE) AS month, sum(amount) AS t FROM v_bank
                        WHERE direction = 'CREDIT' AND date <= {a} GROUP BY 1, 2) cr
               ON cr.merchant_id = ac.merchant_id AND cr.month = ac.month

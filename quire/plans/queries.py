@@ -139,7 +139,7 @@ for _f in FAMILY_FEATURES:
 # --------------------------------------------------------------------------- features from plain files
 from quire.session import shared_folder  # noqa: E402
 from quire.sources.registry import load_and_validate  # noqa: E402
-from quire.sources.schemas import REQUIRED_COLUMNS, SCHEMAS  # noqa: E402
+from quire.sources.schemas import ENUM_DOMAINS, REQUIRED_COLUMNS, SCHEMAS  # noqa: E402
 
 # What a source without the optional columns gives (and one of KYC without its date).
 _WITHOUT_OPTIONAL = {"payment_method_card_pct": "0.25", "dispute_win_rate": "0.5", "buyer_concentration_hhi": "1.0",
@@ -251,15 +251,11 @@ def _gate_union_sql() -> str:
 @register("gate_evaluation", _oracle("SELECT * FROM gates_long", {"gates_long": _gate_union_sql()}))
 def q_gate_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scored gate per application (value, red/amber/green, reason code)."""
-    f = features(spark, sf_dir)
-    rows = []
-    for i, (feat, green, red, kind, code) in enumerate(P.GATES):
-        st = P.gate_status(f, feat, green, red, kind)
-        rows.append(F.struct(F.lit(i + 1).alias("gate_position"), F.lit(feat).alias("gate"),
-                             F.round(F.coalesce(F.col(feat).cast("double"), F.lit(float(red))), 6).alias("value"),
-                             st.alias("status"), F.when(st == "red", F.lit(code)).alias("reason_code")))
-    return f.select("application_id", "merchant_id", F.explode(F.array(*rows)).alias("g")) \
-            .select("application_id", "merchant_id", "g.*")
+    f = P.with_gates(features(spark, sf_dir))
+    return (f.select("application_id", "merchant_id", F.explode("gates").alias("g"))
+            .select("application_id", "merchant_id", F.col("g.position").alias("gate_position"), F.col("g.feature").alias("gate"),
+                    F.round("g.value", 6).alias("value"), "g.status", F.when(F.col("g.status") == "red", F.col("g.code"))
+                    .alias("reason_code")))
 
 
 # --------------------------------------------------------------------------- validation + reconciliation (V, R)
@@ -272,7 +268,7 @@ QUALITY_SOURCES = ("bank", "psp", "webshop", "marketplace", "accounting", "kyc")
 
 
 def _quality_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    f = fx(spark, sf_dir)
+    f = fixture(spark, sf_dir, AS_OF, materialized=False)  # read in place, no copies
     return {s: getattr(f, s).drop("k") if "k" in getattr(f, s).columns else getattr(f, s) for s in QUALITY_SOURCES}
 
 
@@ -282,6 +278,31 @@ def q_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(Q.data_quality_report(_quality_sources(spark, sf_dir)))
 
 
+_ENUM_SQL = " UNION ALL ".join(
+    f"SELECT '{src}' AS source, '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n, "
+    f"coalesce({c} IN ({', '.join(repr(v) for v in allowed)}), false) AS valid FROM {OM.VIEW_OF[src]} GROUP BY {c}"
+    for src, (c, allowed) in ENUM_DOMAINS.items())
+
+
+@register("enum_values", with_views(f"SELECT * FROM ({_ENUM_SQL})"))
+def q_enum_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of the enum columns with its rows, and whether the domain has it."""
+    sources = _quality_sources(spark, sf_dir)
+    counts, domains = Q.value_counts(sources), Q.domain_table(spark)
+    allowed = counts.join(domains, ["source", "column", "value"], "left_semi").withColumn("valid", F.lit(True))
+    return allowed.unionByName(Q.invalid_values(sources).withColumn("valid", F.lit(False)))
+
+
+@register("quality_report_on_load", with_views(OM.quality_sql({k: v[1] for k, v in SCAN_COLUMNS.items()})))
+def q_quality_report_on_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2-V7 gathered while the sources are first written, without a scan of their own."""
+    seen = {}
+    for name, df in _quality_sources(spark, sf_dir).items():
+        watched, *seen[name] = Q.observed(df, name)
+        write_table(watched, f"checked-{name}")
+    return round_doubles(Q.observed_report(spark, seen))
+
+
 @register("required_columns")
 def q_required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: required column names per source (schema metadata; rows-only check)."""
@@ -606,10 +627,33 @@ def q_case_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SC.select_cases(decided(spark, sf_dir))
 
 
-@register("case_records")
+_SELECTED = ("SELECT bucket, arg_min(application_id, k * 1000000 + rn) AS application_id FROM ("
+             "SELECT application_id, bucket, CASE WHEN bucket IN ('approve', 'manual') THEN len(reason_codes) ELSE 0 END AS k, "
+             "row_number() OVER (ORDER BY application_id) AS rn FROM (SELECT *, CASE WHEN decision = 'APPROVE' THEN 'approve' "
+             "WHEN decision = 'MANUAL_REVIEW' THEN 'manual' WHEN decision = 'DECLINE' AND list_contains(reason_codes, "
+             "'UBO_MISMATCH') THEN 'kyc' WHEN decision = 'DECLINE' THEN 'credit' END AS bucket FROM pol) "
+             "WHERE bucket IS NOT NULL) GROUP BY bucket")
+_CASE_SCORECARD = ["name", "label", "source", "display_value", "status", "thresholds"]
+
+
+@register("case_records", _decisions_oracle(
+    "SELECT c.bucket, c.application_id, CASE c.bucket " + " ".join(
+        f"WHEN '{k}' THEN '{v}'" for k, v in SC.SCENARIOS.items()) + " END AS scenario, o.merchant_id, o.decision, o.max_amount, "
+    "o.pricing_band, o.tenor_max_months, o.reason_codes, o.explanations, o.manual_review_flags, o.signal_pass_rate, "
+    f"round(CAST(p.requested_amount AS DOUBLE), 6) AS requested_amount, round(CAST(p.requested_tenor_months AS DOUBLE), 6) "
+    f"AS requested_tenor_months, round({_AMOUNT_SCORE.replace('max_amount', 'p.max_amount')}, 6) AS shadow_ml_score, "
+    "m.company_name, m.sector, m.annual_gmv, k.scorecard FROM selected c JOIN pol_out o ON o.application_id = c.application_id "
+    "JOIN pol p ON p.application_id = c.application_id LEFT JOIN v_merchants m ON m.merchant_id = o.merchant_id "
+    f"LEFT JOIN (SELECT application_id, string_agg(concat_ws('|', {', '.join(_CASE_SCORECARD)}), chr(10) ORDER BY position) "
+    "AS scorecard FROM card GROUP BY 1) k ON k.application_id = c.application_id",
+    {"selected": _SELECTED, "card": _card_sql()}))
 def q_case_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D8r: selected cases with merchant facts, decision and the ordered scorecard (rows-only)."""
-    return SC.case_records(decided(spark, sf_dir), card(spark, sf_dir), fx(spark, sf_dir).merchants)
+    """D8r: selected cases with merchant facts, decision, (frozen) score and the ordered scorecard as text lines."""
+    cases = SC.case_records(_with_amount_score(spark, sf_dir), card(spark, sf_dir), fx(spark, sf_dir).merchants)
+    line = lambda s: F.concat_ws("|", *[s[c] for c in _CASE_SCORECARD])
+    texts = [F.concat_ws("|", c).alias(c) if c in ("reason_codes", "explanations", "manual_review_flags")
+             else F.array_join(F.transform(c, line), "\n").alias(c) if c == "scorecard" else F.col(c) for c in cases.columns]
+    return round_doubles(cases.select(*texts))
 
 
 # --------------------------------------------------------------------------- audit + consents
@@ -652,15 +696,46 @@ def q_active_consents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AU.active_consents(consents(spark, sf_dir), CONSENT_AS_OF)
 
 
-@register("decision_log")
+_TEXTS = ("reason_codes", "explanations", "manual_review_flags")
+_STAMP = DECIDED_AT.strftime("%Y-%m-%d %H:%M:%S")
+
+
+@register("decision_envelopes", _policy_oracle(
+    f"SELECT application_id, merchant_id, TIMESTAMP '{_STAMP}' AS timestamp, decision, max_amount AS max_amount_eur, "
+    "pricing_band, apr, tenor_max_months, reason_codes, explanations, manual_review_flags, signal_pass_rate, "
+    "CAST(NULL AS DOUBLE) AS shadow_ml_score, 'Shadow ML model not yet available.' AS shadow_ml_note, "
+    f"'{P.MODEL_VERSION}' AS model_version, true AS requires_credit_officer FROM pol_out"))
+def q_decision_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision envelopes before there is a model, so without a score."""
+    env = P.decision_envelope(decided(spark, sf_dir), DECIDED_AT)
+    return round_doubles(env.select(*[F.concat_ws("|", c).alias(c) if c in _TEXTS
+                                      else F.col(c).cast("timestamp_ntz").alias(c) if c == "timestamp" else F.col(c)
+                                      for c in env.columns]))
+
+
+_SNAPSHOT = [(n, k) for n, k in FEATURE_SELECT if n not in ("application_id", "merchant_id")]
+
+
+@register("decision_log", _policy_oracle(
+    f"SELECT p.merchant_id, '{DECIDED_AT.isoformat()}.000000Z' AS timestamp, p.decision, p.max_amount AS max_amount_eur, "
+    "p.pricing_band, array_to_string(p.reason_codes, '|') AS reason_codes, CAST(NULL AS DOUBLE) AS shadow_ml_score, "
+    f"'{P.MODEL_VERSION}' AS model_version, DATE '{DECIDED_AT.date().isoformat()}' AS decision_date, "
+    + ", ".join(f"round(p.{n}, 6) AS snap_{n}" if k == "d" else f"p.{n} AS snap_{n}" for n, k in _SNAPSHOT) + " FROM pol p"))
 def q_decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions appended to the audit table and read back (rows-only)."""
+    """Decisions appended to the audit table, twice as one batch, and read back; the snapshot parsed."""
     env = P.decision_envelope(decided(spark, sf_dir), DECIDED_AT)
     rows = AU.decision_log_rows(env, features(spark, sf_dir))
     import uuid
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quire-audit/decision_log-{uuid.uuid4().hex}"
-    AU.append_decision_log(rows, path)
-    return AU.load_decision_log(spark, path).drop("reason_codes_list")
+    for _ in range(2):  # a batch that is written again is there once
+        AU.append_decision_log(rows, path, "run-1")
+    log = AU.load_decision_log(spark, path, since=DECIDED_AT.date(), until=DECIDED_AT.date())
+    kinds = {"d": "double", "b": "boolean", "i": "int"}
+    snapshot = F.from_json("features_json", ", ".join(f"{n} {kinds[k]}" for n, k in _SNAPSHOT))
+    return round_doubles(log.withColumn("_snapshot", snapshot).select(
+        "merchant_id", "timestamp", "decision", "max_amount_eur", "pricing_band",
+        F.concat_ws("|", "reason_codes_list").alias("reason_codes"), "shadow_ml_score", "model_version", "decision_date",
+        *[F.col(f"_snapshot.{n}").alias(f"snap_{n}") for n, _ in _SNAPSHOT]))
 
 
 # --------------------------------------------------------------------------- shadow model (L)
@@ -707,6 +782,17 @@ def q_shadow_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
               .withColumn("manual_review_flags", F.to_json("manual_review_flags"))
 
 
+@register("case_records_shadow")
+def q_case_records_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D8r + L9: case records with the calibrated score and the model's top features, as exported (rows-only)."""
+    labels = {s[0]: s[1] for s in SC.DASHBOARD_SIGNALS}
+    top = SH.importances_frame(spark, shadow_model(spark, sf_dir), labels)
+    cases = SC.case_records(scored_decisions(spark, sf_dir), card(spark, sf_dir), fx(spark, sf_dir).merchants, top)
+    path = shared_folder(spark, "cases")
+    AU.export_cases_json(cases, path)  # S16
+    return spark.read.schema(cases.schema).json(path)
+
+
 @register("shadow_metrics")
 def q_shadow_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validated AUC mean/std and Brier of the calibrated model (rows-only)."""

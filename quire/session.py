@@ -17,9 +17,6 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # the policy projection is one wide CASE tree; inferring constraints from it
-    # under a downstream filter is super-linear in Catalyst
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.expr import nan_to_null
-from quire.operators.quality import data_quality_report, required_columns_report
-from quire.sources.schemas import OPTIONAL_SOURCES, POSTING_ORDER, SCHEMAS, completed
+from quire.operators.quality import data_quality_report, observed, observed_report, required_columns_report
+from quire.session import write_table
+from quire.sources.schemas import OPTIONAL_SOURCES, POSTING_ORDER, REQUIRED_COLUMNS, SCHEMAS, completed
 
 
 def empty_source(spark: SparkSession, name: str) -> DataFrame:
@@ -88,3 +89,16 @@ def load_and_validate(spark: SparkSession, paths: dict[str, str]) -> tuple[dict[
     sources = {name: load_source(spark, name, path) for name, path in paths.items()}
     report = required_columns_report(spark, sources).unionByName(data_quality_report(sources))
     return sources, report
+
+
+def store_and_validate(spark: SparkSession, paths: dict[str, str],
+                       name: str = "source") -> tuple[dict[str, DataFrame], DataFrame]:
+    """S9 in one pass: each source is read once, written under the shared folder, and checked on the way. The sources
+    returned are the written tables; the report is that of ``load_and_validate``."""
+    stored, seen, raw = {}, {}, {}
+    for source, path in paths.items():
+        raw[source] = load_source(spark, source, path)
+        watched, *seen[source] = observed(raw[source], source) if source in REQUIRED_COLUMNS else (raw[source],)
+        stored[source] = write_table(watched, f"{name}-{source}")
+    report = observed_report(spark, {s: o for s, o in seen.items() if o})
+    return stored, required_columns_report(spark, raw).unionByName(report)

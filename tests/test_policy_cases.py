@@ -75,8 +75,10 @@ def test_gate_boundaries(spark, feature, green, red, kind, code):
               "inside_green": green - worse * eps, "null": None, "nan": float("nan")}
     rows = [merchant(n, **{feature: v}) for n, v in probes.items()]
     df = spark.createDataFrame(rows, schema=spark.createDataFrame([merchant("x")]).schema)
-    got = {r["application_id"]: r["s"] for r in df.select("application_id", P.gate_status(
-        df, feature, green, red, kind).alias("s")).collect()}
+    got = {r["application_id"]: {g["feature"]: (g["status"], g["code"]) for g in r["gates"]}[feature]
+           for r in P.with_gates(df).collect()}
+    assert {c for _, c in got.values()} == {code}
+    got = {k: s for k, (s, _) in got.items()}
     assert got["at_green"] == "green"          # boundary is not worse than green
     assert got["at_red"] == "amber"            # red boundary itself is amber
     assert got["past_red"] == "red"

@@ -140,8 +140,8 @@ def test_sinks(spark, tmp_path):
     consents = spark.createDataFrame([("m", "psd2_aisp", "GRANTED", dt.datetime(2024, 1, 1), 1, dt.date(2024, 3, 1))],
                                      "merchant_id string, consent_type string, action string, event_ts timestamp, "
                                      "event_id long, expires_at date")
-    for _ in range(2):
-        audit.append_consent_log(audit.consent_records(consents), str(tmp_path / "log"))
+    for batch in ("a", "a", "b"):  # a batch that is written again is there once
+        audit.append_consent_log(audit.consent_records(consents), str(tmp_path / "log"), batch)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
     monthly = spark.createDataFrame([(dt.date(2001, 7, 1), 1.0), (dt.date(2001, 8, 1), float("nan"))],
                                     "month date, v double")
