@@ -17,6 +17,8 @@ also one that is active by a false bit: that only costs work. Counts are exact.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,12 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import map_batches, raw_texts, slices, stored
 from quire.llm.sieve import bits_of, found
+from quire.session import shared_folder
 
 #: Shards of a cycle.
 SHARDS = 3
-#: Bits of the states (8 MB each; a scan is sent two), and words that a phrase has at most.
-STATE_BITS, LONGEST = 1 << 26, 3
+#: Bits of the states (4 MB each; a scan is sent two), and words that a phrase has at most.
+STATE_BITS, LONGEST = 1 << 25, 3
 #: A subphrase that holds more than this share of an even partition's requests is sent to them instead of met.
 HOT = 0.25
 SEED = 42
@@ -111,49 +114,53 @@ def scan(shard: DataFrame, sizes: list[int], now, before) -> DataFrame:
     return map_batches(shard, run, "key long, n long")
 
 
-def reached(logs: list[DataFrame], least: int) -> DataFrame:
-    """(key, n) of the keys that the logs count ``least`` times or more, all together.
+@contextmanager
+def reached(logs: list[DataFrame], least: int) -> Iterator[DataFrame]:
+    """(key, n) of the keys that the logs count ``least`` times or more, all together; to be used inside the context.
 
     Such a key has at least its even share in one of the logs, so only rows of keys that do are added up.
     """
     if len(logs) == 1:
-        return logs[0].where(F.col("n") >= least)
+        yield logs[0].where(F.col("n") >= least)
+        return
     share = math.ceil(least / len(logs))
-    spark = logs[0].sparkSession
     everything = logs[0]
     for log in logs[1:]:
         everything = everything.unionByName(log)
-    sieve = spark.sparkContext.broadcast(bits_of(everything.where(F.col("n") >= share), "key"))
+    sieve = everything.sparkSession.sparkContext.broadcast(bits_of(everything.where(F.col("n") >= share), "key"))
 
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(found(sieve.value, batch.column("key").to_numpy())))
 
-    return (map_batches(everything, run, everything.schema).groupBy("key").agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= least))
+    yield (map_batches(everything, run, everything.schema).groupBy("key").agg(F.sum("n").alias("n"))
+           .where(F.col("n") >= least))
+    sieve.destroy()
 
 
 def counted(docs: DataFrame, least: int, shards: int = SHARDS, longest: int = LONGEST) -> DataFrame:
     """(key, n) of every phrase of 1 to ``longest`` words that occurs ``least`` times or more, by dynamic itemset
     counting; docs has lang, text and shard."""
-    context = docs.sparkSession.sparkContext
-    states, logs = [np.zeros(STATE_BITS // 8, np.uint8)], []
-    sent = [context.broadcast(states[0])]
+    spark = docs.sparkSession
+    states, logs = {0: np.zeros(STATE_BITS // 8, np.uint8)}, []
     for t in range(longest * shards):
         back = t - shards
+        states.pop(back - 1, None)
         if back >= 0 and np.array_equal(states[t], states[back]):
             break  # nothing has become active for a whole cycle
         sizes = [k for k in range(1, longest + 1) if (k > 1 or t < shards) and t >= k - 1]
         part = docs.where(F.col("shard") == t % shards).select("lang", "text")
-        log = scan(part, sizes, sent[t], sent[back] if back >= 0 else None)
+        now, before = (spark.sparkContext.broadcast(states[x]) if x >= 0 else None for x in (t, back))
+        log = scan(part, sizes, now, before)
         logs.append(stored(log.groupBy("key").agg(F.sum("n").alias("n")), f"shard-{t}"))
+        for sent in (now, before):
+            if sent is not None:
+                sent.destroy()  # the log is written
         # whatever was counted in this shard has all its counts in the last cycle
-        new = bits_of(reached(logs[-shards:], least), "key", STATE_BITS)
-        states.append(states[t] | new)
-        sent.append(context.broadcast(states[-1]))
-        if back >= 0:
-            sent[back].unpersist()
-    return stored(reached(logs, least), "reached")
+        with reached(logs[-shards:], least) as found_:
+            states[t + 1] = states[t] | bits_of(found_, "key", STATE_BITS)
+    with reached(logs, least) as found_:
+        return stored(found_, "reached")
 
 
 def _named(docs: DataFrame, often: DataFrame, longest: int) -> DataFrame:
@@ -220,6 +227,10 @@ def candidates(docs: DataFrame, least: int = 10, shards: int = SHARDS, longest:
     text = F.col(text_col).cast("string")
     src = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"),
                       F.pmod(F.xxhash64(*spread_by, text), F.lit(shards)).alias("shard")).where(text.isNotNull())
+    # by shard, so that a scan reads its own shard alone
+    path = shared_folder(spark, "llm-shards")
+    src.write.partitionBy("shard").parquet(path)
+    src = spark.read.schema(src.schema).parquet(path)
     often = counted(src, least, shards, longest)
     named = stored(_named(src, often, longest).groupBy("lang", "phrase", "size").agg(F.count("*").alias("times")), "named")
     totals = (named.where(F.col("phrase").isNull())
