@@ -26,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_batches, raw_texts, slices, stored
+from quire.llm.common import map_batches, raw_texts, slices
 from quire.llm.sieve import bits_of, found
 from quire.session import shared_folder
 
-#: Shards of a cycle.
-SHARDS = 3
+#: Shards of a cycle. More of them activate phrases sooner, and cost as many more scans and jobs.
+SHARDS = 2
 #: Bits of the states (4 MB each; a scan is sent two), and words that a phrase has at most.
 STATE_BITS, LONGEST = 1 << 25, 3
 #: A subphrase that holds more than this share of an even partition's requests is sent to them instead of met.
@@ -138,6 +138,13 @@ def reached(logs: list[DataFrame], least: int) -> Iterator[DataFrame]:
     sieve.destroy()
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """As ``stored``, but read again by its known schema, which takes no job."""
+    path = shared_folder(df.sparkSession, f"llm-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def counted(docs: DataFrame, least: int, shards: int = SHARDS, longest: int = LONGEST) -> DataFrame:
     """(key, n) of every phrase of 1 to ``longest`` words that occurs ``least`` times or more, by dynamic itemset
     counting; docs has lang, text and shard."""
@@ -152,15 +159,16 @@ def counted(docs: DataFrame, least: int, shards: int = SHARDS, longest: int = LO
         part = docs.where(F.col("shard") == t % shards).select("lang", "text")
         now, before = (spark.sparkContext.broadcast(states[x]) if x >= 0 else None for x in (t, back))
         log = scan(part, sizes, now, before)
-        logs.append(stored(log.groupBy("key").agg(F.sum("n").alias("n")), f"shard-{t}"))
+        logs.append(_written(log.groupBy("key").agg(F.sum("n").alias("n")), f"shard-{t}"))
         for sent in (now, before):
             if sent is not None:
                 sent.destroy()  # the log is written
         # whatever was counted in this shard has all its counts in the last cycle
         with reached(logs[-shards:], least) as found_:
             states[t + 1] = states[t] | bits_of(found_, "key", STATE_BITS)
+    del states
     with reached(logs, least) as found_:
-        return stored(found_, "reached")
+        return _written(found_, "reached")
 
 
 def _named(docs: DataFrame, often: DataFrame, longest: int) -> DataFrame:
@@ -232,15 +240,15 @@ def candidates(docs: DataFrame, least: int = 10, shards: int = SHARDS, longest:
     src.write.partitionBy("shard").parquet(path)
     src = spark.read.schema(src.schema).parquet(path)
     often = counted(src, least, shards, longest)
-    named = stored(_named(src, often, longest).groupBy("lang", "phrase", "size").agg(F.count("*").alias("times")), "named")
+    named = _written(_named(src, often, longest).groupBy("lang", "phrase", "size").agg(F.count("*").alias("times")), "named")
     totals = (named.where(F.col("phrase").isNull())
               .groupBy("lang").agg(F.sum(F.col("size") * F.col("times")).alias("n")))
-    found_ = stored(_with_keys(named.where(F.col("phrase").isNotNull()).drop("times"), longest)
+    found_ = _written(_with_keys(named.where(F.col("phrase").isNotNull()).drop("times"), longest)
                     .join(often.withColumnRenamed("n", "a"), "key"), "candidates")
     # requests for the counts of parts; words that very many candidates hold are not met in one partition
     asked = found_.select("key", F.posexplode("parts").alias("cut", "part"))
     wanted = asked.groupBy("part").agg(F.count("*").alias("asked"))
-    known = stored(often.select(F.col("key").alias("part"), F.col("n").alias("f")).join(wanted, "part"), "parts")
+    known = _written(often.select(F.col("key").alias("part"), F.col("n").alias("f")).join(wanted, "part"), "parts")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     limit = HOT * (known.agg(F.sum("asked")).first()[0] or 0) / parts
     hot, cold = F.broadcast(known.where(F.col("asked") > limit)), known.where(F.col("asked") <= limit)

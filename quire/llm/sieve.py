@@ -22,9 +22,9 @@ def bits_of(keys: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
     words = (keys.where(F.col(column).isNotNull())
              .select((at / 64).cast("long").alias("word"),
                      F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit"))
-             .groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas())
+             .groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow())
     table = np.zeros(bits // 64, np.int64)
-    table[words["word"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64)
+    table[words["word"].to_numpy()] = words["bit"].to_numpy()
     return table.view(np.uint8)
 
 
