@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import BATCH_BYTES
+
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -29,6 +31,7 @@ class Layout:
     Otherwise ``turns`` gives (role, fields): a role that starts with ``$`` is
     read from that field, and several fields are joined by a blank line,
     leaving out empty ones. A turn named ``system`` is left out when empty.
+    Names of speakers are made canonical (ROLES) unless ``as_is``.
     """
     name: str
     paths: tuple[str, ...]
@@ -36,12 +39,17 @@ class Layout:
     each: str | None = None
     role: str = "role"
     text: str = "content"
+    as_is: bool = False
 
 
 LAYOUTS = (
-    Layout("turn_row", ("role", "text"), (("$role", ("text",)),)),
+    Layout("turn_row", ("role", "text"), (("$role", ("text",)),), as_is=True),
     Layout("message_row", ("role", "content"), (("$role", ("content",)),)),
     Layout("messages", ("messages[].content", "messages[].role"), each="messages"),
+    Layout("no_messages", ("messages",), each="messages"),
+    Layout("message_parts", ("messages[].content[].text", "messages[].content[].type", "messages[].role"), each="messages"),
+    Layout("some_message_parts", ("messages[].content", "messages[].content[].text", "messages[].content[].type",
+                                  "messages[].role"), each="messages"),
     Layout("message_texts", ("messages[].role", "messages[].text"), each="messages", text="text"),
     Layout("from_value", ("conversations[].from", "conversations[].value"), each="conversations", role="from",
            text="value"),
@@ -78,6 +86,9 @@ def fingerprint(paths) -> str:
 
 
 def _text(value) -> str:
+    """A value as text; a list of parts is the text of its parts, end to end."""
+    if isinstance(value, list) and value and all(isinstance(p, dict) and isinstance(p.get("text"), str) for p in value):
+        return "".join(p["text"] for p in value)
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
@@ -87,14 +98,14 @@ def _role(value) -> str:
 
 
 def canonical_turns(layout: Layout, record: dict) -> list[dict]:
-    out = []
+    out, named = [], _text if layout.as_is else _role
     for role, fields in layout.turns:
         parts = [_text(record.get(f)) for f in fields]
         text = parts[0] if len(parts) == 1 else "\n\n".join(p for p in parts if p)
         if role != "system" or text:
-            out.append({"role": _role(record.get(role[1:])) if role.startswith("$") else role, "text": text})
+            out.append({"role": named(record.get(role[1:])) if role.startswith("$") else role, "text": text})
     if layout.each:
-        out += [{"role": _role(m.get(layout.role)), "text": _text(m.get(layout.text))} for m in record[layout.each]]
+        out += [{"role": named(m.get(layout.role)), "text": _text(m.get(layout.text))} for m in record[layout.each]]
     return out
 
 
@@ -103,7 +114,8 @@ def mapped_records(records: DataFrame, record_col: str = "record", layouts: tupl
 
     Fields that no layout knows are left out of the fingerprint, so extra
     fields do no harm. A record of no known layout has layout null and no
-    turns; so has one that is null or not a JSON object.
+    turns; so has one that is null or not a JSON object. Columns that have one
+    of the three names already give way. An empty table gives an empty one.
     """
     known = {p for x in layouts for p in x.paths}
     by_print = {fingerprint(x.paths): x for x in layouts}
@@ -154,20 +166,26 @@ def format_chat(records: DataFrame, id_col: str = "conv_id", order_col: str = "t
     ``>`` and newlines of the role too; so no text can hold a mark. The loss
     mask covers [loss_start, loss_end) of the row's code points, which is the
     text of a ``loss_role`` turn; both are null elsewhere. A null text is
-    empty, and records of equal seq are ordered by their text. Rows stay one
-    per turn, so no conversation is ever gathered here.
+    empty. Records of equal seq are ordered by a hash, equal records come as
+    often as they are there. Rows stay one per turn, so no conversation is ever
+    gathered here; other columns are ignored.
+
+    Nothing vanishes: a record without a turn, as its layout is unknown (layout
+    is null then) or its list of turns is empty, is one row whose nth, role and
+    spans are null and whose ``formatted`` is empty. An empty table gives no rows.
     """
     turns = mapped_records(records.select(F.col(id_col).alias("conv_id"), F.col(order_col).alias("seq"),
                                           F.col(record_col).alias("record")), "record", layouts)
+    is_turn = F.col("nth").isNotNull()
     turns = (turns.select("conv_id", "seq", F.xxhash64("record").alias("tie"), "layout",
-                          F.posexplode("turns").alias("nth", "t"))
-             .select("conv_id", "seq", "tie", "nth", "layout", F.coalesce("t.role", F.lit("")).alias("role"),
+                          F.posexplode_outer("turns").alias("nth", "t"))
+             .select("conv_id", "seq", "tie", "nth", "layout", F.when(is_turn, F.coalesce("t.role", F.lit(""))).alias("role"),
                      F.coalesce("t.text", F.lit("")).alias("text")))
     head = F.concat(F.lit("<turn "), escaped(F.col("role"), r">\n"), F.lit(">\n"))
     body = escaped(F.col("text"))
     masked = F.col("role") == loss_role
     return turns.select("conv_id", "seq", "tie", "nth", "layout", "role",
-                        F.concat(head, body, F.lit("\n</turn>\n")).alias("formatted"),
+                        F.when(is_turn, F.concat(head, body, F.lit("\n</turn>\n"))).otherwise("").alias("formatted"),
                         F.when(masked, F.length(head)).cast("long").alias("loss_start"),
                         F.when(masked, F.length(head) + F.length(body)).cast("long").alias("loss_end"))
 
@@ -190,8 +208,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
     formatted_chars. A SHA-256 needs its bytes in order, so the rows of a
     conversation meet in one sorted partition; they stream through it and only
     the hash states and one unfinished turn are held, however long the
-    conversation is. A null conv_id is a conversation too.
+    conversation is. A null conv_id is a conversation too, and one whose records
+    have no turns has none here either: it comes back with n_turns 0.
     """
+    formatted.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     kind = formatted.schema["conv_id"].dataType.simpleString()
     ordered = (formatted.select("conv_id", "seq", "tie", "nth", "formatted", "loss_start", "loss_end")
                .repartition("conv_id").sortWithinPartitions("conv_id", "seq", "tie", "nth")

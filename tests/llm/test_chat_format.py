@@ -52,9 +52,26 @@ def test_awkward_rows(spark):
          (4, 0, json.dumps({"role": None, "text": 5}))],
         "conv_id long, turn long, record string").selectExpr("*", "'x' as layout", "1 as seq", "2 as formatted")
     rows = got(C.read_back(C.format_chat(df)))
-    assert rows[1] == digests([("a>\nb<\\", "")])
+    assert rows[1] == digests([("a>\nb<\\", "")])  # the odd records beside it have no turns
     assert rows[2] == digests([("assistant", "long " * 50000)] * 3)
     assert rows[None] == rows[3] == digests([("assistant", "long " * 50000)])
     assert rows[4] == digests([("", "5")])
     assert {r["layout"] for r in C.mapped_records(df).where("conv_id = 1 and turn > 0").collect()} == {None}
     assert got(C.read_back(C.format_chat(df.where("false")))) == {}
+
+
+def test_nothing_vanishes(spark):
+    """Empty lists, unknown layouts and lists of parts all come back out; table rows keep their roles."""
+    records = [{"messages": []}, {"query": "a", "reply": "b"},
+               {"messages": [{"role": "user", "content": [{"type": "text", "text": "Hi "}, {"type": "text", "text": "you"}]},
+                             {"role": "bot", "content": [{"type": "text", "text": "Yes"}]}]},
+               {"messages": [{"role": "user", "content": [{"type": "text", "text": "A"}]}, {"role": "gpt", "content": "B"}]},
+               {"role": "bot", "text": "x"}, {"role": "human", "text": "y"}]
+    df = spark.createDataFrame([(i, 0, json.dumps(r)) for i, r in enumerate(records)],
+                               "conv_id long, turn long, record string")
+    rows = C.format_chat(df)
+    assert {r["conv_id"]: (r["layout"], r["formatted"], r["role"]) for r in rows.where("nth is null").collect()} == {
+        0: ("no_messages", "", None), 1: (None, "", None)}
+    assert got(C.read_back(rows)) == {
+        0: digests([]), 1: digests([]), 2: digests([("user", "Hi you"), ("assistant", "Yes")]),
+        3: digests([("user", "A"), ("assistant", "B")]), 4: digests([("bot", "x")]), 5: digests([("human", "y")])}
