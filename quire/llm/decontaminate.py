@@ -14,6 +14,7 @@ the edits; shorter parts are found only where they hold a window.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quire.llm.common import map_batches, slices, texts, where_text
+from quire.llm.common import map_batches, slices, stored, texts, where_text
 
 #: Characters of a q-gram, of a window, and between the starts of two windows.
 Q, WINDOW, STRIDE = 9, 120, 60
@@ -34,6 +35,8 @@ EDIT_RATE = 0.08
 BLOCK_CHARS = 1_500_000
 #: Hash bits of the filter that q-grams pass before they are searched.
 FILTER_BITS = 22
+#: Pairs of a document's q-grams and places in windows that are held at a time.
+HITS = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -179,6 +182,53 @@ def _dense(at: np.ndarray, key: np.ndarray, block: Block, q: int) -> tuple[np.nd
     return at[kept], key[kept]
 
 
+def _bands(at: np.ndarray, key: np.ndarray, block: Block, offset: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window * span + cell + offset, shared q-grams) of the bands that hits (positions, keys) fall in.
+
+    Cells hold budget + 1 diagonals; a band is a cell and the next, so any budget + 1 diagonals lie in one band. A hit
+    meets each place of its q-gram in the windows. Texts that repeat a few letters make very many such pairs, so they are
+    made and counted HITS at a time."""
+    count = block.starts[key + 1] - block.starts[key]
+    ends = np.cumsum(count)
+
+    def pairs(start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        n = count[start:stop]
+        before = ends[start:stop] - n - (ends[start - 1] if start else 0)
+        slot = np.repeat(block.starts[key[start:stop]] - before, n) + np.arange(n.sum())
+        window = block.window_of[slot]
+        return window, (np.repeat(at[start:stop], n) - block.position[slot]) // (block.budget[window] + 1) + offset
+
+    if not len(ends) or ends[-1] <= HITS:
+        window, cell = pairs(0, len(at))
+        cells = window * span + cell
+        return np.unique(np.concatenate([cells, cells - 1]), return_counts=True)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    cuts = [0, *(np.flatnonzero(np.diff(ends // HITS)) + 1).tolist(), len(at)]
+    for start, stop in zip(cuts, cuts[1:]):
+        if start == stop:
+            continue
+        window, cell = pairs(start, stop)
+        there = np.flatnonzero(np.bincount(window))  # few windows, and hits side by side reach few cells of each
+        low, width = cell.min() - 1, int(cell.max() - cell.min()) + 2
+        if len(there) * width <= 4 * HITS:
+            n = np.bincount(np.searchsorted(there, window) * width + (cell - low), minlength=len(there) * width)
+            n = n + np.append(n[1:], 0)  # a band has its own cell and the next; the first cell of a window is always empty
+            own = np.flatnonzero(n)
+            parts.append((there[own // width] * span + own % width + low, n[own]))
+        else:
+            cells = window * span + cell
+            parts.append(np.unique(np.concatenate([cells, cells - 1]), return_counts=True))
+        if sum(len(p[0]) for p in parts) > 4 * HITS:
+            parts = [_added(parts)]
+    return _added(parts)
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by band, of all parts together."""
+    band, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return band, np.bincount(place, np.concatenate([p[1] for p in parts]), len(band)).astype(np.int64)
+
+
 def scan(text: str, block: Block, q: int) -> list[tuple[int, int, int, int]]:
     """(item number, start, end, edits) in the normalised text; overlapping stretches of an item are joined."""
     found = [(i, 0, len(text), 0) for i in block.whole.get(text, ())]
@@ -192,15 +242,9 @@ def scan(text: str, block: Block, q: int) -> list[tuple[int, int, int, int]]:
     at, key = _dense(at[equal], key[equal], block, q)
     if not len(at):
         return found
-    count = block.starts[key + 1] - block.starts[key]
-    slot = np.repeat(block.starts[key] - np.cumsum(count) + count, count) + np.arange(count.sum())
-    window = block.window_of[slot]
-    # cells of budget + 1 diagonals; a band is a cell and the next, so any budget + 1 diagonals lie in one band
-    cell = (np.repeat(at, count) - block.position[slot]) // (block.budget[window] + 1)
     offset = int(block.length.max()) + 1
     span = len(codes) + 2 * offset
-    key = window * span + cell + offset
-    band, shared = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+    band, shared = _bands(at, key, block, offset, span)
     need = block.required(q)
     band = band[shared >= need[band // span]]
     stretches: dict[int, list] = {}
@@ -225,14 +269,16 @@ def scan(text: str, block: Block, q: int) -> list[tuple[int, int, int, int]]:
 
 
 def blocks(benchmark: DataFrame, q: int, window: int, stride: int, rate: float, block_chars: int,
-           part: tuple[int, int] | None) -> list[Block]:
-    """The benchmark (item_id, text) as blocks of about ``block_chars`` characters, each small enough to send along."""
+           part: tuple[int, int] | None) -> Iterator[tuple[Block, bool]]:
+    """The benchmark (item_id, text) as blocks of about ``block_chars`` characters, each small enough to send along, one
+    at a time, and whether it is the only one."""
     rows = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct()
     total = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     n = -(-total // block_chars)
     place = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(n, 1)))
-    return [build_block([(r["item_id"], r["text"]) for r in rows.where(place == i).collect()], q, window, stride, rate,
-                        part) for i in range(n)]
+    for i in range(n):
+        yield build_block([(r["item_id"], r["text"]) for r in rows.where(place == i).collect()], q, window, stride, rate,
+                          part), n == 1
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = Q,
@@ -253,7 +299,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     kinds = src.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
     schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, start long, end long, edits long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in blocks(benchmark, q, window, stride, rate, block_chars, part):
+    for block, only in blocks(benchmark, q, window, stride, rate, block_chars, part):
         def run(batches, block=block):
             for batch in slices(batches, "text"):
                 rows = []
@@ -263,7 +309,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 kind = [to_arrow_type(kinds[0]), to_arrow_type(kinds[1])] + [pa.int64()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kind)],
                                                  names=["doc_id", "item_id", "start", "end", "edits"])
-        out = out.unionByName(map_batches(src, run, schema))
+        found = map_batches(src, run, schema)
+        out = out.unionByName(found if only else stored(found, "matches"))  # so that the next block can take its place
     return out
 
 
@@ -271,6 +318,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", q: int
           stride: int = STRIDE, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS,
           part: tuple[int, int] | None = (PART_WINDOW, PART_STRIDE)) -> DataFrame:
     """The rows of ``docs``, all columns, whose text repeats no benchmark item; see ``matches``."""
-    for block in blocks(benchmark, q, window, stride, rate, block_chars, part):
+    for block, only in blocks(benchmark, q, window, stride, rate, block_chars, part):
         docs = where_text(docs, text_col, lambda t, block=block: not scan(normal(t), block, q))
+        if not only:
+            names = docs.columns  # written by place, as names may be odd
+            docs = stored(docs.toDF(*[f"c{i}" for i in range(len(names))]), "clean").toDF(*names)
     return docs

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 from quire.llm import decontaminate as D
 from quire.llm.queries import op3_decontamination
@@ -89,3 +90,20 @@ def test_every_part_of_99_characters_is_found(spark):
     got = {r["doc_id"] for r in D.matches(spark.createDataFrame(docs, "doc_id long, text string"),
                                           spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert got == {i for i, _ in docs}
+
+
+def test_pairs_are_counted_in_pieces(monkeypatch):
+    """Long runs of a few letters give the same bands however few pairs are held at a time, in bounded memory."""
+    rows = [("run", "a" * 400), ("text", "the quick brown fox jumps over the lazy dog and runs away from it all " * 3)]
+    block = D.build_block(rows, D.Q, D.WINDOW, D.STRIDE, D.EDIT_RATE, (D.PART_WINDOW, D.PART_STRIDE))
+    texts = ["a" * 3000, "ab" * 900 + "a" * 500, "x" * 300 + "a" * 450 + rows[1][1], "aab" * 800]
+    whole = [D.scan(t, block, D.Q) for t in texts]
+    for held in (500, 20_000):
+        monkeypatch.setattr(D, "HITS", held)
+        assert [D.scan(t, block, D.Q) for t in texts] == whole
+    assert whole[0] and whole[2] and not whole[3]
+    monkeypatch.undo()
+    tracemalloc.start()
+    assert D.scan("a" * 100_000, block, D.Q)  # some 10 ** 8 pairs
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
