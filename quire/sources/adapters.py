@@ -184,12 +184,12 @@ class FixtureSources:
 
     def _build_bank(self) -> DataFrame:
         k = F.col("k")
-        same_month = Window.partitionBy("merchant_id", F.trunc("settlement_date", "month"))
+        same_month = Window.partitionBy("merchant_id", "_in")
         even = F.expr("CAST(_month * 100 AS BIGINT) * 98 div (100 * _n)").cast("decimal(18,0)") / dec("100.0")
         credits = (
             self.psp.filter((F.col("status") == "paid") & (F.col("settlement_date") <= F.lit(self.as_of)))
             .groupBy("merchant_id", "k", "settlement_date", "psp_name")
-            .agg(F.sum("net_amount").alias("net"))
+            .agg(F.sum("net_amount").alias("net")).withColumn("_in", F.trunc("settlement_date", "month"))
             .withColumn("_month", F.sum("net").over(same_month)).withColumn("_n", F.count(F.lit(1)).over(same_month))
             .select(
                 "merchant_id", "k", F.col("settlement_date").alias("date"),
@@ -220,7 +220,8 @@ class FixtureSources:
              .otherwise("nsf_fee").alias("category"),
             line_id("D").alias("transaction_id"),
         )
-        return running_balance(credits.unionByName(debits)).select(
+        # the postings are read twice: for the days' sums and for the balances
+        return running_balance(write_table(credits.unionByName(debits), "postings")).select(
             "transaction_id", "merchant_id", "k", "date", "amount", "direction", "counterparty_name", "category",
             "balance_after", "posting_seq")
 
