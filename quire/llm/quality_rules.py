@@ -2,9 +2,12 @@
 
 Every rule compares one measure of a text with a cutoff. Cutoffs are chosen on
 labelled good texts, per stratum of text length, so that an exact binomial
-bound on the share of good texts a rule rejects stays under ``risk``; the
-bound is corrected for every (stratum, rule, cutoff) that was tried. Copies
-of a text are one trial.
+bound on the share of good texts that all rules together reject stays under
+``risk``. In a stratum the rules are tightened step by step along a path fixed
+beforehand; what they reject only grows, so the steps are tested in this order
+at the full level until one fails, and only the strata share the level out.
+Neighbouring strata with too few texts for any test are one. Copies of a text
+are one trial.
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ RULES = (
     Rule("long_words", "word_chars", "n_words", (8.0, 10.0, 12.0, 15.0, 20.0, 40.0)),
     Rule("short_words", "word_chars", "n_words", (-4.0, -3.5, -3.0, -2.5, -2.0, -1.5), -1),
 )
-#: Bound on the share of good texts that one rule may reject in a stratum, and the chance that any bound fails.
+#: Bound on the share of good texts that all rules may reject in a stratum, and the chance that any bound fails.
 RISK, DELTA = 0.01, 0.05
 
 
@@ -116,28 +119,66 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
+def path(rules: tuple[Rule, ...]) -> list[tuple[Rule, float]]:
+    """The order in which cutoffs are tested: all rules' least aggressive ones, then all the next ones, and so on."""
+    deepest = max(len(r.grid) for r in rules)
+    return [(r, r.grid[-1 - i]) for i in range(deepest) for r in rules if i < len(r.grid)]
+
+
+def merged_strata(sizes: list[int], risk: float, delta: float) -> list[list[int]]:
+    """Neighbouring strata, joined until each group has enough texts to pass a test if none is rejected. Looks at sizes
+    only, so it changes no error rate; without enough texts in all there are no groups."""
+    for parts in range(len(sizes), 0, -1):
+        need = math.log(delta / parts) / math.log1p(-risk)
+        groups, held = [], []
+        for s in range(len(sizes)):
+            held.append(s)
+            if sum(sizes[i] for i in held) >= need:
+                groups.append(held)
+                held = []
+        if groups:
+            groups[-1] += held
+        while len(groups) > parts:
+            last = groups.pop()
+            groups[-1] += last
+        if len(groups) == parts:
+            return groups
+    return []
+
+
+def chosen_cutoffs(counts: dict[tuple[int, int | None], int], rules: tuple[Rule, ...], risk: float,
+                   delta: float) -> dict[tuple[int, str], float]:
+    """Cutoffs by (stratum, rule) from how many good texts of a stratum are first rejected at each step of the path."""
+    steps = path(rules)
+    sizes = [sum(n for (s, _), n in counts.items() if s == i) for i in range(len(STRATA))]
+    chosen: dict[tuple[int, str], float] = {}
+    groups = merged_strata(sizes, risk, delta)
+    for group in groups:
+        n, k = sum(sizes[s] for s in group), 0
+        for i, (rule, cutoff) in enumerate(steps):
+            k += sum(counts.get((s, i), 0) for s in group)
+            if binomial_tail(k, n, risk) > delta / len(groups):
+                break
+            chosen |= {(s, rule.name): cutoff for s in group}
+    return chosen
+
+
 def calibrate(good: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = RISK,
               delta: float = DELTA) -> dict[tuple[int, str], float]:
     """Cutoffs by (stratum, rule), from the measures of labelled good texts, one row for each different text.
 
-    The most aggressive cutoff is taken whose upper confidence bound, at
-    ``delta`` over the number of all tests, is at most ``risk``. A rule without
-    such a cutoff stays out of that stratum, so few or no labels reject nothing.
-    Only counts come to the driver: one row per stratum.
+    With a chance of at least 1 - ``delta``, the rules together reject at most a
+    share ``risk`` of the good texts of each group of strata. A step of the path
+    is taken if the exact binomial test rejects that the share is over ``risk``;
+    the first step that fails ends the path. Without enough labels nothing is
+    rejected. Only counts come to the driver: one row per stratum and step.
     """
-    tests = [(r, i, c) for r in rules for i, c in enumerate(r.grid)]
-    counts = (good.where(~base_failed()).groupBy(stratum().alias("stratum"))
-              .agg(F.count("*").alias("n"),
-                   *[F.count_if(r.value() > c).alias(f"{r.name}_{i}") for r, i, c in tests]).collect())
-    level = delta / (len(tests) * len(STRATA))
-    chosen: dict[tuple[int, str], float] = {}
-    for row in counts:
-        for rule, i, cutoff in tests:
-            key = (row["stratum"], rule.name)
-            k, n = row[f"{rule.name}_{i}"], row["n"]
-            if key not in chosen and k <= n * risk and binomial_tail(k, n, risk) <= level:
-                chosen[key] = cutoff
-    return chosen
+    first = F.lit(None).cast("int")
+    for i, (rule, cutoff) in reversed(list(enumerate(path(rules)))):
+        first = F.when(rule.value() > cutoff, i).otherwise(first)
+    rows = (good.where(~base_failed()).groupBy(stratum().alias("stratum"), first.alias("step"))
+            .agg(F.count("*").alias("n")).collect())
+    return chosen_cutoffs({(r["stratum"], r["step"]): r["n"] for r in rows}, rules, risk, delta)
 
 
 def verdict(cutoffs: dict[tuple[int, str], float], rules: tuple[Rule, ...] = RULES) -> Column:

@@ -1,6 +1,8 @@
 import math
 import re
 
+import numpy as np
+
 from quire.llm import quality_rules as R
 from quire.llm.queries import op9_quality_rules
 
@@ -46,15 +48,53 @@ def test_cutoffs_keep_their_guarantee(spark):
     rule = R.Rule("share", "n_symbols", "n_words", (0.1, 0.2, 0.3, 0.4))
     # of 2,000 good texts, 30 have a share over 0.2 and 2 one over 0.3
     rows = [(100, 25 if i < 28 else 35 if i < 30 else 5, 500, 0, 0, 10, 0) for i in range(2000)]
-    rows += [(60, 20, 300, 0, 0, 10, 0)] * 40 + [(10, 9, 50, 0, 0, 1, 0)] * 500
+    rows += [(60, 3, 300, 0, 0, 10, 0)] * 40 + [(10, 9, 50, 0, 0, 1, 0)] * 500
     good = spark.createDataFrame(rows, "n_words long, n_symbols long, word_chars long, n_dup_lines long, "
                                        "n_repeat_words long, n_lines long, n_upper long")
     cutoffs = R.calibrate(good, (rule,), 0.01, 0.05)
-    level = 0.05 / (4 * len(R.STRATA))
-    want = next(c for c, k in zip(rule.grid, (30, 30, 2, 0)) if R.binomial_tail(k, 2000, 0.01) <= level)
-    assert cutoffs == {(1, "share"): want} and want == 0.3  # too few in stratum 0; texts that fail the base do not count
+    want = [c for c, k in zip(rule.grid, (30, 30, 2, 0)) if R.binomial_tail(k, 2040, 0.01) <= 0.05][0]
+    assert cutoffs == {(s, "share"): want for s in range(len(R.STRATA))} and want == 0.3  # one group: texts are few
     kept = good.withColumn("kept", R.verdict(cutoffs, (rule,)))
-    assert kept.where("kept").count() == 2038
+    assert kept.where("kept").count() == 2038  # texts that fail the base rules do not count
+
+
+def test_strata_are_joined_until_they_can_be_tested():
+    need = lambda parts: math.log(0.05 / parts) / math.log(0.99)
+    for sizes, want in [([0] * 6, []), ([297, 0, 0, 0, 0, 0], []), ([0, 0, 299, 0, 0, 0], [[0, 1, 2, 3, 4, 5]]),
+                        ([500] * 6, [[0], [1], [2], [3], [4], [5]]), ([370, 5, 400, 2, 0, 10], [[0], [1, 2, 3, 4, 5]])]:
+        got = R.merged_strata(sizes, 0.01, 0.05)
+        assert got == want, (sizes, got)
+        assert all(sum(sizes[s] for s in g) >= need(len(got)) for g in got)
+        assert not got or sum(got, []) == list(range(6))
+
+
+def test_joint_false_rejection_stays_within_the_risk():
+    """In 300 draws of labelled texts, where rules reject different texts, the true share that all rules together reject
+    is over the risk about as seldom as promised, and the rules do act."""
+    rng = np.random.default_rng(11)
+    steps = R.path(R.RULES)
+    share = np.linspace(0.0002, 0.0012, len(steps))  # of good texts that each step rejects first
+    failed = acted = 0
+    for _ in range(300):
+        hits = rng.multinomial(3000, [*share, 1 - share.sum()])
+        counts = {(2, i): int(n) for i, n in enumerate(hits[:-1])} | {(2, None): int(hits[-1])}
+        cutoffs = R.chosen_cutoffs(counts, R.RULES, R.RISK, R.DELTA)
+        taken = sum((2, r.name) in cutoffs and c >= cutoffs[2, r.name] for r, c in steps)
+        failed += share[:taken].sum() > R.RISK
+        acted += taken > 5
+    assert failed <= 300 * R.DELTA + 3 * (300 * R.DELTA) ** 0.5 and acted > 250
+
+
+def test_verdict_and_accepted_with_active_cutoffs(spark):
+    """A thousand good texts calibrate; then texts full of symbols or capitals go, in both forms of the operator."""
+    good = [(i, " ".join(f"word{i}x{j}" for j in range(60 + i % 300))) for i in range(1000)]
+    bad = [(5000 + i, " ".join("#$%" if j % 2 else f"w{i}{j}" for j in range(80))) for i in range(20)]
+    bad += [(6000 + i, " ".join(f"SHOUT{i}X{j}" for j in range(80))) for i in range(20)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in good], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in R.judge(docs, labels).where("kept").collect()}
+    assert kept == {i for i, _ in good}
+    assert {r["doc_id"] for r in R.accepted(docs, labels).collect()} == kept
 
 
 def test_awkward_rows(spark, awkward, no_docs):
