@@ -10,11 +10,12 @@ partition holds at most a merchant's days or months, never its raw rows.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.expr import dbl, week_start_day
+from quire.functions.expr import cents, dbl, eur, week_start_day
 from quire.sources.schemas import POSTING_ORDER
 
 RECON_MAX_DELTA = 0.20
@@ -24,22 +25,37 @@ VAT_RATE = "0.21"
 VAT_PAYMENT_MONTHS = (1, 4, 7, 10)
 
 
-def reconcile_bank_psp(merchants: DataFrame, bank: DataFrame, psp: DataFrame, as_of: dt.date) -> DataFrame:
+def settled_totals(bank: DataFrame, psp: DataFrame, as_of: dt.date,
+                   history: Mapping[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per merchant the cents of settlement credits in the bank, and of paid net amounts at the PSPs, of all history
+    up to ``as_of``. With ``history`` (see ``quire.sources.store``) only the month of ``as_of`` is read from the rows."""
+    month = F.lit(as_of.replace(day=1))
+    b = bank.filter((F.col("date") <= F.lit(as_of)) & (F.col("category") == "psp_settlement"))
+    p = psp.filter((F.col("order_date") <= F.lit(as_of)) & (F.col("status") == "paid"))
+    if history is not None:
+        b, p = b.filter(F.col("date") >= month), p.filter(F.col("order_date") >= month)
+    b = b.select("merchant_id", cents(F.col("amount")).alias("c"))
+    p = p.select("merchant_id", cents(F.col("net_amount")).alias("c"))
+    if history is not None:
+        b = b.unionByName(history["bank"].filter(F.col("month") < month).select("merchant_id", F.col("psp_settle").alias("c")))
+        paid = (F.col("month") < month) & (F.col("g") == "t") & (F.col("k_str") == "paid")
+        p = p.unionByName(history["psp"].filter(paid).select("merchant_id", F.col("net_c").alias("c")))
+    return (b.groupBy("merchant_id").agg(F.sum("c").alias("bank_c")), p.groupBy("merchant_id").agg(F.sum("c").alias("psp_c")))
+
+
+def reconcile_bank_psp(merchants: DataFrame, bank: DataFrame, psp: DataFrame, as_of: dt.date,
+                       history: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Bank psp_settlement credits vs PSP paid net per merchant, all history."""
-    b = (bank.filter((F.col("date") <= F.lit(as_of)) & (F.col("category") == "psp_settlement"))
-         .groupBy("merchant_id").agg(F.sum("amount").alias("bank_total")))
-    p = (psp.filter((F.col("order_date") <= F.lit(as_of)) & (F.col("status") == "paid"))
-         .groupBy("merchant_id").agg(F.sum("net_amount").alias("psp_total")))
+    b, p = settled_totals(bank, psp, as_of, history)
     m = merchants.select("merchant_id").distinct()
     j = m.join(b, "merchant_id", "left").join(p, "merchant_id", "left")
-    bank_total = F.coalesce(F.col("bank_total"), F.lit(0).cast("decimal(18,2)"))
-    psp_total = F.coalesce(F.col("psp_total"), F.lit(0).cast("decimal(18,2)"))
+    bank_c, psp_c = (F.coalesce(F.col(c), F.lit(0)) for c in ("bank_c", "psp_c"))
     # signed denominator, as specified: a negative PSP total gives a negative delta
-    delta = F.when(psp_total == 0, F.lit(1.0)).otherwise(dbl(F.abs(bank_total - psp_total)) / dbl(psp_total))
+    delta = F.when(psp_c == 0, F.lit(1.0)).otherwise(F.try_divide(dbl(F.abs(bank_c - psp_c)), dbl(psp_c)))
     return j.select(
         "merchant_id",
-        F.round(dbl(bank_total), 2).alias("bank_psp_credits"),
-        F.round(dbl(psp_total), 2).alias("psp_net_settled"),
+        F.round(eur(bank_c), 2).alias("bank_psp_credits"),
+        F.round(eur(psp_c), 2).alias("psp_net_settled"),
         F.round(delta, 4).alias("recon_delta"),
         (delta <= RECON_MAX_DELTA).alias("recon_pass"),
         F.when(delta > RECON_MAX_DELTA, F.lit("RECON_FAIL")).alias("flag"),

@@ -174,10 +174,16 @@ from quire.sources import store as ST  # noqa: E402
 from quire.sources.schemas import AS_OF_COLUMN  # noqa: E402
 
 
+_STORES: dict[tuple, str] = {}
+
+
 def stored_by_month(spark: SparkSession, sf_dir: str) -> str:
     """The fact sources and their history, written in two batches of months, as a portfolio grows; the second batch
     writes a month of the first again."""
-    path = shared_folder(spark, "store")
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key in _STORES:
+        return _STORES[key]
+    path = _STORES[key] = shared_folder(spark, "store")
     sources = fx(spark, sf_dir).sources()
     bank = sources["bank"].select(F.explode(F.sequence(F.trunc(F.min("date"), "MM"), F.trunc(F.max("date"), "MM"),
                                                        F.expr("interval 1 month"))))
@@ -330,6 +336,14 @@ def q_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reconcile_bank_psp(f.merchants, f.bank, f.psp, AS_OF)
 
 
+@register("reconciliation_from_store", with_views(OM.recon_sql(AS_OF)))
+def q_reconciliation_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 from merged monthly state and the rows of the current month."""
+    path = stored_by_month(spark, sf_dir)
+    now = [ST.read_facts(spark, name, path + "/facts", AS_OF, AS_OF.day - 1) for name in ("bank", "psp")]
+    return R.reconcile_bank_psp(fx(spark, sf_dir).merchants, *now, AS_OF, ST.read_history(spark, path + "/history"))
+
+
 @register("accounting_derived", with_views(OM.accounting_derived_sql(AS_OF)))
 def q_accounting_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month grid join of bank credits, month-end cash, quarterly VAT, P&L derivations."""
