@@ -7,7 +7,7 @@ import pytest
 from quire.llm import collocations
 from quire.llm.queries import op13_collocations
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.001"
 
 
 def brute(rows, top=2000, least=10, longest=3):
@@ -45,10 +45,10 @@ def brute(rows, top=2000, least=10, longest=3):
 def test_query_matches_brute_force(spark):
     rows = [(r["lang"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = sorted(tuple(r) for r in op13_collocations(spark, SF).collect())
-    assert got == brute(rows) and len(got) > 1000
+    assert got == brute(rows) and len(got) > 200
 
 
-@pytest.mark.parametrize("shards, longest, least", [(1, 3, 3), (2, 3, 4), (4, 4, 2), (5, 2, 3)])
+@pytest.mark.parametrize("shards, longest, least", [(1, 3, 3), (3, 4, 2)])
 def test_any_number_of_shards_and_lengths(spark, shards, longest, least):
     rng = random.Random(shards)
     vocabulary = ["the", "New", "new", "york", "a", "of", "z", "\u00e9t\u00e9", "x\u2581y"]
