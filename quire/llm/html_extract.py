@@ -30,6 +30,8 @@ from quire.llm.url_filter import host_of
 PAGES_PER_HOST = 12
 #: Wrappers up to this size in all are sent to every task; more are joined by host, dealt over SALTS parts.
 BROADCAST_BYTES, SALTS = 8 << 20, 16
+#: Elements that lie inside each other, at most.
+DEPTH = 100
 #: Longest group of neighbours that is looked for when repeated.
 PERIOD = 3
 
@@ -49,6 +51,8 @@ OUTSIDE_NAMES = set("""ad ads advert adverts advertisement advertising sponsor s
 nav navbar navigation menu breadcrumb breadcrumbs header footer masthead comment comments reply replies discussion
 disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share
 sharing social related recommended widget toolbar pagination pager copyright legal skip""".split())
+# Words before another in a name that take its meaning away: always, and for a header.
+UNSAID, OF_ARTICLE = set("has no with without is".split()), set("entry post article story content".split())
 OUTSIDE_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""")
@@ -56,9 +60,19 @@ LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
+def _says_outside(words: list[str]) -> bool:
+    """Whether a name, as its words, names a part that is not the article: ``sidebar``, but not ``has-sidebar``."""
+    if words[0] in UNSAID or (words[0] in OF_ARTICLE and words[-1] == "header"):
+        return False
+    return not OUTSIDE_NAMES.isdisjoint(words)
+
+
 class Node:
-    """A block element: ``key`` names it, ``items`` are its texts and child nodes in order."""
-    __slots__ = ("key", "tag", "outside", "main", "items")
+    """A block element: ``key`` names it, ``items`` are its texts and child nodes in order.
+
+    ``outside`` elements hold no article text. One that is so by nothing but a
+    word in its names is ``doubtful``."""
+    __slots__ = ("key", "tag", "names", "outside", "doubtful", "main", "items")
 
     def __init__(self, tag: str, attributes: str = ""):
         names, role, hidden = [], "", False
@@ -70,22 +84,31 @@ class Node:
                 role = value.lower()
             hidden |= name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower()
             hidden |= name == "aria-hidden" and value.lower() == "true"
-        words = {w for n in names for w in re.split(r"[-_\d]+", n)}
         self.tag = tag
-        self.outside = (tag in OUTSIDE or hidden or role in OUTSIDE_ROLES or bool(words & OUTSIDE_NAMES))
-        self.main = (tag in ("article", "main") or role == "main") and not self.outside
-        self.key = (tag + "".join(sorted("." + n for n in names if not any(c.isdigit() for c in n)))
-                    + "!" * self.outside + "*" * self.main)
+        self.names = sorted(n for n in names if not any(c.isdigit() for c in n))
+        said = any(_says_outside(re.split(r"[-_\d]+", n)) for n in names)
+        by_form = tag in OUTSIDE or hidden or role in OUTSIDE_ROLES
+        self.doubtful = said and not by_form
+        self.main = tag in ("article", "main") or role == "main"
+        self.decide(said or by_form)
         self.items: list = []
 
+    def decide(self, outside: bool):
+        self.outside = outside
+        main = self.main and not outside
+        self.key = self.tag + "".join("." + n for n in self.names) + "!" * outside + "*" * main
+
     def children(self) -> list[Node]:
         return [x for x in self.items if isinstance(x, Node)]
 
 
 def parse(source: str) -> Node:
-    """The tree of block elements. Inline marks are dropped, and missing end tags are supplied."""
+    """The tree of block elements. Inline marks are dropped, and missing end tags are supplied.
+
+    Elements nested deeper than DEPTH give their blocks to the one at that depth. An article or main element that only a
+    word in its names speaks against counts, if the page has no other with text."""
     root = Node("html")
-    stack, at, size, text, skip = [root], 0, len(source), [], 0
+    stack, tags, at, size, text, skip = [root], ["html"], 0, len(source), [], 0
 
     def end_text():
         if text:
@@ -136,29 +159,49 @@ def parse(source: str) -> Node:
         skip = 0
         if closing:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    del stack[i:]
+                if tags[i] == name:
+                    del stack[i:], tags[i:]
                     break
             continue
         if name in CLOSES:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in LISTS and name != "p":
+                if tags[i] in LISTS and name != "p":
                     break
-                if stack[i].tag in CLOSES[name]:
-                    del stack[i:]
+                if tags[i] in CLOSES[name]:
+                    del stack[i:], tags[i:]
                     break
-                if name == "p" and stack[i].tag != "p":
+                if name == "p" and tags[i] != "p":
                     break
-        elif stack[-1].tag == "p":
-            stack.pop()
+        elif tags[-1] == "p":
+            del stack[-1], tags[-1]
         node = Node(name, tag[3])
-        stack[-1].items.append(node)
+        if len(stack) < DEPTH or (node.outside and not stack[-1].outside):
+            stack[-1].items.append(node)
+        else:
+            node = stack[-1]
         if name not in VOID:
             stack.append(node)
+            tags.append(name)
     end_text()
+    _settle(root)
     return root
 
 
+def _settle(root: Node):
+    """Let doubtful article and main elements count if no other has text."""
+    doubtful, stack = [], [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        inside = inside or (node.main and not node.outside)
+        if inside and any(isinstance(x, str) for x in node.items):
+            return
+        if node.main and node.doubtful:
+            doubtful.append(node)
+        stack += [(x, inside) for x in node.children() if not x.outside or (x.main and x.doubtful)]
+    for node in doubtful:
+        node.decide(False)
+
+
 def layout(page: Node) -> tuple[int, list[Node]]:
     """A number for the template of a page, and the elements that hold its article by the page alone.
 
@@ -172,7 +215,7 @@ def layout(page: Node) -> tuple[int, list[Node]]:
         stack += [x for x in node.children() if not x.outside]
     for node in reversed(order):
         size[node] = sum(len(x) if isinstance(x, str) else size.get(x, 0) for x in node.items)
-    mains = [x for x in order if x.main and size[x]]
+    mains = [x for x in order if x.main and not x.outside and size[x]]
     if mains:
         return 0, mains
     path, chosen = [page.key], [page]
@@ -209,7 +252,7 @@ def texts_within(page: Node, chosen: list[Node]) -> list[str]:
 def term(node: Node) -> dict:
     """A page's element as a wrapper part."""
     own = [x for x in node.items if isinstance(x, str)]
-    return {"key": node.key, "tag": node.tag, "outside": node.outside, "main": node.main, "optional": False, "repeated": False,
+    return {"key": node.key, "tag": node.tag, "outside": node.outside, "main": node.main and not node.outside, "optional": False, "repeated": False,
             "text": "\n".join(own), "slot": False, "chars": sum(map(len, own)), "pages": 1,
             "parts": folded([term(x) for x in node.children()])}
 
@@ -336,7 +379,7 @@ def read(page: Node, wrapper: dict) -> list[str]:
             spots = by_key.get(item.key, ())
             spot = next((i for i in spots if i >= place), spots[-1] if spots else None)
             if spot is None:
-                now = inside or item.main
+                now = inside or item.main  # an item that is outside does not come here
                 walk(item, None, now, now)
             else:
                 place = max(place, spot)

@@ -85,3 +85,24 @@ def test_a_hidden_element_hides_only_itself():
     shown, hidden = "<article><div>text {}</div></article>", "<article><div hidden>no {}</div><div>text {}</div></article>"
     wrapper = H.infer([hidden.format(i, i) for i in range(3)])
     assert H.extract_text(shown.format(9), wrapper) == "text 9"
+
+
+def test_a_name_alone_does_not_lose_the_article():
+    for source in ["<article class='post has-sidebar'>text</article>", "<article class='no-comments'>text</article>",
+                   "<article class='entry social'>text</article>", "<main id=promo>text</main><nav>menu</nav>",
+                   "<div class='has-sidebar'><p>text</div>"]:
+        assert H.extract_text(source, H.infer([source])) == "text"
+    titled = "<article><div class='entry-header'><h1>Title</h1></div><p>text</p><div class='post-comments'>no</div></article>"
+    assert H.extract_text(titled, H.infer([titled])) == "Title\ntext"
+    other = "<main>yes</main><main class='ad-box'>no</main><article class='related'>no</article>"
+    assert H.extract_text(other, H.infer([other])) == "yes"
+
+
+def test_deep_nesting(spark):
+    """Thousands of open elements lose no text, keep what is outside out, and fail nowhere."""
+    deep = "<div>" * 5000 + "<p>one{0}</p><nav>menu<div>more</div></nav><div>two</div>"
+    rows = [(i, "http://deep.org/x", deep.format(i)) for i in range(3)]
+    rows += [(9, "http://deep.org/y", "<article>" + "<ul><li>" * 2000 + "end" + "</ul>" * 2000 + "<p>after</article>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
+    assert got == {0: "one0\ntwo", 1: "one1\ntwo", 2: "one2\ntwo", 9: "end\nafter"}
