@@ -36,6 +36,8 @@ SHARDS = 2
 STATE_BITS, LONGEST = 1 << 25, 3
 #: A subphrase that holds more than this share of an even partition's requests is sent to them instead of met.
 HOT = 0.25
+#: Phrases that a task remembers to have named.
+MENTIONED = 500_000
 SEED = 42
 #: Letters are lower-cased, piece ends become line feeds and tabs spaces.
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
@@ -181,23 +183,24 @@ def _named(docs: DataFrame, often: DataFrame, longest: int) -> DataFrame:
                                           names=["lang", "phrase", "size"])
 
     def run(batches):
-        seen = np.zeros(0, np.int64)  # one mention by each task, or a few, is enough
+        seen: set[int] = set()  # one mention by each task, or a few, is enough
         for batch in slices(batches, "text"):
             words = Words(raw_texts(batch, "text"), batch.column("lang").to_pylist())
             yield rows(words.names, pa.nulls(len(words.names), pa.string()),
                        np.bincount(words.language, minlength=len(words.names)))
-            mentioned = [seen] if len(seen) < 1_000_000 else []
+            if len(seen) > MENTIONED:
+                seen.clear()
             for size in range(2, longest + 1):
                 start = words.phrases(size)
                 keys, first = np.unique(words.phrase_keys(start, size), return_index=True)
-                new = found(sieve.value, keys) & ~np.isin(keys, seen)
-                start = start[first[new]]
-                mentioned.append(keys[new])
+                likely = np.flatnonzero(found(sieve.value, keys))
+                named = keys[likely].tolist()
+                start = start[first[likely[[k not in seen for k in named]]]] if named else start[:0]
+                seen.update(named)
                 spelled = zip(*[[words.spelled[w] for w in words.at[start + i].tolist()] for i in range(size)])
                 lang = [words.names[i] for i in words.language[start].tolist()]
                 yield rows(lang, pa.array([b" ".join(s) for s in spelled], pa.binary()).cast(pa.string()),
                            np.full(len(start), size))
-            seen = np.concatenate(mentioned)
 
     return map_batches(docs.select("lang", "text"), run, "lang string, phrase string, size long")
 
