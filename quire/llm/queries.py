@@ -124,5 +124,55 @@ QUERIES = {
     "op13_collocations": op13_collocations,
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # a turn is written as <turn ROLE>, TEXT and </turn> on lines of their own, and a backslash stands before \ and < of
+    # the text, and before \, <, > and line feeds of the role
+    "op1_chat_format": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT {PROBE_ID}, n, r, '{PROBE_TEXT}' FROM (VALUES (0, 'user'), (1, 'assistant')) AS probe(n, r))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<turn ') + 2 * length(role) - length(translate(role, '\\<>' || chr(10), '')) + length('>' || chr(10))
+    + 2 * length(text) - length(translate(text, '\\<', '')) + length(chr(10) || '</turn>' || chr(10))) AS BIGINT)
+    AS formatted_chars
+FROM t GROUP BY conv_id""",
+    "op11_substring_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+           FROM documents),
+  k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j
+           FROM (SELECT k.doc_id, k.i FROM k JOIN (SELECT h, min(doc_id) AS least FROM k GROUP BY h) m ON m.h = k.h
+                 WHERE m.least < k.doc_id)),
+  words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+  kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.j) AS text FROM words
+           ANTI JOIN gone ON gone.doc_id = words.doc_id AND gone.j = words.j GROUP BY words.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = d.doc_id
+LEFT JOIN kept ON kept.doc_id = d.doc_id""",
+    "op13_collocations": rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, '{_UPPER}', '{_LOWER}'),
+                  '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+  split AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+  place AS (SELECT lang, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split)),
+  total AS (SELECT lang, count(*) AS n FROM place GROUP BY lang),
+  f1 AS (SELECT lang, a, count(*) AS f FROM place GROUP BY ALL),
+  f2 AS (SELECT lang, a, b, count(*) AS f FROM place WHERE b IS NOT NULL GROUP BY ALL),
+  f3 AS (SELECT lang, a, b, c, count(*) AS f FROM place WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+  cuts AS (SELECT p.lang, p.a || ' ' || p.b AS phrase, p.f AS a, 1 AS k, x.f AS l, y.f AS r
+           FROM f2 p JOIN f1 x ON x.lang = p.lang AND x.a = p.a JOIN f1 y ON y.lang = p.lang AND y.a = p.b
+           WHERE p.f >= 10 AND NOT EXISTS (SELECT 1 FROM f3 q WHERE q.lang = p.lang AND 100 * q.f >= 50 * p.f
+             AND ((q.a = p.a AND q.b = p.b) OR (q.b = p.a AND q.c = p.b)))
+           UNION ALL SELECT p.lang, p.a || ' ' || p.b || ' ' || p.c, p.f, 1, x.f, y.f
+           FROM f3 p JOIN f1 x ON x.lang = p.lang AND x.a = p.a JOIN f2 y ON y.lang = p.lang AND y.a = p.b AND y.b = p.c
+           UNION ALL SELECT p.lang, p.a || ' ' || p.b || ' ' || p.c, p.f, 2, x.f, y.f
+           FROM f3 p JOIN f2 x ON x.lang = p.lang AND x.a = p.a AND x.b = p.b JOIN f1 y ON y.lang = p.lang AND y.a = p.c),
+  scored AS (SELECT *, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+  best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT * FROM (SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+                 a, l, r, n, score FROM best JOIN total ON total.lang = best.lang) WHERE rank <= 2000""",
+}
