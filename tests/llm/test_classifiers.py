@@ -104,3 +104,55 @@ def test_labels_and_awkward_rows(spark, awkward, no_docs):
         out = module.scored(awkward, model)
         assert out.columns == [c for c in awkward.columns if c != "score"] + ["score"]
         assert module.scored(no_docs, model).count() == 0
+
+
+def test_forward_pass_equals_plain_loops():
+    """Every chunk, window and filter one after another, for texts around the chunk's length and an empty one."""
+    q, rng = quality_cnn, np.random.default_rng(3)
+    net = q.ByteCnn(rng)
+    net.p = {k: (v + rng.normal(0, 0.1, v.shape)).astype(np.float32) for k, v in net.p.items()}
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    sizes = (0, 1, q.CHUNK - 1, q.CHUNK, q.CHUNK + 1, 2 * q.CHUNK - q.OVERLAP, 3 * q.CHUNK)
+    raw = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in sizes]
+    for text, got in zip(raw, net.scores(raw)):
+        starts = [0]
+        while starts[-1] + q.CHUNK < len(text):
+            starts.append(starts[-1] + q.CHUNK - q.OVERLAP)
+        pooled = []
+        for s in starts:
+            chunk = p["embed"][np.frombuffer(text[s:s + q.CHUNK].ljust(q.CHUNK, b"\0"), np.uint8)]
+            best = np.full(q.FILTERS, -np.inf)
+            for at in range(0, q.CHUNK - q.WIDTH + 1, q.STEP):
+                best = np.maximum(best, chunk[at:at + q.WIDTH].reshape(-1) @ p["filter"])
+            pooled.append(np.maximum(best + p["shift"], 0))
+        u = np.concatenate([np.max(pooled, axis=0), np.mean(pooled, axis=0)])
+        logit = np.tanh(u @ p["w1"] + p["b1"]) @ p["w2"] + p["b2"][0]
+        assert abs(1 / (1 + np.exp(-logit)) - got) < 1e-4, len(text)
+
+
+def test_kernel_equals_plain_loops():
+    """The gap-weighted triples of each word, one after another; margins, kernels with landmarks, and norms."""
+    t, rng = toxicity, np.random.default_rng(4)
+    machine = t.StringSvm(rng.normal(0, 1, t.TRIPLES), 0.25)
+    text = t.prepared("a an idiot i-d i.o.t Straße x2y  longerwordwithmanyletters 你好 é")
+
+    def triples(word):
+        c = [0, *machine.triples.codes(word).tolist(), 0]
+        for i in range(len(c) - 2):
+            for k in range(i + 2, min(i + t.SPAN, len(c))):
+                for j in range(i + 1, k):
+                    yield (c[i] * t.CODES + c[j]) * t.CODES + c[k], t.DECAY ** (k - i - 2)
+
+    words = text.split()
+    length = {w: np.sqrt(1e-3 + sum(x * x for _, x in triples(w))) for w in words}
+    want = [sum(machine.weights[n] * x for n, x in triples(w)) / length[w] + 0.25 for w in words]
+    assert np.allclose(machine.word_margins(text), want, atol=1e-4)
+    landmarks = ["idiot", "letters", "an"]
+    number, table = t._triple_table(landmarks, machine.triples)
+    got = t._features(words, machine.triples, number, table)
+    for i, w in enumerate(words):
+        for j, mark in enumerate(landmarks):
+            other = {}
+            for n, x in triples(mark):
+                other[n] = other.get(n, 0) + x
+            assert abs(got[i, j] - sum(x * other.get(n, 0) for n, x in triples(w)) / length[w]) < 1e-4
