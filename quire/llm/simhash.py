@@ -157,7 +157,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs``, all columns, with one document of each near-duplicate component: that of the least id,
     and of that id's texts the one of least hash.
 
-    Of rows that repeat an id and a text, one stays. Rows without an id are
+    Of rows that repeat an id and a text, the one whose columns have the least hash stays. Rows without an id are
     copies of each other only: one of each component stays, beside that with an id.
     """
     fp = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
@@ -177,8 +177,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = found.where("n > 1").select("id", "text_hash")
     if again.isEmpty():
         return kept
-    return among(kept, again, "left_anti").unionByName(
-        among(kept, again, "left_semi").dropDuplicates([id_col, text_col]))
+    # columns by place, as names may be odd or come twice
+    several = among(kept, again, "left_semi")
+    plain = several.toDF(*[f"c{i}" for i in range(len(several.columns))])
+    keys = [plain.columns[several.columns.index(c)] for c in (id_col, text_col)]
+    first = F.min_by(F.struct(*plain.columns), F.xxhash64(*plain.columns)).alias("first")
+    one = plain.groupBy(*keys).agg(first).select("first.*").toDF(*several.columns)
+    return among(kept, again, "left_anti").unionByName(one)
 
 
 def hex_fingerprint(fp: Column) -> Column:

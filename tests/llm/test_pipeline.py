@@ -29,7 +29,7 @@ def test_stages_match_brute_force(spark):
     component = brute_components({i: brute_fingerprint(t) for i, t in left.items()}, 2)
     left = {i: t for i, t in left.items() if component[i] == i}
     block = D.build_block([(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()], D.Q, D.WINDOW,
-                          D.STRIDE, D.EDIT_RATE)
+                          D.STRIDE, D.EDIT_RATE, (D.PART_WINDOW, D.PART_STRIDE))
     left = {i: t for i, t in left.items() if not D.scan(D.normal(t), block, D.Q)}
     pieces = P.run(spark, SF).withColumn("ids_crc32", F.crc32("ids")).collect()
     assert {r["doc_id"] for r in pieces} == set(left)
