@@ -32,8 +32,8 @@ from quire.session import shared_folder
 
 #: Shards of a cycle. More of them activate phrases sooner, and cost as many more scans and jobs.
 SHARDS = 2
-#: Bits of the states (4 MB each; a scan is sent two), and words that a phrase has at most.
-STATE_BITS, LONGEST = 1 << 25, 3
+#: Bits of the states (8 MB each; a scan is sent two), and words that a phrase has at most.
+STATE_BITS, LONGEST = 1 << 26, 3
 #: A subphrase that holds more than this share of an even partition's requests is sent to them instead of met.
 HOT = 0.25
 #: Phrases that a task remembers to have named.
@@ -192,10 +192,11 @@ def _named(docs: DataFrame, often: DataFrame, longest: int) -> DataFrame:
                 seen.clear()
             for size in range(2, longest + 1):
                 start = words.phrases(size)
-                keys, first = np.unique(words.phrase_keys(start, size), return_index=True)
-                likely = np.flatnonzero(found(sieve.value, keys))
-                named = keys[likely].tolist()
-                start = start[first[likely[[k not in seen for k in named]]]] if named else start[:0]
+                keys = words.phrase_keys(start, size)
+                likely = found(sieve.value, keys)
+                keys, first = np.unique(keys[likely], return_index=True)
+                named = keys.tolist()
+                start = start[likely][first[[k not in seen for k in named]]] if named else start[:0]
                 seen.update(named)
                 spelled = zip(*[[words.spelled[w] for w in words.at[start + i].tolist()] for i in range(size)])
                 lang = [words.names[i] for i in words.language[start].tolist()]
@@ -238,10 +239,6 @@ def candidates(docs: DataFrame, least: int = 10, shards: int = SHARDS, longest:
     text = F.col(text_col).cast("string")
     src = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"),
                       F.pmod(F.xxhash64(*spread_by, text), F.lit(shards)).alias("shard")).where(text.isNotNull())
-    # by shard, so that a scan reads its own shard alone
-    path = shared_folder(spark, "llm-shards")
-    src.write.partitionBy("shard").parquet(path)
-    src = spark.read.schema(src.schema).parquet(path)
     often = counted(src, least, shards, longest)
     named = _written(_named(src, often, longest).groupBy("lang", "phrase", "size").agg(F.count("*").alias("times")), "named")
     totals = (named.where(F.col("phrase").isNull())
