@@ -36,8 +36,8 @@ SHARDS = 2
 STATE_BITS, LONGEST = 1 << 26, 3
 #: A subphrase that holds more than this share of an even partition's requests is sent to them instead of met.
 HOT = 0.25
-#: Phrases that a task remembers to have named.
-MENTIONED = 500_000
+#: Phrases that a task has just named before they are sorted in with the others, and that it remembers in all.
+RECENT, MENTIONED = 200_000, 4_000_000
 SEED = 42
 #: Letters are lower-cased, piece ends become line feeds and tabs spaces.
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
@@ -183,21 +183,25 @@ def _named(docs: DataFrame, often: DataFrame, longest: int) -> DataFrame:
                                           names=["lang", "phrase", "size"])
 
     def run(batches):
-        seen: set[int] = set()  # one mention by each task, or a few, is enough
+        # one mention by each task, or a few, is enough
+        seen, recent = np.zeros(0, np.int64), set()
         for batch in slices(batches, "text"):
             words = Words(raw_texts(batch, "text"), batch.column("lang").to_pylist())
             yield rows(words.names, pa.nulls(len(words.names), pa.string()),
                        np.bincount(words.language, minlength=len(words.names)))
-            if len(seen) > MENTIONED:
-                seen.clear()
+            if len(recent) > RECENT:
+                seen = seen if len(seen) < MENTIONED else seen[:0]
+                seen = np.sort(np.concatenate([seen, np.fromiter(recent, np.int64, len(recent))]))
+                recent.clear()
             for size in range(2, longest + 1):
                 start = words.phrases(size)
                 keys = words.phrase_keys(start, size)
                 likely = found(sieve.value, keys)
                 keys, first = np.unique(keys[likely], return_index=True)
-                named = keys.tolist()
-                start = start[likely][first[[k not in seen for k in named]]] if named else start[:0]
-                seen.update(named)
+                new = np.searchsorted(seen, keys, "right") == np.searchsorted(seen, keys, "left")
+                start, named = start[likely][first[new]], keys[new].tolist()
+                start = start[np.array([k not in recent for k in named], bool)]
+                recent.update(named)
                 spelled = zip(*[[words.spelled[w] for w in words.at[start + i].tolist()] for i in range(size)])
                 lang = [words.names[i] for i in words.language[start].tolist()]
                 yield rows(lang, pa.array([b" ".join(s) for s in spelled], pa.binary()).cast(pa.string()),
