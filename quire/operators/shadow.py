@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.features.registry import ML_FEATURES
 from quire.operators.monitor import auc_brier
+from quire.session import write_table
 
 # Model hyper-parameters (must equal the reference's configuration).
 N_ESTIMATORS = 200
@@ -147,16 +148,20 @@ def train_shadow(frame: DataFrame, n_trees: int = N_ESTIMATORS, depth: int = MAX
                  model_type: str = "gbm", max_iter: int = LOGISTIC_MAX_ITER) -> ShadowModel:
     """5 calibrated fold models, out-of-fold AUC / Brier, mean importances
     (tree importances, or |coefficients| for the logistic base model)."""
-    data = VectorAssembler(inputCols=ML_FEATURES, outputCol="_x").transform(stratified_rank(frame, seed)) \
+    ranked = VectorAssembler(inputCols=ML_FEATURES, outputCol="_x").transform(stratified_rank(frame, seed)) \
         .withColumn("_fold", (F.col("_rank") % folds).cast("int")) \
         .withColumn("_w", _balanced_weights(frame)) \
-        .select("merchant_id", "label", "_x", "_fold", "_w").persist()
+        .select("merchant_id", "label", "_x", "_fold", "_w")
+    # written, not cached: a cached plan keeps every shuffle partition, and each of the trainers' thousands of small
+    # jobs would start a task for each; a table has as many parts as its size asks for
+    data = write_table(ranked, "shadow-training")
     n_rows = data.count()
+
     def fold(k: int):
         base = _base_estimator(model_type, n_trees, depth, lr, seed, n_rows, max_iter).fit(data.filter(F.col("_fold") != k))
         margin = base.transform(data.filter(F.col("_fold") == k)).select(
             "merchant_id", "label", "_fold", vector_to_array("rawPrediction")[1].alias("m"))
-        held = VectorAssembler(inputCols=["m"], outputCol="_m").transform(margin).persist()
+        held = write_table(VectorAssembler(inputCols=["m"], outputCol="_m").transform(margin), f"shadow-margins-{k}")
         return base, _sigmoid(held), held
 
     # folds do not wait for each other: while one plans its next small job, another one's tasks run
@@ -178,8 +183,6 @@ def train_shadow(frame: DataFrame, n_trees: int = N_ESTIMATORS, depth: int = MAX
         vec = t.featureImportances.toArray() if model_type == "gbm" else abs(t.coefficients.toArray())
         for i, v in enumerate(vec):
             imps[i] += float(v) / len(trees)
-    for o in (data, *oof):
-        o.unpersist()
     metrics = {"auc_cv_mean": round(mean(aucs), 4) if aucs else None,
                "auc_cv_std": round(std(aucs), 4) if aucs else None,
                "brier_cv_mean": round(mean(briers), 4) if briers else None,

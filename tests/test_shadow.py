@@ -38,3 +38,21 @@ def test_logistic_variant(spark, frames):
     _, frame = frames
     m = SH.train_shadow(frame, model_type="logistic", max_iter=50)
     assert m.metrics["model_type"] == "logistic" and len(m.trees) == 5
+
+
+@pytest.mark.parametrize("model_type", ["gbm", "logistic"])
+def test_training_starts_few_tasks(spark, frames, model_type):
+    """A small training frame is one part: no task per shuffle partition in each of the trainers' jobs."""
+    sc, group = spark.sparkContext, f"shadow-{model_type}"
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    sc.setJobGroup(group, "training")
+    try:
+        SH.train_shadow(frames[1], n_trees=1, depth=1, model_type=model_type, max_iter=3)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    track = sc.statusTracker()
+    jobs = [track.getJobInfo(j) for j in track.getJobIdsForGroup(group)]
+    tasks = [s.numTasks for j in jobs for s in map(track.getStageInfo, j.stageIds) if s is not None]
+    assert jobs and sum(tasks) < 6 * len(jobs)
