@@ -3,7 +3,7 @@
 Plan (one linear pipeline, one scan of the postings):
 
 * multi-grain partial/final aggregation on (merchant, grain, key):
-  day totals (R10 closing balance, daily credits), month totals (seasonality,
+  totals of all history, day totals (R10 closing balance, daily credits), month totals (seasonality,
   trailing-6-observed-month GMV J16, supplier months), counterparty credit
   totals (inflow HHI H1);
 * one conditional fold per merchant (J7 windows applied to the day keys).
@@ -76,10 +76,12 @@ def bank_history(bank: DataFrame) -> DataFrame:
 def bank_stats(bank: DataFrame, as_of: dt.date, history: DataFrame | None = None) -> DataFrame:
     """Per-merchant sufficient statistics for every bank feature, from ONE scan.
 
-    Grains: day (R10 closing balance, daily credits, window sums), month
+    Grains: t (row count and settlement sum of all history), day (R10 closing
+    balance, daily credits, window sums; the 180 d that windows reach), month
     (credits in 365 d, supplier presence in 180 d) and counterparty (credits in
-    90 d, for the inflow HHI). The month list kept per merchant is bounded by
-    the 13 calendar months a 365-day window can touch.
+    90 d, for the inflow HHI). A posting outside a grain's window gives no key
+    of it, so old days are not shuffled. The month list kept per merchant is
+    bounded by the 13 calendar months a 365-day window can touch.
 
     With ``history`` (as ``bank_history`` gives it) the postings are read for the last 365 days only; row counts and
     settlement sums of months before that of ``as_of`` come from the history."""
@@ -96,8 +98,9 @@ def bank_stats(bank: DataFrame, as_of: dt.date, history: DataFrame | None = None
     w = {days: in_window(d, as_of, days) for days in (30, 90, 180, 365)}
     x = tag_grains(b.select("merchant_id", "date", "amount", "direction", "category", "balance_after",
                             "posting_seq", "counterparty_name"),
-                   grain("d", k_date=d),
-                   grain("m", k_date=F.trunc(d, "MM")),
+                   grain("t", when=None if history is None else d >= F.lit(month_start)),
+                   grain("d", k_date=d, when=w[180]),
+                   grain("m", k_date=F.trunc(d, "MM"), when=w[365]),
                    grain("c", k_str=F.col("counterparty_name"),
                          when=credit & w[90] & F.col("counterparty_name").isNotNull()))
     c = cents(amt)  # exact long cents keep the sums on the primitive fast path
@@ -120,12 +123,11 @@ def bank_stats(bank: DataFrame, as_of: dt.date, history: DataFrame | None = None
             F.count(F.when(sup & w[180], F.lit(1))).alias("sup_180"),
         )
     kd = F.col("k_date")
-    ever = F.col("g") == "d"
+    ever = F.col("g") == "t"
     if history is not None:
         old = history.filter(F.col("month") < F.lit(month_start)).select(
             "merchant_id", F.lit("t").alias("g"), "n", "psp_settle")
         g = g.unionByName(old, allowMissingColumns=True)
-        ever = (F.col("g") == "t") | (ever & (kd >= F.lit(month_start)))
     wk = {days: in_window(kd, as_of, days) for days in (30, 90, 180)}
     has_credit = F.col("n_credit") > 0
     aggs: list[Column] = [

@@ -50,12 +50,14 @@ def _history_grains(when: Column | None = None) -> list[Column]:
 
 
 def _sums() -> list[Column]:
+    """A grain has the sums that its fold reads; the others are NULL, which a shuffle packs to almost nothing."""
+    of = lambda tags, v: F.sum(F.when(F.col("g").isin(*tags), v))
     return [F.count(F.lit(1)).alias("n"),
-            F.sum(cents(F.col("gross_amount"))).alias("gross_c"),
-            F.sum(cents(F.col("net_amount"))).alias("net_c"),
-            F.sum(cents(F.col("refund_amount"))).alias("refund_c"),
-            F.sum(_delay()).alias("d1"),
-            F.sum(_delay() * _delay()).alias("d2")]
+            of("tdpb", cents(F.col("gross_amount"))).alias("gross_c"),
+            of("t", cents(F.col("net_amount"))).alias("net_c"),
+            of("td", cents(F.col("refund_amount"))).alias("refund_c"),
+            of("t", _delay()).alias("d1"),
+            of("t", _delay() * _delay()).alias("d2")]
 
 
 def psp_history(psp: DataFrame) -> DataFrame:
@@ -70,7 +72,8 @@ def psp_stats(psp: DataFrame, as_of: dt.date, history: DataFrame | None = None)
     """Per-merchant sufficient statistics for every PSP feature, from ONE scan.
 
     Grains (narrow: six count/sum slots each):
-      d  (order day, status, card flag, dispute outcome) -> every windowed rate,
+      t  (status, dispute outcome) -> counts and sums of all history,
+      d  (order day, status, card flag, dispute outcome), 365 days -> every windowed rate,
       h  delay-days histogram of paid payments -> exact p95 / median by
          ``percentile`` with the counts as frequencies,
       p / b  paid gross per PSP / per buyer -> HHI.
@@ -85,8 +88,9 @@ def psp_stats(psp: DataFrame, as_of: dt.date, history: DataFrame | None = None)
     if history is not None:
         p = p.filter(od >= F.lit(cutoff(as_of, max(RATE_WINDOWS.values()))))
     flags = F.when(F.col("payment_method") == "creditcard", 10).otherwise(0) + _outcome()
-    x = tag_grains(p.select(*PSP_COLUMNS), grain("d", k_date=od, k_str=F.col("status"), k_int=flags),
-                   *_history_grains(since))
+    x = tag_grains(p.select(*PSP_COLUMNS), grain("t", k_str=F.col("status"), k_int=_outcome(), when=since),
+                   grain("d", k_date=od, k_str=F.col("status"), k_int=flags,
+                         when=in_window(od, as_of, max(RATE_WINDOWS.values()))), *_history_grains(since))
     g = x.groupBy("merchant_id", *GRAIN_KEYS).agg(*_sums())
     if history is not None:
         before = history.filter(F.col("month") < F.lit(as_of.replace(day=1)))
@@ -97,9 +101,7 @@ def psp_stats(psp: DataFrame, as_of: dt.date, history: DataFrame | None = None)
     prior90 = (kd >= F.lit(cutoff(as_of, 180))) & (kd < F.lit(cutoff(as_of, 90)))
     n, gross, refund = F.col("n"), F.col("gross_c"), F.col("refund_c")
     D = lambda v, cond=None: at("d", v, cond)
-    # days that the history holds count in windows only
-    ever = (F.col("g") == "t") | ((F.col("g") == "d") & (F.lit(True) if history is None else kd >= F.lit(as_of.replace(day=1))))
-    T = lambda v, cond=F.lit(True): F.sum(F.when(ever & cond, v))
+    T = lambda v, cond=None: F.sum(at("t", v, cond))
     fold: list[Column] = [
         T(n).alias("rows_all"),
         T(n, is_paid).alias("paid_all"),

@@ -72,24 +72,27 @@ def daily_closing_balance(bank: DataFrame, as_of: dt.date) -> DataFrame:
                  F.sum("amount").alias("net_amount")))
 
 
-def running_balance(postings: DataFrame, opening: int = OPENING_BALANCE) -> DataFrame:
+def running_balance(postings: DataFrame, opening: int = OPENING_BALANCE, merchant: str = "merchant_id",
+                    identity: Column | None = None) -> DataFrame:
     """The balance after each posting, and its place in the day (posting_seq).
 
     Postings are ordered by date and, inside a day, by the place they came with
-    (posting_seq), or else by transaction_id. A day's opening balance is
+    (posting_seq), or else by transaction_id (``identity``, where that is derived from other columns: it is then
+    made after the exchange, and not sent). ``merchant`` names the merchant's key. A day's opening balance is
     a running sum over per-day nets; inside a day, a window adds its postings.
     So a merchant with very many rows is split by day, and the join and the
     window share one exchange on (merchant, date)."""
-    daily = postings.groupBy("merchant_id", "date").agg(F.sum("amount").alias("_day_net"))
-    days = Window.partitionBy("merchant_id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    opened = daily.select("merchant_id", "date", F.coalesce(F.sum("_day_net").over(days), F.lit(0)).alias("_before"))
-    order = POSTING_ORDER if POSTING_ORDER in postings.columns else "transaction_id"
-    day = Window.partitionBy("merchant_id", "date").orderBy(order)
+    daily = postings.groupBy(merchant, "date").agg(F.sum("amount").alias("_day_net"))
+    days = Window.partitionBy(merchant).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    opened = daily.select(merchant, "date", F.coalesce(F.sum("_day_net").over(days), F.lit(0)).alias("_before"))
+    placed = POSTING_ORDER in postings.columns
+    order = F.col(POSTING_ORDER) if placed else F.col("transaction_id") if identity is None else identity
+    day = Window.partitionBy(merchant, "date").orderBy("_order")
     so_far = F.sum("amount").over(day.rowsBetween(Window.unboundedPreceding, 0))
-    return (postings.join(opened, ["merchant_id", "date"], "inner")
+    return (postings.join(opened, [merchant, "date"], "inner").withColumn("_order", order)
             .withColumn("balance_after", (F.lit(opening) + F.col("_before") + so_far).cast("decimal(18,2)"))
-            .withColumn(POSTING_ORDER, F.col(order) if order == POSTING_ORDER else F.row_number().over(day).cast("long"))
-            .drop("_before"))
+            .withColumn(POSTING_ORDER, F.col("_order") if placed else F.row_number().over(day).cast("long"))
+            .drop("_before", "_order"))
 
 
 def monthly_bank_facts(bank: DataFrame, as_of: dt.date) -> DataFrame:

@@ -15,7 +15,7 @@ from quire.plans.catalog import register, round_doubles, sql_round
 from quire.plans.fixture_sql import with_views
 from quire.plans.oracle_features import feature_ctes
 from quire.session import write_table
-from quire.sources.adapters import FIXTURE_AS_OF, fixture
+from quire.sources.adapters import FIXTURE_AS_OF, FixtureSources, fixture
 
 AS_OF = FIXTURE_AS_OF
 
@@ -156,7 +156,7 @@ def plain_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
         if name == "bank":  # as exported: by merchant and day, in the order of posting
             df = df.repartitionByRange("merchant_id", "date").sortWithinPartitions("merchant_id", "date", "posting_seq")
         columns = REQUIRED_COLUMNS.get(name, SCHEMAS[name].names)
-        df.select(*[c for c in columns if c != "last_kyc_date"]).write.parquet(f"{base}/{name}")
+        df.select(*[c for c in columns if c != "last_kyc_date"]).write.option("compression", "zstd").parquet(f"{base}/{name}")
     return {name: f"{base}/{name}" for name in sources}
 
 
@@ -302,11 +302,11 @@ def q_enum_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("quality_report_on_load", with_views(OM.quality_sql({k: v[1] for k, v in SCAN_COLUMNS.items()})))
 def q_quality_report_on_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2-V7 gathered while the sources are first written, without a scan of their own."""
-    seen = {}
-    for name, df in _quality_sources(spark, sf_dir).items():
-        watched, *seen[name] = Q.observed(df, name)
-        write_table(watched, f"checked-{name}")
-    return round_doubles(Q.observed_report(spark, seen))
+    f, seen = FixtureSources(spark, sf_dir, AS_OF, materialized=False), {}
+    for name in sorted(QUALITY_SOURCES, key="psp".__ne__):  # PSP first: other sources are derived from its table
+        watched, *seen[name] = Q.observed(getattr(f, name), name)
+        f.keep(name, write_table(watched, f"checked-{name}"))
+    return round_doubles(Q.observed_report(spark, {name: seen[name] for name in QUALITY_SOURCES}))
 
 
 @register("required_columns")

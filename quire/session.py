@@ -67,5 +67,5 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     read it back: lineage is cut, and readers keep column pruning, filter
     pushdown and file statistics (unlike an RDD checkpoint)."""
     path = shared_folder(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -86,6 +86,11 @@ class FixtureSources:
             self._tables[name] = write_table(df, name) if self.materialized else df
         return self._tables[name]
 
+    def keep(self, name: str, written: DataFrame) -> DataFrame:
+        """A view that has been written elsewhere: views derived from it read that table."""
+        self._tables[name] = written
+        return written
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -184,23 +189,19 @@ class FixtureSources:
 
     def _build_bank(self) -> DataFrame:
         k = F.col("k")
-        same_month = Window.partitionBy("merchant_id", "_in")
+        same_month = Window.partitionBy("k", "_in")
         even = F.expr("CAST(_month * 100 AS BIGINT) * 98 div (100 * _n)").cast("decimal(18,0)") / dec("100.0")
         credits = (
             self.psp.filter((F.col("status") == "paid") & (F.col("settlement_date") <= F.lit(self.as_of)))
-            .groupBy("merchant_id", "k", "settlement_date", "psp_name")
+            .groupBy("k", "settlement_date", "psp_name")
             .agg(F.sum("net_amount").alias("net")).withColumn("_in", F.trunc("settlement_date", "month"))
             .withColumn("_month", F.sum("net").over(same_month)).withColumn("_n", F.count(F.lit(1)).over(same_month))
             .select(
-                "merchant_id", "k", F.col("settlement_date").alias("date"),
+                "k", F.col("settlement_date").alias("date"),
                 F.when(steady(k), money(even))
                  .otherwise(money(F.round(F.col("net") * F.when(k % 10 == 9, dec("0.70")).otherwise(dec("0.98")), 2)))
                  .alias("amount"),
-                F.lit("CREDIT").alias("direction"),
-                F.when(F.col("psp_name") == "mollie", "Mollie B.V.").when(F.col("psp_name") == "adyen", "Adyen N.V.")
-                 .otherwise("Stripe Ltd.").alias("counterparty_name"),
-                F.lit("psp_settlement").alias("category"),
-                F.concat_ws("_", F.lit("C"), "settlement_date", "psp_name").alias("transaction_id"),
+                F.lit(True).alias("_credit"), "psp_name",
             )
         )
         li = self._shipped()
@@ -212,17 +213,22 @@ class FixtureSources:
                   .when(ln == 6, dec("0.50")).otherwise(dec("0.01")))
         scale = F.when(lk % 10 == 5, dec("4.00")).otherwise(dec("1.00"))
         debits = li.select(
-            merchant_id_of(lk).alias("merchant_id"), lk.alias("k"), F.col("l_shipdate").cast("date").alias("date"),
+            lk.alias("k"), F.col("l_shipdate").cast("date").alias("date"),
             money(-F.round(money(F.col("l_extendedprice")) * factor * scale, 2)).alias("amount"),
-            F.lit("DEBIT").alias("direction"),
-            F.concat(F.lit("Supplier_"), (F.col("l_partkey") % 19).cast("string")).alias("counterparty_name"),
-            F.when(~final, "bank_fee").when(ln <= 4, "supplier_payment").when(ln == 5, "advertising").when(ln == 6, "tax_payment")
-             .otherwise("nsf_fee").alias("category"),
-            line_id("D").alias("transaction_id"),
+            F.lit(False).alias("_credit"), final.alias("_final"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         )
-        # the postings are read twice: for the days' sums and for the balances
-        return running_balance(write_table(credits.unionByName(debits), "postings")).select(
-            "transaction_id", "merchant_id", "k", "date", "amount", "direction", "counterparty_name", "category",
+        credit = F.col("_credit")
+        identity = F.when(credit, F.concat_ws("_", F.lit("C"), "date", "psp_name")).otherwise(line_id("D"))
+        # the postings are read twice: for the days' sums and for the balances; numbers only, texts are made after that
+        postings = write_table(credits.unionByName(debits, allowMissingColumns=True), "postings")
+        return running_balance(postings, merchant="k", identity=identity).select(
+            identity.alias("transaction_id"), merchant_id_of(k).alias("merchant_id"), "k", "date", "amount",
+            F.when(credit, "CREDIT").otherwise("DEBIT").alias("direction"),
+            F.when(~credit, F.concat(F.lit("Supplier_"), (F.col("l_partkey") % 19).cast("string")))
+             .when(F.col("psp_name") == "mollie", "Mollie B.V.").when(F.col("psp_name") == "adyen", "Adyen N.V.")
+             .otherwise("Stripe Ltd.").alias("counterparty_name"),
+            F.when(credit, "psp_settlement").when(~F.col("_final"), "bank_fee").when(ln <= 4, "supplier_payment")
+             .when(ln == 5, "advertising").when(ln == 6, "tax_payment").otherwise("nsf_fee").alias("category"),
             "balance_after", "posting_seq")
 
     @property

@@ -39,7 +39,7 @@ def write_facts(df: DataFrame, name: str, path: str, months: Sequence[dt.date] |
         rows = rows.filter(month.isin(list(months)))
     # by month, where Spark splits months that are large and joins small ones
     (rows.hint("rebalance", F.col(MONTH))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(f"{path}/{name}"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(MONTH).parquet(f"{path}/{name}"))
 
 
 def read_facts(spark: SparkSession, name: str, path: str, as_of: dt.date, days: int | None = RAW_DAYS) -> DataFrame:
@@ -62,7 +62,7 @@ def merge_history(sources: Mapping[str, DataFrame], path: str, months: Sequence[
         if months is not None:
             df = df.filter(F.trunc(AS_OF_COLUMN[name], "MM").isin(list(months)))
         (build(df).filter(F.col("month").isNotNull()).withColumn(MONTH, F.col("month")).drop("month")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(f"{path}/{name}"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(MONTH).parquet(f"{path}/{name}"))
 
 
 def read_history(spark: SparkSession, path: str) -> dict[str, DataFrame]:

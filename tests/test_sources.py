@@ -1,5 +1,6 @@
 """Optional sources, the ghost merchant, and partitioning invariance."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators.features.assemble import compute_features
@@ -151,3 +152,54 @@ def test_sinks(spark, tmp_path):
     line, = [x for f in (tmp_path / "cases").glob("part*") for x in f.read_text().splitlines()]
     assert json.loads(line)["v"] is None
     assert audit.load_decision_log(spark, str(tmp_path / "absent")).count() == 0
+
+
+def test_old_days_are_not_shuffled(spark):
+    """Feature statistics hold a day's key only inside the windows that read days: history comes as one total."""
+    import datetime as dt
+
+    from quire.functions.grains import tag_grains
+    from quire.operators.features import bank as B
+    from quire.operators.features import psp as PS
+    as_of, seen = dt.date(2001, 8, 1), {}
+
+    def watch(module):
+        def tagged(df, *grains):
+            seen[module] = tag_grains(df, *grains)
+            return seen[module]
+        return tagged
+
+    days = "SELECT explode(sequence(DATE'1995-01-01', DATE'1998-01-01', interval 1 day)) AS day"
+    bank = spark.sql(f"""SELECT 'm' AS merchant_id, day AS date, CAST(5 AS DECIMAL(18,2)) AS amount, 'CREDIT' AS direction,
+        'psp_settlement' AS category, CAST(1 AS DECIMAL(18,2)) AS balance_after, 1L AS posting_seq, 'c' AS counterparty_name
+        FROM ({days})""")
+    psp = spark.sql(f"""SELECT 'm' AS merchant_id, day AS order_date, date_add(day, 2) AS settlement_date, 'paid' AS status,
+        'p' AS psp_name, 'b' AS buyer_id, 'ideal' AS payment_method, CAST(NULL AS STRING) AS dispute_outcome,
+        CAST(5 AS DECIMAL(18,2)) AS gross_amount, CAST(4 AS DECIMAL(18,2)) AS net_amount,
+        CAST(0 AS DECIMAL(18,2)) AS refund_amount FROM ({days})""")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(B, "tag_grains", watch("bank"))
+        m.setattr(PS, "tag_grains", watch("psp"))
+        b, p = B.bank_stats(bank, as_of).first(), PS.psp_stats(psp, as_of).first()
+    n = 3 * 365 + 2  # 1996 is a leap year
+    assert (b.bk_rows_all, float(b.bk_psp_settle_all)) == (n, 5.0 * n)
+    assert (p.ps_rows_all, p.ps_paid_all, p.ps_delay_s1, p.ps_paid_net_c, p.ps_delay_p50) == (n, n, 2 * n, 400 * n, 2.0)
+    for tagged in seen.values():
+        assert tagged.select("merchant_id", "g", "k_date", "k_str", "k_int").distinct().count() <= 4
+
+
+def test_balances_of_postings_without_their_texts(spark):
+    """The order inside a day may be derived from other columns, after the exchange; the balances are the same."""
+    from pyspark.sql import functions as F
+
+    from quire.operators.reconcile import running_balance
+    rows = [(1, "2001-01-01", 10, 5), (1, "2001-01-01", 9, 7), (1, "2001-01-02", 1, -3), (2, "2001-01-01", 1, 4)]
+    df = spark.createDataFrame(rows, "k long, d string, line long, v int").select(
+        "k", F.to_date("d").alias("date"), "line", F.col("v").cast("decimal(18,2)").alias("amount"))
+    text = F.concat(F.lit("D_"), F.col("line").cast("string"))
+    plain = running_balance(df.select(F.col("k").cast("string").alias("merchant_id"), "date", "amount",
+                                      text.alias("transaction_id")))
+    derived = running_balance(df, merchant="k", identity=text)
+    pick = lambda t, key: sorted((str(r[key]), r.date, r.amount, r.balance_after, r.posting_seq) for r in t.collect())
+    assert pick(plain, "merchant_id") == pick(derived, "k")
+    assert [r.balance_after for r in derived.orderBy("k", "date", "posting_seq").collect()] == [10005, 10012, 10009, 10004]
