@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_batches, raw_texts, slices
+from quire.llm.common import MIX, map_batches, raw_texts, slices, word_keys
 from quire.llm.sieve import bits_of, found
 from quire.session import shared_folder
 
@@ -36,40 +36,47 @@ SHARDS = 2
 STATE_BITS, LONGEST = 1 << 26, 3
 #: A subphrase that holds more than this share of an even partition's requests is sent to them instead of met.
 HOT = 0.25
-#: Phrases that a task has just named before they are sorted in with the others, and that it remembers in all.
-RECENT, MENTIONED = 200_000, 4_000_000
+#: Phrases that a task remembers to have named.
+MENTIONED = 4_000_000
+#: Documents are dealt into slots; phrases are named from the slots below the first number, then from those below the next.
+SLOTS = (2, 16)
+#: Text bytes whose phrases are counted at once; the more, the fewer rows.
+SCAN_BYTES = 4 << 20
 SEED = 42
 #: Letters are lower-cased, piece ends become line feeds and tabs spaces.
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
-MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC4CEB9FE1A85EC53))
+
+
+def language_key(name: str) -> int:
+    return xxhash.xxh64_intdigest(name.encode(), SEED)
 
 
 class Words:
-    """The words of some documents: distinct (language, word) pairs, and where each stands in which piece."""
+    """The words of some documents: their keys, languages and pieces, and their letters, one space after each word."""
 
     def __init__(self, texts: list[bytes], languages: list[str]):
-        plain = [t.translate(PLAIN) for t in texts]
-        letters = np.frombuffer(b"\n".join(plain) + b"\n", np.uint8)
-        gap = (letters == 32) | (letters == 10)
+        plain = b"\n".join(texts).translate(PLAIN) + b"\n"
+        letters = np.frombuffer(plain, np.uint8)
+        line_end = letters == 10
+        gap = line_end | (letters == 32)
         after_gap = np.concatenate([[True], gap[:-1]])
         start, end = np.flatnonzero(~gap & after_gap), np.flatnonzero(gap & ~after_gap)
-        offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
-        words = pa.Array.from_buffers(pa.binary(), len(start),
-                                      [None, pa.py_buffer(offsets), pa.py_buffer(letters[~gap])]).dictionary_encode()
-        self.piece = np.searchsorted(np.flatnonzero(letters == 10), start)
-        ends = np.cumsum([len(t) + 1 for t in plain])
+        self.piece = np.cumsum(line_end, dtype=np.int32)[start]
         self.names = sorted(set(languages))
         number = {name: i for i, name in enumerate(self.names)}
-        of_text = np.array([number[name] for name in languages], np.int64)
-        self.language = of_text[np.searchsorted(ends, start, side="right")]
-        distinct, self.at = np.unique(words.indices.to_numpy().astype(np.int64) * len(self.names) + self.language,
-                                      return_inverse=True)
-        spelled = words.dictionary.to_pylist()
-        self.spelled = [spelled[i] for i in distinct // len(self.names)]
-        named = [n.encode() + b"\n" for n in self.names]
-        digest = xxhash.xxh64_digest
-        self.keys = np.frombuffer(b"".join([digest(named[i % len(named)] + w, SEED) for i, w in zip(
-            distinct.tolist(), self.spelled)]), ">u8").astype(np.uint64)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        words = np.diff(np.searchsorted(start, ends), prepend=0)
+        self.language = np.repeat(np.array([number[name] for name in languages], np.int64), words)
+        seeds = np.array([language_key(name) for name in self.names], np.uint64)
+        self.keys = word_keys(letters, start, end, seeds[self.language])
+        self._letters, self._gap, self._after_gap = letters, gap, after_gap
+        self._places = np.concatenate([[0], np.cumsum(end - start + 1)])
+
+    def spelled(self, start: np.ndarray, size: int) -> list[bytes]:
+        """The phrases of ``size`` words that start at these words, their words joined by one space."""
+        kept = self._letters[~self._gap | ~self._after_gap]
+        spaced = np.where(kept == 10, np.uint8(32), kept).tobytes()
+        return [spaced[a:b] for a, b in zip(self._places[start].tolist(), (self._places[start + size] - 1).tolist())]
 
     def phrases(self, size: int) -> np.ndarray:
         """Where phrases of ``size`` words start."""
@@ -79,7 +86,7 @@ class Words:
         return np.flatnonzero(self.piece[:n] == self.piece[size - 1:])
 
     def phrase_keys(self, start: np.ndarray, size: int) -> np.ndarray:
-        return phrase_keys([self.keys[self.at[start + i]] for i in range(size)])
+        return phrase_keys([self.keys[start + i] for i in range(size)])
 
 
 def phrase_keys(words: list[np.ndarray]) -> np.ndarray:
@@ -98,7 +105,7 @@ def scan(shard: DataFrame, sizes: list[int], now, before) -> DataFrame:
     """(key, n): counts of the phrases of these sizes that are in their cycle; ``now`` and ``before`` are states."""
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SCAN_BYTES):
             words = Words(raw_texts(batch, "text"), batch.column("lang").to_pylist())
             out = []
             for size in sizes:
@@ -173,41 +180,68 @@ def counted(docs: DataFrame, least: int, shards: int = SHARDS, longest: int = LO
         return _written(found_, "reached")
 
 
-def _named(docs: DataFrame, often: DataFrame, longest: int) -> DataFrame:
-    """(lang, phrase, size) of the phrases of 2 or more words whose keys may be among ``often``, and per batch one row
-    without a phrase that has the number of words of a language in ``size``."""
+def _mentions(docs: DataFrame, often: DataFrame, longest: int) -> DataFrame:
+    """(lang, phrase, size, key) of the phrases of 2 or more words whose keys may be among ``often``, and per batch one
+    row without a phrase that has the number of words of a language in ``size``."""
     sieve = docs.sparkSession.sparkContext.broadcast(bits_of(often, "key", STATE_BITS))
 
-    def rows(lang: list[str], phrases: pa.Array, size) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), phrases, pa.array(size, pa.int64())],
-                                          names=["lang", "phrase", "size"])
+    def rows(lang: list[str], phrases: pa.Array, size, keys: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), phrases, pa.array(size, pa.int64()), keys],
+                                          names=["lang", "phrase", "size", "key"])
 
     def run(batches):
         # one mention by each task, or a few, is enough
-        seen, recent = np.zeros(0, np.int64), set()
-        for batch in slices(batches, "text"):
+        seen = np.zeros(0, np.int64)
+        for batch in slices(batches, "text", SCAN_BYTES):
             words = Words(raw_texts(batch, "text"), batch.column("lang").to_pylist())
             yield rows(words.names, pa.nulls(len(words.names), pa.string()),
-                       np.bincount(words.language, minlength=len(words.names)))
-            if len(recent) > RECENT:
-                seen = seen if len(seen) < MENTIONED else seen[:0]
-                seen = np.sort(np.concatenate([seen, np.fromiter(recent, np.int64, len(recent))]))
-                recent.clear()
+                       np.bincount(words.language, minlength=len(words.names)), pa.nulls(len(words.names), pa.int64()))
+            fresh = []
             for size in range(2, longest + 1):
                 start = words.phrases(size)
                 keys = words.phrase_keys(start, size)
                 likely = found(sieve.value, keys)
                 keys, first = np.unique(keys[likely], return_index=True)
-                new = np.searchsorted(seen, keys, "right") == np.searchsorted(seen, keys, "left")
-                start, named = start[likely][first[new]], keys[new].tolist()
-                start = start[np.array([k not in recent for k in named], bool)]
-                recent.update(named)
-                spelled = zip(*[[words.spelled[w] for w in words.at[start + i].tolist()] for i in range(size)])
+                if len(seen):
+                    new = seen[np.minimum(np.searchsorted(seen, keys), len(seen) - 1)] != keys
+                    keys, first = keys[new], first[new]
+                start = start[likely][first]
+                fresh.append(keys)
                 lang = [words.names[i] for i in words.language[start].tolist()]
-                yield rows(lang, pa.array([b" ".join(s) for s in spelled], pa.binary()).cast(pa.string()),
-                           np.full(len(start), size))
+                yield rows(lang, pa.array(words.spelled(start, size), pa.binary()).cast(pa.string()),
+                           np.full(len(start), size), pa.array(keys))
+            seen = np.sort(np.concatenate([seen if len(seen) < MENTIONED else seen[:0], *fresh]))
 
-    return map_batches(docs.select("lang", "text"), run, "lang string, phrase string, size long")
+    return map_batches(docs.select("lang", "text"), run, "lang string, phrase string, size long, key long")
+
+
+def _named(docs: DataFrame, often: DataFrame, longest: int) -> DataFrame:
+    """(lang, phrase, size, times): once each the phrases whose keys may be among ``often``, and rows without a phrase
+    whose sizes, as often as they came, add up to the words of a language; docs has lang, text and slot.
+
+    A first part of the documents names nearly all phrases; the others are asked only for those that it lacks. So the
+    mentions of a phrase do not grow with the number of tasks."""
+    left, parts, low = often, [], 0
+    for high in SLOTS:
+        part = docs.where((F.col("slot") >= low) & (F.col("slot") < high))
+        parts.append(_written(_mentions(part, left, longest).groupBy("lang", "phrase", "size", "key")
+                              .agg(F.count("*").alias("times")), "named"))
+        left, low = left.join(parts[-1].select("key"), "key", "left_anti"), high
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    # a false bit may name a phrase in several parts
+    return both.groupBy("lang", "phrase", "size").agg(F.sum("times").alias("times"))
+
+
+def _keys_of_words(phrases: list[bytes], lang: list[str], size: int) -> list[np.ndarray]:
+    """The keys of the first, second, ... words of phrases of ``size`` words."""
+    letters = np.frombuffer(b" ".join(phrases) + b" ", np.uint8) if phrases else np.zeros(0, np.uint8)
+    end = np.flatnonzero(letters == 32)
+    start = np.concatenate([[0], end + 1])[:len(end)]
+    seeds = {name: language_key(name) for name in set(lang)}
+    keys = word_keys(letters, start, end, np.repeat(np.array([seeds[name] for name in lang], np.uint64), size))
+    return [keys[i::size] for i in range(size)]
 
 
 def _with_keys(phrases: DataFrame, longest: int) -> DataFrame:
@@ -221,9 +255,7 @@ def _with_keys(phrases: DataFrame, longest: int) -> DataFrame:
             keys, parts = np.zeros(len(size), np.int64), [None] * len(size)
             for k in range(2, longest + 1):
                 at = np.flatnonzero(size == k)
-                split = [text[i].split(b" ") for i in at]
-                words = [np.array([xxhash.xxh64_intdigest(lang[i].encode() + b"\n" + s[w], SEED)
-                                   for i, s in zip(at, split)], np.uint64) for w in range(k)]
+                words = _keys_of_words([text[i] for i in at], [lang[i] for i in at], k)
                 keys[at] = phrase_keys(words)
                 cuts = [phrase_keys(words[:c]) for c in range(1, k)] + [phrase_keys(words[c:]) for c in range(1, k)]
                 for i, row in zip(at, np.stack(cuts, axis=1).tolist()):
@@ -241,10 +273,12 @@ def candidates(docs: DataFrame, least: int = 10, shards: int = SHARDS, longest:
     times or more, and (lang, n), the words of each language."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
+    dealt = F.xxhash64(*spread_by, text)
     src = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"),
-                      F.pmod(F.xxhash64(*spread_by, text), F.lit(shards)).alias("shard")).where(text.isNotNull())
+                      F.pmod(dealt, F.lit(shards)).alias("shard"),
+                      F.pmod(F.shiftright(dealt, 32), F.lit(SLOTS[-1])).alias("slot")).where(text.isNotNull())
     often = counted(src, least, shards, longest)
-    named = _written(_named(src, often, longest).groupBy("lang", "phrase", "size").agg(F.count("*").alias("times")), "named")
+    named = _named(src, often, longest)
     totals = (named.where(F.col("phrase").isNull())
               .groupBy("lang").agg(F.sum(F.col("size") * F.col("times")).alias("n")))
     found_ = _written(_with_keys(named.where(F.col("phrase").isNotNull()).drop("times"), longest)
@@ -290,9 +324,7 @@ def _inside(found_: DataFrame, longest: int) -> DataFrame:
             keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k in range(3, longest + 1):
                 at = np.flatnonzero(size == k)
-                split = [text[i].split(b" ") for i in at]
-                words = [np.array([xxhash.xxh64_intdigest(lang[i].encode() + b"\n" + s[w], SEED)
-                                   for i, s in zip(at, split)], np.uint64) for w in range(k)]
+                words = _keys_of_words([text[i] for i in at], [lang[i] for i in at], k)
                 for m in range(2, k):
                     for s in range(k - m + 1):
                         keys.append(phrase_keys(words[s:s + m]))

@@ -17,6 +17,9 @@ from quire.session import write_table
 SLICE_BYTES = 1 << 20
 #: Bytes of the Arrow batches that Spark sends to Python workers; Spark's own bound suits short rows.
 BATCH_BYTES = 4 << 20
+#: 64-bit multipliers of hashes (odd constants), and masks of the first 0 to 8 bytes of a little-endian number.
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC4CEB9FE1A85EC53))
+FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +62,31 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t.decode("utf-8", "replace") for t in raw_texts(batch, column)]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * MIX[0]
+    x = (x ^ (x >> np.uint64(29))) * MIX[1]
+    return x ^ (x >> np.uint64(32))
+
+
+def word_keys(letters: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """64-bit hashes of the words at letters[start:end], mixed with ``seed`` (one, or one for each word).
+
+    Eight bytes of all words are mixed in at a time; words of up to eight bytes never share a hash with one of equal
+    length and seed."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([letters, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(letters) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = end - start
+    key = _mixed((seed + size.astype(np.uint64) * MIX[0]) ^ (eight[start] & FIRST_BYTES[np.minimum(size, 8)]))
+    done, more = 8, np.flatnonzero(size > 8)
+    while len(more):
+        key[more] = _mixed(key[more] ^ (eight[start[more] + done] & FIRST_BYTES[np.minimum(size[more] - done, 8)]))
+        done += 8
+        more = more[size[more] > done]
+    return key
+
+
 def _numbered(df: DataFrame) -> DataFrame:
     """Columns by place, so that names with dots, or used twice, do no harm."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -85,3 +85,38 @@ def test_awkward_rows(awkward, no_docs):
     got = collocations.collocations(awkward, least=2)
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, least=2)
     assert collocations.collocations(no_docs).collect() == []
+
+
+def test_mentions_do_not_grow_with_the_number_of_tasks(spark, monkeypatch):
+    """Many tasks that hold the same phrases: a phrase is named by few of them."""
+    rng = random.Random(4)
+    rows = [("en", " ".join(rng.choice("abcdefghij") for _ in range(20))) for _ in range(400)]
+    written, write = [], collocations._written
+
+    def noted(df, name):
+        out = write(df, name)
+        if name == "named":
+            written.append(out.where("phrase is not null").selectExpr("sum(times)").first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(collocations, "_written", noted)
+    got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string").repartition(40), longest=2)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, longest=2)
+    assert sum(written) < 40 * 100 / 2
+
+
+def test_word_keys_tell_words_apart():
+    """Words of any length, next to anything, have the same key; all others, another one."""
+    import numpy as np
+
+    from quire.llm.common import word_keys
+    rng = random.Random(5)
+    words = [bytes(rng.choice(b"ab\x00\xff") for _ in range(n)) for n in range(30) for _ in range(20)]
+    for fill in (b" ", b"\xff\xff"):
+        letters = np.frombuffer(fill.join(words), np.uint8)
+        end = np.cumsum([len(w) + len(fill) for w in words]) - len(fill)
+        keys = word_keys(letters, end - np.array([len(w) for w in words]), end, np.uint64(7))
+        same_again = dict(zip(words, keys.tolist()))
+        assert [same_again[w] for w in words] == keys.tolist() and len(set(keys.tolist())) == len(set(words))
+    other = word_keys(np.frombuffer(words[-1], np.uint8), np.array([0]), np.array([29]), np.uint64(8))
+    assert other[0] != same_again[words[-1]]
