@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quire.llm.common import map_batches, raw_texts, slices, stored
+from quire.llm.common import map_batches, raw_texts, slices, stored, word_keys
 
 ORDER, BACKOFF, SEED = 3, 0.4, 42
 #: Share of the documents that is read to find n-grams too frequent for one partition, and how many rows make one so,
@@ -28,12 +28,18 @@ PROBE, HOT = 0.01, 0.5
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ROW = "gram long, doc {}, n int, pos int, neg int, own struct<words:long,singles:long,known:double>"
 OWN = pa.struct([("words", pa.int64()), ("singles", pa.int64()), ("known", pa.float64())])
+UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\x0b\x0c\r\n", b"abcdefghijklmnopqrstuvwxyz     "
+PLAIN = bytes.maketrans(UPPER, LOWER)
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """XXH64 of each word; words are parted by ASCII white space, with A-Z lower-cased."""
-    digest = xxhash.xxh64_digest
-    return np.frombuffer(b"".join([digest(w, SEED) for w in text.lower().split()]), ">u8").astype(np.uint64)
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """A hash of each word of each text; words are parted by ASCII white space, with A-Z lower-cased."""
+    letters = np.frombuffer(b" ".join(texts).translate(PLAIN) + b" ", np.uint8)
+    gap = letters == 32
+    after_gap = np.concatenate([[True], gap[:-1]])
+    start, end = np.flatnonzero(~gap & after_gap), np.flatnonzero(gap & ~after_gap)
+    hashes = word_keys(letters, start, end, np.uint64(SEED))
+    return np.split(hashes, np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts])[:-1]))
 
 
 def grams(words: np.ndarray, order: int) -> np.ndarray:
@@ -113,8 +119,7 @@ def rows(docs: DataFrame, order: int, top: int, counts: bool, asks: bool, hot: d
             ids = batch.column("doc").to_pylist()
             gone = batch.column("missing").to_pylist() if with_missing else [None] * len(ids)
             asked, loose, own, size = [[none] * 4], [[none] * 2], [], [0] * len(ids)
-            for i, text in enumerate(raw_texts(batch, "text")):
-                words = word_hashes(text)
+            for i, words in enumerate(word_hashes(raw_texts(batch, "text"))):
                 gram, n, pos, neg = requests(words, order, top, set(gone[i]) if gone[i] else None)
                 known, singles = 0.0, int(pos.sum()) if order == 1 else 0
                 if len(often) and len(gram):

@@ -67,3 +67,15 @@ def test_frequent_ngrams_take_another_way(spark, monkeypatch):
     base = docs.selectExpr("doc_id as doc", "text")
     assert any(L.hot_counts(base, base, k, 3) for k in (2, 3))
     same(L.score(docs), brute(rows, [t for _, t in rows]))
+
+
+def test_words_of_many_texts_at_once():
+    """The words of each text, however parted: equal ones alike, and none for empty texts."""
+    texts = [b"", b"The cat\x0b\x0cthe\r\nCAT ", b" \t ", b"a-word-of-more-than-eight-bytes a-Word-of-more-than-eight-bytes", b"the"]
+    hashes = L.word_hashes(texts)
+    assert [len(h) for h in hashes] == [len(t.split()) for t in texts]
+    of = {}
+    for text, found in zip(texts, hashes):
+        for word, h in zip(text.lower().split(), found.tolist()):
+            assert of.setdefault(word, h) == h
+    assert len(set(of.values())) == len(of) == 3
