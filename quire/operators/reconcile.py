@@ -73,26 +73,35 @@ def daily_closing_balance(bank: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 def running_balance(postings: DataFrame, opening: int = OPENING_BALANCE, merchant: str = "merchant_id",
-                    identity: Column | None = None) -> DataFrame:
+                    identity: Column | None = None, parts: int | None = None) -> DataFrame:
     """The balance after each posting, and its place in the day (posting_seq).
 
     Postings are ordered by date and, inside a day, by the place they came with
     (posting_seq), or else by transaction_id (``identity``, where that is derived from other columns: it is then
     made after the exchange, and not sent). ``merchant`` names the merchant's key. A day's opening balance is
-    a running sum over per-day nets; inside a day, a window adds its postings.
-    So a merchant with very many rows is split by day, and the join and the
-    window share one exchange on (merchant, date)."""
+    a running sum over per-day nets, which goes before the day's postings as one
+    more row; inside a day, a window adds them up. So a merchant with very many
+    rows is split by day, and a task sorts its rows once, after one exchange on
+    (merchant, date), into ``parts`` if given. Postings without a merchant or a
+    date are left out."""
     daily = postings.groupBy(merchant, "date").agg(F.sum("amount").alias("_day_net"))
     days = Window.partitionBy(merchant).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     opened = daily.select(merchant, "date", F.coalesce(F.sum("_day_net").over(days), F.lit(0)).alias("_before"))
     placed = POSTING_ORDER in postings.columns
     order = F.col(POSTING_ORDER) if placed else F.col("transaction_id") if identity is None else identity
-    day = Window.partitionBy(merchant, "date").orderBy("_order")
-    so_far = F.sum("amount").over(day.rowsBetween(Window.unboundedPreceding, 0))
-    return (postings.join(opened, [merchant, "date"], "inner").withColumn("_order", order)
-            .withColumn("balance_after", (F.lit(opening) + F.col("_before") + so_far).cast("decimal(18,2)"))
-            .withColumn(POSTING_ORDER, F.col("_order") if placed else F.row_number().over(day).cast("long"))
-            .drop("_before", "_order"))
+    keyed = F.col(merchant).isNotNull() & F.col("date").isNotNull()
+    rows = postings.where(keyed).unionByName(opened.where(keyed), allowMissingColumns=True)
+    keys = [F.col(merchant), F.col("date")]
+    dealt = rows.repartition(parts, *keys) if parts else rows.repartition(*keys)
+    posting = F.col("_before").isNull()
+    day = Window.partitionBy(merchant, "date").orderBy("_posting", "_order")
+    until = day.rowsBetween(Window.unboundedPreceding, 0)
+    balance = F.lit(opening) + F.max("_before").over(until) + F.sum("amount").over(until)
+    others = [c for c in postings.columns if c not in (merchant, "date", POSTING_ORDER)]
+    return (dealt.withColumn("_posting", posting).withColumn("_order", order)
+            .withColumn("balance_after", balance.cast("decimal(18,2)"))
+            .withColumn(POSTING_ORDER, F.col("_order") if placed else (F.row_number().over(day) - 1).cast("long"))
+            .where(posting).select(merchant, "date", *others, *(c for c in ("balance_after",) if c not in others), POSTING_ORDER))
 
 
 def monthly_bank_facts(bank: DataFrame, as_of: dt.date) -> DataFrame:

@@ -14,6 +14,7 @@ The derived money columns are decimal(18,2), matching the DuckDB oracle views
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,6 +26,8 @@ from quire.session import write_table
 # The fixture's as-of dates.
 FIXTURE_AS_OF = dt.date(2001, 8, 1)
 CONSENT_AS_OF = dt.date(2024, 2, 1)
+#: Postings that one task orders, on average, however many there are.
+TASK_POSTINGS = 250_000
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -221,7 +224,8 @@ class FixtureSources:
         identity = F.when(credit, F.concat_ws("_", F.lit("C"), "date", "psp_name")).otherwise(line_id("D"))
         # the postings are read twice: for the days' sums and for the balances; numbers only, texts are made after that
         postings = write_table(credits.unionByName(debits, allowMissingColumns=True), "postings")
-        return running_balance(postings, merchant="k", identity=identity).select(
+        parts = math.ceil(postings.count() / TASK_POSTINGS) or None
+        return running_balance(postings, merchant="k", identity=identity, parts=parts).select(
             identity.alias("transaction_id"), merchant_id_of(k).alias("merchant_id"), "k", "date", "amount",
             F.when(credit, "CREDIT").otherwise("DEBIT").alias("direction"),
             F.when(~credit, F.concat(F.lit("Supplier_"), (F.col("l_partkey") % 19).cast("string")))

@@ -203,3 +203,27 @@ def test_balances_of_postings_without_their_texts(spark):
     pick = lambda t, key: sorted((str(r[key]), r.date, r.amount, r.balance_after, r.posting_seq) for r in t.collect())
     assert pick(plain, "merchant_id") == pick(derived, "k")
     assert [r.balance_after for r in derived.orderBy("k", "date", "posting_seq").collect()] == [10005, 10012, 10009, 10004]
+
+
+def test_balances_sort_postings_once_in_parts_of_bounded_size(spark):
+    """A task holds its postings in one sort, not in those of a join and of a window, and takes no more when they grow."""
+    from pyspark.sql import functions as F
+
+    from quire.operators.reconcile import running_balance
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), F.expr("date_add(DATE '2001-01-01', cast(id % 40 as int))")
+                                  .alias("date"), F.when(F.col("id") % 7 > 0, F.lit("1.50")).cast("decimal(18,2)").alias("amount"),
+                                  F.col("id").cast("string").alias("text"))
+    odd = df.unionByName(df.limit(9).withColumn("date", F.lit(None).cast("date")).withColumn("amount", F.lit(0).cast("decimal(18,2)")))
+    out = running_balance(odd, merchant="k", identity=F.col("text"), parts=17)
+    rows = out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Join" not in plan and out.rdd.getNumPartitions() == 17 and len(rows) == 3000
+    at = {}
+    for r in sorted(rows, key=lambda r: (r.k, r.date, r.posting_seq)):
+        at.setdefault(r.k, []).append(r)
+    for mine in at.values():
+        balance, day, n = 10_000, None, 0
+        for r in mine:
+            n = n + 1 if r.date == day else 1
+            day, balance = r.date, balance + (r.amount or 0)
+            assert r.posting_seq == n and r.balance_after in (None, balance)
