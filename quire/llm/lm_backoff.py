@@ -1,20 +1,22 @@
 """Stupid-backoff scores of documents, computed relationally.
 
-For each order, the n-grams of a text become rows of a 64-bit hash with their
-count in the document. Count rows and the documents' requests meet in
-partitions by that hash, where every request reads the n-gram's total; the
-logarithms are summed per document. A request whose n-gram the reference lacks
+For each order, the n-grams of a text become 64-bit hashes with their count in
+the document. Counts and the documents' requests are dealt by that hash into
+parts of bounded size, one row with the n-grams of many documents at a time;
+in its part every request reads the n-gram's total, and the logarithms are
+summed per document. A request whose n-gram the reference lacks
 goes on to the next lower order with the backoff penalty.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -26,8 +28,18 @@ ORDER, BACKOFF, SEED = 3, 0.4, 42
 PROBE, HOT = 0.01, 0.5
 #: One of the 64-bit multipliers that mix word hashes (an odd constant).
 MIX = np.uint64(0x9E3779B97F4A7C15)
-ROW = "gram long, doc {}, n int, pos int, neg int, own struct<words:long,singles:long,known:double>"
-OWN = pa.struct([("words", pa.int64()), ("singles", pa.int64()), ("known", pa.float64())])
+#: Bytes of text whose n-grams one part holds; a text of b bytes has at most b / 2 + 1 n-grams of an order.
+PART_BYTES = 8 << 20
+#: What a document counts beside its text.
+DOC_BYTES = 64
+#: N-grams dealt to one part: of gram[i] in docs[at[i]] (none if -1) n counts, and how often the total multiplies and
+#: divides the score. Arrays of numbers are bytes. A row with words, singles and known has one of each for its docs.
+#: A document's sums come back together in its home.
+DEALT = ("part long, docs array<{}>, homes array<long>, gram binary, at binary, n binary, pos binary, neg binary, "
+         "words binary, singles binary, known binary")
+HOME = ("home long, docs array<{}>, part binary, n_words binary, lost binary, singles binary, n_missing binary, "
+        "missing binary")
+LEVEL = "doc {}, part double, n_words long, lost long, singles long, missing array<long>"
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\x0b\x0c\r\n", b"abcdefghijklmnopqrstuvwxyz     "
 PLAIN = bytes.maketrans(UPPER, LOWER)
 
@@ -97,77 +109,202 @@ def requests(words: np.ndarray, order: int, top: int, missing: set | None) -> tu
     return keys, total(None), total(pos), total(neg)
 
 
-def rows(docs: DataFrame, order: int, top: int, counts: bool, asks: bool, hot: dict[int, int],
-         only: set[int] | None = None) -> DataFrame:
-    """Rows (gram, doc, n, pos, neg, own) of one order.
+def names_of(fields: str) -> list[str]:
+    return [f.split()[0] for f in fields.split(", ")]
+
+
+def numbers(table: pa.Table, column: str, kind) -> np.ndarray:
+    """The numbers of all rows' bytes."""
+    return np.frombuffer(b"".join(v.as_py() or b"" for v in table.column(column)), kind)
+
+
+def ids_of(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct documents of all rows' docs, which of them each is, and how many a row has."""
+    lists = table.column("docs").combine_chunks()
+    ids = pc.dictionary_encode(lists.flatten(), null_encoding="encode")
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return ids.dictionary, ids.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes
+
+
+def in_lists(values: pa.Array, sizes) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), values)
+
+
+def entries(batches: Iterator[pa.RecordBatch], order: int, top: int, counts: bool, asks: bool, hot: dict[int, int],
+            only: set[int] | None = None) -> Iterator[tuple]:
+    """Per slice of the documents: the slice, the n-grams of one order (at, gram, n, pos, neg), and per document its
+    number of words, of words scored on their own, and the part of its score that ``hot`` totals give.
 
     With ``counts`` the n-grams are counted (n), with ``asks`` the documents
     request them (pos, neg). Counts that no request of the same document goes
-    with are summed over many documents. One more row per document has ``own``:
-    its number of words, of words scored on their own, and the part of its
-    score that ``hot`` totals give. ``only`` keeps just these n-grams, to count
-    them. A column ``missing`` lists what a document's higher orders lack.
+    with are summed over the slice, and of no document (at -1). ``only`` keeps
+    just these n-grams, to count them. A column ``missing`` lists what a
+    document's higher orders lack.
     """
-    kind = docs.schema["doc"].dataType
-    with_missing = "missing" in docs.columns
+    often = np.array(sorted(only if only is not None else hot), np.int64)
+    logs = np.log(np.array([hot.get(int(g), 1) for g in often], float))
+    none = np.zeros(0, np.int64)
+    for batch in slices(batches, "text"):
+        gone = (batch.column("missing").to_pylist() if "missing" in batch.schema.names
+                else [None] * batch.num_rows)
+        asked, loose, own, size = [[none] * 4], [[none] * 2], [], []
+        for i, words in enumerate(word_hashes(raw_texts(batch, "text"))):
+            gram, n, pos, neg = requests(words, order, top, set(gone[i]) if gone[i] else None)
+            known, singles = 0.0, int(pos.sum()) if order == 1 else 0
+            if len(often) and len(gram):
+                place = np.minimum(np.searchsorted(often, gram), len(often) - 1)
+                is_hot = often[place] == gram
+                if only is None:
+                    known = float(((pos - neg)[is_hot] * logs[place[is_hot]]).sum())
+                keep = is_hot if only is not None else ~is_hot
+                gram, n, pos, neg = gram[keep], n[keep], pos[keep], neg[keep]
+            wanted = pos + neg > 0 if asks else np.zeros(len(gram), bool)
+            own.append((len(words) if order == 1 else 0, singles, known))
+            size.append(int(wanted.sum()))
+            asked.append([gram[wanted], n[wanted] if counts else np.zeros(size[i], np.int64), pos[wanted], neg[wanted]])
+            if counts:
+                loose.append([gram[~wanted], n[~wanted]])
+        asked = [np.concatenate(c) for c in zip(*asked)]
+        loose = [np.concatenate(c) for c in zip(*loose)]
+        keys, at = np.unique(loose[0], return_inverse=True)
+        times, nought = np.bincount(at, loose[1], len(keys)).astype(np.int64), np.zeros(len(keys), np.int64)
+        found = [np.concatenate(c) for c in zip(
+            (np.repeat(np.arange(len(size)), size), *asked), (nought - 1, keys, times, nought, nought))]
+        yield batch, found, own
+
+
+def dealt(docs: DataFrame, order: int, top: int, counts: bool, asks: bool, hot: dict[int, int], parts: list[int]) -> DataFrame:
+    """The n-grams of one order (see ``entries``), dealt into parts by their hash: rows as in DEALT."""
+    kind, names, many = docs.schema["doc"].dataType, names_of(DEALT), len(parts)
+
+    def run(batches):
+        for batch, (at, gram, n, pos, neg), own in entries(batches, order, top, counts, asks, hot):
+            part = ((gram.view(np.uint64) >> np.uint64(40)) % np.uint64(many)).astype(np.int64)
+            by = np.argsort(part, kind="stable")  # in a part by document
+            edges = np.append(np.flatnonzero(np.diff(part[by], prepend=-1)), len(by))
+            columns = [[] for _ in names]
+            for start, end in zip(edges[:-1], edges[1:]):
+                here = by[start:end]
+                owner, place = np.unique(at[here], return_inverse=True)
+                if len(owner) and owner[0] < 0:
+                    owner, place = owner[1:], place - 1
+                arrays = (place, n[here], pos[here], neg[here])
+                row = (parts[part[here[0]]], owner, None, gram[here].tobytes(), *(c.astype(np.int32).tobytes() for c in arrays),
+                       None, None, None)
+                for column, value in zip(columns, row):
+                    column.append(value)
+            if asks:
+                row = (parts[int(gram[0] % many) if len(gram) else 0], np.arange(len(own)), *[None] * 6,
+                       *(np.array(c, t).tobytes() for c, t in zip(zip(*own), (np.int64, np.int64, np.float64))))
+                for column, value in zip(columns, row):
+                    column.append(value)
+            owners = columns[1]
+            if not owners:
+                continue
+            take, sizes = pa.array(np.concatenate(owners).astype(np.int64)), [len(o) for o in owners]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()),
+                                              *(in_lists(batch.column(c).take(take), sizes) for c in ("doc", "home")),
+                                              *(pa.array(c, pa.binary()) for c in columns[3:])], names=names)
+
+    homed = docs.withColumn("home", F.pmod(F.xxhash64("doc"), F.lit(many)))
+    return map_batches(homed, run, DEALT.format(kind.simpleString()))
 
+
+def even_keys(spark: SparkSession, parts: int) -> list[int]:
+    """For each of so many shuffle partitions a number that Spark's hash puts there, so that each gets one part."""
+    keys = spark.range(24 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("at")).agg(F.min("id").alias("key"))
+    found = {r["at"]: r["key"] for r in keys.collect()}
+    return [found.get(i, 24 * parts + i) for i in range(parts)]
+
+
+def level_of(found: DataFrame, kind, parts: list[int], list_missing: bool) -> DataFrame:
+    """What the documents' requests of one order give: rows as in LEVEL, one for each document."""
+    back, names, arrow = names_of(HOME), names_of(LEVEL), to_arrow_type(kind)
+
+    def totals(table: pa.Table) -> pa.Table:
+        """Each request reads its n-gram's total; a document's sums go home."""
+        gram = numbers(table, "gram", np.int64)
+        at, n, pos, neg = (numbers(table, c, np.int32) for c in ("at", "n", "pos", "neg"))
+        ids, code, sizes = ids_of(table)
+        size, base = len(ids), np.cumsum(sizes) - sizes
+        by = np.argsort(gram)
+        ordered = gram[by]
+        new = np.append(True, ordered[1:] != ordered[:-1])[:len(gram)]
+        total = np.add.reduceat(n[by].astype(np.int64), np.flatnonzero(new)) if len(gram) else np.zeros(0, np.int64)
+        times = np.empty(len(gram), np.int64)
+        times[by] = np.repeat(total, np.diff(np.append(np.flatnonzero(new), len(gram))))
+        del by, ordered, new, total, n
+        asked = at >= 0
+        held = pc.fill_null(pc.binary_length(table.column("gram")), 0).to_numpy(zero_copy_only=False) // 8
+        owner = code[(at + np.repeat(base, held))[asked]]
+        times, gram, pos, neg = times[asked], gram[asked], pos[asked], neg[asked]
+        seen = times > 0
+        is_own = pc.is_valid(table.column("words")).to_numpy(zero_copy_only=False)
+        of_own = code[np.repeat(is_own, sizes)]
+        words, singles, known = (np.bincount(of_own, numbers(table, c, t), size) for c, t in (
+            ("words", np.int64), ("singles", np.int64), ("known", np.float64)))
+        part = known + np.bincount(owner, (pos - neg) * np.log(np.where(seen, times, 1)), size)
+        lost = np.bincount(owner[~seen], pos[~seen], size)
+        home = np.zeros(size, np.int64)
+        home[code] = table.column("homes").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(home, kind="stable")
+        rank = np.empty(size, np.int64)
+        rank[order] = np.arange(size)
+        absent = ~seen & (pos > 0) if list_missing else np.zeros(len(seen), bool)
+        lost_at = rank[owner[absent]]
+        missing = gram[absent][np.argsort(lost_at, kind="stable")]
+        n_missing = np.bincount(lost_at, minlength=size)
+        ends = np.cumsum(np.append(0, n_missing))
+        edges = np.append(np.flatnonzero(np.diff(home[order], prepend=-1)), size)
+        sums = [part[order].astype(float), *(c[order].astype(np.int64) for c in (words, lost, singles)), n_missing]
+        spans = list(zip(edges[:-1], edges[1:]))
+        return pa.Table.from_arrays(
+            [pa.array(np.array(parts, np.int64)[home[order][edges[:-1]]]),
+             in_lists(ids.take(pa.array(order)).cast(arrow), np.diff(edges)),
+             *(pa.array([c[a:b].tobytes() for a, b in spans], pa.binary()) for c in sums),
+             pa.array([missing[ends[a]:ends[b]].tobytes() for a, b in spans], pa.binary())], names=back)
+
+    def at_home(table: pa.Table) -> pa.Table:
+        """A document's sums of all parts."""
+        ids, code, _ = ids_of(table)
+        sums = [np.bincount(code, numbers(table, c, t), len(ids)).astype(t) for c, t in (
+            ("part", np.float64), ("n_words", np.int64), ("lost", np.int64), ("singles", np.int64))]
+        owner = np.repeat(code, numbers(table, "n_missing", np.int64))
+        missing = numbers(table, "missing", np.int64)[np.argsort(owner, kind="stable")]
+        return pa.Table.from_arrays(
+            [ids.cast(arrow), *(pa.array(c) for c in sums),
+             in_lists(pa.array(missing), np.bincount(owner, minlength=len(ids)))], names=names)
+
+    def at_once(run):
+        def of_part(batches):
+            whole = [b for b in batches if b.num_rows]
+            if whole:
+                yield from run(pa.Table.from_batches(whole)).to_batches()
+        return of_part
+
+    sent = map_batches(found.repartition(len(parts), "part"), at_once(totals), HOME.format(kind.simpleString()))
+    return map_batches(sent.repartition(len(parts), "home"), at_once(at_home), LEVEL.format(kind.simpleString()))
+
+
+def gram_counts(docs: DataFrame, order: int, top: int, asks: bool, only: set[int] | None = None) -> DataFrame:
+    """Rows (gram, n), as they are dealt, for n-grams that a few documents have or for a few n-grams."""
     def run(batches):
-        often = np.array(sorted(only if only is not None else hot), np.int64)
-        logs = np.log(np.array([hot.get(int(g), 1) for g in often], float))
-        none = np.zeros(0, np.int64)
-        for batch in slices(batches, "text"):
-            ids = batch.column("doc").to_pylist()
-            gone = batch.column("missing").to_pylist() if with_missing else [None] * len(ids)
-            asked, loose, own, size = [[none] * 4], [[none] * 2], [], [0] * len(ids)
-            for i, words in enumerate(word_hashes(raw_texts(batch, "text"))):
-                gram, n, pos, neg = requests(words, order, top, set(gone[i]) if gone[i] else None)
-                known, singles = 0.0, int(pos.sum()) if order == 1 else 0
-                if len(often) and len(gram):
-                    place = np.minimum(np.searchsorted(often, gram), len(often) - 1)
-                    is_hot = often[place] == gram
-                    if only is None:
-                        known = float(((pos - neg)[is_hot] * logs[place[is_hot]]).sum())
-                    keep = is_hot if only is not None else ~is_hot
-                    gram, n, pos, neg = gram[keep], n[keep], pos[keep], neg[keep]
-                wanted = pos + neg > 0 if asks else np.zeros(len(gram), bool)
-                if asks:
-                    own.append({"words": len(words) if order == 1 else 0, "singles": singles, "known": known})
-                    size[i] = int(wanted.sum())
-                    asked.append([gram[wanted], n[wanted] if counts else np.zeros(size[i], np.int64), pos[wanted],
-                                  neg[wanted]])
-                if counts:
-                    loose.append([gram[~wanted], n[~wanted]])
-            asked = [np.concatenate(c) for c in zip(*asked)]
-            loose = [np.concatenate(c) for c in zip(*loose)]
-            keys, at = np.unique(loose[0], return_inverse=True)
-            times = np.bincount(at, loose[1], len(keys)).astype(np.int64)
-            mark = np.array([xxhash.xxh64_intdigest(f"{order} {ids[i]}") >> 1 for i in range(len(own))], np.int64)
-            zero, nought = np.zeros(len(own), np.int64), np.zeros(len(keys), np.int64)
-            owner = np.concatenate([np.repeat(np.arange(len(ids)), size), np.arange(len(own))])
-            doc = pa.concat_arrays([batch.column("doc").take(pa.array(owner)),
-                                    pa.nulls(len(keys), to_arrow_type(kind))])
-            extra = pa.concat_arrays([pa.nulls(len(asked[0]), OWN), pa.array(own, OWN), pa.nulls(len(keys), OWN)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([asked[0], mark, keys])), doc,
-                 *(pa.array(np.concatenate(c).astype(np.int32)) for c in (
-                     (asked[1], zero, times), (asked[2], zero, nought), (asked[3], zero, nought))), extra],
-                names=["gram", "doc", "n", "pos", "neg", "own"])
-
-    return map_batches(docs, run, ROW.format(kind.simpleString()))
-
-
-def hot_counts(reference: DataFrame, probe: DataFrame, order: int, top: int) -> dict[int, int]:
-    """Exact totals of the n-grams that a probe of the documents shows to hold a large share of a partition's rows."""
-    spark = reference.sparkSession
-    share = HOT / int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_gram = stored(rows(probe, order, top, True, True, {}).where("n > 0").groupBy("gram")
-                     .agg(F.count("*").alias("n")), "probe")
+        for _, (_, gram, n, _, _), _ in entries(batches, order, top, True, asks, {}, only):
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], names=["gram", "n"])
+
+    return map_batches(docs, run, "gram long, n long")
+
+
+def hot_counts(reference: DataFrame, probe: DataFrame, order: int, top: int, parts: int | None = None) -> dict[int, int]:
+    """Exact totals of the n-grams that a probe of the documents shows to hold a large share of a part's entries."""
+    share = HOT / (parts or int(reference.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by_gram = stored(gram_counts(probe, order, top, True).groupBy("gram").agg(F.count("*").alias("n")), "probe")
     total = by_gram.agg(F.sum("n").alias("n")).first()["n"] or 0
     found = by_gram.where((F.col("n") > share * total) & (F.col("n") > 20)).collect()
     often = {r["gram"] for r in found}
     if not often:
         return {}
-    exact = rows(reference, order, top, True, False, {}, often).groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    exact = gram_counts(reference, order, top, False, often).groupBy("gram").agg(F.sum("n").alias("n")).collect()
     return {r["gram"]: r["n"] for r in exact}
 
 
@@ -193,25 +330,21 @@ def score(docs: DataFrame, reference: DataFrame | None = None, id_col: str = "do
     src = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     base = src if reference is None else reference.select(F.col(id_col).alias("doc"),
                                                           F.col(text_col).cast("string").alias("text"))
-    parts, asking = None, src
+    parts, asking, kind = None, src, src.schema["doc"].dataType
     probe = stored(base.sample(PROBE, SEED), "probe-docs")
+    spent = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + DOC_BYTES
+    size = sum(df.agg(F.sum(spent).alias("n")).first()["n"] or 0
+               for df in ([src] if reference is None else [src, base]))
+    many = max(math.ceil(size / PART_BYTES), 2 * src.sparkSession.sparkContext.defaultParallelism)
+    dealt_to = even_keys(src.sparkSession, many)
     for k in range(order, 0, -1):
-        hot = hot_counts(base, probe, k, order)
-        found = rows(asking, k, order, reference is None, True, hot)
+        hot = hot_counts(base, probe, k, order, many)
+        found = dealt(asking, k, order, reference is None, True, hot, dealt_to)
         if reference is not None:
-            counted = rows(base, k, order, True, False, hot)
-            found = found.unionByName(counted.withColumn("doc", F.lit(None).cast(src.schema["doc"].dataType)))
-        total = F.sum("n").over(Window.partitionBy("gram"))
-        asked = found.withColumn("total", total).where("pos + neg > 0 or own is not null")
-        worth = F.when(F.col("total") > 0, (F.col("pos") - F.col("neg")) * F.log(F.col("total").cast("double")))
-        lost = F.when(F.col("total") > 0, 0).otherwise(F.col("pos"))
-        per_doc = [F.sum(F.coalesce(worth, F.lit(0.0)) + F.coalesce("own.known", F.lit(0.0))).alias("part"),
-                   F.sum("own.words").alias("n_words"),
-                   F.sum(lost).alias("lost"), F.sum("own.singles").alias("singles")]
-        if reference is not None and k > 1:
-            absent = F.when((F.col("pos") > 0) & (F.col("total") == 0), F.col("gram"))
-            per_doc.append(F.collect_list(absent).alias("missing"))
-        level = stored(asked.groupBy("doc").agg(*per_doc), f"order-{k}")
+            counted = dealt(base.select(F.lit(None).cast(kind).alias("doc"), "text"), k, order, True, False, hot, dealt_to)
+            found = found.unionByName(counted)
+        lists = reference is not None and k > 1
+        level = stored(level_of(found, kind, dealt_to, lists), f"order-{k}")
         extra = F.lit(math.log(backoff)) if k > 1 else F.lit(math.log(0.5))
         one = level.select("doc", "n_words", "singles", (F.col("part") + F.col("lost") * extra).alias("part"))
         parts = one if parts is None else parts.unionByName(one)

@@ -79,3 +79,23 @@ def test_words_of_many_texts_at_once():
         for word, h in zip(text.lower().split(), found.tolist()):
             assert of.setdefault(word, h) == h
     assert len(set(of.values())) == len(of) == 3
+
+
+def test_ngrams_are_dealt_many_to_a_row(spark, monkeypatch):
+    """A shuffle has a row per slice and part, not one per n-gram, and a document's sums go home in rows of many."""
+    rows, sent = [(i, " ".join(f"w{i * j % 97}" for j in range(300))) for i in range(40)], []
+    write = L.stored
+
+    def counted(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        sent.append((name, "MapInArrow" in plan, "Window" in plan))
+        return write(df, name)
+
+    monkeypatch.setattr(L, "stored", counted)
+    monkeypatch.setattr(L, "PART_BYTES", 2000)  # more parts than there are cores
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    same(L.score(docs), brute(rows, [t for _, t in rows]))
+    orders = [s for s in sent if s[0].startswith("order-")]
+    assert len(orders) == 3 and all(packed and not window for _, packed, window in orders)
+    base = docs.selectExpr("doc_id as doc", "text")
+    assert L.dealt(base, 3, 3, True, True, {}, list(range(8))).count() <= 8 + 1 < 40 * 90
