@@ -9,7 +9,8 @@ aggregate on (merchant, grain, key) with
   delay values, so a hot merchant never ships its raw delays to one task),
 * (merchant, psp_name) and (merchant, buyer) paid gross -> HHI (H1),
 
-then one conditional fold per merchant.
+then one conditional fold per merchant and delay, whose rows are few, and the
+percentiles and totals per merchant from those.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def psp_stats(psp: DataFrame, as_of: dt.date, history: DataFrame | None = None)
       h  delay-days histogram of paid payments -> exact p95 / median by
          ``percentile`` with the counts as frequencies,
       p / b  paid gross per PSP / per buyer -> HHI.
-    Then one conditional fold per merchant; no window.
+    Then one conditional fold per merchant and delay, and one per merchant; no window.
 
     With ``history`` (as ``psp_history`` gives it) the payments are read for the last 365 days only: months before that
     of ``as_of`` come from the history wherever a feature covers all of it."""
@@ -124,16 +125,20 @@ def psp_stats(psp: DataFrame, as_of: dt.date, history: DataFrame | None = None)
     for k, v in weekly_slope_stats(kd, gross, (F.col("g") == "d") & is_paid & wk[90],
                                    anchor=cutoff(as_of, 90)).items():
         fold.append(v.alias(f"gpv_{k}"))
-    # the delay histogram weighs its own values: exact percentiles without a window over the other grains
-    fold += [F.percentile(at("h", fl), prob, at("h", n)).alias(name)
-             for name, prob in (("delay_p95", 0.95), ("delay_p50", 0.5))]
     for tag, alias in (("p", "plat"), ("b", "buyer")):
         v = dbl(gross)
         fold += [F.sum(at(tag, v * v)).alias(f"{alias}_sq"), F.sum(at(tag, v)).alias(f"{alias}_total")]
     if history is not None:  # a PSP or buyer has a row per month: their shares are of all months together
         keys = ["merchant_id", *GRAIN_KEYS]
         g = g.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in g.columns if c not in keys])
-    out = g.groupBy("merchant_id").agg(*fold)
+    # sums first, with a row per delay: the percentiles' aggregate takes objects, row by row, and sorts beyond 128 merchants
+    folded = g.groupBy("merchant_id", at("h", fl).alias("_delay")).agg(*fold, F.sum(at("h", n)).alias("_delay_n"))
+    merged = {"gpv_wmin": F.min, "gpv_wmax": F.max}
+    names = [c for c in folded.columns if c not in ("merchant_id", "_delay", "_delay_n")]
+    # the delay histogram weighs its own values: exact percentiles without a window over the other grains
+    out = folded.groupBy("merchant_id").agg(
+        *[merged.get(c, F.sum)(c).alias(c) for c in names],
+        *[F.percentile("_delay", prob, F.col("_delay_n")).alias(name) for name, prob in (("delay_p95", 0.95), ("delay_p50", 0.5))])
     out = out.withColumn("paid_net_all", eur(F.col("paid_net_c"))) \
              .withColumn("card_pct_90", F.when((F.col("rows_90") > 0) & F.lit(not no_method),
                                                dbl(F.coalesce(F.col("card_90"), F.lit(0))) / dbl(F.col("rows_90"))))

@@ -20,6 +20,8 @@ from quire.sources.schemas import POSTING_ORDER
 
 RECON_MAX_DELTA = 0.20
 OPENING_BALANCE = 10_000
+#: Days of one merchant whose postings a task orders together.
+BALANCE_SPAN_DAYS = 14
 # VAT rate and the months in which accumulated VAT falls due.
 VAT_RATE = "0.21"
 VAT_PAYMENT_MONTHS = (1, 4, 7, 10)
@@ -78,29 +80,34 @@ def running_balance(postings: DataFrame, opening: int = OPENING_BALANCE, merchan
 
     Postings are ordered by date and, inside a day, by the place they came with
     (posting_seq), or else by transaction_id (``identity``, where that is derived from other columns: it is then
-    made after the exchange, and not sent). ``merchant`` names the merchant's key. A day's opening balance is
-    a running sum over per-day nets, which goes before the day's postings as one
-    more row; inside a day, a window adds them up. So a merchant with very many
-    rows is split by day, and a task sorts its rows once, after one exchange on
-    (merchant, date), into ``parts`` if given. Postings without a merchant or a
-    date are left out."""
-    daily = postings.groupBy(merchant, "date").agg(F.sum("amount").alias("_day_net"))
-    days = Window.partitionBy(merchant).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    opened = daily.select(merchant, "date", F.coalesce(F.sum("_day_net").over(days), F.lit(0)).alias("_before"))
+    made after the exchange, and not sent). ``merchant`` names the merchant's key. The
+    balance before a span of days is a running sum over the spans' nets, which goes before
+    the span's postings as one more row; inside a span, a window adds them up. So a merchant
+    with very many rows is split by span, few rows are added, and a task sorts its rows once,
+    after one exchange on (merchant, span), into ``parts`` if given. A posting has no balance
+    while no posting of its day has had an amount. Postings without a merchant or a date are left out."""
+    keyed = postings.where(F.col(merchant).isNotNull() & F.col("date").isNotNull()).withColumn(
+        "_span", F.floor(F.unix_date("date") / BALANCE_SPAN_DAYS))
+    net = keyed.groupBy(merchant, "_span").agg(F.sum("amount").alias("_net"))
+    spans = Window.partitionBy(merchant).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    opened = net.select(merchant, "_span", F.coalesce(F.sum("_net").over(spans), F.lit(0)).alias("_before"))
     placed = POSTING_ORDER in postings.columns
     order = F.col(POSTING_ORDER) if placed else F.col("transaction_id") if identity is None else identity
-    keyed = F.col(merchant).isNotNull() & F.col("date").isNotNull()
-    rows = postings.where(keyed).unionByName(opened.where(keyed), allowMissingColumns=True)
-    keys = [F.col(merchant), F.col("date")]
+    rows = keyed.unionByName(opened, allowMissingColumns=True)
+    keys = [F.col(merchant), F.col("_span")]
     dealt = rows.repartition(parts, *keys) if parts else rows.repartition(*keys)
     posting = F.col("_before").isNull()
-    day = Window.partitionBy(merchant, "date").orderBy("_posting", "_order")
-    until = day.rowsBetween(Window.unboundedPreceding, 0)
-    balance = F.lit(opening) + F.max("_before").over(until) + F.sum("amount").over(until)
+    span = Window.partitionBy(merchant, "_span")
+    by_day, by_posting = span.orderBy("_posting", "date"), span.orderBy("_posting", "date", "_order")
+    until = by_posting.rowsBetween(Window.unboundedPreceding, 0)
+    known = F.max(F.when(F.col("amount").isNotNull(), F.col("date"))).over(until) == F.col("date")
+    balance = F.lit(opening) + F.max("_before").over(until) + F.coalesce(F.sum("amount").over(until), F.lit(0))
     others = [c for c in postings.columns if c not in (merchant, "date", POSTING_ORDER)]
     return (dealt.withColumn("_posting", posting).withColumn("_order", order)
-            .withColumn("balance_after", balance.cast("decimal(18,2)"))
-            .withColumn(POSTING_ORDER, F.col("_order") if placed else (F.row_number().over(day) - 1).cast("long"))
+            .withColumn("balance_after", F.when(known, balance).cast("decimal(18,2)"))
+            .withColumn("_nth", F.row_number().over(by_posting))
+            # the rank comes last, as the rows are in its order by then
+            .withColumn(POSTING_ORDER, F.col("_order") if placed else (F.col("_nth") - F.rank().over(by_day) + 1).cast("long"))
             .where(posting).select(merchant, "date", *others, *(c for c in ("balance_after",) if c not in others), POSTING_ORDER))
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -89,6 +90,12 @@ class FixtureSources:
             self._tables[name] = write_table(df, name) if self.materialized else df
         return self._tables[name]
 
+    def _view(self, name: str, build) -> DataFrame:
+        """A view whose rows are stored as numbers; its projection is not written again."""
+        if name not in self._tables:
+            self._tables[name] = build()
+        return self._tables[name]
+
     def keep(self, name: str, written: DataFrame) -> DataFrame:
         """A view that has been written elsewhere: views derived from it read that table."""
         self._tables[name] = written
@@ -150,29 +157,41 @@ class FixtureSources:
         return li.filter(F.col("l_shipdate") < upper)
 
     @property
-    def psp(self) -> DataFrame:
-        return self._store("psp", self._build_psp)
+    def lines(self) -> DataFrame:
+        return self._store("lines", self._build_lines)
 
-    def _build_psp(self) -> DataFrame:
+    def _build_lines(self) -> DataFrame:
+        """Shipped lines with their order's customer: the one join under the PSP and webshop rows. Numbers and dates only;
+        both views make their texts when they are read, and only those that the reader asks for."""
         li = self._shipped()
         o = self.table("orders").select("o_orderkey", "o_custkey")
-        j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
-        k = merchant_key(F.col("l_suppkey"))
         gross = money(F.col("l_extendedprice"))
+        fee = money(F.round(F.col("gross_amount") * dec("0.015"), 2))
+        return (li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+                .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_custkey", "l_quantity", "l_discount",
+                        F.col("l_shipdate").cast("date").alias("order_date"), gross.alias("gross_amount"))
+                .withColumn("fee_amount", fee)
+                .withColumn("net_amount", money(F.col("gross_amount") - F.col("fee_amount"))))
+
+    @property
+    def psp(self) -> DataFrame:
+        return self._view("psp", self._build_psp)
+
+    def _build_psp(self) -> DataFrame:
+        k = merchant_key(F.col("l_suppkey"))
         pk = F.col("l_partkey")
         ln = F.col("l_linenumber")
         is_cb = pk % 150 == 0
-        base = j.select(
+        base = self.lines.select(
             line_id("P").alias("psp_transaction_id"),
             merchant_id_of(k).alias("merchant_id"),
             k.alias("k"),
             F.when(steady(k), F.when(ln % 3 == 0, "mollie").when(ln % 3 == 1, "adyen").otherwise("stripe"))
              .when(ln % 2 == 0, "mollie").otherwise("adyen").alias("psp_name"),
-            F.col("l_shipdate").cast("date").alias("order_date"),
-            F.date_add(F.col("l_shipdate").cast("date"), (F.lit(1) + pk % F.when(steady(k), 4).otherwise(9)).cast("int"))
+            "order_date",
+            F.date_add("order_date", (F.lit(1) + pk % F.when(steady(k), 4).otherwise(9)).cast("int"))
              .alias("settlement_date"),
-            gross.alias("gross_amount"),
-            money(F.round(gross * dec("0.015"), 2)).alias("fee_amount"),
+            "gross_amount", "fee_amount",
             F.when(is_cb, "chargeback")
              .when((pk % 100 >= 1) & (pk % 100 <= F.when(steady(k), 1).otherwise(2 + 2 * (k % 5))), "refunded")
              .otherwise("paid").alias("status"),
@@ -180,24 +199,42 @@ class FixtureSources:
              .otherwise("klarna").alias("payment_method"),
             F.concat(F.lit("buyer_"), F.col("o_custkey").cast("string")).alias("buyer_id"),
             F.when(is_cb, F.when(F.col("l_orderkey") % 2 == 0, "won").otherwise("lost")).alias("dispute_outcome"),
+            "net_amount",
         )
-        return base.withColumn("net_amount", money(F.col("gross_amount") - F.col("fee_amount"))) \
-                   .withColumn("refund_amount",
+        return base.withColumn("refund_amount",
                                F.when(F.col("status") == "paid", F.lit(0).cast("decimal(18,2)"))
                                 .otherwise(F.col("gross_amount")))
 
     @property
     def bank(self) -> DataFrame:
-        return self._store("bank", self._build_bank)
+        return self._view("bank", self._build_bank)
 
     def _build_bank(self) -> DataFrame:
+        """Texts are made when they are read, as those of the PSP rows."""
+        k, ln, credit = F.col("k"), F.col("l_linenumber"), F.col("_credit")
+        return self._store("balances", self._build_balances).select(
+            self._posting_id().alias("transaction_id"), merchant_id_of(k).alias("merchant_id"), "k", "date", "amount",
+            F.when(credit, "CREDIT").otherwise("DEBIT").alias("direction"),
+            F.when(~credit, F.concat(F.lit("Supplier_"), (F.col("l_partkey") % 19).cast("string")))
+             .when(F.col("psp_name") == "mollie", "Mollie B.V.").when(F.col("psp_name") == "adyen", "Adyen N.V.")
+             .otherwise("Stripe Ltd.").alias("counterparty_name"),
+            F.when(credit, "psp_settlement").when(~F.col("_final"), "bank_fee").when(ln <= 4, "supplier_payment")
+             .when(ln == 5, "advertising").when(ln == 6, "tax_payment").otherwise("nsf_fee").alias("category"),
+            "balance_after", "posting_seq")
+
+    @staticmethod
+    def _posting_id() -> Column:
+        return F.when(F.col("_credit"), F.concat_ws("_", F.lit("C"), "date", "psp_name")).otherwise(line_id("D"))
+
+    def _build_balances(self) -> DataFrame:
         k = F.col("k")
         same_month = Window.partitionBy("k", "_in")
         even = F.expr("CAST(_month * 100 AS BIGINT) * 98 div (100 * _n)").cast("decimal(18,0)") / dec("100.0")
         credits = (
             self.psp.filter((F.col("status") == "paid") & (F.col("settlement_date") <= F.lit(self.as_of)))
-            .groupBy("k", "settlement_date", "psp_name")
-            .agg(F.sum("net_amount").alias("net")).withColumn("_in", F.trunc("settlement_date", "month"))
+            .select("k", "settlement_date", "psp_name", "net_amount", F.trunc("settlement_date", "month").alias("_in"))
+            .repartition("k", "_in")  # one exchange for the days' sums and the months'
+            .groupBy("k", "_in", "settlement_date", "psp_name").agg(F.sum("net_amount").alias("net"))
             .withColumn("_month", F.sum("net").over(same_month)).withColumn("_n", F.count(F.lit(1)).over(same_month))
             .select(
                 "k", F.col("settlement_date").alias("date"),
@@ -211,49 +248,39 @@ class FixtureSources:
         lk = merchant_key(F.col("l_suppkey"))
         ln = F.col("l_linenumber")
         final = F.col("l_linestatus") == "F"
-        factor = (F.when(~final, dec("0.01")).when(ln <= 4, dec("0.80"))
-                  .when(ln == 5, F.when(lk % 5 == 0, dec("3.00")).otherwise(dec("0.60")))
-                  .when(ln == 6, dec("0.50")).otherwise(dec("0.01")))
-        scale = F.when(lk % 10 == 5, dec("4.00")).otherwise(dec("1.00"))
+
+        def share(times: int) -> Column:
+            part = lambda literal: dec(str(Decimal(literal) * times))
+            return (F.when(~final, part("0.01")).when(ln <= 4, part("0.80"))
+                    .when(ln == 5, F.when(lk % 5 == 0, part("3.00")).otherwise(part("0.60")))
+                    .when(ln == 6, part("0.50")).otherwise(part("0.01")))
+
+        factor = F.when(lk % 10 == 5, share(4)).otherwise(share(1))
         debits = li.select(
             lk.alias("k"), F.col("l_shipdate").cast("date").alias("date"),
-            money(-F.round(money(F.col("l_extendedprice")) * factor * scale, 2)).alias("amount"),
+            money(-F.round(money(F.col("l_extendedprice")) * factor, 2)).alias("amount"),
             F.lit(False).alias("_credit"), final.alias("_final"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         )
-        credit = F.col("_credit")
-        identity = F.when(credit, F.concat_ws("_", F.lit("C"), "date", "psp_name")).otherwise(line_id("D"))
-        # the postings are read twice: for the days' sums and for the balances; numbers only, texts are made after that
+        # the postings are read twice: for the sums of spans of days and for the balances; numbers only
         postings = write_table(credits.unionByName(debits, allowMissingColumns=True), "postings")
         parts = math.ceil(postings.count() / TASK_POSTINGS) or None
-        return running_balance(postings, merchant="k", identity=identity, parts=parts).select(
-            identity.alias("transaction_id"), merchant_id_of(k).alias("merchant_id"), "k", "date", "amount",
-            F.when(credit, "CREDIT").otherwise("DEBIT").alias("direction"),
-            F.when(~credit, F.concat(F.lit("Supplier_"), (F.col("l_partkey") % 19).cast("string")))
-             .when(F.col("psp_name") == "mollie", "Mollie B.V.").when(F.col("psp_name") == "adyen", "Adyen N.V.")
-             .otherwise("Stripe Ltd.").alias("counterparty_name"),
-            F.when(credit, "psp_settlement").when(~F.col("_final"), "bank_fee").when(ln <= 4, "supplier_payment")
-             .when(ln == 5, "advertising").when(ln == 6, "tax_payment").otherwise("nsf_fee").alias("category"),
-            "balance_after", "posting_seq")
+        return running_balance(postings, merchant="k", identity=self._posting_id(), parts=parts)
 
     @property
     def webshop(self) -> DataFrame:
-        return self._store("webshop", self._build_webshop)
+        return self._view("webshop", self._build_webshop)
 
     def _build_webshop(self) -> DataFrame:
-        li = self._shipped()
-        o = self.table("orders").select("o_orderkey", "o_custkey")
         k = merchant_key(F.col("l_suppkey"))
-        j = li.filter(k % 5 != 4).join(o, li.l_orderkey == o.o_orderkey, "inner")
         ln = F.col("l_linenumber")
         pk50 = F.col("l_partkey") % 50
-        gross = money(F.col("l_extendedprice"))
-        return j.select(
+        return self.lines.filter(k % 5 != 4).select(
             line_id("O").alias("order_id"),
             merchant_id_of(k).alias("merchant_id"),
-            F.col("l_shipdate").cast("date").alias("order_date"),
+            "order_date",
             F.when(ln % 3 == 0, "website").when(ln % 3 == 1, "mobile_app").otherwise("api").alias("channel"),
-            gross.alias("gross_amount"),
-            money(F.round(gross * F.col("l_discount").cast("decimal(4,2)"), 2)).alias("discount_amount"),
+            "gross_amount",
+            money(F.round(F.col("gross_amount") * F.col("l_discount").cast("decimal(4,2)"), 2)).alias("discount_amount"),
             F.col("l_quantity").cast("int").alias("item_count"),
             F.concat(F.lit("sku_"), (F.col("l_partkey") % 40).cast("string")).alias("sku_id"),
             F.when(pk50 < F.lit(1) + k % 5, "cancelled").when((pk50 >= 10) & (pk50 <= 12), "returned")

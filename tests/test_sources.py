@@ -227,3 +227,52 @@ def test_balances_sort_postings_once_in_parts_of_bounded_size(spark):
             n = n + 1 if r.date == day else 1
             day, balance = r.date, balance + (r.amount or 0)
             assert r.posting_seq == n and r.balance_after in (None, balance)
+
+
+def test_balances_add_a_row_per_span_and_not_per_day(spark):
+    """What goes before the postings grows with a merchant's spans of days, not with its days; sorted once."""
+    from pyspark.sql import functions as F
+
+    from quire.operators.reconcile import BALANCE_SPAN_DAYS, running_balance
+    days = 10 * BALANCE_SPAN_DAYS
+    df = spark.range(2 * days).select(F.lit(1).alias("k"), F.expr(f"date_add(DATE '2001-01-04', cast(id % {days} as int))").alias("date"),
+                                      F.lit("-2.25").cast("decimal(18,2)").alias("amount"), F.col("id").cast("string").alias("text"))
+    out = running_balance(df, merchant="k", identity=F.col("text"), parts=3)
+    rows = sorted(out.collect(), key=lambda r: (r.date, r.posting_seq))
+    plan = out._jdf.queryExecution().executedPlan()
+    assert [float(r.balance_after) for r in rows] == [10000 - 2.25 * (i + 1) for i in range(2 * days)]
+    assert [r.posting_seq for r in rows] == [1, 2] * days
+    text = plan.toString().split("== Initial Plan ==")[0]
+    assert sum("Sort [" in line for line in text.splitlines()) == 2  # the postings, and the spans' nets
+
+
+def test_lines_are_joined_once_for_psp_and_webshop(spark):
+    """PSP and webshop rows read one stored join; neither is written again."""
+    from quire.sources.adapters import FixtureSources
+    f = FixtureSources(spark, "/root/testdata/sf0.001")
+    for view in (f.psp, f.webshop):
+        assert "Join" not in view._jdf.queryExecution().executedPlan().toString()
+        assert all("/lines-" in path for path in view.inputFiles())
+
+
+def test_psp_percentiles_take_a_row_per_delay(spark):
+    """The aggregate that takes objects gets a merchant's delays, not its buyers; figures as of all rows."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from quire.operators.features.psp import psp_stats
+    n = 400
+    psp = spark.range(n).select(
+        F.lit("m").alias("merchant_id"), F.lit(dt.date(2001, 7, 1)).alias("order_date"),
+        F.expr("date_add(DATE '2001-07-01', cast(id % 4 as int))").alias("settlement_date"), F.lit("paid").alias("status"),
+        F.lit("p").alias("psp_name"), F.concat(F.lit("b"), F.col("id")).alias("buyer_id"), F.lit("ideal").alias("payment_method"),
+        F.lit(None).cast("string").alias("dispute_outcome"),
+        *[F.lit(v).cast("decimal(18,2)").alias(c) for c, v in (("gross_amount", 2), ("net_amount", 1), ("refund_amount", 0))])
+    out = psp_stats(psp, dt.date(2001, 8, 1))
+    r = out.collect()[0]
+    assert (r.ps_rows_all, r.ps_delay_p50, r.ps_delay_p95, r.ps_delay_s1) == (n, 1.5, 3.0, 600)
+    assert (r.ps_buyer_total, r.ps_buyer_sq, r.ps_plat_total) == (200.0 * n, 40000.0 * n, 200.0 * n)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    objects = [i for i, line in enumerate(plan) if "ObjectHashAggregate" in line or "SortAggregate" in line]
+    assert objects and any("_delay" in line and " HashAggregate" in line for line in plan[max(objects):])
