@@ -273,6 +273,8 @@ def test_psp_percentiles_take_a_row_per_delay(spark):
     r = out.collect()[0]
     assert (r.ps_rows_all, r.ps_delay_p50, r.ps_delay_p95, r.ps_delay_s1) == (n, 1.5, 3.0, 600)
     assert (r.ps_buyer_total, r.ps_buyer_sq, r.ps_plat_total) == (200.0 * n, 40000.0 * n, 200.0 * n)
-    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    text = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "hashpartitioning(merchant_id" in text and "REPARTITION_BY_COL" in text  # buyers are dealt, then grouped
+    plan = text.splitlines()
     objects = [i for i, line in enumerate(plan) if "ObjectHashAggregate" in line or "SortAggregate" in line]
     assert objects and any("_delay" in line and " HashAggregate" in line for line in plan[max(objects):])
