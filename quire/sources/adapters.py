@@ -80,14 +80,14 @@ class FixtureSources:
         self.materialized = materialized
         self._tables: dict[str, DataFrame] = {}
 
-    def _store(self, name: str, build) -> DataFrame:
+    def _store(self, name: str, build, folder: str | None = None) -> DataFrame:
         """Each canonical view is derived once and written as a reliable
         checkpoint (the shared checkpoint folder), like a stored source table:
         every operator and every later query reads it instead of re-deriving
         joins, windows and aggregates from the raw star schema."""
         if name not in self._tables:
             df = build()
-            self._tables[name] = write_table(df, name) if self.materialized else df
+            self._tables[name] = write_table(df, folder or name) if self.materialized else df
         return self._tables[name]
 
     def _view(self, name: str, build) -> DataFrame:
@@ -156,42 +156,30 @@ class FixtureSources:
         upper = F.lit((self.as_of + dt.timedelta(days=1)).isoformat()).cast("timestamp_ntz")
         return li.filter(F.col("l_shipdate") < upper)
 
-    @property
-    def lines(self) -> DataFrame:
-        return self._store("lines", self._build_lines)
-
-    def _build_lines(self) -> DataFrame:
-        """Shipped lines with their order's customer: the one join under the PSP and webshop rows. Numbers and dates only;
-        both views make their texts when they are read, and only those that the reader asks for."""
-        li = self._shipped()
-        o = self.table("orders").select("o_orderkey", "o_custkey")
-        gross = money(F.col("l_extendedprice"))
-        fee = money(F.round(F.col("gross_amount") * dec("0.015"), 2))
-        return (li.join(o, li.l_orderkey == o.o_orderkey, "inner")
-                .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_custkey", "l_quantity", "l_discount",
-                        F.col("l_shipdate").cast("date").alias("order_date"), gross.alias("gross_amount"))
-                .withColumn("fee_amount", fee)
-                .withColumn("net_amount", money(F.col("gross_amount") - F.col("fee_amount"))))
-
     @property
     def psp(self) -> DataFrame:
-        return self._view("psp", self._build_psp)
+        return self._store("psp", self._build_psp)
 
     def _build_psp(self) -> DataFrame:
+        li = self._shipped()
+        o = self.table("orders").select("o_orderkey", "o_custkey")
+        j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
         k = merchant_key(F.col("l_suppkey"))
+        gross = money(F.col("l_extendedprice"))
         pk = F.col("l_partkey")
         ln = F.col("l_linenumber")
         is_cb = pk % 150 == 0
-        base = self.lines.select(
+        base = j.select(
             line_id("P").alias("psp_transaction_id"),
             merchant_id_of(k).alias("merchant_id"),
             k.alias("k"),
             F.when(steady(k), F.when(ln % 3 == 0, "mollie").when(ln % 3 == 1, "adyen").otherwise("stripe"))
              .when(ln % 2 == 0, "mollie").otherwise("adyen").alias("psp_name"),
-            "order_date",
-            F.date_add("order_date", (F.lit(1) + pk % F.when(steady(k), 4).otherwise(9)).cast("int"))
+            F.col("l_shipdate").cast("date").alias("order_date"),
+            F.date_add(F.col("l_shipdate").cast("date"), (F.lit(1) + pk % F.when(steady(k), 4).otherwise(9)).cast("int"))
              .alias("settlement_date"),
-            "gross_amount", "fee_amount",
+            gross.alias("gross_amount"),
+            money(F.round(gross * dec("0.015"), 2)).alias("fee_amount"),
             F.when(is_cb, "chargeback")
              .when((pk % 100 >= 1) & (pk % 100 <= F.when(steady(k), 1).otherwise(2 + 2 * (k % 5))), "refunded")
              .otherwise("paid").alias("status"),
@@ -199,9 +187,9 @@ class FixtureSources:
              .otherwise("klarna").alias("payment_method"),
             F.concat(F.lit("buyer_"), F.col("o_custkey").cast("string")).alias("buyer_id"),
             F.when(is_cb, F.when(F.col("l_orderkey") % 2 == 0, "won").otherwise("lost")).alias("dispute_outcome"),
-            "net_amount",
         )
-        return base.withColumn("refund_amount",
+        return base.withColumn("net_amount", money(F.col("gross_amount") - F.col("fee_amount"))) \
+                   .withColumn("refund_amount",
                                F.when(F.col("status") == "paid", F.lit(0).cast("decimal(18,2)"))
                                 .otherwise(F.col("gross_amount")))
 
@@ -210,9 +198,9 @@ class FixtureSources:
         return self._view("bank", self._build_bank)
 
     def _build_bank(self) -> DataFrame:
-        """Texts are made when they are read, as those of the PSP rows."""
+        """Texts are made when they are read, from stored numbers."""
         k, ln, credit = F.col("k"), F.col("l_linenumber"), F.col("_credit")
-        return self._store("balances", self._build_balances).select(
+        return self._store("balances", self._build_balances, "bank").select(
             self._posting_id().alias("transaction_id"), merchant_id_of(k).alias("merchant_id"), "k", "date", "amount",
             F.when(credit, "CREDIT").otherwise("DEBIT").alias("direction"),
             F.when(~credit, F.concat(F.lit("Supplier_"), (F.col("l_partkey") % 19).cast("string")))
@@ -268,19 +256,23 @@ class FixtureSources:
 
     @property
     def webshop(self) -> DataFrame:
-        return self._view("webshop", self._build_webshop)
+        return self._store("webshop", self._build_webshop)
 
     def _build_webshop(self) -> DataFrame:
+        li = self._shipped()
+        o = self.table("orders").select("o_orderkey", "o_custkey")
         k = merchant_key(F.col("l_suppkey"))
+        j = li.filter(k % 5 != 4).join(o, li.l_orderkey == o.o_orderkey, "inner")
         ln = F.col("l_linenumber")
         pk50 = F.col("l_partkey") % 50
-        return self.lines.filter(k % 5 != 4).select(
+        gross = money(F.col("l_extendedprice"))
+        return j.select(
             line_id("O").alias("order_id"),
             merchant_id_of(k).alias("merchant_id"),
-            "order_date",
+            F.col("l_shipdate").cast("date").alias("order_date"),
             F.when(ln % 3 == 0, "website").when(ln % 3 == 1, "mobile_app").otherwise("api").alias("channel"),
-            "gross_amount",
-            money(F.round(F.col("gross_amount") * F.col("l_discount").cast("decimal(4,2)"), 2)).alias("discount_amount"),
+            gross.alias("gross_amount"),
+            money(F.round(gross * F.col("l_discount").cast("decimal(4,2)"), 2)).alias("discount_amount"),
             F.col("l_quantity").cast("int").alias("item_count"),
             F.concat(F.lit("sku_"), (F.col("l_partkey") % 40).cast("string")).alias("sku_id"),
             F.when(pk50 < F.lit(1) + k % 5, "cancelled").when((pk50 >= 10) & (pk50 <= 12), "returned")
