@@ -14,12 +14,14 @@ the edits; shorter parts are found only where they hold a window.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -78,9 +80,10 @@ def edit_budget(length: int, rate: float, q: int) -> int:
 
 @dataclass
 class Block:
-    """Windows of benchmark items, and their q-grams in the order of their hashes."""
+    """Windows of benchmark items (places in ``codes``), and their q-grams in the order of their hashes."""
     items: list
-    windows: list[np.ndarray]
+    codes: np.ndarray
+    first: np.ndarray
     owner: list[int]
     length: np.ndarray
     budget: np.ndarray
@@ -91,6 +94,13 @@ class Block:
     position: np.ndarray
     likely: np.ndarray
 
+    def window(self, w: int) -> np.ndarray:
+        return self.codes[self.first[w]:self.first[w] + self.length[w]]
+
+    @property
+    def windows(self) -> list[np.ndarray]:
+        return [self.window(w) for w in range(len(self.owner))]
+
     def required(self, q: int) -> np.ndarray:
         """Shared q-grams that each window asks for."""
         return self.length - q + 1 - self.budget * q
@@ -99,10 +109,9 @@ class Block:
 def build_block(rows: list[tuple], q: int, window: int, stride: int, rate: float,
                 part: tuple[int, int] | None = None) -> Block:
     """Index (item_id, text) rows by windows, and by the short windows of ``part`` (their length and stride) too. An item too short for a bound is kept for comparison with whole documents."""
-    items, windows, owner, whole = [], [], [], {}
+    items, texts_of, first, length, owner, whole, at = [], [], [], [], [], {}, 0
     for item_id, text in rows:
         t = normal(text or "")
-        codes = code_points(t)
         if 0 < len(t) < 2 * q:
             whole.setdefault(t, []).append(len(items))
         elif t:
@@ -111,20 +120,49 @@ def build_block(rows: list[tuple], q: int, window: int, stride: int, rate: float
                 last = max(len(t) - size, 0)
                 spans |= {(s, min(s + size, len(t))) for s in (*range(0, last + 1, step), last)}
             for start, end in sorted(spans):
-                windows.append(codes[start:end])
+                first.append(at + start)
+                length.append(end - start)
                 owner.append(len(items))
+            texts_of.append(t)
+            at += len(t)
         items.append(item_id)
-    hashes = [gram_hashes(w, q) for w in windows]
-    size = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    flat = np.concatenate([np.zeros(0, np.uint64), *hashes])
-    order = np.argsort(flat, kind="stable")
-    grams, starts = np.unique(flat[order], return_index=True)
+    codes, first, length = code_points("".join(texts_of)), np.array(first, np.int64), np.array(length, np.int64)
+    hashes, size = gram_hashes(codes, q), np.maximum(length - q + 1, 0)
+    total = int(size.sum())
+    kind = np.int32 if max(total, len(codes)) < 1 << 31 else np.int64
+    # windows overlap: each place of the texts is hashed and ranked once, and windows hold places
+    place = np.arange(total, dtype=kind) + np.repeat((first - (np.cumsum(size) - size)).astype(kind), size)
+    used = np.zeros(len(hashes), bool)
+    used[place] = True
+    grams, number = np.unique(hashes[used], return_inverse=True)
+    rank = np.zeros(len(hashes), kind)
+    rank[used] = number
+    key = rank[place]
+    starts = np.append(0, np.cumsum(np.bincount(key, minlength=len(grams))))
+    order = np.argsort(key, kind="stable").astype(kind)
+    del hashes, used, number, rank, key
+    position = (place - np.repeat(first.astype(kind), size)).astype(np.min_scalar_type(int(size.max(initial=0))))[order]
+    del place
     likely = np.zeros(1 << FILTER_BITS, bool)
     likely[_slot(grams)] = True
-    length = np.fromiter(map(len, windows), np.int64, len(windows))
-    return Block(items, windows, owner, length, np.array([edit_budget(n, rate, q) for n in length.tolist()], np.int64),
-                 whole, grams, np.append(starts, len(flat)), np.repeat(np.arange(len(size)), size)[order],
-                 (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size))[order], likely)
+    return Block(items, codes, first, owner, length, np.array([edit_budget(n, rate, q) for n in length.tolist()], np.int64),
+                 whole, grams, starts, np.repeat(np.arange(len(size), dtype=kind), size)[order], position, likely)
+
+
+class Unpickled:
+    """An object that comes out of its pickle as what a call gives."""
+
+    def __init__(self, call, *args):
+        self.call, self.args = call, args
+
+    def __reduce__(self):
+        return self.call, self.args
+
+
+def sent(spark: SparkSession, rows: list[tuple], *how) -> Broadcast:
+    """A broadcast of benchmark rows whose value is their block in the tasks. The texts alone are sent, and each Python
+    worker indexes them once: an index is some forty times as large, more than the driver should build, pickle and keep."""
+    return spark.sparkContext.broadcast(Unpickled(pickle.loads, cloudpickle.dumps(Unpickled(build_block, rows, *how))))
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -195,7 +233,7 @@ def _bands(at: np.ndarray, key: np.ndarray, block: Block, offset: int, span: int
         n = count[start:stop]
         before = ends[start:stop] - n - (ends[start - 1] if start else 0)
         slot = np.repeat(block.starts[key[start:stop]] - before, n) + np.arange(n.sum())
-        window = block.window_of[slot]
+        window = block.window_of[slot].astype(np.int64)
         return window, (np.repeat(at[start:stop], n) - block.position[slot]) // (block.budget[window] + 1) + offset
 
     if not len(ends) or ends[-1] <= HITS:
@@ -253,7 +291,7 @@ def scan(text: str, block: Block, q: int) -> list[tuple[int, int, int, int]]:
         budget, size = int(block.budget[w]), int(block.budget[w]) + 1
         low = (int(run[0]) % span - offset) * size - budget
         high = (int(run[-1]) % span - offset + 2) * size - 1 + budget
-        if got := _verify(block.windows[w], codes, low, high, budget):
+        if got := _verify(block.window(w), codes, low, high, budget):
             stretches.setdefault(block.owner[w], []).append((got[1], got[2], got[0]))
     for item, parts in sorted(stretches.items()):
         start, end, edits = None, -1, 0
@@ -269,7 +307,7 @@ def scan(text: str, block: Block, q: int) -> list[tuple[int, int, int, int]]:
 
 
 def blocks(benchmark: DataFrame, q: int, window: int, stride: int, rate: float, block_chars: int,
-           part: tuple[int, int] | None) -> Iterator[tuple[Block, bool]]:
+           part: tuple[int, int] | None) -> Iterator[tuple[Broadcast, bool]]:
     """The benchmark (item_id, text) as blocks of about ``block_chars`` characters, each small enough to send along, one
     at a time, and whether it is the only one."""
     rows = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct()
@@ -277,8 +315,8 @@ def blocks(benchmark: DataFrame, q: int, window: int, stride: int, rate: float,
     n = -(-total // block_chars)
     place = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(n, 1)))
     for i in range(n):
-        yield build_block([(r["item_id"], r["text"]) for r in rows.where(place == i).collect()], q, window, stride, rate,
-                          part), n == 1
+        yield sent(rows.sparkSession, [(r["item_id"], r["text"]) for r in rows.where(place == i).collect()],
+                   q, window, stride, rate, part), n == 1
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = Q,
@@ -299,9 +337,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     kinds = src.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
     schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, start long, end long, edits long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for block, only in blocks(benchmark, q, window, stride, rate, block_chars, part):
-        def run(batches, block=block):
+    for block_sent, only in blocks(benchmark, q, window, stride, rate, block_chars, part):
+        def run(batches, block_sent=block_sent):
             for batch in slices(batches, "text"):
+                block = block_sent.value
                 rows = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch, "text")):
                     rows += [(doc_id, block.items[i], a, b, e) for i, a, b, e in scan(normal(text), block, q)]
@@ -318,8 +357,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", q: int
           stride: int = STRIDE, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS,
           part: tuple[int, int] | None = (PART_WINDOW, PART_STRIDE)) -> DataFrame:
     """The rows of ``docs``, all columns, whose text repeats no benchmark item; see ``matches``."""
-    for block, only in blocks(benchmark, q, window, stride, rate, block_chars, part):
-        docs = where_text(docs, text_col, lambda t, block=block: not scan(normal(t), block, q))
+    for block_sent, only in blocks(benchmark, q, window, stride, rate, block_chars, part):
+        docs = where_text(docs, text_col, lambda t, block_sent=block_sent: not scan(normal(t), block_sent.value, q))
         if not only:
             names = docs.columns  # written by place, as names may be odd
             docs = stored(docs.toDF(*[f"c{i}" for i in range(len(names))]), "clean").toDF(*names)

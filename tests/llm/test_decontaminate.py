@@ -107,3 +107,25 @@ def test_pairs_are_counted_in_pieces(monkeypatch):
     assert D.scan("a" * 100_000, block, D.Q)  # some 10 ** 8 pairs
     assert tracemalloc.get_traced_memory()[1] < 500 << 20
     tracemalloc.stop()
+
+
+def test_a_block_is_indexed_by_the_tasks_not_by_the_driver(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40))) for i in range(400)]
+    docs = spark.createDataFrame([(i, f"so {text} yes" if i % 2 else "nothing of it") for i, text in rows[:40]],
+                                 "doc_id long, text string")
+    benchmark = spark.createDataFrame(rows, "item_id long, text string")
+    calls, build = [], D.build_block
+    monkeypatch.setattr(D, "build_block", lambda *how: (calls.append(how), build(*how))[1])  # tasks have a list of their own
+    for size in (D.BLOCK_CHARS, 40_000):
+        assert sorted(r["doc_id"] for r in D.clean(docs, benchmark, block_chars=size).collect()) == list(range(0, 40, 2))
+        found = D.matches(docs, benchmark, block_chars=size).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(i, i) for i in range(1, 40, 2)]
+    assert not calls
+    monkeypatch.undo()
+    chars = sum(len(text) for _, text in rows)
+    tracemalloc.start()
+    block = D.build_block(rows, D.Q, D.WINDOW, D.STRIDE, D.EDIT_RATE, (D.PART_WINDOW, D.PART_STRIDE))
+    peak = tracemalloc.get_traced_memory()[1] - (1 << D.FILTER_BITS)
+    tracemalloc.stop()
+    assert peak < 180 * chars and len(block.owner) > 400
