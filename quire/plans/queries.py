@@ -179,19 +179,25 @@ _STORES: dict[tuple, str] = {}
 
 def stored_by_month(spark: SparkSession, sf_dir: str) -> str:
     """The fact sources and their history, written in two batches of months, as a portfolio grows; the second batch
-    writes a month of the first again."""
+    writes a month of the first again. Each fact source is written once, here, and what is derived from it reads that."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key in _STORES:
         return _STORES[key]
     path = _STORES[key] = shared_folder(spark, "store")
-    sources = fx(spark, sf_dir).sources()
+    f = FixtureSources(spark, sf_dir, AS_OF, materialized=False)
+    f.keep("merchants", fx(spark, sf_dir).merchants)
+    for name in sorted(AS_OF_COLUMN, key="psp".__ne__):  # PSP first: other sources are derived from it
+        if name == "bank":
+            f.scratch_balances()
+        ST.write_facts(getattr(f, name), name, path + "/facts")
+        f.keep(name, ST.read_facts(spark, name, path + "/facts", AS_OF, None))
+        f.clear_scratch()
+    sources = f.sources()
     bank = sources["bank"].select(F.explode(F.sequence(F.trunc(F.min("date"), "MM"), F.trunc(F.max("date"), "MM"),
                                                        F.expr("interval 1 month"))))
     months = [r[0] for r in bank.collect()]  # calendar months
     for batch in (months[:-1], months[-2:]):
         ST.merge_history(sources, path + "/history", batch)
-    for name in AS_OF_COLUMN:
-        ST.write_facts(sources[name], name, path + "/facts")
     return path
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,10 +64,36 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/quire-tables/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+#: Spark's setting by which a query's shuffle files go when it ends.
+SHUFFLES_REMOVED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files. Otherwise they stay until the driver happens to collect its
+    garbage, and those of all earlier writes lie on the disks together."""
+    before = spark.conf.get(SHUFFLES_REMOVED, None)
+    if before == "true":
+        yield
+        return
+    spark.conf.set(SHUFFLES_REMOVED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLES_REMOVED) if before is None else spark.conf.set(SHUFFLES_REMOVED, before)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``shared_folder`` named."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def write_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as a parquet table under the shared checkpoint folder and
     read it back: lineage is cut, and readers keep column pruning, filter
     pushdown and file statistics (unlike an RDD checkpoint)."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    path = path or shared_folder(df.sparkSession, name)
+    with shuffles_removed(df.sparkSession):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.operators.reconcile import running_balance
-from quire.session import write_table
+from quire.session import remove_folder, shared_folder, write_table
 
 # The fixture's as-of dates.
 FIXTURE_AS_OF = dt.date(2001, 8, 1)
@@ -79,6 +79,18 @@ class FixtureSources:
         self.as_of = as_of
         self.materialized = materialized
         self._tables: dict[str, DataFrame] = {}
+        self._scratch: list[str] = []
+
+    def scratch(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a written table that stays until ``clear_scratch``."""
+        self._scratch.append(shared_folder(self.spark, name))
+        return write_table(df, name, self._scratch[-1])
+
+    def clear_scratch(self, but: int = 0) -> None:
+        """Remove the scratch tables, which nothing reads any more, but the last ``but``."""
+        for path in self._scratch[:len(self._scratch) - but]:
+            remove_folder(self.spark, path)
+        self._scratch = self._scratch[len(self._scratch) - but:]
 
     def _store(self, name: str, build, folder: str | None = None) -> DataFrame:
         """Each canonical view is derived once and written as a reliable
@@ -200,7 +212,10 @@ class FixtureSources:
     def _build_bank(self) -> DataFrame:
         """Texts are made when they are read, from stored numbers."""
         k, ln, credit = F.col("k"), F.col("l_linenumber"), F.col("_credit")
-        return self._store("balances", self._build_balances, "bank").select(
+        balances = self._store("balances", self._build_balances, "bank")
+        if self.materialized:
+            self.clear_scratch()
+        return balances.select(
             self._posting_id().alias("transaction_id"), merchant_id_of(k).alias("merchant_id"), "k", "date", "amount",
             F.when(credit, "CREDIT").otherwise("DEBIT").alias("direction"),
             F.when(~credit, F.concat(F.lit("Supplier_"), (F.col("l_partkey") % 19).cast("string")))
@@ -210,6 +225,11 @@ class FixtureSources:
              .when(ln == 5, "advertising").when(ln == 6, "tax_payment").otherwise("nsf_fee").alias("category"),
             "balance_after", "posting_seq")
 
+    def scratch_balances(self) -> None:
+        """Write the balances as a scratch table, which the bank then reads."""
+        self.keep("balances", self.scratch(self._build_balances(), "balances"))
+        self.clear_scratch(but=1)
+
     @staticmethod
     def _posting_id() -> Column:
         return F.when(F.col("_credit"), F.concat_ws("_", F.lit("C"), "date", "psp_name")).otherwise(line_id("D"))
@@ -250,7 +270,7 @@ class FixtureSources:
             F.lit(False).alias("_credit"), final.alias("_final"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         )
         # the postings are read twice: for the sums of spans of days and for the balances; numbers only
-        postings = write_table(credits.unionByName(debits, allowMissingColumns=True), "postings")
+        postings = self.scratch(credits.unionByName(debits, allowMissingColumns=True), "postings")
         parts = math.ceil(postings.count() / TASK_POSTINGS) or None
         return running_balance(postings, merchant="k", identity=self._posting_id(), parts=parts)
 

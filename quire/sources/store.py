@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.expr import cutoff
 from quire.operators.features.assemble import FAMILY_HISTORY, FAMILY_STATS, family_stats, featured, spine
+from quire.session import shuffles_removed
 from quire.sources.registry import ready
 from quire.sources.schemas import AS_OF_COLUMN
 
@@ -38,8 +39,9 @@ def write_facts(df: DataFrame, name: str, path: str, months: Sequence[dt.date] |
     if months is not None:
         rows = rows.filter(month.isin(list(months)))
     # by month, where Spark splits months that are large and joins small ones
-    (rows.hint("rebalance", F.col(MONTH))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(MONTH).parquet(f"{path}/{name}"))
+    with shuffles_removed(df.sparkSession):
+        (rows.hint("rebalance", F.col(MONTH))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(MONTH).parquet(f"{path}/{name}"))
 
 
 def read_facts(spark: SparkSession, name: str, path: str, as_of: dt.date, days: int | None = RAW_DAYS) -> DataFrame:
@@ -61,8 +63,9 @@ def merge_history(sources: Mapping[str, DataFrame], path: str, months: Sequence[
         df = ready(sources[name], name)
         if months is not None:
             df = df.filter(F.trunc(AS_OF_COLUMN[name], "MM").isin(list(months)))
-        (build(df).filter(F.col("month").isNotNull()).withColumn(MONTH, F.col("month")).drop("month")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(MONTH).parquet(f"{path}/{name}"))
+        with shuffles_removed(df.sparkSession):
+            (build(df).filter(F.col("month").isNotNull()).withColumn(MONTH, F.col("month")).drop("month")
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(MONTH).parquet(f"{path}/{name}"))
 
 
 def read_history(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -72,3 +72,47 @@ def test_reconciliation_from_history(spark, stored):
         now = [ST.read_facts(spark, n, stored + "/facts", as_of, as_of.day - 1) for n in ("bank", "psp")]
         got = rounded(reconcile_bank_psp(f.merchants, *now, as_of, history))
         assert got == rounded(reconcile_bank_psp(f.merchants, f.bank, f.psp, as_of)) and len(got) > 2
+
+
+def test_each_fact_source_is_stored_once(spark, tmp_path, monkeypatch):
+    """What the facts are made from is not kept beside them: PSP, bank and webshop rows, postings, balances."""
+    import os
+
+    from quire import session
+    from quire.plans import queries
+    from quire.sources import adapters
+    named, name_folder = [], session.shared_folder
+    monkeypatch.setattr(queries, "_STORES", {})
+    for module in (session, adapters, queries):
+        monkeypatch.setattr(module, "shared_folder", lambda s, n: named.append((n, name_folder(s, n))) or named[-1][1],
+                            raising=False)
+    os.symlink(SF, tmp_path / "sf")
+    store = stored_by_month(spark, str(tmp_path / "sf"))
+    left = {n for n, path in named if os.path.isdir(path.removeprefix("file:"))}
+    assert "store" in left and left <= {"store", "merchants"} and "postings" in {n for n, _ in named}
+    for name in ("bank", "psp", "webshop", "marketplace", "accounting"):
+        whole = getattr(fixture(spark, SF), name)
+        rows = ST.read_facts(spark, name, store + "/facts", FIXTURE_AS_OF, None)
+        assert rows.count() == whole.count() and rows.select(whole.columns).exceptAll(whole).isEmpty()
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    import time
+
+    from quire.session import SHUFFLES_REMOVED, write_table
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_")}
+
+    psp = fixture(spark, SF).sources()["psp"]
+    psp.count()
+    before = files()
+    for written in (lambda: write_table(psp.groupBy("buyer_id").count(), "test-shuffles"),
+                    lambda: ST.write_facts(psp, "psp", str(tmp_path / "facts")),
+                    lambda: ST.merge_history({"psp": psp}, str(tmp_path / "history"))):
+        written()
+        until = time.time() + 10
+        while (left := files() - before) and time.time() < until:
+            time.sleep(0.2)
+        assert not left and spark.conf.get(SHUFFLES_REMOVED, None) is None
